@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from deedloom import fixed
-from deedloom.functions.text import col
+from deedloom.functions.text import col, strip
 
 
 def parcel_key(c: Column | str) -> Column:
@@ -27,27 +27,35 @@ def parcel_blocks(c: Column | str) -> Column:
         F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("district", "number", "area"))]),
         lambda z: F.struct(
             F.lower(z["number"]).alias("matrikelnummer"),
-            F.btrim(F.regexp_replace(z["district"], "[" + fixed.BLANK + "]+", " ")).alias("landsejerlav"),
+            F.trim(F.regexp_replace(z["district"], "[" + fixed.BLANK + "]+", " ")).alias("landsejerlav"),
             F.try_to_number(z["area"], F.lit("9999999999")).cast("int").alias("areal_m2"),
         ),
     )
 
 
-def target_scope(refs: Column | str, targets: Column | str, available: Column | str) -> Column:
-    """True on overlap; null without targets, without refs or with only unknown refs; else false (JN-09)."""
-    r, t, a = parcel_keys(refs), parcel_keys(targets), parcel_keys(available)
-    known = F.coalesce(F.size(col(available)), F.lit(0)) > 0
+def target_scope(refs: Column, targets: Column, available: Column) -> Column:
+    """True on overlap; null without targets, without refs or with only unknown refs; else false (JN-09).
+
+    All three are lists in normal form (`parcel_keys`).
+    """
     return (
-        F.when(F.size(t) == 0, F.lit(None).cast("boolean"))
-        .when(F.size(r) == 0, F.lit(None).cast("boolean"))
-        .when(F.arrays_overlap(r, t), F.lit(True))
-        .when(known & ~F.arrays_overlap(r, a), F.lit(None).cast("boolean"))
+        F.when((F.size(targets) == 0) | (F.size(refs) == 0), F.lit(None).cast("boolean"))
+        .when(F.arrays_overlap(refs, targets), F.lit(True))
+        .when((F.size(available) > 0) & ~F.arrays_overlap(refs, available), F.lit(None).cast("boolean"))
         .otherwise(F.lit(False))
     )
 
 
-def matching_targets(refs: Column | str, targets: Column | str) -> Column:
-    """Targets that the refs name, in the targets' own spelling (JN-10)."""
-    r = parcel_keys(refs)
-    cleaned = F.transform(col(targets), lambda x: F.lower(F.btrim(x)))
-    return F.array_distinct(F.filter(cleaned, lambda x: F.coalesce(F.array_contains(r, parcel_key(x)), F.lit(False))))
+def spelled_targets(targets: Column | str) -> Column:
+    """Targets in their own spelling (trimmed, lower case) next to their normal form."""
+    cleaned = F.transform(col(targets), lambda x: F.lower(strip(x)))
+    return F.coalesce(
+        F.array_distinct(F.transform(cleaned, lambda x: F.struct(x.alias("shown"), parcel_key(x).alias("key")))),
+        F.array().cast("array<struct<shown:string,key:string>>"),
+    )
+
+
+def matching_targets(refs: Column, spelled: Column) -> Column:
+    """Targets that the refs (in normal form) name, in the targets' own spelling (JN-10)."""
+    hit = F.filter(spelled, lambda t: F.coalesce(F.array_contains(refs, t["key"]), F.lit(False)))
+    return F.transform(hit, lambda t: t["shown"])

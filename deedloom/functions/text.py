@@ -21,7 +21,7 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.btrim(col(c), F.lit(STRIP_CHARS))
+    return F.trim(col(c), F.lit(STRIP_CHARS))
 
 
 def lstrip(c: Column | str) -> Column:
@@ -199,7 +199,7 @@ def filename_component(c: Column | str) -> Column:
     """Blanks to underscores, other unusual characters to hyphens, edges trimmed (TXT-32)."""
     t = F.regexp_replace(strip(c), "[" + fixed.BLANK + "]+", "_")
     t = F.regexp_replace(t, "[^0-9A-Za-z._-]+", "-")
-    t = F.btrim(t, F.lit("._-"))
+    t = F.trim(t, F.lit("._-"))
     return F.coalesce(F.nullif(t, F.lit("")), F.lit("del"))
 
 

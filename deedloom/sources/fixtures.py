@@ -11,10 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from deedloom import fixed
 
 PAGE_LINES = 6
+SPREAD_BY = {"documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table. A single small file would keep all work in one task, so it is spread by key."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = SPREAD_BY.get(name)
+    wanted = spark.sparkContext.defaultParallelism
+    if key and df.rdd.getNumPartitions() * 2 <= wanted:
+        df = df.repartition(wanted, key)
+    return df
 
 
 def _case() -> str:
@@ -127,7 +134,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     return joined.selectExpr(
-        "concat('srv-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) as servitut_id",
+        "concat('srv-', cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', "
+        "cast(l_suppkey as string)) as servitut_id",
         "concat('case-', cast(o_custkey % 10 as string)) as case_id",
         "concat('doc-', cast(l_orderkey % 200 as string)) as source_document",
         "case when l_linenumber = 1 then 'attest' else 'akt' end as scope_source",

@@ -104,7 +104,7 @@ cte(
         WHEN doc_id % 20 = 0 THEN (doc_id % 9 + 1)::varchar || '/2 19' || (50 + doc_id % 40)::varchar
         WHEN doc_id % 36 = 0 THEN 'Deklaration fra 19' || (50 + doc_id % 40)::varchar
         ELSE {ref('doc_id')} END AS date_reference,
-   CASE WHEN doc_id % 24 = 0 THEN NULL ELSE '40 F ' || (doc_id % 13)::varchar END AS akt_nr,
+   CASE WHEN doc_id % 24 = 0 THEN NULL WHEN doc_id % 44 = 0 THEN 'F-4' ELSE '40 F ' || (doc_id % 13)::varchar END AS akt_nr,
    trim(substr(replace(text, chr(10), ' '), 1, 40)) AS title,
    CASE WHEN doc_id % 16 = 0 THEN []::varchar[] ELSE [(doc_id % 9 + 1)::varchar || 'A'] END AS applies_to_matrikler,
    NULL::varchar AS summary,

@@ -256,3 +256,164 @@ oracle(
     "quality_pages",
     "chunks",
 )
+
+# ---- signals, scoring, selection ------------------------------------------------------------------------------
+STOP = "(" + ", ".join(lit(w) for w in fixed.TITLE_STOPWORDS) + ")"
+
+
+def akey(x: str) -> str:
+    return f"lower(regexp_replace({x}, '[{BLANK}\\-]+', '', 'g'))"
+
+
+def mkey(x: str) -> str:
+    return f"lower(regexp_replace({x}, '[{BLANK}.\\-]+', '', 'g'))"
+
+
+def grp(x: str, p: str, g: int) -> str:
+    return f"nullif(regexp_extract({x}, '{p}', {g}), '')"
+
+
+SERIAL_RE = r"(\d{1,2})\.(\d{1,2})\.(\d{4})-(\d+(?:-\d+)+)"
+LOOSE_RE = r"(\d{1,2})\s*[./]\s*(\d{1,2})\s*[./]\s*(\d{4})"
+
+
+def lob(x: str) -> str:
+    return grp(x, SERIAL_RE, 4)
+
+
+def full(x: str) -> str:
+    def f(p: str) -> str:
+        return f"lpad({grp(x, p, 1)}, 2, '0') || '.' || lpad({grp(x, p, 2)}, 2, '0') || '.' || {grp(x, p, 3)}"
+
+    return f"CASE WHEN {lob(x)} IS NOT NULL THEN {f(SERIAL_RE)} ELSE {f(LOOSE_RE)} END"
+
+
+def year(x: str) -> str:
+    lone = grp(x, r"\b(1[89]\d{2}|20\d{2})\b", 1)
+    return f"coalesce(right({full(x)}, 4), {lone})"
+
+
+cte(
+    "signals",
+    rf"""
+ SELECT DISTINCT * FROM (
+ SELECT case_id, ord, servitut_id, date_reference, title, akt_nr, 'akt_nr' AS signal_type, {akey('akt_nr')} AS normalized_value, akt_nr AS display_value FROM canonicals WHERE akt_nr <> ''
+ UNION ALL SELECT case_id, ord, servitut_id, date_reference, title, akt_nr, 'date_ref', {mkey('date_reference')}, date_reference FROM canonicals WHERE date_reference <> ''
+ UNION ALL SELECT case_id, ord, servitut_id, date_reference, title, akt_nr, 'lob_suffix', {mkey(lob('date_reference'))}, {lob('date_reference')} FROM canonicals WHERE {lob('date_reference')} IS NOT NULL
+ UNION ALL SELECT case_id, ord, servitut_id, date_reference, title, akt_nr, 'matrikel', lower(m), lower(m) FROM (SELECT *, unnest(applies_to_matrikler) AS m FROM canonicals)
+ UNION ALL SELECT case_id, ord, servitut_id, date_reference, title, akt_nr, 'title_word', w, w FROM (SELECT *, regexp_replace(unnest(string_split_regex(lower(title), '[{BLANK}]+')), '[^\p{{L}}\p{{N}}_]', '', 'g') AS w FROM canonicals)
+   WHERE length(w) >= 6 AND w NOT IN {STOP}) WHERE normalized_value <> ''""",
+    "canonicals",
+)
+RULES = ", ".join(f"({i}, {lit(t)}, {lit(m[0])}, {m[1]}, {lit(m[2])})" for i, (t, m) in enumerate(fixed.SCORING_RULES.items()))
+cte("rules", f"SELECT * FROM (VALUES {RULES}) v(rule_order, signal_type, label, weight, description)")
+cte(
+    "catalog",
+    """
+ SELECT case_id, signal_type, normalized_value, signal_type || ':' || normalized_value AS signal_key, label, weight, description, rule_order,
+   list_sort(list(DISTINCT display_value)) AS display_values,
+   count(DISTINCT (coalesce(date_reference, '—'), coalesce(title, '—'), coalesce(akt_nr, '—'))) AS canonical_refs
+ FROM signals JOIN rules USING (signal_type) GROUP BY ALL""",
+    "signals",
+    "rules",
+)
+oracle(
+    "scoring_rules",
+    """SELECT rule_order, signal_type, label, weight, description, 2 AS minimum_score, 1 AS context_window, 12 AS max_candidate_chunks, 16000 AS max_candidate_chars,
+  (SELECT count(*) FROM signals s WHERE s.signal_type = rules.signal_type) AS signals FROM rules""",
+    "rules",
+    "signals",
+)
+oracle(
+    "signal_catalog",
+    "SELECT * EXCLUDE (rule_order, display_values), array_to_string(display_values, '|') AS display_values FROM catalog",
+    "catalog",
+)
+oracle(
+    "signal_groups",
+    """SELECT c.case_id, r.signal_type, r.label, r.weight, r.description, count(k.signal_key) AS count,
+  coalesce(array_to_string(list_slice(list(array_to_string(k.display_values, ', ') ORDER BY k.normalized_value) FILTER (k.signal_key IS NOT NULL), 1, 5), ' | '), '—') AS examples
+ FROM (SELECT DISTINCT case_id FROM documents_meta) c CROSS JOIN rules r LEFT JOIN catalog k ON k.case_id = c.case_id AND k.signal_type = r.signal_type GROUP BY 1, 2, 3, 4, 5""",
+    "documents_meta",
+    "rules",
+    "catalog",
+)
+oracle(
+    "canonical_signals",
+    """SELECT c.case_id, c.servitut_id, coalesce(c.date_reference, '—') AS date_reference, coalesce(nullif(c.title, ''), '—') AS title, coalesce(c.akt_nr, '—') AS akt_nr,
+  coalesce(c.raw_scope_text, '—') AS raw_scope_text, array_to_string(c.applies_to_matrikler, ', ') AS applies_to_matrikler, coalesce(x, '—') AS derived_signals
+ FROM canonicals c LEFT JOIN (SELECT s.servitut_id, string_agg(k.label || ' (' || k.weight::varchar || '): ' || array_to_string(k.display_values, ', '), ' | ' ORDER BY rule_order, normalized_value) AS x
+   FROM (SELECT DISTINCT case_id, servitut_id, signal_type, normalized_value FROM signals) s JOIN catalog k USING (case_id, signal_type, normalized_value) GROUP BY 1) USING (servitut_id)""",
+    "canonicals",
+    "signals",
+    "catalog",
+)
+cte(
+    "matches",
+    f"""
+ SELECT c.case_id, c.document_id, c.chunk_index, k.signal_type, k.normalized_value, k.signal_key, k.weight, k.label, k.display_values, k.rule_order
+ FROM (SELECT *, {mkey('text')} AS n, lower(text) AS l FROM chunks) c JOIN catalog k ON k.case_id = c.case_id AND
+   CASE WHEN k.signal_type IN ('matrikel', 'title_word') THEN contains(l, k.normalized_value) ELSE contains(n, k.normalized_value) END""",
+    "chunks",
+    "catalog",
+)
+oracle("signal_matches", "SELECT case_id, document_id, chunk_index, signal_type, normalized_value, weight FROM matches", "matches")
+cte(
+    "scored",
+    """
+ SELECT c.case_id, c.document_id, c.chunk_index, c.chunk_id, c.page, length(c.text) AS text_length, coalesce(score, 0) AS score, coalesce(reasons, '') AS reasons
+ FROM chunks c LEFT JOIN (SELECT case_id, document_id, chunk_index, sum(weight) AS score, string_agg(signal_key, ',' ORDER BY signal_key) AS reasons FROM matches GROUP BY 1, 2, 3) USING (case_id, document_id, chunk_index)""",
+    "chunks",
+    "matches",
+)
+oracle("score_chunks", "SELECT * FROM scored", "scored")
+oracle(
+    "signal_provenance",
+    """SELECT case_id, document_id, chunk_index, string_agg(label || ' (' || weight::varchar || '): ' || array_to_string(display_values, ', ') || ' → ' || refs, ' | ' ORDER BY rule_order, normalized_value) AS matched_signals
+ FROM matches JOIN (SELECT case_id, signal_type || ':' || normalized_value AS signal_key, string_agg(r, '; ' ORDER BY o, r) AS refs FROM (
+     SELECT case_id, signal_type, normalized_value, coalesce(date_reference, '—') || ' — ' || coalesce(title, '—') AS r, min(ord) AS o FROM signals GROUP BY ALL
+     QUALIFY row_number() OVER (PARTITION BY case_id, signal_type, normalized_value ORDER BY o, r) <= 2) GROUP BY 1, 2) USING (case_id, signal_key) GROUP BY 1, 2, 3""",
+    "matches",
+    "signals",
+)
+cte(
+    "selection",
+    """
+ SELECT *, coalesce(rank <= 12 AND taken <= 16000, false) AS selected, coalesce(rank > 12, false) AS cand_excl, coalesce(rank <= 12 AND taken > 16000, false) AS char_excl
+ FROM (SELECT *, CASE WHEN rank <= 12 THEN sum(text_length) OVER (PARTITION BY case_id, document_id, ctx AND rank <= 12 ORDER BY chunk_index) END AS taken FROM (
+   SELECT *, CASE WHEN ctx THEN row_number() OVER (PARTITION BY case_id, document_id, ctx ORDER BY score DESC, chunk_index) END AS rank FROM (
+     SELECT *, score >= 2 AS hit, prev >= 2 AS hp, nxt >= 2 AS hn, greatest(score, prev, nxt) >= 2 AS ctx FROM (
+       SELECT *, coalesce(lag(score) OVER w, 0) AS prev, coalesce(lead(score) OVER w, 0) AS nxt, lag(page) OVER w AS pp, lead(page) OVER w AS pn
+       FROM scored WINDOW w AS (PARTITION BY case_id, document_id ORDER BY chunk_index)))))""",
+    "scored",
+)
+oracle("candidate_selection", "SELECT document_id, chunk_index, score, rank, text_length, hit FROM selection WHERE selected", "selection")
+LABELS = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in fixed.SELECTION_LABELS.items())
+REASONS = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in fixed.SELECTION_REASONS.items())
+oracle(
+    "selection_trace",
+    f"""SELECT case_id, document_id, chunk_index, chunk_id, page, score, rank, text_length, selected, st AS selection_state, CASE st {LABELS} END AS selection_label,
+  CASE WHEN st = 'selected_context' THEN {lit(fixed.SELECTION_NEIGHBOUR_PREFIX)} || concat_ws(', ', CASE WHEN hp THEN 'side ' || pp::varchar END, CASE WHEN hn THEN 'side ' || pn::varchar END) || '.'
+   ELSE CASE st {REASONS} ELSE '' END END AS selection_reason
+ FROM (SELECT *, CASE WHEN selected AND hit THEN 'selected_hit' WHEN selected THEN 'selected_context' WHEN char_excl THEN 'excluded_char_cap' WHEN cand_excl THEN 'excluded_candidate_cap'
+    WHEN score > 0 THEN 'below_threshold' ELSE 'hidden' END AS st FROM selection) WHERE score > 0 OR selected OR cand_excl OR char_excl""",
+    "selection",
+)
+cte(
+    "sel_summary",
+    """
+ SELECT case_id, document_id, filename, count(*) AS total_chunks, count(*) FILTER (selected) AS candidate_count, coalesce(sum(text_length) FILTER (selected), 0) AS candidate_chars,
+  max(score) AS max_score, count(*) FILTER (hit) AS hit_chunks, count(*) FILTER (selected AND hit) AS selected_hit_chunks, count(*) FILTER (selected AND NOT hit) AS selected_context_chunks,
+  count(*) FILTER (score > 0 AND score < 2 AND NOT selected) AS below_threshold_chunks, count(*) FILTER (cand_excl) AS candidate_cap_excluded_chunks,
+  count(*) FILTER (char_excl) AS char_cap_excluded_chunks, count(*) FILTER (score > 0 OR selected OR cand_excl OR char_excl) AS visible_chunks, count(*) FILTER (selected) = 0 AS skipped
+ FROM selection JOIN documents_meta USING (case_id, document_id) WHERE document_type = 'akt' GROUP BY 1, 2, 3""",
+    "selection",
+    "documents_meta",
+)
+oracle("selection_summary", "SELECT * FROM sel_summary", "sel_summary")
+oracle(
+    "scoring_totals",
+    """SELECT case_id, count(*) FILTER (NOT skipped) AS sent_documents, count(*) FILTER (skipped) AS skipped_documents, sum(candidate_count) AS candidates,
+  sum(candidate_chars) AS candidate_chars, sum(selected_context_chunks) AS context_chunks FROM sel_summary GROUP BY 1""",
+    "sel_summary",
+)

@@ -156,3 +156,78 @@ def document_counts(s, d):
             F.col("page_count"), F.col("chunk_count"), F.col("page_count") > 2, F.col("page_count") > 4, F.lit(False)
         ).alias("message"),
     )
+
+
+# ---- signals, scoring, selection ---------------------------------------------------------------------------------
+from deedloom.operators import signals as S  # noqa: E402
+
+
+def _chunks(s, d):
+    return P.chunk_pages(_pages(s, d))
+
+
+def _signals(s, d):
+    return S.record_signals(X.canonicals(s, d))
+
+
+def _selected(s, d):
+    return S.select_candidates(S.score_chunks(_chunks(s, d), _signals(s, d)))
+
+
+@query
+def scoring_rules(s, d):
+    # the rule table next to how many records can yield each type
+    n = _signals(s, d).groupBy("signal_type").agg(F.count(F.lit(1)).alias("signals"))
+    return S.scoring_rules(s).join(n, "signal_type", "left").withColumn("signals", F.coalesce("signals", F.lit(0)))
+
+
+@query
+def signal_catalog(s, d):
+    return S.signal_catalog(_signals(s, d)).withColumn("display_values", F.array_join("display_values", "|"))
+
+
+@query
+def signal_groups(s, d):
+    return S.signal_groups(S.signal_catalog(_signals(s, d)), X.documents(s, d))
+
+
+@query
+def canonical_signals(s, d):
+    sig = _signals(s, d)
+    return S.describe_records(X.canonicals(s, d), sig, S.signal_catalog(sig))
+
+
+@query
+def signal_matches(s, d):
+    return S.match_signals(_chunks(s, d), _signals(s, d)).drop("signal_key")
+
+
+@query
+def score_chunks(s, d):
+    return S.score_chunks(_chunks(s, d), _signals(s, d)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query
+def signal_provenance(s, d):
+    sig = _signals(s, d)
+    return S.signal_provenance(S.match_signals(_chunks(s, d), sig), sig, S.signal_catalog(sig))
+
+
+@query
+def candidate_selection(s, d):
+    return _selected(s, d).where("selected").select("document_id", "chunk_index", "score", "rank", "text_length", "hit")
+
+
+@query
+def selection_trace(s, d):
+    return S.selection_trace(_selected(s, d))
+
+
+@query
+def selection_summary(s, d):
+    return S.selection_summary(_selected(s, d), X.documents(s, d))
+
+
+@query
+def scoring_totals(s, d):
+    return S.scoring_totals(S.selection_summary(_selected(s, d), X.documents(s, d)))

@@ -90,7 +90,8 @@ def canonicals(spark: SparkSession, sf_dir: str) -> DataFrame:
                when doc_id % 20 = 0 then concat(cast(doc_id % 9 + 1 as string), '/2 19', cast(50 + doc_id % 40 as string))
                when doc_id % 36 = 0 then concat('Deklaration fra 19', cast(50 + doc_id % 40 as string))
                else {_reference('doc_id')} end as date_reference""",
-        "case when doc_id % 24 = 0 then cast(null as string) else concat('40 F ', cast(doc_id % 13 as string)) end as akt_nr",
+        "case when doc_id % 24 = 0 then cast(null as string) when doc_id % 44 = 0 then 'F-4' "
+        "else concat('40 F ', cast(doc_id % 13 as string)) end as akt_nr",
         "trim(substr(replace(text, '\\n', ' '), 1, 40)) as title",
         "case when doc_id % 16 = 0 then array() else array(concat(cast(doc_id % 9 + 1 as string), 'A')) end as applies_to_matrikler",
         "cast(null as string) as summary",

@@ -371,8 +371,9 @@ oracle(
     "signal_provenance",
     """SELECT case_id, document_id, chunk_index, string_agg(label || ' (' || weight::varchar || '): ' || array_to_string(display_values, ', ') || ' → ' || refs, ' | ' ORDER BY rule_order, normalized_value) AS matched_signals
  FROM matches JOIN (SELECT case_id, signal_type || ':' || normalized_value AS signal_key, string_agg(r, '; ' ORDER BY o, r) AS refs FROM (
-     SELECT case_id, signal_type, normalized_value, coalesce(date_reference, '—') || ' — ' || coalesce(title, '—') AS r, min(ord) AS o FROM signals GROUP BY ALL
-     QUALIFY row_number() OVER (PARTITION BY case_id, signal_type, normalized_value ORDER BY o, r) <= 2) GROUP BY 1, 2) USING (case_id, signal_key) GROUP BY 1, 2, 3""",
+     SELECT case_id, signal_type, normalized_value, coalesce(date_reference, '—') || ' — ' || coalesce(title, '—') AS r, min(ord) AS o,
+     row_number() OVER (PARTITION BY case_id, signal_type, normalized_value ORDER BY min(ord), coalesce(date_reference, '—') || ' — ' || coalesce(title, '—')) AS rn
+     FROM signals GROUP BY 1, 2, 3, 4) WHERE rn <= 2 GROUP BY 1, 2) USING (case_id, signal_key) GROUP BY 1, 2, 3""",
     "matches",
     "signals",
 )

@@ -8,6 +8,7 @@ from deedloom import fixed
 from deedloom.functions import dates as D, parcels as PC, text as T
 from deedloom.operators import pages as P
 from deedloom.plans import report as R
+from deedloom.session import materialize
 from deedloom.sources import fixtures as X
 
 AS_OF = "1999-06-30"
@@ -163,7 +164,7 @@ from deedloom.operators import signals as S  # noqa: E402
 
 
 def _chunks(s, d):
-    return P.chunk_pages(_pages(s, d))
+    return materialize(P.chunk_pages(_pages(s, d)))
 
 
 def _signals(s, d):
@@ -171,7 +172,7 @@ def _signals(s, d):
 
 
 def _selected(s, d):
-    return S.select_candidates(S.score_chunks(_chunks(s, d), _signals(s, d)))
+    return S.score_and_select(_chunks(s, d), X.canonicals(s, d))
 
 
 @query

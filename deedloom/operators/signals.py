@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from deedloom import fixed
 from deedloom.functions import dates as D, text as T
 from deedloom.operators.positions import first_per_key, position
+from deedloom.session import materialize
 
 CHUNK = ("case_id", "document_id", "chunk_index")
 DOC = ("case_id", "document_id")
@@ -130,36 +131,30 @@ def describe_records(records: DataFrame, signals: DataFrame, catalog: DataFrame)
 
 # Containment without comparing every chunk with every signal of its case: a signal that occurs in a
 # text starts at some character of it. Signals are indexed by their first characters (their anchor);
-# texts offer a window at each digit, and at each place where a long word can start. Windows and
-# anchors meet in an equality join, and the window then decides. Signals that start otherwise are rare;
-# only cases that have one also offer windows at the other characters.
+# texts offer a window at each digit, at each place where a long word can start, and shortly before
+# digits. Windows and anchors meet in an equality join, and the window then decides. Signals that
+# start in none of these ways are rare; only cases that have one offer windows everywhere.
 _WINDOW = 64
 _ANCHORS = (1, 2, 3, 5, 8)
-_AT_DIGIT = r"(?s)(?=([0-9].{0,63}))"
-_AT_WORD = r"(?=([" + fixed.WORD + r"]{6,64}))"
-_AT_OTHER = r"(?s)(?=([^0-9].{0,63}))"
+_WINDOW_PATTERNS = {
+    "digit": r"(?s)(?=([0-9].{0,63}))",
+    "near": r"(?s)(?=([^0-9]{1,8}[0-9].{0,55}))",
+    "word": r"(?=([" + fixed.WORD + r"]{6,64}))",
+    "other": r"(?s)(?=([^0-9].{0,63}))",
+}
 
 
-def _anchor(value: Column) -> Column:
+def _anchor(value: Column, cls: Column) -> Column:
     size = F.length(value)
     k = F.lit(_ANCHORS[0])
     for n in _ANCHORS[1:]:
         k = F.when(size >= n, F.lit(n)).otherwise(k)
-    return F.left(value, k)
+    return F.left(value, F.when(F.endswith(cls, F.lit("word")), F.lit(fixed.TITLE_WORD_MIN)).otherwise(k))
 
 
-def _windows(cls: str, c: Column, pattern: str) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
-    return F.transform(found, lambda w: F.struct(F.lit(cls).alias("cls"), w.alias("w")))
-
-
-def _anchored(windows: DataFrame) -> DataFrame:
-    w = F.col("_w.w")
-    lengths = F.filter(F.array(*[F.lit(n) for n in _ANCHORS]), lambda n: n <= F.length(w))
-    anchors = F.when(F.col("_w.cls") == "w", F.array(F.left(w, F.lit(fixed.TITLE_WORD_MIN)))).otherwise(
-        F.transform(lengths, lambda n: F.left(w, n))
-    )
-    return windows.select(*CHUNK, F.col("_w.cls").alias("cls"), w.alias("_window"), F.explode(anchors).alias("anchor"))
+def _windows(form: str, kind: str, c: Column) -> Column:
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_WINDOW_PATTERNS[kind]), F.lit(1)))
+    return F.transform(found, lambda w: F.struct(F.lit(f"{form}:{kind}").alias("cls"), w.alias("w")))
 
 
 def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
@@ -168,31 +163,34 @@ def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
     Archive ids, dates and serials are looked up in the text without blanks, dots and hyphens; parcels
     and title words in the lower-case text.
     """
+    value = F.col("normalized_value")
     joinish = F.col("signal_type").isin("akt_nr", "date_ref", "lob_suffix")
-    at_digit = F.col("normalized_value").rlike("^[0-9]")
-    cls = (
-        F.when(F.col("signal_type") == "title_word", "w")
-        .when(joinish & at_digit, "n").when(joinish, "N").when(at_digit, "l").otherwise("L")
+    kind = (
+        F.when(F.col("signal_type") == "title_word", "word").when(value.rlike("^[0-9]"), "digit")
+        .when(value.rlike("(?s)^[^0-9]{1,8}[0-9]"), "near").otherwise("other")
     )
-    value = F.col("normalized_value")
     index = (
         signals.select("case_id", "signal_type", "normalized_value", "signal_key").distinct()
-        .withColumn("cls", cls)
-        .withColumn("anchor", F.when(cls == "w", F.left(value, F.lit(fixed.TITLE_WORD_MIN))).otherwise(_anchor(value)))
+        .withColumn("cls", F.concat(F.when(joinish, "joined:").otherwise("lower:"), kind))
+        .withColumn("anchor", _anchor(value, F.col("cls")))
     )
+    # at most a handful of classes times five lengths: a fixed bound, so this one is broadcast
+    lengths = F.broadcast(index.select("cls", F.length("anchor").alias("_k")).distinct())
     texts = chunks.select(*CHUNK, T.match_key("text").alias("_n"), F.lower("text").alias("_l"))
-    usual = texts.select(
-        *CHUNK,
-        F.explode(F.concat(
-            _windows("n", F.col("_n"), _AT_DIGIT), _windows("l", F.col("_l"), _AT_DIGIT), _windows("w", F.col("_l"), _AT_WORD),
-        )).alias("_w"),
-    )
-    odd_cases = index.where(F.col("cls").isin("N", "L")).select("case_id").distinct()
-    odd = texts.join(odd_cases, "case_id", "left_semi").select(
-        *CHUNK, F.explode(F.concat(_windows("N", F.col("_n"), _AT_OTHER), _windows("L", F.col("_l"), _AT_OTHER))).alias("_w")
-    )
-    offered = _anchored(usual).unionByName(_anchored(odd))
-    near = offered.join(index, ["case_id", "cls", "anchor"]).where(
+
+    def offered(rows: DataFrame, kinds: list[str]) -> DataFrame:
+        found = [_windows("lower", k, F.col("_l")) for k in kinds] + [_windows("joined", k, F.col("_n")) for k in kinds if k != "word"]
+        return rows.select(*CHUNK, F.explode(F.concat(*found)).alias("_w")).select(*CHUNK, "_w.cls", F.col("_w.w").alias("_window"))
+
+    odd_cases = index.where(F.endswith("cls", F.lit("other"))).select("case_id").distinct()
+    windows = offered(texts, ["digit", "near", "word"]).unionByName(
+        offered(texts.join(odd_cases, "case_id", "left_semi"), ["other"])
+    )
+    probes = (
+        windows.join(lengths, "cls").where(F.length("_window") >= F.col("_k"))
+        .select(*CHUNK, "cls", F.left(F.col("_window"), F.col("_k")).alias("anchor"), "_window")
+    )
+    near = probes.join(index, ["case_id", "cls", "anchor"]).where(
         F.startswith(F.col("_window"), F.left(value, F.lit(_WINDOW)))
     )
     found = near.select(*CHUNK, "signal_type", "normalized_value", "signal_key").distinct()
@@ -259,6 +257,11 @@ def select_candidates(
     )
 
 
+def score_and_select(chunks: DataFrame, records: DataFrame, **limits: int) -> DataFrame:
+    """Scores and selection flags of every chunk; the light score table is written once and read several times."""
+    return select_candidates(materialize(score_chunks(chunks, record_signals(records))), **limits)
+
+
 def selection_state() -> Column:
     """Six-way state of a chunk (FLT-19)."""
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,25 @@ def local_session(cpus: str | None = None) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a scratch folder only where none is set.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for written intermediates: the one the cluster names; a scratch folder only in local tests."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    scratch = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", scratch)
+    return scratch
 
-    The work stays recoverable when executors are lost, because the files live outside them.
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    Unlike a cache it survives lost executors; unlike recomputation it costs one pass, and later
+    readers prune its columns and know its size.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/deedloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

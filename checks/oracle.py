@@ -418,3 +418,129 @@ oracle(
   sum(candidate_chars) AS candidate_chars, sum(selected_context_chunks) AS context_chunks FROM sel_summary GROUP BY 1""",
     "sel_summary",
 )
+
+# ---- linkage --------------------------------------------------------------------------------------------------
+COMP = f"{full('date_reference')} AS f, {lob('date_reference')} AS l, {year('date_reference')} AS y"
+cte(
+    "canon_c",
+    f"""SELECT *, coalesce(nullif(date_reference, ''), 'id:' || servitut_id) AS ck, nullif({akey('akt_nr')}, '') AS ak, {COMP} FROM canonicals""",
+    "canonicals",
+)
+cte("items_c", f"SELECT *, nullif({akey('akt_nr')}, '') AS ak, {COMP} FROM deed_items", "deed_items")
+cte("years", "SELECT case_id, y AS year, count(*) AS records FROM canon_c WHERE y IS NOT NULL GROUP BY 1, 2", "canon_c")
+cte("akts", "SELECT case_id, ak AS akt_key, count(*) AS records, min(ord) AS first_ord FROM canon_c WHERE ak IS NOT NULL GROUP BY 1, 2", "canon_c")
+oracle(
+    "date_components",
+    f"""SELECT servitut_id, date_reference, f AS full_date, l AS lob_suffix, y AS year FROM canon_c
+  UNION ALL SELECT item_id, date_reference, f, l, y FROM items_c""",
+    "canon_c",
+    "items_c",
+)
+
+
+def dmy(x: str) -> str:
+    p = r"(\d{1,2})[./](\d{1,2})[./](\d{4})"
+    return f"try_cast({grp(x, p, 3)} || '-' || lpad({grp(x, p, 2)}, 2, '0') || '-' || lpad({grp(x, p, 1)}, 2, '0') AS date)"
+
+
+oracle(
+    "registered_at",
+    f"""SELECT item_id, coalesce({dmy('title')}, {dmy('date_reference')}) AS registered_at,
+  coalesce(CASE WHEN regexp_full_match(left(date_reference, 10), '\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}') THEN try_strptime(left(date_reference, 10), '%d.%m.%Y')::date END, DATE '9999-12-31') AS sort_date FROM deed_items""",
+    "deed_items",
+)
+oracle(
+    "normalize_keys",
+    f"""SELECT servitut_id, {akey('akt_nr')} AS akt_key, {mkey('date_reference')} AS date_key,
+  nullif(regexp_replace(lower(title), '[^0-9a-z]+', '', 'g'), '') AS title_key, nullif(trim(action_note), '') AS note FROM records""",
+    "records",
+)
+oracle("canonical_years", "SELECT * FROM years", "years")
+oracle("archive_groups", "SELECT * FROM akts", "akts")
+# the pairwise rule, applied to all pairs of a case
+SAME = """CASE WHEN c.y IS NULL OR i.y IS NULL THEN false WHEN c.l IS NOT NULL AND i.l IS NOT NULL THEN c.l = i.l
+  WHEN c.f IS NOT NULL AND i.f IS NOT NULL THEN c.f = i.f ELSE c.y = i.y AND n.records = 1 END"""
+cte(
+    "pairs",
+    f"""SELECT c.case_id, c.ord AS c_ord, c.ck, i.ord AS i_ord, i.confidence, i.ak AS i_ak FROM canon_c c JOIN items_c i ON c.case_id = i.case_id
+  LEFT JOIN years n ON n.case_id = c.case_id AND n.year = c.y WHERE {SAME}""",
+    "canon_c",
+    "items_c",
+    "years",
+)
+cte(
+    "counts",
+    """SELECT c.case_id, c.ord, c.servitut_id, count(*) AS matches, arg_min(p.i_ord, (-p.confidence, p.i_ord)) AS deed_ord
+  FROM pairs p JOIN canon_c c ON c.case_id = p.case_id AND c.ord = p.c_ord GROUP BY 1, 2, 3""",
+    "pairs",
+    "canon_c",
+)
+oracle("match_counts", "SELECT * FROM counts", "counts")
+cte(
+    "resolved",
+    """
+ SELECT i.*, coalesce(one.first_ord, ad.o, af.o, d.o, fz.o) AS matched_ord,
+   CASE WHEN coalesce(one.first_ord, ad.o, af.o) IS NOT NULL THEN 1 WHEN d.o IS NOT NULL THEN 2 WHEN fz.o IS NOT NULL THEN 3 END AS match_priority
+ FROM items_c i
+ LEFT JOIN (SELECT case_id, akt_key, (SELECT min(o.ord) FROM canon_c o WHERE o.case_id = c.case_id AND o.ck = c.ck) AS first_ord
+            FROM akts a JOIN canon_c c USING (case_id) WHERE a.records = 1 AND c.ak = a.akt_key) one ON one.case_id = i.case_id AND one.akt_key = i.ak
+ LEFT JOIN (SELECT c.case_id, c.ak, c.date_reference, min(k.o) AS o FROM canon_c c JOIN akts a ON a.case_id = c.case_id AND a.akt_key = c.ak AND a.records > 1
+            JOIN (SELECT case_id, ck, min(ord) AS o FROM canon_c GROUP BY 1, 2) k ON k.case_id = c.case_id AND k.ck = c.ck
+            WHERE c.date_reference <> '' GROUP BY 1, 2, 3) ad ON ad.case_id = i.case_id AND ad.ak = i.ak AND ad.date_reference = i.date_reference
+ LEFT JOIN (SELECT p.case_id, p.i_ord, min(p.c_ord) AS o FROM pairs p
+            JOIN (SELECT DISTINCT c.case_id, c.ak, c.ck FROM canon_c c JOIN akts a ON a.case_id = c.case_id AND a.akt_key = c.ak AND a.records > 1) m
+              ON m.case_id = p.case_id AND m.ak = p.i_ak AND m.ck = p.ck GROUP BY 1, 2) af ON af.case_id = i.case_id AND af.i_ord = i.ord
+ LEFT JOIN (SELECT case_id, date_reference, min(ord) AS o FROM canon_c WHERE date_reference <> '' GROUP BY 1, 2) d ON d.case_id = i.case_id AND d.date_reference = i.date_reference
+ LEFT JOIN (SELECT case_id, i_ord, min(c_ord) AS o FROM pairs GROUP BY 1, 2) fz ON fz.case_id = i.case_id AND fz.i_ord = i.ord""",
+    "items_c",
+    "canon_c",
+    "akts",
+    "pairs",
+)
+oracle("resolve_keys", "SELECT case_id, item_id, matched_ord, match_priority FROM resolved", "resolved")
+CONF = "coalesce(nullif(confidence, 0), 0.5)"
+cte(
+    "best",
+    f"""SELECT case_id, matched_ord, arg_min(ord, (match_priority, -{CONF}, ord)) AS item_ord, min(match_priority) AS match_priority
+  FROM resolved WHERE matched_ord IS NOT NULL GROUP BY 1, 2""",
+    "resolved",
+)
+oracle("best_items", "SELECT * FROM best", "best")
+cte(
+    "orphan_rows",
+    f"""SELECT * REPLACE ({CONF} AS confidence), coalesce(ak, nullif(date_reference, '')) AS orphan_key FROM resolved
+  WHERE matched_ord IS NULL AND coalesce(ak, nullif(date_reference, '')) IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY case_id, coalesce(ak, nullif(date_reference, '')) ORDER BY {CONF} DESC, ord) = 1""",
+    "resolved",
+)
+oracle("orphans", "SELECT case_id, ord, orphan_key, confidence, false AS attest_confirmed FROM orphan_rows", "orphan_rows")
+ENRICH = """c.case_id, c.ord, coalesce(i.document_id, c.source_document) AS source_document, c.date_reference, coalesce(i.akt_nr, c.akt_nr) AS akt_nr, c.title,
+  coalesce(i.summary, c.summary) AS summary, coalesce(i.beneficiary, c.beneficiary) AS beneficiary, i.disposition_type, i.legal_type, i.action_note, c.raw_scope_text,
+  greatest(c.confidence, {conf}) AS confidence,
+  array_to_string(CASE WHEN len(c.applies_to_matrikler) = 0 AND c.raw_scope_text IS NULL AND len(i.applies_to_matrikler) > 0 THEN i.applies_to_matrikler ELSE c.applies_to_matrikler END, ',') AS applies"""
+oracle(
+    "merge_best",
+    f"""SELECT {ENRICH.format(conf='i.confidence')} FROM canon_c c LEFT JOIN counts m ON m.case_id = c.case_id AND m.ord = c.ord
+  LEFT JOIN items_c i ON i.case_id = c.case_id AND i.ord = m.deed_ord""",
+    "canon_c",
+    "counts",
+    "items_c",
+)
+oracle(
+    "discarded_deeds",
+    "SELECT case_id, item_id FROM items_c i WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.case_id = i.case_id AND p.i_ord = i.ord)",
+    "items_c",
+    "pairs",
+)
+oracle(
+    "enrich_canonical",
+    f"""SELECT {ENRICH.format(conf='CASE WHEN i.ord IS NOT NULL THEN coalesce(nullif(i.confidence, 0), 0.5) END')}, true AS attest_confirmed
+  FROM (SELECT *, min(ord) OVER (PARTITION BY case_id, ck) AS first FROM canon_c) c LEFT JOIN best b ON b.case_id = c.case_id AND b.matched_ord = c.first
+  LEFT JOIN items_c i ON i.case_id = c.case_id AND i.ord = b.item_ord
+  UNION ALL SELECT case_id, ord, document_id, date_reference, akt_nr, title, summary, beneficiary, disposition_type, legal_type, action_note, NULL, confidence,
+   array_to_string(applies_to_matrikler, ','), false FROM orphan_rows""",
+    "canon_c",
+    "best",
+    "items_c",
+    "orphan_rows",
+)

@@ -232,3 +232,89 @@ def selection_summary(s, d):
 @query
 def scoring_totals(s, d):
     return S.scoring_totals(S.selection_summary(_selected(s, d), X.documents(s, d)))
+
+
+# ---- linkage -----------------------------------------------------------------------------------------------------
+from deedloom.operators import linkage as L  # noqa: E402
+
+
+def _resolved(s, d):
+    return L.resolve_keys(X.deed_items(s, d), X.canonicals(s, d))
+
+
+@query
+def date_components(s, d):
+    both = X.canonicals(s, d).select("servitut_id", "date_reference").unionByName(
+        X.deed_items(s, d).select(F.col("item_id").alias("servitut_id"), "date_reference")
+    )
+    return both.select("servitut_id", "date_reference", D.date_components("date_reference").alias("c")).select(
+        "servitut_id", "date_reference", "c.full_date", "c.lob_suffix", "c.year"
+    )
+
+
+@query
+def registered_at(s, d):
+    return X.deed_items(s, d).select(
+        "item_id", D.registered_at("title", "date_reference").alias("registered_at"), D.sort_date("date_reference").alias("sort_date")
+    )
+
+
+@query
+def normalize_keys(s, d):
+    return X.records(s, d).select(
+        "servitut_id", T.archive_key("akt_nr").alias("akt_key"), T.match_key("date_reference").alias("date_key"),
+        T.merge_key("title").alias("title_key"), T.blank_to_null("action_note").alias("note"),
+    )
+
+
+@query
+def canonical_years(s, d):
+    return L.year_counts(X.canonicals(s, d))
+
+
+@query
+def archive_groups(s, d):
+    return L.archive_groups(X.canonicals(s, d))
+
+
+@query
+def match_counts(s, d):
+    return L.match_counts(X.canonicals(s, d), X.deed_items(s, d))
+
+
+@query
+def resolve_keys(s, d):
+    return _resolved(s, d).select("case_id", "item_id", "matched_ord", "match_priority")
+
+
+@query
+def best_items(s, d):
+    return L.best_items(_resolved(s, d))
+
+
+@query
+def orphans(s, d):
+    return L.orphans(_resolved(s, d)).select("case_id", "ord", "orphan_key", "confidence", "attest_confirmed")
+
+
+ENRICHED = ["case_id", "ord", "source_document", "date_reference", "akt_nr", "title", "summary", "beneficiary", "disposition_type",
+            "legal_type", "action_note", "raw_scope_text", "confidence"]
+
+
+@query
+def merge_best(s, d):
+    return L.merge_best(X.canonicals(s, d), X.deed_items(s, d)).select(
+        *ENRICHED, F.array_join("applies_to_matrikler", ",").alias("applies")
+    )
+
+
+@query
+def discarded_deeds(s, d):
+    return L.discarded(X.canonicals(s, d), X.deed_items(s, d)).select("case_id", "item_id")
+
+
+@query
+def enrich_canonical(s, d):
+    return L.enrich_canonicals(X.canonicals(s, d), _resolved(s, d)).select(
+        *ENRICHED, F.array_join("applies_to_matrikler", ",").alias("applies"), "attest_confirmed"
+    )

@@ -544,3 +544,267 @@ oracle(
     "items_c",
     "orphan_rows",
 )
+
+# ---- register segments ----------------------------------------------------------------------------------------
+cte(
+    "seg_pages",
+    rf"""
+ SELECT *, row_number() OVER (PARTITION BY case_id, document_id ORDER BY page) AS p, length(text) AS ch,
+   regexp_matches(array_to_string(list_slice(string_split(text, chr(10)), 1, 12), chr(10)), '{DATE_REF}') AS st
+ FROM (SELECT case_id, document_id, page, coalesce(string_agg({strip('text')}, chr(10) ORDER BY chunk_index) FILTER ({strip('text')} <> ''), '') AS text,
+   min(chunk_index) AS c0, max(chunk_index) AS c1 FROM chunks GROUP BY 1, 2, 3)""",
+    "chunks",
+)
+cte(
+    "seg_steps",
+    """
+ SELECT case_id, document_id, p, total, CASE WHEN k >= 4 AND s4 THEN 4 WHEN k >= 3 AND s3 THEN 3 WHEN k >= 2 AND s2 THEN 2 WHEN s1 THEN 1 ELSE k END AS m
+ FROM (SELECT *, CASE WHEN a2 <= 9000 THEN CASE WHEN a3 <= 9000 THEN CASE WHEN a4 <= 9000 THEN 4 ELSE 3 END ELSE 2 END ELSE 1 END AS k FROM (
+   SELECT case_id, document_id, p, count(*) OVER (PARTITION BY case_id, document_id) AS total, ch + lead(ch, 1) OVER w AS a2, ch + lead(ch, 1) OVER w + lead(ch, 2) OVER w AS a3,
+    ch + lead(ch, 1) OVER w + lead(ch, 2) OVER w + lead(ch, 3) OVER w AS a4,
+    coalesce(lead(st, 1) OVER w, false) AS s1, coalesce(lead(st, 2) OVER w, false) AS s2, coalesce(lead(st, 3) OVER w, false) AS s3, coalesce(lead(st, 4) OVER w, false) AS s4
+   FROM seg_pages WINDOW w AS (PARTITION BY case_id, document_id ORDER BY p)))""",
+    "seg_pages",
+)
+cte(
+    "seg_walk",
+    """seg_walk(case_id, document_id, p, m, total, idx) AS (
+ SELECT case_id, document_id, p, m, total, 0 FROM seg_steps WHERE p = 1
+ UNION ALL SELECT s.case_id, s.document_id, s.p, s.m, s.total, idx + 1 FROM seg_walk w JOIN seg_steps s ON s.case_id = w.case_id AND s.document_id = w.document_id
+   AND s.p = w.p + greatest(1, w.m - 1) WHERE w.p + w.m <= w.total)""",
+    "seg_steps",
+)
+cte(
+    "segments",
+    """
+ SELECT w.case_id, w.document_id, w.document_id || '-segment-' || lpad(idx::varchar, 4, '0') AS segment_id, idx AS segment_index, list(g.page ORDER BY g.page) AS page_numbers,
+  min(c0) AS chunk_start_index, max(c1) AS chunk_end_index, string_agg('[Side ' || g.page::varchar || ']' || chr(10) || g.text, chr(10) || chr(10) ORDER BY g.page) AS text
+ FROM seg_walk w JOIN seg_pages g ON g.case_id = w.case_id AND g.document_id = w.document_id AND g.p BETWEEN w.p AND w.p + w.m - 1 GROUP BY w.case_id, w.document_id, idx""",
+    "seg_walk",
+    "seg_pages",
+)
+oracle(
+    "attest_segments",
+    f"""SELECT document_id, segment_id, segment_index, page_numbers[1] AS page_start, page_numbers[-1] AS page_end, chunk_start_index, chunk_end_index, sha256(text) AS text_hash,
+  left(list_filter(ls, lambda x: length(x) >= 4 AND lower(x) NOT IN ('tinglysningsattest', 'servitutter'))[1], 160) AS heading, left(sc[1], 240) AS raw_scope_text,
+  array_to_string(page_numbers, ',') AS page_numbers, {first10(DATE_REF)} AS dates,
+  {first10(r'\b(?:\d+\s*[A-ZÆØÅ]\s*-?\s*\d+|[A-ZÆØÅ]-\d+|\d+\s*[A-ZÆØÅ]\s*\d+)\b')} AS archives,
+  array_to_string(list_filter(pr, lambda x, i: list_position(pr, x) = i), '|') AS parcels
+ FROM (SELECT *, list_transform(regexp_extract_all(array_to_string(sc, ' '), '{PARCEL}'), lambda x: lower(x)) AS pr FROM (
+   SELECT *, list_transform(string_split(text, chr(10)), lambda x: {strip('x')}) AS ls, {SCOPE} AS sc FROM segments))""",
+    "segments",
+)
+oracle(
+    "segment_chunks",
+    "SELECT segment_id, chunk_id, page, chunk_index FROM (SELECT *, unnest(page_numbers) AS page FROM segments) s JOIN chunks c USING (case_id, document_id, page)",
+    "segments",
+    "chunks",
+)
+cte(
+    "signatures",
+    """
+ SELECT case_id, document_id, sha256(string_agg(h, chr(10) ORDER BY bb)) AS source_signature FROM (
+  SELECT case_id, document_id, b // 512 AS bb, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM (
+   SELECT case_id, document_id, chunk_index // 512 AS b, sha256(string_agg(sha256(page::varchar || ':' || chunk_index::varchar || ':' || text), chr(10) ORDER BY page, chunk_index)) AS h
+   FROM chunks GROUP BY 1, 2, 3) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "chunks",
+)
+oracle("source_signature", "SELECT * FROM signatures", "signatures")
+NUM = "regexp_extract(document_id, '(\\d+)', 1)::int"
+oracle(
+    "reusable_state",
+    f"SELECT case_id, document_id, {NUM} % 7 <> 0 AND {NUM} % 5 <> 0 AND {NUM} % 4 NOT IN (0, 3) AS reused FROM signatures",
+    "signatures",
+)
+cte(
+    "seg_state",
+    f"""SELECT case_id, document_id, page_number AS segment_index, CASE WHEN n % 13 = 0 THEN 'failed' WHEN n % 4 = 0 THEN 'pending' ELSE 'completed' END AS status,
+  n % 3 AS records, CASE WHEN n % 5 = 0 THEN 8000 WHEN n % 6 = 0 THEN NULL ELSE 16000 END AS budget FROM (SELECT *, {NUM} + page_number AS n FROM raw_pages)""",
+    "raw_pages",
+)
+oracle(
+    "segment_rework",
+    """SELECT document_id, segment_index, CASE WHEN status <> 'completed' THEN 'pending' WHEN budget < 16000 THEN 'token-budget hævet' ELSE '0 servitutter tidligere' END AS reason
+  FROM seg_state WHERE status <> 'completed' OR records = 0 OR coalesce(budget < 16000, false)""",
+    "seg_state",
+)
+oracle(
+    "completeness_gate",
+    "SELECT case_id, document_id, count(*) FILTER (status = 'failed') AS failed_segments, count(*) AS total_segments FROM seg_state GROUP BY 1, 2",
+    "seg_state",
+)
+oracle(
+    "rejected_cases",
+    """SELECT case_id, count(*) AS incomplete_documents, sum(f) AS failed_segments FROM (SELECT case_id, document_id, count(*) FILTER (status = 'failed') AS f FROM seg_state GROUP BY 1, 2)
+  WHERE f > 0 GROUP BY 1""",
+    "seg_state",
+)
+cte(
+    "artifact_files",
+    """SELECT case_id, doc_id, max(t) FILTER (i = 0) AS pdf, max(t) FILTER (i = 1) AS ocr, max(t) FILTER (i = 2) AS pages, max(t) FILTER (i = 3) AS chunks
+ FROM (SELECT case_id, doc_id, i, modified_at + to_minutes(((doc_id * (i + 1)) % 7)::int) AS t FROM file_manifest CROSS JOIN range(4) r(i) WHERE doc_id % 8 <> i + 4) GROUP BY 1, 2""",
+    "file_manifest",
+)
+oracle(
+    "artifact_stale",
+    """SELECT case_id, 'doc-' || doc_id::varchar AS document_id, unnest(['ocr', 'pages', 'chunks']) AS artifact,
+  unnest([NOT coalesce(ocr >= pdf, false), NOT coalesce(pages >= pdf AND pages >= ocr, false), NOT coalesce(chunks >= pages, false)]) AS stale FROM artifact_files""",
+    "artifact_files",
+)
+
+# ---- answers --------------------------------------------------------------------------------------------------
+# which wrapping the generator used decides what a reader must find
+cte(
+    "answer_items",
+    """
+ SELECT a.*, d.doc_id, d.source, unnest(range(CASE doc_id % 8 WHEN 0 THEN 2 WHEN 5 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 3 ELSE 1 END)) AS pos
+ FROM answers a JOIN documents d ON a.document_id = 'doc-' || d.doc_id::varchar""",
+    "answers",
+)
+oracle(
+    "json_salvage",
+    """SELECT document_id, CASE doc_id % 8 WHEN 0 THEN CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 2 END WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 3
+     WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 3 END AS candidates,
+  CASE doc_id % 8 WHEN 0 THEN 2 WHEN 5 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 3 ELSE 1 END AS items
+ FROM answers a JOIN documents d ON a.document_id = 'doc-' || d.doc_id::varchar""",
+    "answers",
+)
+oracle(
+    "json_records",
+    """SELECT document_id, pos::int AS priority, 'srv-' || substr(sha256(case_id || '|' || document_id || '|' || pos::varchar), 1, 8) AS servitut_id,
+  (doc_id % 9 + 1)::varchar || '.2.19' || (50 + doc_id % 40)::varchar AS date_reference,
+  CASE WHEN doc_id % 3 = 0 THEN DATE '1968-05-01' ELSE make_date(1950 + doc_id % 40, 2, doc_id % 9 + 1) END AS registered_at,
+  CASE WHEN doc_id % 4 <> 1 THEN '40 F ' || (doc_id % 13)::varchar END AS akt_nr,
+  replace(source, 'src', CASE WHEN doc_id % 8 = 0 AND pos = 1 THEN 'Anden ' ELSE 'Titel ' END) AS title,
+  CASE WHEN case_id LIKE '%0' THEN 'attest' ELSE 'akt' END AS scope_source,
+  CASE doc_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 ELSE 0.25 END AS confidence,
+  CASE doc_id % 3 WHEN 0 THEN '1a|2b' WHEN 1 THEN '7c' ELSE '' END AS applies, CASE doc_id % 3 WHEN 0 THEN '1a|2b' WHEN 1 THEN '7c' ELSE '' END AS raw FROM answer_items""",
+    "answer_items",
+)
+oracle(
+    "chat_content",
+    f"""SELECT conv_id, turn, content, CASE WHEN content IS NULL THEN 'empty response' END AS error FROM (
+  SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN nullif({strip('text')}, '') ELSE {strip("CASE WHEN text = '' THEN 'slut ' ELSE text || chr(10) || 'slut ' END")} END AS content FROM conversations)""",
+)
+oracle(
+    "answer_join",
+    """SELECT document_id, CASE WHEN length(response_text) % 3 > 0 THEN response_text END AS response_text,
+  CASE WHEN length(response_text) % 3 > 0 THEN NULL ELSE 'no response' END AS error FROM answers""",
+    "answers",
+)
+cte("parcels", "")
+cte(
+    "parcels",
+    rf"""
+ SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY case_id, parcel_key ORDER BY pos, i) AS rn FROM (
+  SELECT case_id, pos, i, lower(num) AS matrikelnummer, {pkey('num')} AS parcel_key, trim(regexp_replace(district, '[{BLANK}]+', ' ', 'g')) AS landsejerlav, area::int AS areal_m2 FROM (
+   SELECT case_id, pos, unnest(regexp_extract_all(t, '{{P}}', 1)) AS district, unnest(regexp_extract_all(t, '{{P}}', 2)) AS num, unnest(regexp_extract_all(t, '{{P}}', 3)) AS area,
+     generate_subscripts(regexp_extract_all(t, '{{P}}', 1), 1) - 1 AS i
+   FROM (SELECT d.case_id, d.pos, string_agg(text, chr(10) ORDER BY page_number) AS t FROM documents_meta d JOIN (SELECT *, row_number() OVER (PARTITION BY case_id, document_id ORDER BY page_number) AS r FROM clean_pages) p
+     ON p.case_id = d.case_id AND p.document_id = d.document_id AND r <= 2 WHERE document_type = 'tinglysningsattest' GROUP BY 1, 2)))) WHERE rn = 1""".replace(
+        "{P}", r"(?is)Landsejerlav:\s*(.+?)\s*Matrikelnummer:\s*([0-9A-Za-z]+)\s*Areal:\s*([0-9]+)\s*m2"
+    ),
+    "documents_meta",
+    "clean_pages",
+)
+cte(
+    "prompts",
+    f"""
+ SELECT c.case_id, c.document_id, 'Register:' || chr(10) || j || chr(10) || 'Parceller: [' || coalesce(pj, '') || ']' || chr(10) || 'Kilde: ' || m.filename || chr(10) || chr(10) || ct || chr(10) AS prompt
+ FROM (SELECT case_id, document_id, string_agg('[Dok: ' || document_id || ' | Side ' || page::varchar || ' | Chunk ' || chunk_index::varchar || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index) AS ct
+       FROM chunks JOIN (SELECT case_id, document_id, chunk_index FROM selection WHERE selected) USING (case_id, document_id, chunk_index) GROUP BY 1, 2) c
+ JOIN documents_meta m USING (case_id, document_id)
+ JOIN (SELECT case_id, '[' || chr(10) || string_agg('  {{' || chr(10) || '    "date_reference": ' || coalesce(to_json(date_reference)::varchar, 'null') || ',' || chr(10) || '    "akt_nr": ' || coalesce(to_json(akt_nr)::varchar, 'null') ||
+         ',' || chr(10) || '    "title": ' || coalesce(to_json(title)::varchar, 'null') || chr(10) || '  }}', ',' || chr(10) ORDER BY ord) || chr(10) || ']' AS j FROM canonicals GROUP BY 1) k ON k.case_id = c.case_id
+ LEFT JOIN (SELECT case_id, string_agg('"' || matrikelnummer || '"', ', ' ORDER BY pos, i) AS pj FROM parcels GROUP BY 1) p ON p.case_id = c.case_id""",
+    "chunks",
+    "selection",
+    "documents_meta",
+    "canonicals",
+    "parcels",
+)
+oracle(
+    "prompt_text",
+    "SELECT case_id, document_id, sha256(prompt) AS prompt_hash, length(prompt) AS chars, 4096 AS max_tokens, NULL::varchar AS error FROM prompts",
+    "prompts",
+)
+oracle(
+    "report_input_json",
+    f"SELECT servitut_id, {SORT_DATE} AS sort_date, title, registered_at::varchar AS registered_at, applies::varchar AS applies FROM report_inputs",
+    "report_inputs",
+)
+oracle(
+    "prompt_settings",
+    """SELECT document_id, CASE WHEN document_type = 'akt' THEN 4096 ELSE 16000 END AS max_tokens, CASE WHEN document_type = 'akt' THEN 'akt' ELSE 'attest' END AS scope_source,
+  coalesce(trim(requested_type), 'standard') AS model, document_type AS kept_type FROM documents_meta""",
+    "documents_meta",
+)
+
+# ---- evidence -------------------------------------------------------------------------------------------------
+cte("first_ev", "SELECT case_id, document_id, chunk_index AS pos, chunk_id, page, left(text, 300) AS text_excerpt FROM chunks WHERE chunk_index < 3", "chunks")
+oracle("first_evidence", "SELECT document_id, pos, chunk_id, page, text_excerpt FROM first_ev", "first_ev")
+oracle(
+    "evidence_pick",
+    f"""SELECT item_ord, chunk_index, chunk_id, page, anyhit AS named FROM (SELECT *, row_number() OVER (PARTITION BY case_id, item_ord ORDER BY chunk_index) AS rn FROM (
+   SELECT *, bool_or(hit) OVER (PARTITION BY case_id, item_ord) AS anyhit FROM (
+    SELECT i.case_id, i.ord AS item_ord, c.chunk_index, c.chunk_id, c.page,
+      coalesce(contains({akey('c.text')}, nullif({akey('i.date_reference')}, '')), false) OR coalesce(contains({akey('c.text')}, i.ak), false) AS hit
+    FROM items_c i JOIN chunks c ON c.case_id = i.case_id AND c.document_id = i.document_id
+    JOIN selection s ON s.case_id = c.case_id AND s.document_id = c.document_id AND s.chunk_index = c.chunk_index AND s.selected)) WHERE hit OR NOT anyhit) WHERE rn <= 3""",
+    "items_c",
+    "chunks",
+    "selection",
+)
+oracle(
+    "rag_top_k",
+    r"""SELECT case_id, servitut_id, document_id, chunk_index, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY servitut_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM (
+   SELECT r.case_id, r.servitut_id, c.document_id, c.chunk_index, len(list_filter(r.words, lambda x: contains(lower(c.text), x))) / len(r.words) AS score
+   FROM (SELECT *, list_distinct(regexp_extract_all(lower(concat_ws(' ', nullif(title, ''), summary, beneficiary)), '[\p{L}\p{N}_]{3,}')) AS words,
+           CASE WHEN ord % 8 = 0 THEN 'doc-x' ELSE source_document END AS src FROM canonicals) r
+   JOIN chunks c ON c.case_id = r.case_id AND (c.document_id = r.src OR NOT EXISTS (SELECT 1 FROM chunks e WHERE e.case_id = r.case_id AND e.document_id = r.src))
+   WHERE len(r.words) > 0) WHERE score > 0) WHERE rank <= 5""",
+    "canonicals",
+    "chunks",
+)
+oracle(
+    "evidence_lineage",
+    """SELECT servitut_id, pos, e.chunk_id, e.page, length(c.text) AS chunk_chars, least(length(p.text), 1500) AS page_chars, p.confidence AS page_confidence
+ FROM canonicals r JOIN first_ev e ON e.case_id = r.case_id AND e.document_id = r.source_document
+ LEFT JOIN chunks c ON c.document_id = e.document_id AND c.chunk_id = e.chunk_id LEFT JOIN quality_pages p ON p.document_id = e.document_id AND p.page_number = e.page""",
+    "canonicals",
+    "first_ev",
+    "chunks",
+    "quality_pages",
+)
+
+# ---- parcels --------------------------------------------------------------------------------------------------
+oracle(
+    "parcel_normalize",
+    f"SELECT servitut_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') AS parcels FROM (SELECT servitut_id, {pkeys('applies_to_matrikler')} AS a FROM records)",
+    "records",
+)
+oracle("parcel_parse", "SELECT case_id, parcel_key, matrikelnummer, landsejerlav, areal_m2 FROM parcels", "parcels")
+oracle("target_scope", "SELECT servitut_id, applies AS applies_to_target_matrikel FROM scoped", "scoped")
+oracle("matching_targets", "SELECT servitut_id, array_to_string(matching, ' og ') AS targets FROM scoped", "scoped")
+cte(
+    "target_cases",
+    "SELECT DISTINCT case_id, CASE WHEN case_id LIKE '%n-0' THEN '00003 A' WHEN case_id LIKE '%0' THEN '9x' END AS target_matrikel FROM documents_meta",
+    "documents_meta",
+)
+oracle(
+    "target_sync",
+    f"""SELECT c.case_id, coalesce(p.matrikelnummer, f.m, c.target_matrikel) AS target_matrikel FROM target_cases c
+  LEFT JOIN parcels p ON p.case_id = c.case_id AND p.parcel_key = {pkey('c.target_matrikel')}
+  LEFT JOIN (SELECT case_id, arg_min(matrikelnummer, (pos, i)) AS m FROM parcels GROUP BY 1) f ON f.case_id = c.case_id""",
+    "target_cases",
+    "parcels",
+)
+oracle(
+    "target_update",
+    """SELECT c.case_id, CASE WHEN c.case_id LIKE '%r-0' THEN CASE WHEN h.case_id IS NULL THEN '44q' ELSE c.target_matrikel END
+   ELSE CASE WHEN p.matrikelnummer IS NOT NULL THEN p.matrikelnummer WHEN h.case_id IS NULL THEN '0005a' ELSE c.target_matrikel END END AS target_matrikel
+  FROM target_cases c LEFT JOIN parcels p ON p.case_id = c.case_id AND p.parcel_key = '5a' LEFT JOIN (SELECT DISTINCT case_id FROM parcels) h ON h.case_id = c.case_id""",
+    "target_cases",
+    "parcels",
+)

@@ -318,3 +318,279 @@ def enrich_canonical(s, d):
     return L.enrich_canonicals(X.canonicals(s, d), _resolved(s, d)).select(
         *ENRICHED, F.array_join("applies_to_matrikler", ",").alias("applies"), "attest_confirmed"
     )
+
+
+# ---- register segments --------------------------------------------------------------------------------------------
+from deedloom.operators import answers as A, folds as FO, retrieve as RT, scope as SC, segments as G  # noqa: E402
+
+
+@query
+def attest_segments(s, d):
+    g = G.build_segments(_chunks(s, d))
+    return g.select(
+        "document_id", "segment_id", "segment_index", "page_start", "page_end", "chunk_start_index", "chunk_end_index", "text_hash",
+        "heading", "raw_scope_text", F.array_join("page_numbers", ",").alias("page_numbers"),
+        F.array_join("candidate_date_references", "|").alias("dates"), F.array_join("candidate_archive_numbers", "|").alias("archives"),
+        F.array_join("raw_matrikel_references", "|").alias("parcels"),
+    )
+
+
+@query
+def segment_chunks(s, d):
+    c = _chunks(s, d)
+    return G.segment_chunks(G.build_segments(c), c).select("segment_id", "chunk_id", "page", "chunk_index")
+
+
+@query
+def source_signature(s, d):
+    return G.source_signature(_chunks(s, d))
+
+
+@query
+def reusable_state(s, d):
+    sig = materialize(G.source_signature(_chunks(s, d)))
+    n = F.regexp_extract("document_id", r"([0-9]+)", 1).cast("int")
+    stored = sig.select(
+        "case_id", "document_id", F.when(n % 7 == 0, 2).otherwise(1).alias("version"),
+        F.when(n % 5 == 0, F.lit("old")).otherwise(F.col("source_signature")).alias("source_signature"), (n % 4).alias("segment_count"),
+    )
+    return G.reusable_state(sig, stored.where("segment_count <> 3")).select("case_id", "document_id", "reused")
+
+
+def _segment_state(s, d):
+    """Extraction state per page window, derived from the documents."""
+    pages = X.raw_pages(s, d).withColumn("n", F.regexp_extract("document_id", r"([0-9]+)", 1).cast("int") + F.col("page_number"))
+    return pages.select(
+        "case_id", "document_id", F.col("page_number").alias("segment_index"),
+        F.when(F.col("n") % 13 == 0, "failed").when(F.col("n") % 4 == 0, "pending").otherwise("completed").alias("extraction_status"),
+        (F.col("n") % 3).alias("record_count"),
+        F.when(F.col("n") % 5 == 0, 8000).when(F.col("n") % 6 == 0, F.lit(None).cast("int")).otherwise(16000).alias("extraction_max_tokens"),
+    )
+
+
+@query
+def segment_rework(s, d):
+    return G.segments_to_extract(_segment_state(s, d)).select("document_id", "segment_index", "reason")
+
+
+@query
+def completeness_gate(s, d):
+    return G.completeness(_segment_state(s, d))[0]
+
+
+@query
+def rejected_cases(s, d):
+    return G.completeness(_segment_state(s, d))[1]
+
+
+@query
+def artifact_stale(s, d):
+    m = X.file_manifest(s, d)
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("i")) for i, k in enumerate(["pdf", "ocr", "pages", "chunks"])]))
+    files = m.select("case_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), "doc_id", "modified_at", kinds.alias("k"))
+    files = files.where("doc_id % 8 <> k.i + 4").select(
+        "case_id", "document_id", "k.kind",
+        F.expr("modified_at + make_dt_interval(0, 0, cast((doc_id * (k.i + 1)) % 7 as int))").alias("modified_at"),
+    )
+    return G.stale_artifacts(files, [("ocr", ["pdf"]), ("pages", ["pdf", "ocr"]), ("chunks", ["pages"])])
+
+
+def _merge_inputs(s, d):
+    a = X.canonicals(s, d).select("case_id", "ord", "source_document", "date_reference", "akt_nr", "title", "applies_to_matrikler", "raw_scope_text", "confidence")
+    b = X.deed_items(s, d).select(
+        "case_id", "ord", F.col("document_id").alias("source_document"), "date_reference", "akt_nr", "title", "applies_to_matrikler",
+        F.col("summary").alias("raw_scope_text"), "confidence",
+    )
+    r = a.unionByName(b).withColumns(
+        {"registered_at": D.registered_at(F.lit(None).cast("string"), "date_reference"), "scope_source": F.lit(None).cast("string"),
+         "source_document": F.concat(F.lit("doc-"), (F.col("ord") % 3).cast("string")), "title": F.left("title", F.lit(6))}
+    )
+    ev = r.select(
+        "case_id", "ord", F.posexplode(F.array((F.col("ord") % 7 + 1).cast("int"), (F.col("ord") % 9 + 2).cast("int"))).alias("pos", "page"), "source_document", "title"
+    ).select("case_id", "ord", "pos", "page", F.lit("c").alias("chunk_id"), F.col("source_document").alias("document_id"), F.col("title").alias("text_excerpt"))
+    return materialize(r), materialize(ev)
+
+
+@query
+def merge_attest(s, d):
+    """Clusters of register records (checked against the sequential rule in the tests)."""
+    r, ev = _merge_inputs(s, d)
+    merged, _ = FO.merge_register(r, ev, ["case_id"])
+    return merged.withColumn("applies_to_matrikler", F.array_join("applies_to_matrikler", ","))
+
+
+@query
+def merged_evidence(s, d):
+    r, ev = _merge_inputs(s, d)
+    return FO.merge_register(r, ev, ["case_id"])[1].drop("pos")
+
+
+@query
+def dedup_deeds(s, d):
+    """Star clusters of all records (checked against the sequential rule in the tests)."""
+    r = X.records(s, d).withColumn("ord", F.xxhash64("servitut_id"))
+    return FO.dedup_deeds(r).select("case_id", "servitut_id", "date_reference", "group_size")
+
+
+# ---- answers ------------------------------------------------------------------------------------------------------
+@query
+def json_salvage(s, d):
+    from deedloom.functions import jsonx as J
+
+    return X.answers(s, d).select("document_id", F.size(J.candidates("response_text")).alias("candidates"), F.size(J.answer_items("response_text")).alias("items"))
+
+
+@query
+def json_records(s, d):
+    a = X.answers(s, d).withColumn("source_type", F.when(F.col("case_id").endswith("0"), "tinglysningsattest").otherwise("akt"))
+    r = A.records_from_answers(a)
+    return r.select(
+        "document_id", "priority", "servitut_id", "date_reference", "registered_at", "akt_nr", "title", "scope_source", "confidence",
+        F.array_join("applies_to_matrikler", "|").alias("applies"), F.array_join("raw_matrikel_references", "|").alias("raw"),
+    )
+
+
+@query
+def report_answers(s, d):
+    """Report entries parsed from answers and completed from the records by id or date."""
+    inputs = R.report_inputs(X.records(s, d), X.record_cases(s, d), AS_OF)
+    keyed = inputs.select("case_id", "servitut_id", "date_reference", "title")
+    n = F.crc32(F.encode("servitut_id", "utf-8"))
+    entry = F.to_json(
+        F.struct(
+            F.when(n % 3 == 0, F.lit("ukendt")).otherwise(F.col("servitut_id")).alias("servitut_id"), F.col("date_reference"),
+            F.when(n % 2 == 0, F.lit(" - ")).otherwise(F.lit("Tekst")).alias("description"),
+            F.when(n % 5 == 0, F.lit("Ja")).otherwise(F.lit("Nej")).alias("scope"), F.when(n % 7 == 0, F.lit(True)).alias("relevant_for_project"),
+        )
+    )
+    answers = keyed.select("case_id", F.concat(F.lit('```json\n{"notes": "n", "entries": ['), entry, F.lit("]}\n```")).alias("response_text"))
+    entries, _ = A.report_payload(answers)
+    done = R.answered_entries(entries.drop("answer_nr"), inputs, X.register_documents(s, d))
+    return done.select("case_id", "servitut_id", "date_reference", "description", "action", "scope", "relevant_for_project", "raw_text")
+
+
+@query
+def chat_content(s, d):
+    from deedloom.functions import jsonx as J
+
+    c = X.table(s, d, "conversations").withColumn("q", J.quoted(F.col("text")))
+    resp = (
+        F.when(F.col("conv_id") % 4 == 0, F.lit('{"choices": []}'))
+        .when(F.col("conv_id") % 4 == 1, F.concat(F.lit('{"choices": [{"message": {"content": '), F.col("q"), F.lit("}}]}")))
+        .otherwise(F.concat(F.lit('{"choices": [{"message": {"content": [{"type": "text", "text": '), F.col("q"),
+                            F.lit('}, {"type": "image"}, {"type": "text", "text": ""}, {"type": "text", "text": "slut "}]}}]}')))
+    )
+    return c.select("conv_id", "turn", J.chat_text(resp).alias("content")).withColumn(
+        "error", F.when(F.col("content").isNull(), F.lit("empty response"))
+    )
+
+
+TEMPLATE = "Register:\n{canonical_json}\nParceller: {all_matrikler_json}\nKilde: {akt_dok_hint}\n\n{chunks_text}\n"
+
+
+def _prompts(s, d):
+    c = _chunks(s, d)
+    chosen = S.score_and_select(c, X.canonicals(s, d)).where("selected").select(*S.CHUNK)
+    parcels = SC.parse_parcels(_pages(s, d), X.documents(s, d)).groupBy("case_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "i", "matrikelnummer"))).alias("l")
+    ).select("case_id", F.transform("l", lambda x: x["matrikelnummer"]).alias("all_matrikler"))
+    return A.deed_prompts(c.join(chosen, list(S.CHUNK), "left_semi"), X.canonicals(s, d), X.documents(s, d), parcels, TEMPLATE)
+
+
+@query
+def prompt_text(s, d):
+    return _prompts(s, d).select("case_id", "document_id", "prompt_hash", F.length("prompt").alias("chars"), "max_tokens", "error")
+
+
+@query
+def answer_join(s, d):
+    base = X.answers(s, d)
+    prompts = base.select("case_id", "document_id", F.concat(F.lit("Læs "), F.col("document_id")).alias("prompt")).withColumn("prompt_hash", F.sha2("prompt", 256))
+    stored = base.where("length(response_text) % 3 > 0").select(
+        F.sha2(F.concat(F.lit("Læs "), F.col("document_id")), 256).alias("prompt_hash"), "response_text"
+    )
+    return A.answer(prompts, stored).select("document_id", "response_text", "error")
+
+
+@query
+def report_input_json(s, d):
+    j = A.report_input_json(R.report_inputs(X.records(s, d), X.record_cases(s, d), AS_OF))
+    return j.select("servitut_id", "sort_date", F.get_json_object("json", "$.title").alias("title"), F.get_json_object("json", "$.registered_at").alias("registered_at"),
+                    F.get_json_object("json", "$.applies_to_target_matrikel").alias("applies"))
+
+
+@query
+def prompt_settings(s, d):
+    docs = X.documents(s, d)
+    return docs.select(
+        "document_id", A.token_budget("document_type").alias("max_tokens"), A.scope_source("document_type").alias("scope_source"),
+        A.resolved_setting(F.col("requested_type"), F.lit("  "), F.lit("standard")).alias("model"), P.known_type("document_type").alias("kept_type"),
+    )
+
+
+# ---- evidence -----------------------------------------------------------------------------------------------------
+@query
+def first_evidence(s, d):
+    e = A.first_evidence(_chunks(s, d))
+    return e.select("document_id", F.posexplode("evidence").alias("pos", "e")).select("document_id", "pos", "e.chunk_id", "e.page", "e.text_excerpt")
+
+
+@query
+def evidence_pick(s, d):
+    c = _chunks(s, d)
+    chosen = S.score_and_select(c, X.canonicals(s, d)).where("selected").select(*S.CHUNK)
+    return RT.evidence_pick(X.deed_items(s, d), c.join(chosen, list(S.CHUNK), "left_semi")).select("item_ord", "chunk_index", "chunk_id", "page", "named")
+
+
+@query
+def rag_top_k(s, d):
+    r = X.canonicals(s, d).withColumn("source_document", F.when(F.col("ord") % 8 == 0, F.lit("doc-x")).otherwise(F.col("source_document")))
+    return RT.keyword_top_k(r, _chunks(s, d))
+
+
+@query
+def evidence_lineage(s, d):
+    pages, c = _pages(s, d), _chunks(s, d)
+    ev = A.first_evidence(c)
+    r = X.canonicals(s, d).withColumn("document_id", F.col("source_document")).join(ev, ["case_id", "document_id"])
+    return RT.trace_evidence(r, c, pages).select(
+        "servitut_id", "pos", "chunk_id", "page", F.length("chunk_text").alias("chunk_chars"), F.length("page_text").alias("page_chars"), "page_confidence"
+    )
+
+
+# ---- parcels ------------------------------------------------------------------------------------------------------
+@query
+def parcel_normalize(s, d):
+    return X.records(s, d).select("servitut_id", F.array_join(PC.parcel_keys("applies_to_matrikler"), ",").alias("parcels"))
+
+
+@query
+def parcel_parse(s, d):
+    return SC.parse_parcels(_pages(s, d), X.documents(s, d)).select("case_id", "parcel_key", "matrikelnummer", "landsejerlav", "areal_m2")
+
+
+@query
+def target_scope(s, d):
+    return R.annotate_scope(X.records(s, d), X.record_cases(s, d)).select("servitut_id", "applies_to_target_matrikel")
+
+
+@query
+def matching_targets(s, d):
+    return R.annotate_scope(X.records(s, d), X.record_cases(s, d)).select("servitut_id", F.array_join("matching_targets", " og ").alias("targets"))
+
+
+def _target_cases(s, d):
+    return X.documents(s, d).select("case_id").distinct().select(
+        "case_id", F.when(F.col("case_id").endswith("n-0"), "00003 A").when(F.col("case_id").endswith("0"), "9x").otherwise(F.lit(None).cast("string")).alias("target_matrikel")
+    )
+
+
+@query
+def target_sync(s, d):
+    return SC.sync_targets(_target_cases(s, d), SC.parse_parcels(_pages(s, d), X.documents(s, d)))
+
+
+@query
+def target_update(s, d):
+    wishes = X.documents(s, d).select("case_id").distinct().select("case_id", F.when(F.col("case_id").endswith("r-0"), "44q").otherwise("0005a ").alias("matrikelnummer"))
+    return SC.choose_targets(_target_cases(s, d), wishes, SC.parse_parcels(_pages(s, d), X.documents(s, d)))

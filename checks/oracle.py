@@ -661,12 +661,13 @@ cte(
  FROM answers a JOIN documents d ON a.document_id = 'doc-' || d.doc_id::varchar""",
     "answers",
 )
+FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 oracle(
     "json_salvage",
-    """SELECT document_id, CASE doc_id % 8 WHEN 0 THEN CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 2 END WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 3
-     WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 3 END AS candidates,
+    f"""SELECT document_id, len(list_distinct(list_filter([t] || list_transform(regexp_extract_all(t, '{FENCE}', 1), lambda x: {strip('x')}) || [regexp_extract(t, '(?s)\\[.*\\]'), regexp_extract(t, '(?s)\\{{.*\\}}')],
+     lambda x: x <> ''))) AS candidates,
   CASE doc_id % 8 WHEN 0 THEN 2 WHEN 5 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 3 ELSE 1 END AS items
- FROM answers a JOIN documents d ON a.document_id = 'doc-' || d.doc_id::varchar""",
+ FROM (SELECT document_id, {strip('response_text')} AS t FROM answers) a JOIN documents d ON a.document_id = 'doc-' || d.doc_id::varchar""",
     "answers",
 )
 oracle(
@@ -681,6 +682,16 @@ oracle(
   CASE doc_id % 3 WHEN 0 THEN '1a|2b' WHEN 1 THEN '7c' ELSE '' END AS applies, CASE doc_id % 3 WHEN 0 THEN '1a|2b' WHEN 1 THEN '7c' ELSE '' END AS raw FROM answer_items""",
     "answer_items",
 )
+oracle(
+    "report_answers",
+    f"""SELECT i.case_id, CASE WHEN n % 3 = 0 THEN 'ukendt' ELSE i.servitut_id END AS servitut_id, i.date_reference,
+   CASE WHEN n % 2 = 1 THEN 'Tekst' WHEN n % 3 = 0 AND i.date_reference IS NULL THEN ' - ' WHEN i.title IS NULL OR i.title = '' THEN ' - ' ELSE {lit(fixed.TEXT_NO_DEED_PREFIX)} || i.title END AS description,
+   {lit(fixed.TEXT_LOOK_UP)} AS action, CASE WHEN n % 5 = 0 THEN 'Ja' ELSE 'Nej' END AS scope, n % 7 = 0 OR n % 5 = 0 AS relevant_for_project,
+   CASE WHEN n % 3 = 0 AND i.date_reference IS NULL THEN NULL ELSE e.raw_text END AS raw_text
+ FROM (SELECT *, split_part(servitut_id, '-', 2)::int AS n FROM report_inputs) i JOIN report_entries e ON e.case_id = i.case_id AND e.servitut_id = i.servitut_id""",
+    "report_inputs",
+    "report_entries",
+)
 oracle(
     "chat_content",
     f"""SELECT conv_id, turn, content, CASE WHEN content IS NULL THEN 'empty response' END AS error FROM (
@@ -692,7 +703,6 @@ oracle(
   CASE WHEN length(response_text) % 3 > 0 THEN NULL ELSE 'no response' END AS error FROM answers""",
     "answers",
 )
-cte("parcels", "")
 cte(
     "parcels",
     rf"""
@@ -808,3 +818,179 @@ oracle(
     "target_cases",
     "parcels",
 )
+
+# ---- ranges, imports, store, stats ------------------------------------------------------------------------------
+oracle(
+    "page_ranges_suggest",
+    """SELECT document_id, (i + 1) AS part, i * 3 + 1 AS start_page, least(i * 3 + 3, page_count) AS end_page,
+   (i * 3 + 1)::varchar || '-' || least(i * 3 + 3, page_count)::varchar || ' | Del ' || (i + 1)::varchar AS line
+ FROM (SELECT *, unnest(range((page_count + 2) // 3)) AS i FROM documents_meta)""",
+    "documents_meta",
+)
+# every spec has few lines, so the expected outcome is written out per kind
+cte(
+    "spec_lines",
+    """SELECT document_id, page_count + 5 AS total, pos % 5 AS kind, unnest(CASE pos % 5 WHEN 0 THEN [1, 3, 4] WHEN 1 THEN [1, 2, 3] WHEN 2 THEN [1, 2, 3] ELSE [1, 2] END) AS line_number FROM documents_meta""",
+    "documents_meta",
+)
+cte(
+    "ranges",
+    """
+ SELECT document_id, line_number,
+  CASE kind WHEN 0 THEN CASE line_number WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 4 END WHEN 1 THEN CASE line_number WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 6 END
+    WHEN 2 THEN CASE line_number WHEN 1 THEN NULL WHEN 2 THEN 2 ELSE 0 END WHEN 3 THEN CASE line_number WHEN 1 THEN 2 ELSE 1 END ELSE CASE line_number WHEN 1 THEN NULL ELSE 1 END END AS start_page,
+  CASE kind WHEN 0 THEN CASE line_number WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 6 END WHEN 1 THEN CASE line_number WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 6 END
+    WHEN 2 THEN CASE line_number WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END WHEN 3 THEN CASE line_number WHEN 1 THEN total + 1 ELSE 1 END ELSE CASE line_number WHEN 1 THEN NULL ELSE 1 END END AS end_page,
+  CASE WHEN kind = 0 AND line_number = 1 THEN 'Attest' WHEN kind = 0 AND line_number = 4 THEN 'Akt 2' WHEN kind = 4 AND line_number = 1 THEN 'etiket' WHEN kind = 4 THEN 'A/B: c' END AS label,
+  CASE WHEN kind = 1 AND line_number = 2 THEN 'Sideintervaller må ikke overlappe' WHEN kind = 2 AND line_number = 1 THEN 'Linje 1: ugyldigt sideinterval ''x-3'''
+    WHEN kind = 2 AND line_number = 2 THEN 'Linje 2: startside må ikke være større end slutside' WHEN kind = 2 THEN 'Linje 3: sidetal skal starte ved 1'
+    WHEN kind = 3 AND line_number = 1 THEN 'Linje 1: side ' || (total + 1)::varchar || ' findes ikke i PDF''en (' || total::varchar || ' sider)'
+    WHEN kind = 4 AND line_number = 1 THEN 'Linje 1: mangler sideinterval'
+    WHEN kind = 0 AND line_number = 4 AND total < 6 THEN 'Linje 4: side 6 findes ikke i PDF''en (' || total::varchar || ' sider)' END AS error
+ FROM spec_lines""",
+    "spec_lines",
+)
+oracle("page_ranges_parse", "SELECT * FROM ranges", "ranges")
+oracle(
+    "page_parts",
+    """SELECT p.document_id, p.page_number, r.part, r.document_id || '_' || CASE label WHEN 'Attest' THEN 'Attest' WHEN 'Akt 2' THEN 'Akt_2' WHEN 'A/B: c' THEN 'A-B-_c'
+   ELSE 'del-' || lpad(part::varchar, 2, '0') || '_p' || start_page::varchar || '-' || end_page::varchar END || '.pdf' AS part_file
+ FROM raw_pages p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_number) AS part FROM ranges WHERE error IS NULL) r
+  ON r.document_id = p.document_id AND p.page_number BETWEEN r.start_page AND r.end_page""",
+    "raw_pages",
+    "ranges",
+)
+cte(
+    "audit",
+    """
+ SELECT case_id, name, content_hash, CASE WHEN modified_at <= TIMESTAMP '2024-01-01 01:00:00' THEN 'skipped_old' WHEN known THEN 'skipped_existing'
+   WHEN row_number() OVER (PARTITION BY case_id, content_hash, modified_at <= TIMESTAMP '2024-01-01 01:00:00' ORDER BY name) > 1 THEN 'skipped_batch' ELSE 'imported' END AS outcome
+ FROM (SELECT case_id, name, modified_at, sha256(content) AS content_hash, EXISTS (SELECT 1 FROM file_manifest k WHERE k.case_id = f.case_id AND k.doc_id % 23 = 0 AND k.content = f.content) AS known
+   FROM file_manifest f WHERE lower(name) LIKE '%.pdf')""",
+    "file_manifest",
+)
+oracle("import_audit", "SELECT case_id, name, content_hash, outcome FROM audit", "audit")
+oracle("import_counts", "SELECT case_id, outcome, count(*) AS files FROM audit GROUP BY 1, 2", "audit")
+oracle(
+    "clean_names",
+    rf"""SELECT page_id, coalesce(nullif({strip("regexp_replace(url, '[<>:" + '"' + r"/\\|?*]', '_', 'g')")}, ''), 'fil') AS download_name,
+  coalesce(nullif(trim(regexp_replace(regexp_replace({strip('url')}, '[{BLANK}]+', '_', 'g'), '[^0-9A-Za-z._-]+', '-', 'g'), '._-'), ''), 'del') AS component FROM pages""",
+)
+oracle(
+    "unique_links",
+    """SELECT page_id, index, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY index) AS rn FROM (
+   SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS index FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)) WHERE href <> '') WHERE rn = 1""",
+)
+cte(
+    "stats",
+    """
+ SELECT c.case_id, documents, ocr_ready, pages, chunks, coalesce(servitutter, 0) AS servitutter, coalesce(reports, 0) AS reports, CASE WHEN c.case_id LIKE '%0' THEN 'done' ELSE 'ukendt' END AS case_status
+ FROM (SELECT case_id, count(*) AS documents, count(*) FILTER (parse_status = 'ocr_done') AS ocr_ready, sum(page_count) AS pages, sum(chunk_count) AS chunks, count(*) FILTER (pos % 6 = 0) AS reports FROM documents_meta GROUP BY 1) c
+ LEFT JOIN (SELECT case_id, count(*) AS servitutter FROM canonicals GROUP BY 1) r USING (case_id)""",
+    "documents_meta",
+    "canonicals",
+)
+oracle(
+    "case_stats",
+    "SELECT *, CASE WHEN documents = 0 THEN 'upload' WHEN chunks = 0 THEN 'ocr' WHEN servitutter = 0 THEN 'filter' WHEN reports = 0 THEN 'report' ELSE 'edit' END AS next_step FROM stats",
+    "stats",
+)
+oracle("workspace_totals", "SELECT count(*) AS cases, sum(documents) AS documents, sum(servitutter) AS servitutter, sum(reports) AS reports FROM stats", "stats")
+oracle(
+    "pending_docs",
+    """SELECT document_id, CASE parse_status WHEN 'pending' THEN 'Afventer OCR' WHEN 'processing' THEN 'Kører OCR' ELSE 'Fejl' END AS status_label,
+  CASE parse_status WHEN 'processing' THEN 'Kører' WHEN 'error' THEN 'Fejl' ELSE 'I kø' END AS batch_state,
+  CASE parse_status WHEN 'processing' THEN 'OCRmyPDF og tekstudtræk i gang' WHEN 'error' THEN 'Kræver ny kørsel' ELSE 'Afventer behandling' END AS batch_detail FROM documents_meta WHERE parse_status <> 'ocr_done'""",
+    "documents_meta",
+)
+oracle("next_pending", "SELECT case_id, arg_min(document_id, pos) AS document_id FROM documents_meta WHERE parse_status <> 'ocr_done' GROUP BY 1", "documents_meta")
+oracle(
+    "reading_estimate",
+    "SELECT case_id, s AS seconds, CASE WHEN s < 60 THEN s::varchar || 's' ELSE (s // 60)::varchar || 'm ' || (s % 60)::varchar || 's' END AS label FROM (SELECT case_id, sum(page_count) * 5 AS s FROM documents_meta WHERE parse_status <> 'ocr_done' GROUP BY 1)",
+    "documents_meta",
+)
+oracle(
+    "reading_evaluation",
+    f"""SELECT case_id, mean_confidence, total_chars, coalesce(chunks, 0) AS chunks, coalesce(keyword_chunks, 0) AS keyword_chunks FROM (SELECT case_id, round(coalesce(avg(confidence) FILTER (confidence >= 0.4), 0), 6) AS mean_confidence, sum(length(text)) AS total_chars FROM quality_pages GROUP BY 1)
+  LEFT JOIN (SELECT case_id, count(*) AS chunks, count(*) FILTER ({KW}) AS keyword_chunks FROM chunks GROUP BY 1) USING (case_id)""",
+    "quality_pages",
+    "chunks",
+)
+oracle(
+    "latest_report",
+    "SELECT case_id, 'rep-' || max(pos)::varchar AS report_id, max(pos) AS created_at FROM documents_meta WHERE pos % 6 = 0 GROUP BY 1",
+    "documents_meta",
+)
+oracle(
+    "canonical_source",
+    """SELECT case_id, 'kanon-' || case_id AS servitut_id, 'stored' AS origin FROM record_cases WHERE pos % 3 = 0
+  UNION ALL SELECT case_id, servitut_id, 'saved' FROM records WHERE attest_confirmed AND case_id IN (SELECT case_id FROM record_cases WHERE pos % 3 <> 0)""",
+    "record_cases",
+    "records",
+)
+oracle(
+    "tracked_documents",
+    """SELECT DISTINCT case_id, document_id FROM raw_pages p WHERE NOT EXISTS (SELECT 1 FROM documents_meta m WHERE m.case_id = p.case_id AND m.document_id = p.document_id AND document_type = 'tinglysningsattest'
+   AND m.case_id IN (SELECT case_id FROM canonicals WHERE confidence > 0.7))""",
+    "raw_pages",
+    "documents_meta",
+    "canonicals",
+)
+STATUS_SQL = """CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'browser_started' WHEN 'click' THEN 'downloading_documents'
+  WHEN 'purchase' THEN CASE WHEN event_id % 5 = 0 THEN 'completed' ELSE 'importing_documents' END ELSE CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'waiting_for_login' END END"""
+oracle(
+    "active_job",
+    f"""SELECT case_id, max(job_id) AS job_id, arg_max(status, job_id) AS status FROM (SELECT 'case-' || (user_id % 20)::varchar AS case_id, 'job-' || lpad(event_id::varchar, 9, '0') AS job_id, {STATUS_SQL} AS status FROM events)
+  WHERE status NOT IN ('completed', 'failed', 'cancelled') GROUP BY 1""",
+)
+oracle(
+    "upsert_records",
+    """SELECT case_id, servitut_id, CASE WHEN ord % 5 = 0 THEN title || '!' ELSE title END AS title FROM canonicals UNION ALL SELECT case_id, item_id, title FROM deed_items""",
+    "canonicals",
+    "deed_items",
+)
+oracle(
+    "cascade_delete",
+    """SELECT document_id, 0 AS page_number FROM documents_meta WHERE pos % 3 <> 0 UNION ALL SELECT p.document_id, p.page_number FROM raw_pages p JOIN documents_meta m USING (document_id) WHERE pos % 3 <> 0""",
+    "documents_meta",
+    "raw_pages",
+)
+oracle(
+    "ordered_chunks",
+    """SELECT c.case_id, l.pos, c.document_id, c.chunk_index FROM chunks c JOIN (
+   SELECT document_id, CASE WHEN pos % 4 = 1 THEN coalesce(max(pos) FILTER (pos % 4 <> 1) OVER (PARTITION BY case_id), -1) + row_number() OVER (PARTITION BY case_id, pos % 4 = 1 ORDER BY pos) ELSE pos END AS pos FROM documents_meta) l USING (document_id)""",
+    "chunks",
+    "documents_meta",
+)
+oracle("case_status_update", "SELECT case_id, CASE WHEN pos % 2 = 1 THEN 'error' ELSE status END AS status FROM record_cases", "record_cases")
+oracle(
+    "report_document",
+    f"""SELECT case_id, report_id, row_number() OVER (PARTITION BY case_id ORDER BY part, i) AS line_no, line FROM (
+   SELECT case_id, 'rep-' || case_id AS report_id, 0 AS part, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT *, ['# Rapport rep-' || case_id, ''] ||
+     CASE WHEN len(target_matrikler) > 0 THEN ['**Projektmatrikler:** ' || array_to_string(target_matrikler, ', '), '**Ejendommens matrikler:** ' || coalesce(nullif(array_to_string(available_matrikler, ', '), ''), 'Ikke angivet'),
+       '**Ajour pr. dato:** ' || CASE WHEN pos % 2 = 0 THEN '{AS_OF}' ELSE 'Ikke angivet' END, ''] ELSE [] END ||
+     CASE WHEN pos % 3 = 0 THEN ['## Bemærkninger', 'Note', ''] ELSE [] END || ['## Tabel'] AS ls FROM record_cases)
+   UNION ALL SELECT case_id, 'rep-' || case_id, 1, line_no, line FROM md_table)""",
+    "record_cases",
+    "md_table",
+)
+
+# ---- streams: the final state as a batch ------------------------------------------------------------------------
+oracle(
+    "stream_job_state",
+    f"""SELECT 'job-' || user_id::varchar AS job_id, CASE WHEN e_ts IS NOT NULL THEN e_st WHEN date_diff('second', n_ts, TIMESTAMP '2024-01-31 00:00:00') > 86400 THEN 'failed' ELSE n_st END AS status,
+   coalesce(e_ts, n_ts) AS last_heartbeat_at, CASE WHEN e_ts IS NULL AND date_diff('second', n_ts, TIMESTAMP '2024-01-31 00:00:00') > 86400 THEN 'Timeout' END AS error_message
+ FROM (SELECT user_id, min(ts) FILTER (st IN ('completed', 'failed')) AS e_ts, arg_min(st, ts) FILTER (st IN ('completed', 'failed')) AS e_st, max(ts) AS n_ts, arg_max(st, ts) AS n_st
+   FROM (SELECT *, {STATUS_SQL} AS st FROM events) GROUP BY 1)""",
+)
+STAGE_SQL = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'parsing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
+oracle(
+    "stream_progress",
+    f"SELECT 'doc-' || user_id::varchar AS doc_id, max(ts) AS ts, arg_max({STAGE_SQL}, ts) AS stage, arg_max(round(value / 100, 4), ts) AS progress, count(*) AS events FROM events GROUP BY 1",
+)
+oracle("stream_progress_windows", f"SELECT strftime(ts, '%Y-%m-%d') AS day, {STAGE_SQL} AS stage, count(*) AS events FROM events GROUP BY 1, 2")
+oracle(
+    "progress_share",
+    f"""SELECT 'case-' || (user_id % 20)::varchar AS case_id, count(DISTINCT user_id) AS documents, count(DISTINCT user_id) FILTER (event_id % 9 = 0 AND {STAGE_SQL} IN ('completed', 'failed')) AS finished FROM events GROUP BY 1""",
+)
+oracle("stream_import", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")

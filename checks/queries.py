@@ -455,7 +455,7 @@ def report_answers(s, d):
     """Report entries parsed from answers and completed from the records by id or date."""
     inputs = R.report_inputs(X.records(s, d), X.record_cases(s, d), AS_OF)
     keyed = inputs.select("case_id", "servitut_id", "date_reference", "title")
-    n = F.crc32(F.encode("servitut_id", "utf-8"))
+    n = F.split_part("servitut_id", F.lit("-"), F.lit(2)).cast("int")
     entry = F.to_json(
         F.struct(
             F.when(n % 3 == 0, F.lit("ukendt")).otherwise(F.col("servitut_id")).alias("servitut_id"), F.col("date_reference"),
@@ -594,3 +594,214 @@ def target_sync(s, d):
 def target_update(s, d):
     wishes = X.documents(s, d).select("case_id").distinct().select("case_id", F.when(F.col("case_id").endswith("r-0"), "44q").otherwise("0005a ").alias("matrikelnummer"))
     return SC.choose_targets(_target_cases(s, d), wishes, SC.parse_parcels(_pages(s, d), X.documents(s, d)))
+
+
+# ---- ranges, imports, store, stats ----------------------------------------------------------------------------------
+from deedloom.operators import ranges as RG  # noqa: E402
+from deedloom.plans import stats as ST  # noqa: E402
+from deedloom.sources import imports as IM, store as SO  # noqa: E402
+from deedloom.streaming import jobs as SJ  # noqa: E402
+
+
+def _specs(s, d):
+    return X.documents(s, d).select(
+        "document_id", (F.col("page_count") + 5).alias("total_pages"),
+        F.expr(
+            """case pos % 5 when 0 then '1-2 | Attest\\n\\n3 \\n4-6|Akt 2' when 1 then '1-4\\n4-5\\n6' when 2 then 'x-3\\n 2 - 1 \\n0'
+               when 3 then concat('2-', cast(page_count + 6 as string), '\\n1') else '| etiket\\n1-1 | A/B: c' end"""
+        ).alias("spec"),
+    )
+
+
+@query
+def page_ranges_suggest(s, d):
+    return RG.suggest_ranges(X.documents(s, d), per_part=3)
+
+
+@query
+def page_ranges_parse(s, d):
+    return RG.parse_ranges(_specs(s, d))
+
+
+@query
+def page_parts(s, d):
+    return RG.assign_parts(X.raw_pages(s, d).select("document_id", "page_number"), RG.parse_ranges(_specs(s, d)))
+
+
+def _audit(s, d):
+    files = X.file_manifest(s, d)
+    known = files.where("doc_id % 23 = 0").select("case_id", F.sha2("content", 256).alias("content_hash"))
+    return IM.import_audit(files, known, F.lit("2024-01-01 01:00:00").cast("timestamp_ntz"))
+
+
+@query
+def import_audit(s, d):
+    return _audit(s, d).select("case_id", "name", "content_hash", "outcome")
+
+
+@query
+def import_counts(s, d):
+    return IM.import_counts(_audit(s, d))
+
+
+@query
+def clean_names(s, d):
+    return X.table(s, d, "pages").select("page_id", T.download_name("url").alias("download_name"), T.filename_component("url").alias("component"))
+
+
+@query
+def unique_links(s, d):
+    """Links of each raw page in order, first per address."""
+    links = X.table(s, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("index", "href"))
+    return ST.unique_links(links)
+
+
+def _case_inputs(s, d):
+    docs = X.documents(s, d)
+    cases = docs.select("case_id").distinct().withColumn("status", F.when(F.col("case_id").endswith("0"), "done"))
+    reports = docs.where("pos % 6 = 0").select("case_id", F.concat(F.lit("rep-"), F.col("pos").cast("string")).alias("report_id"), F.col("pos").alias("created_at"))
+    return cases, docs, X.canonicals(s, d), reports
+
+
+@query
+def case_stats(s, d):
+    return ST.case_stats(*_case_inputs(s, d)).withColumn("next_step", ST.next_step())
+
+
+@query
+def workspace_totals(s, d):
+    return ST.workspace_totals(ST.case_stats(*_case_inputs(s, d)))
+
+
+@query
+def pending_docs(s, d):
+    return ST.status_labels(ST.pending_documents(X.documents(s, d))).select("document_id", "status_label", "batch_state", "batch_detail")
+
+
+@query
+def next_pending(s, d):
+    return ST.next_pending(X.documents(s, d)).select("case_id", "document_id")
+
+
+@query
+def reading_estimate(s, d):
+    return ST.reading_estimate(X.documents(s, d))
+
+
+@query
+def reading_evaluation(s, d):
+    return ST.reading_evaluation(_pages(s, d), _chunks(s, d))
+
+
+@query
+def latest_report(s, d):
+    return R.latest_reports(_case_inputs(s, d)[3])
+
+
+@query
+def canonical_source(s, d):
+    saved = X.records(s, d).select("case_id", "servitut_id", "attest_confirmed")
+    stored = X.record_cases(s, d).where("pos % 3 = 0").select("case_id", F.concat(F.lit("kanon-"), F.col("case_id")).alias("servitut_id"))
+    return ST.canonical_source(stored, saved).select("case_id", "servitut_id", "origin")
+
+
+@query
+def tracked_documents(s, d):
+    return ST.tracked_documents(X.raw_pages(s, d), X.documents(s, d), X.canonicals(s, d).where("confidence > 0.7"))
+
+
+STATUS = """case event_type when 'signup' then 'pending' when 'view' then 'browser_started' when 'click' then 'downloading_documents'
+            when 'purchase' then case when event_id % 5 = 0 then 'completed' else 'importing_documents' end
+            else case when event_id % 7 = 0 then 'failed' else 'waiting_for_login' end end"""
+
+
+@query
+def active_job(s, d):
+    e = X.table(s, d, "events").selectExpr("concat('case-', cast(user_id % 20 as string)) as case_id", "concat('job-', lpad(cast(event_id as string), 9, '0')) as job_id", f"{STATUS} as status")
+    return ST.active_jobs(e)
+
+
+@query
+def upsert_records(s, d):
+    old = X.canonicals(s, d).select("case_id", "servitut_id", "title")
+    new = X.canonicals(s, d).where("ord % 5 = 0").select("case_id", "servitut_id", F.concat("title", F.lit("!")).alias("title")).unionByName(
+        X.deed_items(s, d).select("case_id", F.col("item_id").alias("servitut_id"), "title")
+    )
+    return SO.upsert(old, new, ["case_id", "servitut_id"])
+
+
+@query
+def cascade_delete(s, d):
+    docs = X.documents(s, d)
+    gone = docs.where("pos % 3 = 0").select("case_id", "document_id")
+    left = SO.cascade_delete({"documents": docs, "pages": X.raw_pages(s, d)}, gone, ["case_id", "document_id"])
+    return left["documents"].select("document_id", F.lit(0).alias("page_number")).unionByName(left["pages"].select("document_id", "page_number"))
+
+
+@query
+def ordered_chunks(s, d):
+    links = X.documents(s, d).select("case_id", F.col("pos").cast("bigint").alias("pos"), "document_id")
+    kept = SO.remove_links(links, links.where("pos % 4 = 1"))
+    again = SO.append_links(kept, X.documents(s, d).withColumnRenamed("pos", "o"), "o")
+    return SO.ordered_chunks(again, _chunks(s, d)).select("case_id", "pos", "document_id", "chunk_index")
+
+
+@query
+def case_status_update(s, d):
+    c = X.record_cases(s, d)
+    return SO.set_status(c.select("case_id", "status"), c.where("pos % 2 = 1").select("case_id", F.lit("error").alias("status")))
+
+
+@query
+def report_document(s, d):
+    """Markdown document lines of every case's report."""
+    c = X.record_cases(s, d)
+    reports = c.select(
+        "case_id", F.concat(F.lit("rep-"), F.col("case_id")).alias("report_id"), "target_matrikler", "available_matrikler",
+        F.when(F.col("pos") % 2 == 0, F.lit(AS_OF).cast("date")).alias("as_of_date"), F.when(F.col("pos") % 3 == 0, F.lit("Note")).alias("notes"),
+    )
+    return R.markdown_document(reports, _report(s, d))
+
+
+# ---- streams ------------------------------------------------------------------------------------------------------
+def _event_stream(s, d):
+    schema = X.table(s, d, "events").schema
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query
+def stream_job_state(s, d):
+    e = _event_stream(s, d).selectExpr("concat('job-', cast(user_id as string)) as job_id", "ts", f"{STATUS} as status")
+    states = SJ.latest_update(SJ.drain(SJ.job_states(e), "update"), ["job_id"])
+    return SJ.job_status(states, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 86400).drop("started_at")
+
+
+STAGE = "case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'parsing' when 'purchase' then 'completed' else 'failed' end"
+
+
+@query
+def stream_progress(s, d):
+    e = _event_stream(s, d).selectExpr("concat('doc-', cast(user_id as string)) as doc_id", "ts", f"{STAGE} as stage", "round(value / 100, 4) as progress")
+    return SJ.latest_update(SJ.drain(SJ.progress_latest(e), "update"), ["doc_id"])
+
+
+@query
+def stream_progress_windows(s, d):
+    e = _event_stream(s, d).selectExpr("cast(ts as timestamp) as ts", f"{STAGE} as stage")
+    done = SJ.latest_update(SJ.drain(SJ.progress_windows(e), "update"), ["window_start", "stage"])
+    return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "stage", "events")
+
+
+@query
+def progress_share(s, d):
+    e = X.table(s, d, "events").selectExpr("concat('case-', cast(user_id % 20 as string)) as case_id", "user_id as doc_id", f"{STAGE} as stage", "event_id")
+    totals = e.groupBy("case_id").agg(F.count_distinct("doc_id").alias("documents"))
+    return ST.progress_share(e.where("event_id % 9 = 0"), totals)
+
+
+@query
+def stream_import(s, d):
+    schema = X.table(s, d, "documents").schema
+    docs = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    files = docs.selectExpr("cast(text as binary) as content", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 500 as int)) as modificationTime")
+    return SJ.drain(SJ.new_contents(files), "append").select("content_hash")

@@ -153,6 +153,8 @@ def answered_entries(payload: DataFrame, inputs: DataFrame, register_docs: DataF
             "raw_text": hit["_r"],
         }
     ).drop("_by_id", "_by_date")
+    if "beneficiary" not in done.columns:
+        done = done.withColumn("beneficiary", F.lit(None).cast("string"))
     return fill_empty(done)
 
 

@@ -41,6 +41,9 @@ def pages_in_band(pages: DataFrame, band: str, cut: float = fixed.GOOD_PAGE_CUT)
     return pages.where(confidence_band(cut=cut) == band)
 
 
+_PIECES = "array<struct<s:int,n:int,cs:int>>"
+
+
 def _packed(paras: Column, joined: Column, max_size: int, overlap: int) -> Column:
     """Greedy packing as a fold over paragraph lengths.
 
@@ -48,15 +51,14 @@ def _packed(paras: Column, joined: Column, max_size: int, overlap: int) -> Colum
     open chunk starts (`s`), where it ends (`e`) and the start it reports (`cs`). An overlap that starts
     with blanks loses them as soon as a second paragraph follows it.
     """
-    piece = "struct<s:int,n:int,cs:int>"
     start = F.struct(
         F.lit(-1).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("cs"), F.lit(False).alias("cut"),
-        F.array().cast(f"array<{piece}>").alias("out"),
+        F.array().cast(_PIECES).alias("out"),
     )
 
     def emitted(a: Column) -> Column:
         one = F.struct(a["s"].alias("s"), (a["e"] - a["s"]).alias("n"), a["cs"].alias("cs"))
-        return F.concat(a["out"], F.array(one).cast(f"array<{piece}>"))
+        return F.concat(a["out"], F.array(one).cast(_PIECES))
 
     def step(a: Column, n: Column) -> Column:
         size = a["e"] - a["s"]
@@ -99,10 +101,16 @@ def chunk_pages(
     kept = pages.where(F.col("text") != "")
     if admin_pattern:
         kept = kept.where(~T.is_admin_page("text", admin_pattern))
+    paras, joined, size = F.col("_paras"), F.col("_joined"), F.length("_joined")
+    whole = F.array(F.struct(F.lit(0).alias("s"), size.alias("n"), F.lit(0).alias("cs")))
+    # a page that fits one chunk needs no fold
+    parts = F.when(size == 0, F.array().cast(_PIECES)).when(size <= max_size, whole.cast(_PIECES)).otherwise(
+        _packed(paras, joined, max_size, overlap)
+    )
     split = (
         kept.select(*keys, "page_number", T.paragraphs("text").alias("_paras"))
         .withColumn("_joined", F.array_join("_paras", "\n\n"))
-        .select(*keys, "page_number", "_joined", _packed(F.col("_paras"), F.col("_joined"), max_size, overlap).alias("_parts"))
+        .select(*keys, "page_number", "_joined", parts.alias("_parts"))
     )
     counts = split.select(*keys, "page_number", F.size("_parts").alias("_n"))
     before = running_total(counts, keys, "page_number", F.col("_n"), "_before").drop("_n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from deedloom import fixed
@@ -152,9 +154,11 @@ def _anchor(value: Column, cls: Column) -> Column:
     return F.left(value, F.when(F.endswith(cls, F.lit("word")), F.lit(fixed.TITLE_WORD_MIN)).otherwise(k))
 
 
-def _windows(form: str, kind: str, c: Column) -> Column:
+def _probes(form: str, kind: str, lengths: list[int], c: Column) -> list[Column]:
+    """Anchors of the given lengths at each window of one class."""
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(_WINDOW_PATTERNS[kind]), F.lit(1)))
-    return F.transform(found, lambda w: F.struct(F.lit(f"{form}:{kind}").alias("cls"), w.alias("w")))
+    probe = lambda n: lambda w: F.struct(F.lit(f"{form}:{kind}").alias("cls"), F.left(w, F.lit(n)).alias("anchor"), w.alias("window"))
+    return [F.transform(F.filter(found, lambda w: F.length(w) >= n), probe(n)) for n in lengths]
 
 
 def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
@@ -169,36 +173,45 @@ def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
         F.when(F.col("signal_type") == "title_word", "word").when(value.rlike("^[0-9]"), "digit")
         .when(value.rlike("(?s)^[^0-9]{1,8}[0-9]"), "near").otherwise("other")
     )
-    index = (
+    # written out once: it is read several times, and the planner then knows whether it is small enough to broadcast
+    index = materialize(
         signals.select("case_id", "signal_type", "normalized_value", "signal_key").distinct()
         .withColumn("cls", F.concat(F.when(joinish, "joined:").otherwise("lower:"), kind))
         .withColumn("anchor", _anchor(value, F.col("cls")))
     )
-    # at most a handful of classes times five lengths: a fixed bound, so this one is broadcast
-    lengths = F.broadcast(index.select("cls", F.length("anchor").alias("_k")).distinct())
     texts = chunks.select(*CHUNK, T.match_key("text").alias("_n"), F.lower("text").alias("_l"))
-
-    def offered(rows: DataFrame, kinds: list[str]) -> DataFrame:
-        found = [_windows("lower", k, F.col("_l")) for k in kinds] + [_windows("joined", k, F.col("_n")) for k in kinds if k != "word"]
-        return rows.select(*CHUNK, F.explode(F.concat(*found)).alias("_w")).select(*CHUNK, "_w.cls", F.col("_w.w").alias("_window"))
-
-    odd_cases = index.where(F.endswith("cls", F.lit("other"))).select("case_id").distinct()
-    windows = offered(texts, ["digit", "near", "word"]).unionByName(
-        offered(texts.join(odd_cases, "case_id", "left_semi"), ["other"])
-    )
-    probes = (
-        windows.join(lengths, "cls").where(F.length("_window") >= F.col("_k"))
-        .select(*CHUNK, "cls", F.left(F.col("_window"), F.col("_k")).alias("anchor"), "_window")
-    )
-    near = probes.join(index, ["case_id", "cls", "anchor"]).where(
-        F.startswith(F.col("_window"), F.left(value, F.lit(_WINDOW)))
-    )
-    found = near.select(*CHUNK, "signal_type", "normalized_value", "signal_key").distinct()
-    short = found.where(F.length(value) <= _WINDOW)
-    long = found.where(F.length(value) > _WINDOW).join(texts, list(CHUNK)).where(
-        F.when(joinish, F.contains(F.col("_n"), value)).otherwise(F.contains(F.col("_l"), value))
-    ).drop("_n", "_l")
-    return short.unionByName(long).withColumn("weight", _by_type(1, F.col("signal_type")).cast("int"))
+    # which classes and anchor lengths occur: at most seven times five rows, whatever the data
+    used: dict[str, list[int]] = {}
+    for r in index.select("cls", F.length("anchor").alias("k")).distinct().collect():
+        used.setdefault(r["cls"], []).append(r["k"])
+
+    def near(only: Column, rows: DataFrame, classes: list[str]) -> DataFrame:
+        probes = []
+        for c in classes:
+            form, kind_ = c.split(":")
+            probes += _probes(form, kind_, sorted(used[c]), F.col("_n") if form == "joined" else F.col("_l"))
+        at = rows.select(*CHUNK, F.explode(F.concat(*probes)).alias("_p")).select(*CHUNK, "_p.*")
+        hit = F.startswith(F.col("window"), F.left(value, F.lit(_WINDOW)))
+        return at.join(index.where(only), ["case_id", "cls", "anchor"]).where(hit).select(*CHUNK, "signal_type", "normalized_value", "signal_key")
+
+    usual = sorted(c for c in used if not c.endswith(":other"))
+    rare = sorted(c for c in used if c.endswith(":other"))
+    rare_cases = index.where(F.endswith("cls", F.lit(":other"))).select("case_id").distinct()
+
+    def found(only: Column) -> DataFrame | None:
+        parts = [near(only, texts, usual)] if usual else []
+        if rare:
+            parts.append(near(only, texts.join(rare_cases, "case_id", "left_semi"), rare))
+        return reduce(DataFrame.unionByName, parts).distinct() if parts else None
+
+    short, is_long = F.length(value) <= _WINDOW, F.length(value) > _WINDOW
+    out = found(short)
+    if out is None:
+        out = texts.join(index, "case_id").select(*CHUNK, "signal_type", "normalized_value", "signal_key").where(F.lit(False))
+    if not index.where(is_long).isEmpty():
+        whole = F.when(joinish, F.contains(F.col("_n"), value)).otherwise(F.contains(F.col("_l"), value))
+        out = out.unionByName(found(is_long).join(texts, list(CHUNK)).where(whole).drop("_n", "_l"))
+    return out.withColumn("weight", _by_type(1, F.col("signal_type")).cast("int"))
 
 
 def score_chunks(chunks: DataFrame, signals: DataFrame) -> DataFrame:

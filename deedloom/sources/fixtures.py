@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from deedloom import fixed
 
 PAGE_LINES = 6
-SPREAD_BY = {"documents": "doc_id"}
+SPREAD_BY = {"documents": "doc_id", "lineitem": "l_orderkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

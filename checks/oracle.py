@@ -994,3 +994,26 @@ oracle(
     f"""SELECT 'case-' || (user_id % 20)::varchar AS case_id, count(DISTINCT user_id) AS documents, count(DISTINCT user_id) FILTER (event_id % 9 = 0 AND {STAGE_SQL} IN ('completed', 'failed')) AS finished FROM events GROUP BY 1""",
 )
 oracle("stream_import", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
+
+# ---- composed extraction --------------------------------------------------------------------------------------
+oracle(
+    "sql_functions",
+    f"""SELECT servitut_id, {akey('akt_nr')} AS akt_key, {mkey('date_reference')} AS date_key, nullif(regexp_replace(lower(title), '[^0-9a-z]+', '', 'g'), '') AS title_key,
+  {SORT_DATE} AS sort_date, coalesce(beneficiary = 'Vejle Amt', false) AS amt, {pkey('applies_to_matrikler[1]')} AS parcel, {lob('date_reference')} AS serial,
+  substr(sha256(source_document || ':1:2'), 1, 12) AS chunk_id, coalesce({KW.replace('text', 'title')}, false) AS keyword,
+  round(least(1.0, greatest(0.0, (length(regexp_replace(title, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) / length(title) - 0.10) / 0.40)), 3)::double AS quality,
+  CASE WHEN attest_confirmed THEN 'Ja' ELSE 'Nej' END AS scope, akt_nr AS clean FROM records""",
+    "records",
+)
+oracle(
+    "chunk_types",
+    """SELECT p.case_id, coalesce(m.document_type, 'akt') AS document_type, count(*) AS pages FROM raw_pages p LEFT JOIN (SELECT * FROM documents_meta WHERE pos % 9 <> 4) m USING (case_id, document_id) GROUP BY 1, 2""",
+    "raw_pages",
+    "documents_meta",
+)
+oracle("register_pages", "SELECT document_id, page_number FROM raw_pages JOIN documents_meta USING (case_id, document_id) WHERE document_type = 'tinglysningsattest'", "raw_pages", "documents_meta")
+oracle(
+    "ingest_documents",
+    """SELECT case_id, 'doc-' || substr(sha256(case_id || '|' || content_hash), 1, 8) AS document_id, name AS filename, 'akt' AS document_type, 'pending' AS parse_status FROM audit WHERE outcome = 'imported'""",
+    "audit",
+)

@@ -805,3 +805,61 @@ def stream_import(s, d):
     docs = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     files = docs.selectExpr("cast(text as binary) as content", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 500 as int)) as modificationTime")
     return SJ.drain(SJ.new_contents(files), "append").select("content_hash")
+
+
+# ---- composed extraction ------------------------------------------------------------------------------------------
+from deedloom.functions import sqlfuncs as SQ  # noqa: E402
+from deedloom.plans import extract as EX  # noqa: E402
+
+
+@query
+def sql_functions(s, d):
+    SQ.register(s)
+    X.records(s, d).createOrReplaceTempView("_records_sql")
+    return s.sql(
+        """SELECT servitut_id, dl_archive_key(akt_nr) AS akt_key, dl_match_key(date_reference) AS date_key, dl_merge_key(title) AS title_key,
+             dl_sort_date(date_reference) AS sort_date, dl_has_amt(beneficiary) AS amt, dl_parcel_key(get(applies_to_matrikler, 0)) AS parcel,
+             dl_serial_suffix(date_reference) AS serial, dl_chunk_id(source_document, 1, 2) AS chunk_id, dl_has_keywords(title) AS keyword,
+             dl_text_quality(title) AS quality, dl_scope_label(attest_confirmed) AS scope, dl_clean_text(akt_nr) AS clean FROM _records_sql"""
+    )
+
+
+@query
+def chunk_types(s, d):
+    docs = X.documents(s, d).where("pos % 9 <> 4")
+    return EX.typed_chunks(X.raw_pages(s, d), docs).groupBy("case_id", "document_type").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query
+def register_pages(s, d):
+    return EX.register_chunks(X.raw_pages(s, d), X.documents(s, d)).select("document_id", "page_number")
+
+
+def _segment_answers(s, d, c):
+    seg = materialize(G.build_segments(EX.register_chunks(c, X.documents(s, d))))
+    given = X.answers(s, d).select("case_id", "document_id", "response_text")
+    ans = seg.select("case_id", "document_id", "segment_id").join(given, ["case_id", "document_id"]).withColumn("error", F.lit(None).cast("string"))
+    return seg, ans
+
+
+@query
+def extract_canonical(s, d):
+    """Register records from stored segment answers, merged per document and per case."""
+    c = _chunks(s, d)
+    seg, ans = _segment_answers(s, d, c)
+    merged, _ = EX.canonical_from_answers(seg, c, ans, X.documents(s, d))
+    return merged.select("case_id", "ord", "servitut_id", "date_reference", "registered_at", "akt_nr", "title", "confidence", "members",
+                         F.array_join("applies_to_matrikler", "|").alias("applies"), "scope_source")
+
+
+@query
+def extract_records(s, d):
+    """Whole second pass: deed answers linked to register records, de-duplicated where a case has none."""
+    canon = X.canonicals(s, d).where("case_id not like '%-1'")
+    deeds = X.answers(s, d).select("case_id", "document_id", "response_text")
+    return EX.extract_records(canon, deeds).groupBy("case_id", "attest_confirmed").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query
+def ingest_documents(s, d):
+    return EX.ingest_documents(_audit(s, d))

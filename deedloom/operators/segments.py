@@ -206,7 +206,7 @@ def build_segments(chunks: DataFrame, **limits: int) -> DataFrame:
 
 def segment_chunks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks of each segment by page (JN-08)."""
-    pages = segments.select(*DOC, "segment_id", F.explode("page_numbers").alias("page"))
+    pages = segments.select(*DOC, "segment_id", "segment_index", F.explode("page_numbers").alias("page"))
     return pages.join(chunks, [*DOC, "page"])
 
 

@@ -403,7 +403,7 @@ def _merge_inputs(s, d):
     )
     r = a.unionByName(b).withColumns(
         {"registered_at": D.registered_at(F.lit(None).cast("string"), "date_reference"), "scope_source": F.lit(None).cast("string"),
-         "source_document": F.concat(F.lit("doc-"), (F.col("ord") % 3).cast("string")), "title": F.left("title", F.lit(6))}
+         "source_document": F.concat(F.lit("doc-"), F.floor(F.col("ord") / 40).cast("string")), "title": F.left("title", F.lit(12))}
     )
     ev = r.select(
         "case_id", "ord", F.posexplode(F.array((F.col("ord") % 7 + 1).cast("int"), (F.col("ord") % 9 + 2).cast("int"))).alias("pos", "page"), "source_document", "title"

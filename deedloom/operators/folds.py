@@ -10,6 +10,7 @@ hold keys and numbers only and are written out, so lineage stays short and lost
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -180,14 +181,19 @@ def merge_groups(records: DataFrame, pages: DataFrame, scope: Sequence[str]) ->
     guess = items.join(first("dk"), [*scope, "dk"], "left").join(first("ak"), [*scope, "ak"], "left").select(
         *scope, "ord", F.coalesce(F.least("first_dk", "first_ak"), "ord").alias("founder")
     )
-    current = materialize(guess)
+    current, active_items, active_pages = materialize(guess), items, pages
+    settled: list[DataFrame] = []
+    # scopes do not touch each other: one that a round left unchanged is done, only the others go on
     while True:
-        nxt = materialize(_assign(items, pages, current, scope))
-        changed = nxt.join(current.withColumnRenamed("founder", "before"), [*scope, "ord"]).where("founder <> before")
-        settled = changed.isEmpty()
-        current = nxt
-        if settled:
-            return current
+        nxt = materialize(_assign(active_items, active_pages, current, scope))
+        both = nxt.join(current.withColumnRenamed("founder", "before"), [*scope, "ord"])
+        moving = materialize(both.where("founder <> before").select(*scope).distinct())
+        settled.append(nxt.join(moving, list(scope), "left_anti"))
+        if moving.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        current = nxt.join(moving, list(scope), "left_semi")
+        active_items = items.join(moving, list(scope), "left_semi")
+        active_pages = pages.join(moving, list(scope), "left_semi")
 
 
 def merge_register(records: DataFrame, evidence: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, DataFrame]:

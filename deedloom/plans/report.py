@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from deedloom import fixed
 from deedloom.functions import dates as D, parcels as P, text as T
 from deedloom.operators.positions import first_per_key, position
+from deedloom.session import materialize
 
 
 def as_of(records: DataFrame, day: str | None) -> DataFrame:
@@ -121,8 +122,12 @@ def fallback_entries(inputs: DataFrame, register_docs: DataFrame) -> DataFrame:
 
 
 def build_report(records: DataFrame, cases: DataFrame, register_docs: DataFrame, day: str | None = None) -> DataFrame:
-    """Numbered report entries of every case (deterministic branch)."""
-    return number_entries(fallback_entries(report_inputs(records, cases, day), register_docs)).select(*ENTRY_COLUMNS)
+    """Numbered report entries of every case (deterministic branch).
+
+    The chosen records are written once: evidence, entries and numbering each read a few of their columns.
+    """
+    inputs = materialize(report_inputs(records, cases, day))
+    return number_entries(fallback_entries(inputs, register_docs)).select(*ENTRY_COLUMNS)
 
 
 def answered_entries(payload: DataFrame, inputs: DataFrame, register_docs: DataFrame) -> DataFrame:

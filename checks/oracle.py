@@ -991,7 +991,7 @@ oracle(
 oracle("stream_progress_windows", f"SELECT strftime(ts, '%Y-%m-%d') AS day, {STAGE_SQL} AS stage, count(*) AS events FROM events GROUP BY 1, 2")
 oracle(
     "progress_share",
-    f"""SELECT 'case-' || (user_id % 20)::varchar AS case_id, count(DISTINCT user_id) AS documents, count(DISTINCT user_id) FILTER (event_id % 9 = 0 AND {STAGE_SQL} IN ('completed', 'failed')) AS finished FROM events GROUP BY 1""",
+    f"""SELECT 'case-' || (user_id % 20)::varchar AS case_id, count(DISTINCT user_id) AS documents, count(DISTINCT user_id) FILTER ({STAGE_SQL} IN ('completed', 'failed')) AS finished FROM events GROUP BY 1""",
 )
 oracle("stream_import", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 

@@ -796,7 +796,7 @@ def stream_progress_windows(s, d):
 def progress_share(s, d):
     e = X.table(s, d, "events").selectExpr("concat('case-', cast(user_id % 20 as string)) as case_id", "user_id as doc_id", f"{STAGE} as stage", "event_id")
     totals = e.groupBy("case_id").agg(F.count_distinct("doc_id").alias("documents"))
-    return ST.progress_share(e.where("event_id % 9 = 0"), totals)
+    return ST.progress_share(e, totals)
 
 
 @query

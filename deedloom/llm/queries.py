@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deedloom.llm import quality_rules
+from deedloom.llm import quality_rules, source_mix
 from deedloom.llm.common import table
 
 QUERIES = {}
@@ -18,3 +18,9 @@ def query(f):
 def op8_quality_rules(spark, sf_dir):
     """Not in SQL: compressed sizes."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_source_mix(spark, sf_dir):
+    """Not in SQL: highest quotients down a tree and hashed order."""
+    return source_mix.mix(table(spark, sf_dir, "documents"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from deedloom.llm import quality_rules, source_mix
+from deedloom.llm import quality_rules, source_mix, url_filter
 from deedloom.llm.common import table
+from deedloom.llm.oracle import ORACLES  # noqa: F401
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f):
@@ -24,3 +24,8 @@ def op8_quality_rules(spark, sf_dir):
 def op10_source_mix(spark, sf_dir):
     """Not in SQL: highest quotients down a tree and hashed order."""
     return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))

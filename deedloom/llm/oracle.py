@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deedloom.llm import url_filter
+from deedloom.llm import license_scan, url_filter
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -66,4 +66,39 @@ FROM scored, least_score
 """
 
 
-ORACLES = {"op5_url_filter": url_filter_sql()}
+def license_scan_sql() -> str:
+    cols = ", ".join(f"({i}, '{r[0]}', '{r[1]}', '{r[2]}', '{r[3]}', {r[4]}, {r[5]})" for i, r in enumerate(license_scan.rules()))
+    before, after = license_scan.BEFORE, license_scan.AFTER
+    spaced = "CASE WHEN len({s}) > 0 THEN ' ' || array_to_string({s}, ' ') || ' ' ELSE ' ' END"
+    left, right = f"w[greatest(1, i - {before}):i - 1]", f"w[i + 1:i + {after}]"
+    return rf"""
+WITH rules(rid, label, key, before, after, priority, base) AS (VALUES {cols}),
+docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+spots AS (
+  SELECT d, i - 1 AS i, key, {spaced.format(s=left)} AS l, {spaced.format(s=right)} AS r
+  FROM (SELECT d, w, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS key FROM docs) WHERE key IN (SELECT key FROM rules)),
+found AS MATERIALIZED (
+  SELECT d, label, priority, base, i - (len(regexp_extract(l, before)) - len(replace(regexp_extract(l, before), ' ', '')) - 1) AS a,
+    i + 1 + len(regexp_extract(r, after)) - len(replace(regexp_extract(r, after), ' ', '')) - 1 AS z
+  FROM spots JOIN rules USING (key) WHERE regexp_matches(l, before) AND regexp_matches(r, after)),
+kept AS (
+  SELECT * FROM found f WHERE NOT EXISTS (
+    SELECT 1 FROM found e WHERE e.d = f.d AND e.a <= f.a AND e.z >= f.z
+      AND (e.priority > f.priority OR e.priority = f.priority AND e.z - e.a > f.z - f.a))),
+based AS (
+  SELECT d, count(*) AS n, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM found WHERE base GROUP BY d),
+named AS (
+  SELECT d, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT d, label FROM kept UNION SELECT d, label FROM found WHERE base) GROUP BY d),
+best AS (SELECT d, max(priority) AS p FROM kept GROUP BY d)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(based.labels, '') AS base_labels,
+  coalesce(named.labels, '') AS labels, coalesce(p, 0)::DOUBLE / 100 AS score
+FROM docs LEFT JOIN based USING (d) LEFT JOIN named USING (d) LEFT JOIN best USING (d)
+"""
+
+
+ORACLES = {"op4_license_scan": license_scan_sql(), "op5_url_filter": url_filter_sql()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deedloom.llm import quality_rules, source_mix, url_filter
+from deedloom.llm import license_scan, quality_rules, source_mix, url_filter
 from deedloom.llm.common import table
 from deedloom.llm.oracle import ORACLES  # noqa: F401
 
@@ -29,3 +29,8 @@ def op10_source_mix(spark, sf_dir):
 @query
 def op5_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")

@@ -101,4 +101,16 @@ FROM docs LEFT JOIN based USING (d) LEFT JOIN named USING (d) LEFT JOIN best USI
 """
 
 
-ORACLES = {"op4_license_scan": license_scan_sql(), "op5_url_filter": url_filter_sql()}
+WARC_SQL = """
+WITH paid AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+firsts AS (SELECT d, min(page_id) AS first FROM paid WHERE n >= 100 GROUP BY d HAVING count(*) > 1),
+marked AS (
+  SELECT page_id, n, paid.d, first, coalesce(first IS NOT NULL AND (page_id IS NULL OR page_id > first), false) AS again
+  FROM paid LEFT JOIN firsts USING (d))
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to
+FROM marked
+"""
+
+ORACLES = {"op2_warc": WARC_SQL, "op4_license_scan": license_scan_sql(), "op5_url_filter": url_filter_sql()}

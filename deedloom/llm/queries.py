@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deedloom.llm import license_scan, quality_rules, source_mix, url_filter
+from deedloom.llm import license_scan, quality_rules, source_mix, url_filter, warc
 from deedloom.llm.common import table
 from deedloom.llm.oracle import ORACLES  # noqa: F401
 
@@ -34,3 +34,9 @@ def op5_url_filter(spark, sf_dir):
 @query
 def op4_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query
+def op2_warc(spark, sf_dir):
+    """Rows come from the archives that it has written."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -113,4 +113,26 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN again
 FROM marked
 """
 
-ORACLES = {"op2_warc": WARC_SQL, "op4_license_scan": license_scan_sql(), "op5_url_filter": url_filter_sql()}
+DECONTAMINATE_SQL = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+spots AS (
+  SELECT d, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT d, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM docs JOIN (SELECT DISTINCT k FROM wins) ON len(w) >= k)),
+found AS MATERIALIZED (SELECT d, i, spots.k, item_id FROM spots JOIN wins USING (k, g)),
+hit AS (SELECT d, count(DISTINCT p) AS n FROM (SELECT d, unnest(range(i, i + k)) AS p FROM found) GROUP BY d),
+listed AS (
+  SELECT d, count(DISTINCT item_id) AS n, coalesce(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR), '') AS ids FROM found GROUP BY d)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(listed.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (d) LEFT JOIN listed USING (d)
+"""
+
+ORACLES = {"op3_decontaminate": DECONTAMINATE_SQL, "op2_warc": WARC_SQL, "op4_license_scan": license_scan_sql(), "op5_url_filter": url_filter_sql()}

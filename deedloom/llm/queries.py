@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deedloom.llm import license_scan, quality_rules, source_mix, url_filter, warc
+from deedloom.llm import decontaminate, license_scan, quality_rules, source_mix, url_filter, warc
 from deedloom.llm.common import table
 from deedloom.llm.oracle import ORACLES  # noqa: F401
 
@@ -40,3 +40,8 @@ def op4_license_scan(spark, sf_dir):
 def op2_warc(spark, sf_dir):
     """Rows come from the archives that it has written."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))

@@ -62,3 +62,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out)], schema=out)
 
     return df.mapInArrow(run, fields)
+
+
+def small_enough(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """Marks a written table for broadcast if its rows surely fit `limit`; otherwise the planner shuffles it."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

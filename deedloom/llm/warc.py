@@ -24,7 +24,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from deedloom.llm.common import columns
+from deedloom.llm.common import columns, small_enough
 from deedloom.session import materialize, shared_folder
 
 MAGIC = "WARC/1.1\r\n"
@@ -48,7 +48,8 @@ def records(pages: DataFrame) -> DataFrame:
         paid.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     )
-    both = paid.join(shared, "digest", "left").withColumn(
+    # a payload is sent to its digest only if the repeated digests are too many for a broadcast
+    both = paid.join(small_enough(materialize(shared), 128), "digest", "left").withColumn(
         "again", F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
     )
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))

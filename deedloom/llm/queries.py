@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deedloom.llm import decontaminate, license_scan, quality_rules, source_mix, url_filter, warc
+from deedloom.llm import decontaminate, license_scan, quality_rules, simhash, source_mix, url_filter, warc
 from deedloom.llm.common import table
 from deedloom.llm.oracle import ORACLES  # noqa: F401
 
@@ -45,3 +45,9 @@ def op2_warc(spark, sf_dir):
 @query
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op1_simhash(spark, sf_dir):
+    """Not in SQL: XXH64."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

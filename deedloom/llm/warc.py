@@ -154,8 +154,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     # records that hold the magic in their payload: fetch their pieces by scan order and join them
     torn = owned.where("record and not full").select("file", "owner")
-    needed = owned.join(torn, ["file", "owner"], "left_semi").select("file", "owner", "m", "off")
-    fetched = _pieces(spark, path).select("m", "value").join(needed, "m")
+    needed = materialize(owned.join(torn, ["file", "owner"], "left_semi").select("file", "owner", "m", "off"))
+    fetched = _pieces(spark, path).select("m", "value").join(small_enough(needed, 512), "m")
     sewn = fetched.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts")).select(
         "file", F.col("owner").alias("off"), F.array_join("parts.value", MAGIC).alias("value")
     )

@@ -48,7 +48,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
     `make()` runs once per task and gives a function from a slice {column: list} to the output columns in
     the order of `schema`, each as long as the slice needs.
     """
-    fields = T._parse_datatype_string(schema)
+    fields = T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

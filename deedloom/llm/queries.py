@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deedloom.llm import decontaminate, license_scan, quality_rules, simhash, source_mix, url_filter, warc
+from deedloom.llm import decontaminate, license_scan, quality_classifier, quality_rules, simhash, source_mix, token_count, url_filter, warc
 from deedloom.llm.common import table
 from deedloom.llm.oracle import ORACLES  # noqa: F401
 
@@ -51,3 +51,15 @@ def op3_decontaminate(spark, sf_dir):
 def op1_simhash(spark, sf_dir):
     """Not in SQL: XXH64."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_count(spark, sf_dir):
+    """Not in SQL: dynamic programming over a vocabulary file."""
+    return token_count.count(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality_classifier(spark, sf_dir):
+    """Not in SQL: hashed n-gram models."""
+    return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

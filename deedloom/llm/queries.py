@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deedloom.llm import decontaminate, license_scan, quality_classifier, quality_rules, simhash, source_mix, token_count, url_filter, warc
+from deedloom.llm import decontaminate, license_scan, lm_score, quality_classifier, quality_rules, simhash, source_mix, token_count, url_filter, warc
 from deedloom.llm.common import table
 from deedloom.llm.oracle import ORACLES  # noqa: F401
 
@@ -63,3 +63,9 @@ def op6_token_count(spark, sf_dir):
 def op7_quality_classifier(spark, sf_dir):
     """Not in SQL: hashed n-gram models."""
     return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_lm_score(spark, sf_dir):
+    """Not in SQL: Bloom filter."""
+    return lm_score.score(table(spark, sf_dir, "documents"))

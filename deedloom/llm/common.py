@@ -67,3 +67,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
 def small_enough(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """Marks a written table for broadcast if its rows surely fit `limit`; otherwise the planner shuffles it."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not use."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

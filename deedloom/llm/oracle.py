@@ -56,11 +56,17 @@ totals AS (SELECT rid, sum(lr)::DOUBLE AS total, count(*) AS n FROM cells JOIN m
 scored AS MATERIALIZED (
   SELECT hp.*, rule, act, CASE WHEN n > 0 THEN floor(total / n) / {url_filter.SCALE} ELSE 0.0::DOUBLE END AS score
   FROM hp LEFT JOIN ruled USING (rid) LEFT JOIN totals USING (rid)),
-steps AS (SELECT floor(score * {url_filter.SCALE} / {url_filter.STEP}) AS step, count(*) AS n FROM scored WHERE act = 'allow' GROUP BY step),
-below AS (SELECT step, sum(n) OVER (ORDER BY step) - n AS below, sum(n) OVER () AS allowed FROM steps),
-least_score AS (
-  SELECT coalesce(max(step * {url_filter.STEP} / {url_filter.SCALE}), '-infinity'::DOUBLE) AS t FROM below
-  WHERE below <= {url_filter.FALSE_BLOCKS} * allowed)
+steps AS (
+  SELECT floor(score * {url_filter.SCALE} / {url_filter.STEP})::BIGINT AS step, count(*) FILTER (act = 'allow') AS g, count(*) FILTER (act = 'block') AS b
+  FROM scored WHERE act IS NOT NULL GROUP BY step),
+sums AS (
+  SELECT step, sum(g) OVER () AS good, sum(b) OVER () AS bad, sum(g) OVER (ORDER BY step) - g AS lost, sum(b) OVER (ORDER BY step) - b AS caught,
+    lag(step) OVER (ORDER BY step) AS before
+  FROM steps),
+best AS (
+  SELECT CASE WHEN before IS NULL THEN step ELSE floor((before + 1 + step) / 2) END AS cut_at FROM sums WHERE good > 0 AND bad > 0
+  ORDER BY (good - lost) * bad + caught * good DESC, step LIMIT 1),
+least_score AS (SELECT coalesce(max(cut_at) * {url_filter.STEP} / {url_filter.SCALE}, '-infinity'::DOUBLE) AS t FROM best)
 SELECT page_id, host, path, rule, coalesce(act, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict, score
 FROM scored, least_score
 """

@@ -46,7 +46,7 @@ def buckets(text: str | None, bits: int = BITS) -> np.ndarray:
 
 def gumbel(ids: np.ndarray, seed: int = SEED) -> np.ndarray:
     """Standard Gumbel numbers hashed from integer ids."""
-    x = ids.astype(np.int64).view(np.uint64) + MIX[0] * np.uint64(seed + 1)
+    x = ids.astype(np.int64).view(np.uint64) + np.uint64(int(MIX[0]) * (seed + 1) % 2**64)
     for m in MIX[1:]:
         x = (x ^ (x >> np.uint64(31))) * m
     u = ((x ^ (x >> np.uint64(29))) >> np.uint64(11)).astype(float)

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from deedloom.llm.common import columns, lower_blank_words
+from deedloom.llm.common import columns, free_name, lower_blank_words
 from deedloom.llm.components import components
 from deedloom.session import materialize
 
@@ -251,14 +251,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share their id with another row are few or none; among them the row of the smallest text stays.
     """
     codes, rooted = grouped(docs)
+    i, f, r = (free_name(docs, n) for n in ("id", "fp", "row"))
     # per component the smallest id, and of the fingerprints that have it the smallest
-    best = materialize(
-        rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("b")).select(F.col("b.low").alias("_id"), F.col("b.fp").alias("_fp"))
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("b")
+    best = materialize(rooted.groupBy("root").agg(first).select(F.col("b.low").alias(i), F.col("b.fp").alias(f)))
+    several = materialize(codes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(i)))
+    same = docs["doc_id"].eqNullSafe(F.col(i))
+    single = docs.join(best.select(i).distinct(), same, "left_semi").join(several, same, "left_anti")
+    packed = docs.join(several, same, "left_semi").select(
+        docs["doc_id"].alias("d"), fingerprint_of(docs["text"]).alias("p"), F.coalesce(docs["text"], F.lit("")).alias("t"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(r)
     )
-    several = materialize(codes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    single = docs.join(best.select("_id").distinct(), same, "left_semi").join(several, same, "left_anti")
-    packed = docs.join(several, same, "left_semi").select("doc_id", fingerprint_of("text").alias("_fp"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    chosen = packed.groupBy(F.col("doc_id").alias("_d"), F.col("_fp").alias("_f")).agg(F.min_by("_row", F.coalesce("text", F.lit(""))).alias("_row"))
-    multiple = chosen.join(best, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_f") == F.col("_fp")), "left_semi").select("_row.*")
+    chosen = packed.groupBy("d", "p").agg(F.min_by(r, "t").alias(r))
+    multiple = chosen.join(best, F.col("d").eqNullSafe(F.col(i)) & (F.col("p") == F.col(f)), "left_semi").select(f"{r}.*")
     return single.unionByName(multiple)

@@ -7,7 +7,7 @@ model is a table of A^3 cells whatever the input: that proven bound lets the log
 micro-nats, be a constant of the plan. Scoring is then a fold inside the row: no join, no shuffle, no Python.
 
 The score is the log-likelihood difference over the number of symbols. Its threshold is calibrated on the same
-rule-decided URLs: the highest step at which at most `FALSE_BLOCKS` of the accepted ones would be blocked.
+rule-decided URLs.
 
 Edge cases: a null url or one without "://" has an empty host and path, meets no rule and scores 0; with no
 accepted or no rejected URL to learn from all scores are 0 and the verdict is allow; very long URLs are read whole;
@@ -29,7 +29,6 @@ RULES = (
 SIGNS = "/.-_?=&%:~+,;"
 A = 3 + len(SIGNS) + 26
 PRIOR = 2.0
-FALSE_BLOCKS = 0.02
 SCALE = 1_000_000
 STEP = 10_000
 
@@ -111,20 +110,29 @@ def with_score(df: DataFrame, ratios: list[int]) -> DataFrame:
     return df.withColumn("score", F.when(F.size("cells") > 0, F.floor(total / F.size("cells")) / SCALE).otherwise(F.lit(0.0)))
 
 
-def threshold(scored: DataFrame, false_blocks: float = FALSE_BLOCKS) -> float:
-    """Calibrated on rule-accepted URLs; the histogram has at most some thousand steps."""
-    steps = dict(
-        scored.where("ruled = 'allow'").groupBy(F.floor(F.col("score") * SCALE / STEP).alias("step")).count().collect()
-    )
-    allowed, at, below = sum(steps.values()), float("-inf"), 0
-    for step in sorted(steps):
-        if below > false_blocks * allowed:
-            break
-        at, below = step * STEP / SCALE, below + steps[step]
-    return at
-
+def threshold(scored: DataFrame) -> float:
+    """Least score that is allowed, calibrated on the rule-decided URLs.
 
-def judge(pages: DataFrame, rules=RULES, false_blocks: float = FALSE_BLOCKS) -> DataFrame:
+    Of the steps between their scores the one with the largest sum of accepted share allowed and rejected share
+    blocked; the threshold is the middle of the gap below it. The histogram has at most some thousand steps.
+    """
+    side = lambda a: F.count(F.when(F.col("ruled") == a, 1))
+    steps = sorted(
+        scored.where("ruled is not null").groupBy(F.floor(F.col("score") * SCALE / STEP).alias("step")).agg(side("allow"), side("block")).collect()
+    )
+    good, bad = sum(g for _, g, _ in steps), sum(b for _, _, b in steps)
+    if not good or not bad:
+        return float("-inf")
+    best, at, lost, caught, before = -1, 0, 0, 0, None
+    for step, g, b in steps:
+        gain = (good - lost) * bad + caught * good
+        if gain > best:
+            best, at = gain, step if before is None else (before + 1 + step) // 2
+        lost, caught, before = lost + g, caught + b, step
+    return at * STEP / SCALE
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score."""
     given = columns(pages, ("page_id", "long"), ("url", "string"))
     host, path = parts(F.col("url"))
@@ -132,6 +140,6 @@ def judge(pages: DataFrame, rules=RULES, false_blocks: float = FALSE_BLOCKS) ->
     coded = coded.withColumn("cells", _cells(F.col("syms"))).drop("syms", "url")
     ratios = train(coded)
     scored = with_score(coded, ratios)
-    least = threshold(scored, false_blocks)
+    least = threshold(scored)
     by_model = F.when(F.col("score") >= F.lit(least), F.lit("allow")).otherwise(F.lit("block"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")

@@ -32,7 +32,7 @@ def build(select: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    head = ",\n".join(CTES[n][0] if CTES[n][0].startswith(n) else f"{n} AS ({CTES[n][0]})" for n in order)
+    head = ",\n".join(CTES[n][0] if CTES[n][0].startswith(n) else f"{n} AS MATERIALIZED ({CTES[n][0]})" for n in order)
     return f"WITH RECURSIVE {head}\n{select}" if order else select
 
 

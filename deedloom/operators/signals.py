@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -131,34 +131,42 @@ def describe_records(records: DataFrame, signals: DataFrame, catalog: DataFrame)
     )
 
 
-# Containment without comparing every chunk with every signal of its case: a signal that occurs in a
-# text starts at some character of it. Signals are indexed by their first characters (their anchor);
-# texts offer a window at each digit, at each place where a long word can start, and shortly before
-# digits. Windows and anchors meet in an equality join, and the window then decides. Signals that
-# start in none of these ways are rare; only cases that have one offer windows everywhere.
-_WINDOW = 64
-_ANCHORS = (1, 2, 3, 5, 8)
-_WINDOW_PATTERNS = {
-    "digit": r"(?s)(?=([0-9].{0,63}))",
-    "near": r"(?s)(?=([^0-9]{1,8}[0-9].{0,55}))",
-    "word": r"(?=([" + fixed.WORD + r"]{6,64}))",
-    "other": r"(?s)(?=([^0-9].{0,63}))",
+# Containment without comparing every chunk with every signal of its case: a signal is known by a short piece
+# of it, its anchor: up to eight characters from its first digit on; the digit with the character before it
+# where the signal ends there; six letters of a title word; the first characters where there is no digit.
+# Texts offer the distinct pieces of these kinds, an equality join brings them together, and the few pairs
+# that meet are decided by looking the whole signal up in the whole text. So no length is lost.
+_LENGTHS = (1, 2, 4, 8)
+_OFFERS = {
+    "digit": r"(?s)(?=([0-9].{%d}))",
+    "tail": r"(?s)(?=(.[0-9]))",
+    "word": r"(?=([" + fixed.WORD + r"]{%d}))",
+    "plain": r"(?s)(?=(.{%d}))",
 }
 
 
-def _anchor(value: Column, cls: Column) -> Column:
-    size = F.length(value)
-    k = F.lit(_ANCHORS[0])
-    for n in _ANCHORS[1:]:
-        k = F.when(size >= n, F.lit(n)).otherwise(k)
-    return F.left(value, F.when(F.endswith(cls, F.lit("word")), F.lit(fixed.TITLE_WORD_MIN)).otherwise(k))
+def _anchor(value: Column, title: Column) -> Column:
+    """kind and text of the anchor of a signal."""
+    before = F.length(F.regexp_extract(value, r"(?s)^[^0-9]*", 0))
+    tail = F.substring(value, before + 1, F.lit(_LENGTHS[-1]))
 
+    def first(c: Column) -> Column:
+        k = F.lit(_LENGTHS[0])
+        for n in _LENGTHS[1:]:
+            k = F.when(F.length(c) >= n, F.lit(n)).otherwise(k)
+        return F.left(c, k)
 
-def _probes(form: str, kind: str, lengths: list[int], c: Column) -> list[Column]:
-    """Anchors of the given lengths at each window of one class."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_WINDOW_PATTERNS[kind]), F.lit(1)))
-    probe = lambda n: lambda w: F.struct(F.lit(f"{form}:{kind}").alias("cls"), F.left(w, F.lit(n)).alias("anchor"), w.alias("window"))
-    return [F.transform(F.filter(found, lambda w: F.length(w) >= n), probe(n)) for n in lengths]
+    piece = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("anchor"))
+    return (
+        F.when(title, piece("word", F.left(value, F.lit(fixed.TITLE_WORD_MIN))))
+        .when(F.length(tail) == 0, piece("plain", first(value)))
+        .when((F.length(tail) == 1) & (before > 0), piece("tail", F.substring(value, before, F.lit(2))))
+        .otherwise(piece("digit", first(tail)))
+    )
+
+
+def _offer(cls: str, piece: Column) -> Column:
+    return F.struct(F.lit(cls).alias("cls"), piece.alias("anchor"))
 
 
 def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
@@ -168,50 +176,44 @@ def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
     and title words in the lower-case text.
     """
     value = F.col("normalized_value")
-    joinish = F.col("signal_type").isin("akt_nr", "date_ref", "lob_suffix")
-    kind = (
-        F.when(F.col("signal_type") == "title_word", "word").when(value.rlike("^[0-9]"), "digit")
-        .when(value.rlike("(?s)^[^0-9]{1,8}[0-9]"), "near").otherwise("other")
-    )
+    joined = F.col("signal_type").isin("akt_nr", "date_ref", "lob_suffix")
     # written out once: it is read several times, and the planner then knows whether it is small enough to broadcast
     index = materialize(
         signals.select("case_id", "signal_type", "normalized_value", "signal_key").distinct()
-        .withColumn("cls", F.concat(F.when(joinish, "joined:").otherwise("lower:"), kind))
-        .withColumn("anchor", _anchor(value, F.col("cls")))
+        .withColumn("_a", _anchor(value, F.col("signal_type") == "title_word"))
+        .select("case_id", "signal_type", "normalized_value", "signal_key",
+                F.concat(F.when(joined, "joined:").otherwise("lower:"), "_a.kind").alias("cls"), F.col("_a.anchor").alias("anchor"))
     )
     texts = chunks.select(*CHUNK, T.match_key("text").alias("_n"), F.lower("text").alias("_l"))
-    # which classes and anchor lengths occur: at most seven times five rows, whatever the data
-    used: dict[str, list[int]] = {}
-    for r in index.select("cls", F.length("anchor").alias("k")).distinct().collect():
-        used.setdefault(r["cls"], []).append(r["k"])
-
-    def near(only: Column, rows: DataFrame, classes: list[str]) -> DataFrame:
-        probes = []
-        for c in classes:
-            form, kind_ = c.split(":")
-            probes += _probes(form, kind_, sorted(used[c]), F.col("_n") if form == "joined" else F.col("_l"))
-        at = rows.select(*CHUNK, F.explode(F.concat(*probes)).alias("_p")).select(*CHUNK, "_p.*")
-        hit = F.startswith(F.col("window"), F.left(value, F.lit(_WINDOW)))
-        return at.join(index.where(only), ["case_id", "cls", "anchor"]).where(hit).select(*CHUNK, "signal_type", "normalized_value", "signal_key")
-
-    usual = sorted(c for c in used if not c.endswith(":other"))
-    rare = sorted(c for c in used if c.endswith(":other"))
-    rare_cases = index.where(F.endswith("cls", F.lit(":other"))).select("case_id").distinct()
-
-    def found(only: Column) -> DataFrame | None:
-        parts = [near(only, texts, usual)] if usual else []
-        if rare:
-            parts.append(near(only, texts.join(rare_cases, "case_id", "left_semi"), rare))
-        return reduce(DataFrame.unionByName, parts).distinct() if parts else None
-
-    short, is_long = F.length(value) <= _WINDOW, F.length(value) > _WINDOW
-    out = found(short)
-    if out is None:
-        out = texts.join(index, "case_id").select(*CHUNK, "signal_type", "normalized_value", "signal_key").where(F.lit(False))
-    if not index.where(is_long).isEmpty():
-        whole = F.when(joinish, F.contains(F.col("_n"), value)).otherwise(F.contains(F.col("_l"), value))
-        out = out.unionByName(found(is_long).join(texts, list(CHUNK)).where(whole).drop("_n", "_l"))
-    return out.withColumn("weight", _by_type(1, F.col("signal_type")).cast("int"))
+    # which kinds and lengths of anchors occur: at most eight times four rows, whatever the data
+    used = sorted(index.select("cls", F.length("anchor").alias("k")).distinct().collect())
+
+    def offers(rows: DataFrame, plain: bool) -> DataFrame:
+        """Distinct pieces of each text."""
+        lists = []
+        for cls, k in used:
+            form, kind = cls.split(":")
+            if (kind == "plain") == plain:
+                pattern = _OFFERS[kind]
+                if "%d" in pattern:
+                    pattern = pattern % (k - 1 if kind == "digit" else k)
+                found = F.array_distinct(F.regexp_extract_all(F.col("_n" if form == "joined" else "_l"), F.lit(pattern), F.lit(1)))
+                lists.append(F.transform(found, partial(_offer, cls)))
+        each = F.concat(*lists) if lists else F.array().cast("array<struct<cls:string,anchor:string>>")
+        return rows.select(*CHUNK, F.explode(each).alias("_p")).select(*CHUNK, "_p.*")
+
+    # only cases that have a signal without digits offer pieces from every character
+    bare = index.where(F.endswith("cls", F.lit(":plain"))).select("case_id").distinct()
+    every = offers(texts, False).unionByName(offers(texts.join(bare, "case_id", "left_semi"), True))
+    near = every.join(index, ["case_id", "cls", "anchor"]).groupBy(*CHUNK).agg(
+        F.collect_list(F.struct("signal_type", "normalized_value", "signal_key", "cls")).alias("_s")
+    )
+    # the candidates of a chunk are a part of its case's signals and meet its text once
+    holds = lambda x: F.when(F.startswith(x["cls"], F.lit("joined")), F.contains("_n", x["normalized_value"])).otherwise(F.contains("_l", x["normalized_value"]))
+    sure = texts.join(near, list(CHUNK)).select(*CHUNK, F.explode(F.filter("_s", holds)).alias("_x"))
+    return sure.select(*CHUNK, "_x.signal_type", "_x.normalized_value", "_x.signal_key").withColumn(
+        "weight", _by_type(1, F.col("signal_type")).cast("int")
+    )
 
 
 def score_chunks(chunks: DataFrame, signals: DataFrame) -> DataFrame:

@@ -340,7 +340,7 @@ def test_lm_filter_levels():
     keys = np.unique(rng.integers(0, 2**63, 20000, dtype=np.uint64))
     counts = rng.integers(1, 5000, len(keys))
     pieces = {b: lm_score.build_piece(keys[keys % np.uint64(3) == b], counts[keys % np.uint64(3) == b]) for b in range(3)}
-    held = lm_score.Filter(pieces, 3)
+    held = lm_score.Filter(pieces.items(), 3)
     level, exact = held.levels(keys), np.floor(np.log2(counts)).astype(int) + 1
     assert (level >= exact).all() and (level == exact).mean() > 0.95
     assert (held.levels(rng.integers(0, 2**63, 20000, dtype=np.uint64)) > 0).mean() < 0.05

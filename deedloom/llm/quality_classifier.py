@@ -101,10 +101,13 @@ def key_of(model: np.ndarray, session) -> object:
 
     @F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("key", T.DoubleType())]))
     def keys(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        found = [buckets(t, bits) for t in texts]
-        weight = np.array([shared.value[b].sum() for b in found], float)
+        # buckets of one text at a time: a batch may hold many megabytes of text
+        sizes, weight = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            found = buckets(text, bits)
+            sizes[i], weight[i] = (len(found) + 1) // 2, shared.value[found].sum()
         noise = gumbel(ids.fillna(-1).to_numpy(np.int64))
-        return pd.DataFrame({"n_words": [(len(b) + 1) // 2 for b in found], "log_weight": weight, "key": weight + noise})
+        return pd.DataFrame({"n_words": sizes, "log_weight": weight, "key": weight + noise})
 
     return keys
 

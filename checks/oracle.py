@@ -707,7 +707,7 @@ cte(
     "parcels",
     rf"""
  SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY case_id, parcel_key ORDER BY pos, i) AS rn FROM (
-  SELECT case_id, pos, i, lower(num) AS matrikelnummer, {pkey('num')} AS parcel_key, trim(regexp_replace(district, '[{BLANK}]+', ' ', 'g')) AS landsejerlav, area::int AS areal_m2 FROM (
+  SELECT case_id, pos, i, lower(num) AS matrikelnummer, {pkey('num')} AS parcel_key, trim(regexp_replace(district, '[{BLANK}]+', ' ', 'g')) AS landsejerlav, area::bigint AS areal_m2 FROM (
    SELECT case_id, pos, unnest(regexp_extract_all(t, '{{P}}', 1)) AS district, unnest(regexp_extract_all(t, '{{P}}', 2)) AS num, unnest(regexp_extract_all(t, '{{P}}', 3)) AS area,
      generate_subscripts(regexp_extract_all(t, '{{P}}', 1), 1) - 1 AS i
    FROM (SELECT d.case_id, d.pos, string_agg(text, chr(10) ORDER BY page_number) AS t FROM documents_meta d JOIN (SELECT *, row_number() OVER (PARTITION BY case_id, document_id ORDER BY page_number) AS r FROM clean_pages) p

@@ -28,7 +28,7 @@ def parcel_blocks(c: Column | str) -> Column:
         lambda z: F.struct(
             F.lower(z["number"]).alias("matrikelnummer"),
             F.trim(F.regexp_replace(z["district"], "[" + fixed.BLANK + "]+", " ")).alias("landsejerlav"),
-            F.try_to_number(z["area"], F.lit("9999999999")).cast("int").alias("areal_m2"),
+            z["area"].try_cast("bigint").alias("areal_m2"),
         ),
     )
 

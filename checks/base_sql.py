@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from deedloom.sources.fixtures import ADMIN_LINE
+
 CASE = "'case-' || lang || '-' || (doc_id % 5)::varchar"
 
 
@@ -36,6 +38,15 @@ def build(select: str, *needs: str) -> str:
     return f"WITH RECURSIVE {head}\n{select}" if order else select
 
 
+def sentence(words: int) -> str:
+    """The shortest whole sentence with at least that many words."""
+    pattern = " +".join(["[^ ]+"] * words)
+    return (
+        "list_sort([{'n': length(x), 'x': x} FOR x IN [trim(y) FOR y IN string_split(replace(text, chr(10), ' '), '.')] "
+        f"IF regexp_matches(x, '{pattern}')])[1].x"
+    )
+
+
 cte(
     "raw_pages",
     f"""
@@ -45,16 +56,20 @@ cte(
         'Areal: ' || (200 + doc_id % 50)::varchar || ' m2' || {NL} || {NL} || {NL} ||
         'Landsejerlav: Skibet By' || {NL} || 'Matrikelnummer: ' || (doc_id % 9 + 1)::varchar || 'a' || {NL} || 'Areal: 77 m2' ||
         chr(13) || {NL} || chr(13) || {NL} || body
-        WHEN doc_id % 50 = 7 AND page_number = 1 THEN 'DSS 88303021 76_AR-A 31 Bulk Sort / Hvid ' || body
-        WHEN (doc_id + page_number) % 11 = 0 THEN ''
-        WHEN (doc_id + page_number) % 7 = 0 THEN '## 12 -- ab .. --'
+        WHEN doc_id % 50 = 7 AND page_number = 1 THEN '{ADMIN_LINE} ' || body
         WHEN (doc_id + page_number) % 3 = 0 THEN body || {NL} || {NL} || 'Deklaration tinglyst ' || {ref('doc_id')} ||
              ' akt 40 F ' || (doc_id % 13)::varchar || {NL} || {NL} || 'Vedr. matr.nr. ' || (doc_id % 9 + 1)::varchar || 'a'
         ELSE body END AS text
- FROM (SELECT doc_id, lang, pos // 6 + 1 AS page_number, string_agg(line, {NL} || {NL} ORDER BY pos) AS body
+ FROM (SELECT *, max(page_number) OVER (PARTITION BY doc_id) AS n FROM (
+       SELECT doc_id, lang, pos // 6 + 1 AS page_number, string_agg(line, {NL} || {NL} ORDER BY pos) AS body
        FROM (SELECT doc_id, lang, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos
              FROM (SELECT doc_id, lang, string_split(text, {NL}) AS l FROM documents))
-       GROUP BY doc_id, lang, pos // 6 + 1)""",
+       GROUP BY doc_id, lang, pos // 6 + 1))
+ UNION ALL
+ SELECT {CASE} AS case_id, 'doc-' || doc_id::varchar AS document_id, lines // 6 + 1 + unnest(range(1, len(more) + 1)) AS page_number, unnest(more) AS text
+ FROM (SELECT doc_id, lang, len(string_split(text, {NL})) - 1 AS lines,
+         CASE WHEN doc_id % 11 = 0 THEN [''] ELSE [] END || CASE WHEN doc_id % 7 = 0 THEN ['## 17 -- xy .. --'] ELSE [] END AS more
+       FROM documents)""",
 )
 
 STRIP_SET = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(8239) || chr(12288)"
@@ -105,13 +120,13 @@ cte(
         WHEN doc_id % 36 = 0 THEN 'Deklaration fra 19' || (50 + doc_id % 40)::varchar
         ELSE {ref('doc_id')} END AS date_reference,
    CASE WHEN doc_id % 24 = 0 THEN NULL WHEN doc_id % 44 = 0 THEN 'F-4' ELSE '40 F ' || (doc_id % 13)::varchar END AS akt_nr,
-   trim(substr(replace(text, chr(10), ' '), 1, 40)) AS title,
+   {sentence(3)} AS title,
    CASE WHEN doc_id % 16 = 0 THEN []::varchar[] ELSE [(doc_id % 9 + 1)::varchar || 'A'] END AS applies_to_matrikler,
    NULL::varchar AS summary,
    CASE WHEN doc_id % 8 = 0 THEN 'Vejle Amt' END AS beneficiary,
    CASE WHEN doc_id % 16 = 0 THEN NULL ELSE 'attest-linje' END AS raw_scope_text,
    ((doc_id % 10) / 10.0)::double AS confidence
- FROM documents WHERE doc_id % 4 = 0""",
+ FROM documents""",
 )
 
 cte(
@@ -125,15 +140,15 @@ cte(
         WHEN 4 THEN NULL
         ELSE '0' || (k % 9 + 1)::varchar || '.02.19' || (50 + k % 40)::varchar END AS date_reference,
    CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 17 = 1 THEN 'B-77' ELSE '40-F ' || (doc_id % 16)::varchar END AS akt_nr,
-   trim(substr(replace(text, chr(10), ' '), 1, 30)) AS title,
-   CASE WHEN doc_id % 5 < 3 THEN substr(replace(text, chr(10), ' '), 1, 60) END AS summary,
+   {sentence(4)} AS title,
+   CASE WHEN doc_id % 5 < 3 THEN {sentence(8)} END AS summary,
    CASE WHEN doc_id % 7 < 4 THEN 'Kommunen' END AS beneficiary,
    CASE WHEN doc_id % 11 < 6 THEN 'tilstand' END AS disposition_type,
    CASE WHEN doc_id % 13 < 6 THEN 'privatretlig' END AS legal_type,
    CASE WHEN doc_id % 9 < 3 THEN 'Ingen' END AS action_note,
    CASE WHEN doc_id % 10 = 0 THEN []::varchar[] ELSE [(doc_id % 9 + 1)::varchar || 'b'] END AS applies_to_matrikler,
    ((doc_id % 8) / 8.0)::double AS confidence
- FROM (SELECT *, doc_id - doc_id % 4 AS k FROM documents WHERE doc_id % 4 <> 0)""",
+ FROM (SELECT *, doc_id - doc_id % 4 AS k FROM documents)""",
 )
 
 cte(
@@ -180,10 +195,9 @@ cte(
 cte(
     "file_manifest",
     f"""
- SELECT {CASE} AS case_id, 'doc-' || lpad(doc_id::varchar, 9, '0') || CASE WHEN doc_id % 9 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.pdf' END AS name,
-   CASE WHEN doc_id % 6 = 5 THEN substr(text, 1, 12) ELSE text END AS content,
-   TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id % 500)::int) AS modified_at, doc_id
- FROM documents""",
+ SELECT {CASE} AS case_id, 'doc-' || lpad(doc_id::varchar, 9, '0') || again || CASE WHEN doc_id % 9 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.pdf' END AS name,
+   text AS content, TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id % 500)::int) AS modified_at, doc_id
+ FROM (SELECT *, unnest(CASE WHEN doc_id % 6 = 5 THEN ['', '-kopi'] ELSE [''] END) AS again FROM documents)""",
 )
 
 _ITEM = (

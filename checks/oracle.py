@@ -1017,3 +1017,60 @@ oracle(
     """SELECT case_id, 'doc-' || substr(sha256(case_id || '|' || content_hash), 1, 8) AS document_id, name AS filename, 'akt' AS document_type, 'pending' AS parse_status FROM audit WHERE outcome = 'imported'""",
     "audit",
 )
+
+# ---- merging of register records ------------------------------------------------------------------------------
+def kkey(x: str) -> str:
+    return f"nullif(regexp_replace(lower({x}), '[^0-9a-z]+', '', 'g'), '')"
+
+
+cte(
+    "merge_items",
+    f"""
+ SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS n, 'doc-' || (ord // 80)::varchar AS doc, {dmy('date_reference')} AS registered_at,
+   {kkey('date_reference')} AS dk, {kkey('akt_nr')} AS ak, {kkey('title')} AS tk, length({strip("coalesce(title, '')")}) AS tlen,
+   [(ord % 7 + 1)::int, (ord % 9 + 2)::int] AS pages
+ FROM (SELECT case_id, ord * 2 AS ord, date_reference, akt_nr, title, applies_to_matrikler AS applies, raw_scope_text AS scope_text, confidence FROM canonicals
+       UNION ALL
+       SELECT case_id, ord * 2 + 1, date_reference, akt_nr, title, applies_to_matrikler, summary, confidence FROM deed_items)""",
+    "canonicals",
+    "deed_items",
+)
+# one step per list position: the clusters so far are a list of structs
+cte(
+    "folded",
+    """folded AS (
+ SELECT case_id, n, ord AS home, [{'f': ord, 'd': dk, 'a': ak, 't': tk, 'tl': tlen, 'doc': doc, 'pages': pages}] AS cl FROM merge_items WHERE n = 1
+ UNION ALL
+ SELECT case_id, n, CASE WHEN pos IS NULL THEN ord ELSE cl[pos].f END,
+   CASE WHEN pos IS NULL THEN list_append(cl, {'f': ord, 'd': dk, 'a': ak, 't': tk, 'tl': tlen, 'doc': doc, 'pages': pages})
+   ELSE list_concat(list_append(cl[1:pos - 1], {'f': cl[pos].f, 'd': cl[pos].d, 'a': coalesce(cl[pos].a, ak), 't': CASE WHEN tlen > cl[pos].tl THEN tk ELSE cl[pos].t END,
+     'tl': greatest(tlen, cl[pos].tl), 'doc': cl[pos].doc, 'pages': list_distinct(list_concat(cl[pos].pages, pages))}), cl[pos + 1:]) END
+ FROM (SELECT i.*, cl, coalesce(nullif(list_position([c.d = i.dk FOR c IN cl], true), 0), nullif(list_position([c.a = i.ak FOR c IN cl], true), 0),
+         nullif(list_position([c.t = i.tk AND c.doc = i.doc AND (list_has_any(c.pages, i.pages) OR abs(list_min(c.pages) - list_min(i.pages)) <= 1) FOR c IN cl], true), 0)) AS pos
+       FROM folded p JOIN merge_items i ON i.case_id = p.case_id AND i.n = p.n + 1))""",
+    "merge_items",
+)
+cte("merge_homes", " SELECT i.*, home FROM merge_items i JOIN folded f USING (case_id, n)", "merge_items", "folded")
+oracle(
+    "merge_attest",
+    f"""SELECT case_id, founder, members, confidence, date_reference, source_document, 'attest' AS scope_source, registered_at, akt_nr, title, raw_scope_text,
+  CASE WHEN members = 1 THEN raw ELSE coalesce(once, '') END AS applies_to_matrikler, first_page,
+  row_number() OVER (PARTITION BY case_id ORDER BY first_page, coalesce(registered_at::varchar, ''), coalesce(date_reference, ''), coalesce(title, ''), founder) - 1 AS priority
+ FROM (SELECT case_id, home AS founder, count(*) AS members, max(confidence) AS confidence, arg_min({{'v': date_reference}}, ord).v AS date_reference,
+         arg_min(doc, ord) AS source_document, arg_min(registered_at, ord) FILTER (registered_at IS NOT NULL) AS registered_at,
+         arg_min(akt_nr, ord) FILTER (coalesce(akt_nr, '') <> '') AS akt_nr,
+         arg_max({{'v': CASE WHEN ord = home THEN title ELSE {strip('title')} END}}, (tlen, -ord)).v AS title,
+         arg_max({{'v': CASE WHEN ord = home THEN scope_text ELSE {strip('scope_text')} END}}, (length({strip("coalesce(scope_text, '')")}), -ord)).v AS raw_scope_text,
+         arg_min(array_to_string(applies, ','), ord) AS raw, min(list_min(pages)) AS first_page
+       FROM merge_homes GROUP BY ALL)
+ LEFT JOIN (SELECT case_id, home AS founder, string_agg(v, ',' ORDER BY o, p) AS once FROM (
+         SELECT case_id, home, v, min(ord) AS o, arg_min(p, (ord, p)) AS p FROM (SELECT case_id, home, ord, unnest(applies) AS v, generate_subscripts(applies, 1) AS p FROM merge_homes)
+         WHERE v <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (case_id, founder)""",
+    "merge_homes",
+)
+oracle(
+    "merged_evidence",
+    """SELECT case_id, home AS founder, doc AS document_id, page, title AS text_excerpt, 'c' AS chunk_id, min(ord) AS ord
+ FROM (SELECT case_id, home, doc, title, ord, unnest(pages) AS page FROM merge_homes) GROUP BY ALL""",
+    "merge_homes",
+)

@@ -1,6 +1,7 @@
-"""Order-dependent clustering of records, worked out in rounds instead of row by row.
+"""Order-dependent clustering of records.
 
-Both rules read records in list order and compare each with the clusters so far. Here every round
+Both rules read records in list order and compare each with the clusters so far. Small scopes of the
+merge are folded in a task each, by lookups. Everything else is worked out in rounds: every round
 derives all cluster states from the current assignment at once, with grouping and equality joins, and
 reassigns every record; the first wrong record in order is right after each round, so the assignment
 settles, and a settled one is exactly the sequential result. No case is gathered in one task. Rounds
@@ -9,9 +10,11 @@ hold keys and numbers only and are written out, so lineage stays short and lost
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from deedloom import fixed
@@ -19,6 +22,8 @@ from deedloom.functions import dates as D, text as T
 from deedloom.operators.positions import position
 from deedloom.session import materialize
 
+# records of a scope that one task may fold
+FOLD_ROWS = 20_000
 _COMPLETE = ("beneficiary", "summary", "disposition_type", "legal_type", "action_note")
 
 
@@ -162,12 +167,54 @@ def _assign(items: DataFrame, pages: DataFrame, current: DataFrame, scope: Seque
     )
 
 
-def merge_groups(records: DataFrame, pages: DataFrame, scope: Sequence[str]) -> DataFrame:
+def _fold(rows: pd.DataFrame, scope: Sequence[str]) -> pd.DataFrame:
+    """Founders of one small scope in list order. Clusters are looked up by date, archive id and title, never scanned."""
+    by_date: dict[str, int] = {}
+    by_akt: dict[str, int] = {}
+    by_title: dict[tuple[str, str], list[int]] = {}
+    state: dict[int, list] = {}  # founder -> archive id, title key, title length, document, pages
+    found = []
+    rows = rows.sort_values("ord")
+    for n, dk, ak, tk, tlen, doc, pages in rows[["ord", "dk", "ak", "tk", "tlen", "doc", "pages"]].itertuples(index=False):
+        own = set() if pages is None else set(pages)
+        home = by_date.get(dk)
+        if home is None:
+            home = by_akt.get(ak)
+        if home is None and tk and own:
+            for f in by_title.get((doc, tk), ()):
+                theirs = state[f][4]
+                if theirs and (theirs & own or abs(min(theirs) - min(own)) <= fixed.SEGMENT_OVERLAP_PAGES):
+                    home = f
+                    break
+        if home is None:
+            home = n
+            state[n] = [None, None, -1, doc, set()]
+            if dk:
+                by_date.setdefault(dk, n)
+        cluster = state[home]
+        if cluster[0] is None and ak:
+            cluster[0] = ak
+            by_akt[ak] = min(home, by_akt.get(ak, home))
+        if tlen > cluster[2]:
+            if cluster[1]:
+                by_title[(cluster[3], cluster[1])].remove(home)
+            cluster[1], cluster[2] = tk, tlen
+            if tk:
+                insort(by_title.setdefault((cluster[3], tk), []), home)
+        cluster[4] |= own
+        found.append(home)
+    return rows[[*scope, "ord"]].assign(founder=found)
+
+
+def merge_groups(records: DataFrame, pages: DataFrame, scope: Sequence[str], small: int = FOLD_ROWS) -> DataFrame:
     """(scope, ord, founder): the cluster every record ends in (first half of AGG-21).
 
     In list order a record joins the cluster with its date reference, else the first one holding its
     archive id, else the first one with its current title in the same document on near pages; else it
     founds a cluster. `pages` lists the evidence pages: scope, ord, page.
+
+    Scopes of at most `small` records are folded in one task each; larger ones are never gathered and are
+    worked out in rounds, with the same result.
     """
     title = T.strip(F.coalesce("title", F.lit("")))
     items = materialize(
@@ -177,6 +224,18 @@ def merge_groups(records: DataFrame, pages: DataFrame, scope: Sequence[str]) ->
         )
     )
     pages = materialize(pages.select(*scope, "ord", "page").distinct())
+    large = materialize(items.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).drop("n"))
+    listed = pages.where("page is not null").groupBy(*scope, "ord").agg(F.collect_list("page").alias("pages"))
+    few = items.join(large, list(scope), "left_anti").join(listed, [*scope, "ord"], "left")
+    kinds = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in scope)
+    folded = few.groupBy(*scope).applyInPandas(partial(_fold, scope=list(scope)), f"{kinds}, ord long, founder long")
+    if large.isEmpty():
+        return materialize(folded)
+    return materialize(folded).unionByName(_in_rounds(items.join(large, list(scope), "left_semi"), pages.join(large, list(scope), "left_semi"), scope))
+
+
+def _in_rounds(items: DataFrame, pages: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Founders of large scopes: all cluster states from the assignment, all records reassigned, until nothing moves."""
     first = lambda k: items.where(f"{k} is not null").groupBy(*scope, k).agg(F.min("ord").alias(f"first_{k}"))
     guess = items.join(first("dk"), [*scope, "dk"], "left").join(first("ak"), [*scope, "ak"], "left").select(
         *scope, "ord", F.coalesce(F.least("first_dk", "first_ak"), "ord").alias("founder")

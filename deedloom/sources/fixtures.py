@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from deedloom import fixed
 
 PAGE_LINES = 6
+# a cover line that the administrative page pattern knows
+ADMIN_LINE = "DSS 41207755 19_BR-C 08 Bulk Sort / Hvid"
 SPREAD_BY = {"documents": "doc_id", "lineitem": "l_orderkey"}
 
 
@@ -36,33 +38,42 @@ def _reference(key: str) -> str:
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per page: six source lines each, with register terms injected."""
+    """One row per page: six source lines each, with register terms added; some documents get a blank or a poor page more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.split("text", "\n").alias("l"))
     bodies = F.expr(
         f"transform(sequence(0, cast((size(l) - 1) div {PAGE_LINES} as int)), "
         f"i -> array_join(slice(l, i * {PAGE_LINES} + 1, {PAGE_LINES}), '\\n\\n'))"
     )
-    pages = docs.select("doc_id", "lang", F.posexplode(bodies).alias("p", "body")).withColumn(
-        "page_number", F.col("p") + 1
-    )
+    none = "cast(array() as array<string>)"
+    more = F.expr(f"concat(if(doc_id % 11 = 0, array(''), {none}), if(doc_id % 7 = 0, array('## 17 -- xy .. --'), {none}))")
+    whole = docs.select("doc_id", "lang", bodies.alias("b")).withColumns({"n": F.size("b"), "b": F.concat("b", more)})
+    pages = whole.select("doc_id", "lang", "n", F.posexplode("b").alias("p", "body")).withColumn("page_number", F.col("p") + 1)
     return pages.selectExpr(
         f"{_case()} as case_id",
         "concat('doc-', cast(doc_id as string)) as document_id",
         "page_number",
         f"""case
+          when page_number > n then body
           when doc_id % 10 = 0 and page_number = 1 then concat(
             'Landsejerlav:  Vejle\\tMarkjorder \\nMatrikelnummer: 000', cast(doc_id % 7 + 1 as string), 'A\\n',
             'Areal: ', cast(200 + doc_id % 50 as string), ' m2\\n\\n\\n',
             'Landsejerlav: Skibet By\\nMatrikelnummer: ', cast(doc_id % 9 + 1 as string), 'a\\nAreal: 77 m2\\r\\n\\r\\n', body)
-          when doc_id % 50 = 7 and page_number = 1 then concat('DSS 88303021 76_AR-A 31 Bulk Sort / Hvid ', body)
-          when (doc_id + page_number) % 11 = 0 then ''
-          when (doc_id + page_number) % 7 = 0 then '## 12 -- ab .. --'
+          when doc_id % 50 = 7 and page_number = 1 then concat('{ADMIN_LINE} ', body)
           when (doc_id + page_number) % 3 = 0 then concat(body, '\\n\\n', 'Deklaration tinglyst ', {_reference('doc_id')},
              ' akt 40 F ', cast(doc_id % 13 as string), '\\n\\n', 'Vedr. matr.nr. ', cast(doc_id % 9 + 1 as string), 'a')
           else body end as text""",
     )
 
 
+def _sentence(words: int) -> str:
+    """The shortest whole sentence of the text with at least that many words; null if there is none."""
+    pattern = " +".join(["[^ ]+"] * words)
+    return (
+        f"array_min(transform(filter(transform(split(replace(text, '\\n', ' '), '[.]'), x -> trim(x)), x -> x rlike '{pattern}'), "
+        "x -> named_struct('n', length(x), 'x', x))).x"
+    )
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document metadata; every tenth document is a register extract."""
     return table(spark, sf_dir, "documents").selectExpr(
@@ -80,8 +91,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonicals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Register records in list order (`ord`), one per fourth document, some without date or archive id."""
-    return table(spark, sf_dir, "documents").where("doc_id % 4 = 0").selectExpr(
+    """Register records in list order (`ord`), one per document, some without date or archive id."""
+    return table(spark, sf_dir, "documents").selectExpr(
         f"{_case()} as case_id",
         "doc_id as ord",
         "concat('srv-', cast(doc_id as string)) as servitut_id",
@@ -92,7 +103,7 @@ def canonicals(spark: SparkSession, sf_dir: str) -> DataFrame:
                else {_reference('doc_id')} end as date_reference""",
         "case when doc_id % 24 = 0 then cast(null as string) when doc_id % 44 = 0 then 'F-4' "
         "else concat('40 F ', cast(doc_id % 13 as string)) end as akt_nr",
-        "trim(substr(replace(text, '\\n', ' '), 1, 40)) as title",
+        f"{_sentence(3)} as title",
         "case when doc_id % 16 = 0 then array() else array(concat(cast(doc_id % 9 + 1 as string), 'A')) end as applies_to_matrikler",
         "cast(null as string) as summary",
         "case when doc_id % 8 = 0 then 'Vejle Amt' end as beneficiary",
@@ -103,7 +114,7 @@ def canonicals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records read from deeds, in arrival order (`ord`), pointing at nearby register records in several spellings."""
-    near = table(spark, sf_dir, "documents").where("doc_id % 4 <> 0").selectExpr("*", "doc_id - doc_id % 4 as k")
+    near = table(spark, sf_dir, "documents").selectExpr("*", "doc_id - doc_id % 4 as k")
     return near.selectExpr(
         f"{_case()} as case_id",
         "doc_id as ord",
@@ -117,8 +128,8 @@ def deed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                else concat('0', cast(k % 9 + 1 as string), '.02.19', cast(50 + k % 40 as string)) end as date_reference""",
         "case when doc_id % 3 = 0 then cast(null as string) when doc_id % 17 = 1 then 'B-77' "
         "else concat('40-F ', cast(doc_id % 16 as string)) end as akt_nr",
-        "trim(substr(replace(text, '\\n', ' '), 1, 30)) as title",
-        "case when doc_id % 5 < 3 then substr(replace(text, '\\n', ' '), 1, 60) end as summary",
+        f"{_sentence(4)} as title",
+        f"case when doc_id % 5 < 3 then {_sentence(8)} end as summary",
         "case when doc_id % 7 < 4 then 'Kommunen' end as beneficiary",
         "case when doc_id % 11 < 6 then 'tilstand' end as disposition_type",
         "case when doc_id % 13 < 6 then 'privatretlig' end as legal_type",
@@ -189,11 +200,12 @@ def register_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of an import folder with their content; exact copies in the prose give duplicates."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    """Files of an import folder with their whole content; every sixth file comes a second time under another name."""
+    docs = table(spark, sf_dir, "documents").selectExpr("*", "explode(if(doc_id % 6 = 5, array('', '-kopi'), array(''))) as again")
+    return docs.selectExpr(
         f"{_case()} as case_id",
-        "concat('doc-', lpad(cast(doc_id as string), 9, '0'), case when doc_id % 9 = 0 then '.txt' when doc_id % 2 = 0 then '.PDF' else '.pdf' end) as name",
-        "cast(case when doc_id % 6 = 5 then substr(text, 1, 12) else text end as binary) as content",
+        "concat('doc-', lpad(cast(doc_id as string), 9, '0'), again, case when doc_id % 9 = 0 then '.txt' when doc_id % 2 = 0 then '.PDF' else '.pdf' end) as name",
+        "cast(text as binary) as content",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 500 as int)) as modified_at",
         "doc_id",
     )

@@ -237,7 +237,8 @@ TYPED = f"""CASE WHEN {{asked}} IN ('akt', 'tinglysningsattest') THEN {{asked}}
   WHEN {NM} THEN 'tinglysningsattest' ELSE 'akt' END"""
 oracle(
     "classify_documents",
-    f"SELECT d.document_id, filename, {TYPED.format(asked='lower(trim(requested_type))')} AS document_type FROM documents_meta d LEFT JOIN heads h USING (document_id)",
+    f"""SELECT d.document_id, filename, {TYPED.format(asked="CASE WHEN pos % 33 <> 1 THEN lower(trim(requested_type)) END")} AS document_type,
+  CASE WHEN pos % 33 = 1 THEN {lit(fixed.TYPE_MESSAGE)} END AS type_error FROM documents_meta d LEFT JOIN heads h USING (document_id)""",
     "documents_meta",
     "heads",
 )
@@ -520,7 +521,9 @@ ENRICH = """c.case_id, c.ord, coalesce(i.document_id, c.source_document) AS sour
   array_to_string(CASE WHEN len(c.applies_to_matrikler) = 0 AND c.raw_scope_text IS NULL AND len(i.applies_to_matrikler) > 0 THEN i.applies_to_matrikler ELSE c.applies_to_matrikler END, ',') AS applies"""
 oracle(
     "merge_best",
-    f"""SELECT {ENRICH.format(conf='i.confidence')} FROM canon_c c LEFT JOIN counts m ON m.case_id = c.case_id AND m.ord = c.ord
+    f"""SELECT {ENRICH.format(conf='i.confidence')}, CASE WHEN i.ord IS NULL THEN CASE WHEN c.ord % 3 > 0 THEN 'attest' END
+   WHEN len(c.applies_to_matrikler) = 0 AND c.raw_scope_text IS NULL THEN 'akt' ELSE 'attest' END AS scope_source,
+   coalesce(i.ord % 7 = 0, false) AS construction_relevance FROM canon_c c LEFT JOIN counts m ON m.case_id = c.case_id AND m.ord = c.ord
   LEFT JOIN items_c i ON i.case_id = c.case_id AND i.ord = m.deed_ord""",
     "canon_c",
     "counts",
@@ -1074,3 +1077,30 @@ oracle(
  FROM (SELECT case_id, home, doc, title, ord, unnest(pages) AS page FROM merge_homes) GROUP BY ALL""",
     "merge_homes",
 )
+oracle(
+    "report_prompt",
+    f"""SELECT c.case_id, coalesce(n, 0) AS records, 8192 AS max_tokens, {lit(AS_OF)} AS day, '[' || coalesce(array_to_string(['"' || x || '"' FOR x IN target_matrikler], ', '), '') || ']' AS targets
+ FROM record_cases c LEFT JOIN (SELECT case_id, count(*) AS n FROM report_inputs GROUP BY 1) USING (case_id)""",
+    "record_cases",
+    "report_inputs",
+)
+oracle(
+    "chat_blocks",
+    f"""SELECT conv_id, turn, {strip("CASE WHEN text = '' THEN 'slut ' ELSE text || chr(10) || 'slut ' END")} AS content FROM conversations""",
+)
+oracle(
+    "report_final",
+    f"""SELECT case_id, servitut_id, row_number() OVER (PARTITION BY case_id ORDER BY {SORT_DATE}, servitut_id) AS nr, description, scope, raw_text FROM (
+  SELECT e.case_id, e.servitut_id, i.date_reference, e.raw_text,
+    CASE WHEN k % 2 = 1 THEN e.description WHEN n % 2 = 1 THEN 'Tekst' WHEN i.title IS NULL OR i.title = '' THEN ' - ' ELSE {lit(fixed.TEXT_NO_DEED_PREFIX)} || i.title END AS description,
+    CASE WHEN k % 2 = 1 THEN e.scope WHEN n % 5 = 0 THEN 'Ja' ELSE 'Nej' END AS scope
+  FROM (SELECT *, split_part(servitut_id, '-', 2)::int AS n, right(case_id, 1)::int AS k FROM report_inputs) i
+  JOIN report_entries e ON e.case_id = i.case_id AND e.servitut_id = i.servitut_id)""",
+    "report_inputs",
+    "report_entries",
+)
+oracle(
+    "report_notes",
+    "SELECT DISTINCT case_id, 'n' AS notes FROM report_inputs WHERE right(case_id, 1)::int % 2 = 0",
+    "report_inputs",
+)

@@ -138,7 +138,8 @@ def admin_pages(s, d):
 
 @query
 def classify_documents(s, d):
-    return P.classify_documents(X.documents(s, d), _pages(s, d)).select("document_id", "filename", "document_type")
+    asked = X.documents(s, d).withColumn("requested_type", F.when(F.col("pos") % 33 == 1, F.lit("skøde")).otherwise(F.col("requested_type")))
+    return P.classify_documents(asked, _pages(s, d)).select("document_id", "filename", "document_type", "type_error")
 
 
 @query
@@ -303,8 +304,10 @@ ENRICHED = ["case_id", "ord", "source_document", "date_reference", "akt_nr", "ti
 
 @query
 def merge_best(s, d):
-    return L.merge_best(X.canonicals(s, d), X.deed_items(s, d)).select(
-        *ENRICHED, F.array_join("applies_to_matrikler", ",").alias("applies")
+    canon = X.canonicals(s, d).selectExpr("*", "case when ord % 3 > 0 then 'attest' end as scope_source", "false as construction_relevance")
+    deeds = X.deed_items(s, d).selectExpr("*", "'akt' as scope_source", "ord % 7 = 0 as construction_relevance")
+    return L.merge_best(canon, deeds).select(
+        *ENRICHED, F.array_join("applies_to_matrikler", ",").alias("applies"), "scope_source", "construction_relevance"
     )
 
 
@@ -454,25 +457,70 @@ def json_records(s, d):
     )
 
 
-@query
-def report_answers(s, d):
-    """Report entries parsed from answers and completed from the records by id or date."""
-    inputs = R.report_inputs(X.records(s, d), X.record_cases(s, d), AS_OF)
-    keyed = inputs.select("case_id", "servitut_id", "date_reference", "title")
+def _report_answers(inputs, unknown: bool):
+    """One stored answer per report record, some with an id that no record has."""
     n = F.split_part("servitut_id", F.lit("-"), F.lit(2)).cast("int")
     entry = F.to_json(
         F.struct(
-            F.when(n % 3 == 0, F.lit("ukendt")).otherwise(F.col("servitut_id")).alias("servitut_id"), F.col("date_reference"),
+            F.when((n % 3 == 0) & F.lit(unknown), F.lit("ukendt")).otherwise(F.col("servitut_id")).alias("servitut_id"), F.col("date_reference"),
             F.when(n % 2 == 0, F.lit(" - ")).otherwise(F.lit("Tekst")).alias("description"),
             F.when(n % 5 == 0, F.lit("Ja")).otherwise(F.lit("Nej")).alias("scope"), F.when(n % 7 == 0, F.lit(True)).alias("relevant_for_project"),
         )
     )
-    answers = keyed.select("case_id", F.concat(F.lit('```json\n{"notes": "n", "entries": ['), entry, F.lit("]}\n```")).alias("response_text"))
-    entries, _ = A.report_payload(answers)
+    return inputs.select("case_id", F.concat(F.lit('```json\n{"notes": "n", "entries": ['), entry, F.lit("]}\n```")).alias("response_text"))
+
+
+@query
+def report_answers(s, d):
+    """Report entries parsed from answers and completed from the records by id or date."""
+    inputs = R.report_inputs(X.records(s, d), X.record_cases(s, d), AS_OF)
+    entries, _ = A.report_payload(_report_answers(inputs, True))
     done = R.answered_entries(entries.drop("answer_nr"), inputs, X.register_documents(s, d))
     return done.select("case_id", "servitut_id", "date_reference", "description", "action", "scope", "relevant_for_project", "raw_text")
 
 
+def _final(s, d):
+    """Even cases have answers; those of odd cases hold no object."""
+    inputs = R.report_inputs(X.records(s, d), X.record_cases(s, d), AS_OF)
+    odd = F.right("case_id", F.lit(1)).cast("int") % 2 == 1
+    answers = _report_answers(inputs, False).withColumn("response_text", F.when(odd, F.lit("intet svar")).otherwise(F.col("response_text")))
+    return R.final_report(X.records(s, d), X.record_cases(s, d), X.register_documents(s, d), answers, AS_OF)
+
+
+@query
+def report_final(s, d):
+    """The report of every case, from its answer or from its records alone."""
+    return _final(s, d)[0].select("case_id", "servitut_id", "nr", "description", "scope", "raw_text")
+
+
+@query
+def report_notes(s, d):
+    return _final(s, d)[1]
+
+
+REPORT_TEMPLATE = "Dato: {as_of_date}\nMål: {target_matrikler_json}\nAlle: {all_matrikler_json}\n{evidence_text}Servitutter:\n{servitutter_json}\n"
+
+
+@query
+def report_prompt(s, d):
+    """Report prompts, read back: records shown, date and targets."""
+    cases = X.record_cases(s, d)
+    p = A.report_prompts(R.report_inputs(X.records(s, d), cases, AS_OF), cases, REPORT_TEMPLATE, AS_OF)
+    shown = p.select("case_id", "max_tokens", F.regexp_count("prompt", F.lit('"servitut_id"')).alias("n"), F.regexp_extract("prompt", r"^Dato: (.*)", 1).alias("day"),
+                     F.regexp_extract("prompt", r"\nMål: (.*)", 1).alias("targets"))
+    return shown.groupBy("case_id", "max_tokens", "day", "targets").agg(F.sum("n").alias("records"))
+
+
+@query
+def chat_blocks(s, d):
+    """Responses whose body is a list of text blocks."""
+    from deedloom.functions import jsonx as J
+
+    c = X.table(s, d, "conversations")
+    body = F.concat(F.lit('{"content": [{"type": "text", "text": '), J.quoted(F.col("text")), F.lit('}, {"type": "tool"}, {"text": "slut "}]}'))
+    return c.select("conv_id", "turn", J.chat_text(body).alias("content"))
+
+
 @query
 def chat_content(s, d):
     from deedloom.functions import jsonx as J
@@ -776,8 +824,7 @@ def _event_stream(s, d):
 @query
 def stream_job_state(s, d):
     e = _event_stream(s, d).selectExpr("concat('job-', cast(user_id as string)) as job_id", "ts", f"{STATUS} as status")
-    states = SJ.latest_update(SJ.drain(SJ.job_states(e), "update"), ["job_id"])
-    return SJ.job_status(states, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 86400).drop("started_at")
+    return SJ.job_status(SJ.job_states(e), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 86400).drop("started_at")
 
 
 STAGE = "case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'parsing' when 'purchase' then 'completed' else 'failed' end"
@@ -786,14 +833,13 @@ STAGE = "case event_type when 'signup' then 'queued' when 'view' then 'running'
 @query
 def stream_progress(s, d):
     e = _event_stream(s, d).selectExpr("concat('doc-', cast(user_id as string)) as doc_id", "ts", f"{STAGE} as stage", "round(value / 100, 4) as progress")
-    return SJ.latest_update(SJ.drain(SJ.progress_latest(e), "update"), ["doc_id"])
+    return SJ.progress_latest(e)
 
 
 @query
 def stream_progress_windows(s, d):
     e = _event_stream(s, d).selectExpr("cast(ts as timestamp) as ts", f"{STAGE} as stage")
-    done = SJ.latest_update(SJ.drain(SJ.progress_windows(e), "update"), ["window_start", "stage"])
-    return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "stage", "events")
+    return SJ.progress_windows(e).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "stage", "events")
 
 
 @query
@@ -808,7 +854,7 @@ def stream_import(s, d):
     schema = X.table(s, d, "documents").schema
     docs = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     files = docs.selectExpr("cast(text as binary) as content", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 500 as int)) as modificationTime")
-    return SJ.drain(SJ.new_contents(files), "append").select("content_hash")
+    return SJ.new_contents(files).select("content_hash")
 
 
 # ---- composed extraction ------------------------------------------------------------------------------------------

@@ -111,6 +111,8 @@ JOB_ACTIVE = [
 ]
 JOB_HEARTBEAT_TIMEOUT = 300
 JOB_READY_TIMEOUT = 600
+JOB_WAITING = "waiting_for_login"
+TYPE_MESSAGE = "document_type must be 'akt' or 'tinglysningsattest'"
 PROGRESS_FINISHED = ["completed", "failed", "skipped"]
 
 # --- fixed values: patterns (Java regex syntax) ---

@@ -88,7 +88,7 @@ def quoted(c: Column) -> Column:
 
 
 def chat_text(c: Column | str) -> Column:
-    """Text of the first choice of a stored chat response: a string, or its text parts joined (JSN-08)."""
+    """Text of a stored chat response (JSN-08): its first choice as a string or as text parts joined, else its text blocks joined."""
     v = F.try_parse_json(col(c))
     content = F.try_variant_get(v, "$.choices[0].message.content", "variant")
     whole = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
@@ -97,4 +97,6 @@ def chat_text(c: Column | str) -> Column:
         F.filter(parts, lambda p: F.try_variant_get(p, "$.type", "string") == "text"), lambda p: F.try_variant_get(p, "$.text", "string")
     )
     joined = F.array_join(F.filter(texts, lambda x: x != ""), "\n")
-    return F.nullif(strip(F.coalesce(whole, joined)), F.lit(""))
+    blocks = F.transform(F.try_variant_get(v, "$.content", "array<variant>"), lambda b: F.try_variant_get(b, "$.text", "string"))
+    plain = F.array_join(F.filter(blocks, lambda x: x != ""), "\n")
+    return F.nullif(strip(F.coalesce(whole, joined, plain)), F.lit(""))

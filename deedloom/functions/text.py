@@ -225,11 +225,14 @@ def excerpt(c: Column | str, n: int = 300) -> Column:
 
 
 def validated_type(c: Column | str) -> Column:
-    """Requested document type, trimmed and lowered; any other text raises (TXT-37)."""
+    """Requested document type, trimmed and lowered; null for any other text, which `type_error` names (TXT-37)."""
     t = F.lower(strip(c))
-    known = t.isin(fixed.DEED_TYPE, fixed.REGISTER_TYPE)
-    msg = F.lit("document_type must be 'akt' or 'tinglysningsattest'")
-    return F.when(col(c).isNull(), F.lit(None).cast("string")).when(known, t).otherwise(F.raise_error(msg).cast("string"))
+    return F.when(t.isin(fixed.DEED_TYPE, fixed.REGISTER_TYPE), t)
+
+
+def type_error(c: Column | str) -> Column:
+    """Message for a requested type that is not known, else null: one bad row does not stop a job."""
+    return F.when(col(c).isNotNull() & validated_type(c).isNull(), F.lit(fixed.TYPE_MESSAGE))
 
 
 def chunk_block(doc: Column | str, page: Column | str, index: Column | str, text: Column | str) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from deedloom import fixed
 from deedloom.functions import dates as D, jsonx as J, text as T
 from deedloom.operators.linkage import answer_confidence
-from deedloom.operators.positions import first_per_key
+from deedloom.operators.positions import first_per_key, position, running_total
 
 DOC = ("case_id", "document_id")
-MAX_PROMPT_CHARS = 2_000_000
+# characters of a list that one prompt shows; a longer list makes several prompts
+PART_CHARS = 2_000_000
 
 
 def token_budget(source_type: Column | str) -> Column:
@@ -55,28 +56,27 @@ def chunks_text(chunks: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame:
     )
 
 
-def bounded_lists(rows: DataFrame, key: str, order: str, text: str, out: str, sep: str, limit: int = MAX_PROMPT_CHARS) -> DataFrame:
-    """Texts of a key joined in order, where they fit a prompt at all; longer ones get null and their size.
+def list_parts(rows: DataFrame, key: str, order: str, text: str, out: str, sep: str, limit: int = PART_CHARS) -> DataFrame:
+    """Texts of a key joined in order, in parts of about `limit` characters; nothing is left out.
 
-    Sizes are added up before anything is collected, so no oversized group ever reaches one task.
+    `order` is an integer column. Sizes are added up block by block, so no long list reaches one task.
     """
-    sizes = rows.groupBy(key).agg(F.sum(F.length(text) + len(sep)).alias("prompt_chars"))
-    fits = rows.join(sizes.where(F.col("prompt_chars") <= limit).select(key), key, "left_semi")
-    joined = fits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_l")).select(
-        key, F.array_join(F.transform("_l", lambda x: x[text]), sep).alias(out)
+    at = running_total(rows.select(key, order, text), [key], order, (F.length(text) + len(sep)).cast("long"), "_at")
+    parts = at.withColumn("part", F.floor(F.col("_at") / limit).cast("int"))
+    return parts.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_l")).select(
+        key, "part", F.array_join(F.transform("_l", lambda x: x[text]), sep).alias(out)
     )
-    return sizes.join(joined, key, "left")
 
 
-def canonical_json(canonicals: DataFrame, limit: int = MAX_PROMPT_CHARS) -> DataFrame:
-    """Register records of a case as the JSON list a prompt shows (JSN-07)."""
+def canonical_json(canonicals: DataFrame, limit: int = PART_CHARS) -> DataFrame:
+    """Register records of a case as JSON lists a prompt can show, one per part (JSN-07)."""
     item = F.concat(
         F.lit('  {\n    "date_reference": '), J.quoted(F.col("date_reference")), F.lit(',\n    "akt_nr": '),
         J.quoted(F.col("akt_nr")), F.lit(',\n    "title": '), J.quoted(F.col("title")), F.lit("\n  }"),
     )
     rows = canonicals.select("case_id", "ord", item.alias("item"))
-    return bounded_lists(rows, "case_id", "ord", "item", "_items", ",\n", limit).select(
-        "case_id", "prompt_chars", F.concat(F.lit("[\n"), F.col("_items"), F.lit("\n]")).alias("canonical_json")
+    return list_parts(rows, "case_id", "ord", "item", "_items", ",\n", limit).select(
+        "case_id", "part", F.concat(F.lit("[\n"), F.col("_items"), F.lit("\n]")).alias("canonical_json")
     )
 
 
@@ -94,9 +94,10 @@ def report_input_json(inputs: DataFrame) -> DataFrame:
 
 
 def deed_prompts(chunks: DataFrame, canonicals: DataFrame, documents: DataFrame, parcels: DataFrame, template: str) -> DataFrame:
-    """One enrichment prompt per deed from its selected chunks (JSN-09).
+    """Enrichment prompts of each deed from its selected chunks, one per part of the register list (JSN-09).
 
-    `parcels` has case_id and all_matrikler. Cases whose register list fits no prompt give an error row.
+    `parcels` has case_id and all_matrikler. The list is part of the prompt by definition; it stays one part
+    unless it is longer than a prompt.
     """
     texts = chunks_text(chunks)
     lists = canonical_json(canonicals)
@@ -105,13 +106,31 @@ def deed_prompts(chunks: DataFrame, canonicals: DataFrame, documents: DataFrame,
     parcels_json = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("all_matrikler", F.array().cast("array<string>")), J.quoted), ", "), F.lit("]"))
     prompt = F.lit(template)
     for mark, value in (
-        ("{canonical_json}", F.col("canonical_json")), ("{all_matrikler_json}", parcels_json),
+        ("{canonical_json}", F.coalesce("canonical_json", F.lit("[]"))), ("{all_matrikler_json}", parcels_json),
         ("{akt_dok_hint}", F.coalesce("filename", "document_id")), ("{chunks_text}", F.col("chunks_text")),
     ):
         prompt = F.replace(prompt, F.lit(mark), value)
     return rows.select(
-        *DOC, prompt.alias("prompt"), F.lit(fixed.DEED_TOKENS).alias("max_tokens"),
-        F.when(F.col("canonical_json").isNull(), "prompt too large").alias("error"),
+        *DOC, F.coalesce("part", F.lit(0)).alias("part"), prompt.alias("prompt"), F.lit(fixed.DEED_TOKENS).alias("max_tokens"),
+        F.lit(None).cast("string").alias("error"),
+    ).withColumn("prompt_hash", F.sha2("prompt", 256))
+
+
+def report_prompts(inputs: DataFrame, cases: DataFrame, template: str, day: str | None = None, limit: int = PART_CHARS) -> DataFrame:
+    """Report prompts of each case, one per part of its record list (JSN-09)."""
+    listed = position(report_input_json(inputs), ["case_id"], {"d": F.col("sort_date")}, ["servitut_id"], "ord")
+    lists = list_parts(listed, "case_id", "ord", "json", "_items", ",\n", limit)
+    names = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(c, F.array().cast("array<string>")), J.quoted), ", "), F.lit("]"))
+    rows = cases.select("case_id", "target_matrikler", "available_matrikler").join(lists, "case_id", "left")
+    whole = F.coalesce(F.concat(F.lit("[\n"), F.col("_items"), F.lit("\n]")), F.lit("[]"))
+    prompt = F.lit(template)
+    for mark, value in (
+        ("{servitutter_json}", whole), ("{evidence_text}", F.lit("")), ("{target_matrikler_json}", names("target_matrikler")),
+        ("{all_matrikler_json}", names("available_matrikler")), ("{as_of_date}", F.lit(day or fixed.NO_AS_OF)),
+    ):
+        prompt = F.replace(prompt, F.lit(mark), value)
+    return rows.select(
+        "case_id", F.coalesce("part", F.lit(0)).alias("part"), prompt.alias("prompt"), F.lit(fixed.REPORT_TOKENS).alias("max_tokens")
     ).withColumn("prompt_hash", F.sha2("prompt", 256))
 
 

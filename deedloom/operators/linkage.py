@@ -179,7 +179,15 @@ def enriched(canonicals: DataFrame, deeds: DataFrame, on: Column) -> DataFrame:
             new[c] = F.coalesce(text(f"d_{c}"), mine)
     for c in _SCOPE:
         if f"d_{c}" in d_have and c in have:
-            new[c] = F.when(~own_scope & F.col(f"d_{c}").isNotNull(), F.col(f"d_{c}")).otherwise(F.col(c))
+            kind = deeds.schema[f"d_{c}"].dataType.typeName()
+            filled = lists(f"d_{c}") if kind == "array" else text(f"d_{c}").isNotNull() if kind == "string" else F.col(f"d_{c}").isNotNull()
+            new[c] = F.when(~own_scope & filled, F.col(f"d_{c}")).otherwise(F.col(c))
+    if "scope_source" in have:
+        # scope of its own without a source counts as the register's
+        unnamed = given & own_scope & text("scope_source").isNull()
+        new["scope_source"] = F.when(unnamed, F.lit("attest")).otherwise(new.get("scope_source", F.col("scope_source")))
+    if "construction_relevance" in have and "d_construction_relevance" in d_have:
+        new["construction_relevance"] = F.when(F.col("d_construction_relevance"), F.lit(True)).otherwise(F.col("construction_relevance"))
     if "registered_at" in have and "d_registered_at" in d_have:
         new["registered_at"] = F.coalesce("registered_at", "d_registered_at")
     if "evidence" in have and "d_evidence" in d_have:

@@ -157,6 +157,7 @@ def classify_documents(
         .when(by_name, fixed.REGISTER_TYPE)
         .otherwise(fixed.DEED_TYPE)
         .alias("document_type"),
+        T.type_error("requested_type").alias("type_error"),
     )
 
 

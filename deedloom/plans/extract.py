@@ -60,11 +60,8 @@ def canonical_from_answers(segments: DataFrame, chunks: DataFrame, answers: Data
         good.select("case_id", F.concat_ws("\x01", "document_id", F.col("segment_index").cast("string")).alias("document_id"), "source_type", "response_text")
     )
     part = lambda i: F.split_part("document_id", F.lit("\x01"), F.lit(i))
-    records = materialize(
-        rows.withColumns({"segment_index": part(2).cast("bigint"), "source_document": part(1)})
-        .withColumn("ord", F.col("segment_index") * 1_000_000 + F.col("pos")).drop("pos", "document_id", "priority")
-        .withColumn("document_id", F.col("source_document"))
-    )
+    keyed = rows.withColumns({"segment_index": part(2).cast("bigint"), "source_document": part(1), "document_id": part(1)})
+    records = materialize(position(keyed.drop("priority"), list(DOC), {"s": F.col("segment_index")}, ["pos"], "ord").drop("pos"))
     listed = G.segment_chunks(seg, chunks).select(*DOC, "segment_index", "page", "chunk_index", "chunk_id", F.left("text", F.lit(300)).alias("text_excerpt"))
     head = first_per_key(listed, [*DOC, "segment_index"], ["page", "chunk_index"], 3)
     nth = F.row_number().over(Window.partitionBy(*DOC, "segment_index").orderBy("page", "chunk_index"))

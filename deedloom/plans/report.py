@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deedloom import fixed
 from deedloom.functions import dates as D, parcels as P, text as T
+from deedloom.operators import answers as A
 from deedloom.operators.positions import first_per_key, position
 from deedloom.session import materialize
 
@@ -121,13 +122,35 @@ def fallback_entries(inputs: DataFrame, register_docs: DataFrame) -> DataFrame:
     return fill_empty(entries)
 
 
+def _numbered_fallback(inputs: DataFrame, register_docs: DataFrame) -> DataFrame:
+    """Fallback entries with their number. Numbers come from three columns, before any text is joined."""
+    numbers = number_entries(inputs.select("case_id", "servitut_id", "date_reference")).drop("date_reference")
+    return fallback_entries(inputs, register_docs).join(numbers, ["case_id", "servitut_id"])
+
+
 def build_report(records: DataFrame, cases: DataFrame, register_docs: DataFrame, day: str | None = None) -> DataFrame:
-    """Numbered report entries of every case (deterministic branch).
+    """Numbered report entries of every case, from its records alone.
 
     The chosen records are written once: evidence, entries and numbering each read a few of their columns.
     """
+    return _numbered_fallback(materialize(report_inputs(records, cases, day)), register_docs).select(*ENTRY_COLUMNS)
+
+
+def final_report(
+    records: DataFrame, cases: DataFrame, register_docs: DataFrame, answers: DataFrame, day: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Entries and notes of every case: from its answer where that holds an object, else from its records (SET-02).
+
+    `answers` has case_id and response_text. Entries are sorted by date and numbered anew either way.
+    """
     inputs = materialize(report_inputs(records, cases, day))
-    return number_entries(fallback_entries(inputs, register_docs)).select(*ENTRY_COLUMNS)
+    entries, notes = A.report_payload(answers)
+    entries, notes = materialize(entries), materialize(notes)
+    have = notes.select("case_id").distinct()
+    told = answered_entries(entries, inputs.join(have, "case_id", "left_semi"), register_docs)
+    told = position(told.withColumn("_d", D.sort_date("date_reference")), ["case_id"], {"d": F.col("_d")}, ["answer_nr", "servitut_id"], "nr").drop("_d")
+    alone = _numbered_fallback(inputs.join(have, "case_id", "left_anti"), register_docs)
+    return told.select(*ENTRY_COLUMNS).unionByName(alone.select(*ENTRY_COLUMNS)), notes.where("notes is not null").distinct()
 
 
 def answered_entries(payload: DataFrame, inputs: DataFrame, register_docs: DataFrame) -> DataFrame:

@@ -13,54 +13,68 @@ from deedloom.session import shared_folder
 from deedloom.sources.imports import BINARY_SCHEMA
 
 
-def drain(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over everything available and return what it wrote, one folder per batch.
+def _base(spark: SparkSession, folder: str | None) -> str:
+    return folder or f"{shared_folder(spark).rstrip('/')}/deedloom-stream-{uuid.uuid4().hex}"
 
-    Output goes to files, never through the driver; `batch` tells later updates from earlier ones.
-    Rerunning a batch overwrites its own folder, so a restart leaves no duplicates.
+
+def gathered(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """Runs a stream over everything available and returns what `partial` makes of each batch.
+
+    What is kept lives in a table, one folder per batch, not in a state store: it needs no watermark, so no late
+    row is lost, and no memory that grows with the keys. Rerunning a batch overwrites its own folder. With a
+    `folder` the next run goes on where the last one ended.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark).rstrip('/')}/deedloom-stream-{uuid.uuid4().hex}"
-    out = f"{base}/out"
+    base = _base(spark, folder)
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def step(batch: DataFrame, batch_id: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", checkpoint or f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
-    return spark.read.schema(schema).option("basePath", out).parquet(out)
+    _run(stream, step, base)
+    return _kept(spark, schema, f"{base}/out")
 
 
-def latest_update(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Last state of each key among the updates a stream wrote."""
-    values = [c for c in updates.columns if c not in (*keys, "batch")]
-    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_s"))
-    return last.select(*keys, "_s.*")
+def _run(stream: DataFrame, step: Callable[[DataFrame, int], None], base: str) -> None:
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """State of each job from its status events (STR-02).
+def _kept(spark: SparkSession, schema: StructType, out: str) -> DataFrame:
+    """All batches so far; the folder of an empty batch makes sure that there is one."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).option("basePath", out).parquet(out)
 
-    `events` has job_id, ts and status. The first terminal status ends a job; until then the newest
-    status counts. Both are plain aggregates, so events of a busy job are combined before the shuffle
-    and may arrive late or in any order.
-    """
+
+def _job_part(events: DataFrame) -> DataFrame:
     terminal = F.col("status").isin(*fixed.JOB_TERMINAL)
     return events.groupBy("job_id").agg(
         F.min(F.when(terminal, F.struct("ts", "status"))).alias("ended"),
         F.max(F.struct("ts", "status")).alias("newest"),
+        F.min(F.when(F.col("status") == fixed.JOB_WAITING, F.col("ts"))).alias("waiting_since"),
         F.max(F.when(~terminal, F.col("ts"))).alias("last_active"),
         F.min("ts").alias("started_at"),
     )
 
 
-def job_status(states: DataFrame, now: Column, timeout: int = fixed.JOB_HEARTBEAT_TIMEOUT) -> DataFrame:
-    """Current status: ended, failed for lack of a heartbeat, or the newest."""
-    silent = F.timestamp_diff("SECOND", F.col("newest.ts"), now) > timeout
+def job_states(events: DataFrame) -> DataFrame:
+    """State of each job from its status events, stored or streamed (STR-02).
+
+    `events` has job_id, ts and status. The first terminal status ends a job; until then the newest
+    status counts. All are plain aggregates, so events of a busy job are combined before the shuffle
+    and may arrive late or in any order.
+    """
+    if not events.isStreaming:
+        return _job_part(events)
+    return gathered(events, _job_part).groupBy("job_id").agg(
+        F.min("ended").alias("ended"), F.max("newest").alias("newest"), F.min("waiting_since").alias("waiting_since"),
+        F.max("last_active").alias("last_active"), F.min("started_at").alias("started_at"),
+    )
+
+
+def job_status(states: DataFrame, now: Column, timeout: int = fixed.JOB_HEARTBEAT_TIMEOUT, ready: int = fixed.JOB_READY_TIMEOUT) -> DataFrame:
+    """Current status: ended, failed for lack of a heartbeat or of the user's sign while it waits, or the newest."""
+    waiting = (F.col("newest.status") == fixed.JOB_WAITING) & (F.timestamp_diff("SECOND", F.col("waiting_since"), now) > ready)
+    silent = (F.timestamp_diff("SECOND", F.col("newest.ts"), now) > timeout) | F.coalesce(waiting, F.lit(False))
     status = F.when(F.col("ended").isNotNull(), F.col("ended.status")).when(silent, F.lit("failed")).otherwise(F.col("newest.status"))
     return states.select(
         "job_id", status.alias("status"), F.coalesce("ended.ts", "newest.ts").alias("last_heartbeat_at"), "started_at",
@@ -68,19 +82,25 @@ def job_status(states: DataFrame, now: Column, timeout: int = fixed.JOB_HEARTBEA
     )
 
 
+def _progress_part(events: DataFrame) -> DataFrame:
+    return events.groupBy("doc_id").agg(F.max(F.struct("ts", "stage", "progress")).alias("m"), F.count(F.lit(1)).alias("events"))
+
+
 def progress_latest(events: DataFrame) -> DataFrame:
-    """Newest stage of each document and how many events it sent (STR-03)."""
-    return events.groupBy("doc_id").agg(
-        F.max(F.struct("ts", "stage", "progress")).alias("_m"), F.count(F.lit(1)).alias("events")
-    ).select("doc_id", F.col("_m.ts").alias("ts"), F.col("_m.stage").alias("stage"), F.col("_m.progress").alias("progress"), "events")
+    """Newest stage of each document and how many events it sent, stored or streamed (STR-03)."""
+    parts = gathered(events, _progress_part) if events.isStreaming else _progress_part(events)
+    return parts.groupBy("doc_id").agg(F.max("m").alias("m"), F.sum("events").alias("events")).select("doc_id", "m.ts", "m.stage", "m.progress", "events")
 
 
-def progress_windows(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Events per stage in tumbling windows; windows close once the watermark has passed (STR-03)."""
-    return (
-        events.withWatermark("ts", late).groupBy(F.window("ts", width), "stage").agg(F.count(F.lit(1)).alias("events"))
-        .select(F.col("window.start").alias("window_start"), "stage", "events")
-    )
+def progress_windows(events: DataFrame, width: str = "1 day") -> DataFrame:
+    """Events per stage in tumbling windows, late ones included (STR-03)."""
+
+    def part(e: DataFrame) -> DataFrame:
+        counts = e.groupBy(F.window("ts", width).alias("w"), "stage").agg(F.count(F.lit(1)).alias("events"))
+        return counts.select(F.col("w.start").alias("window_start"), "stage", "events")
+
+    parts = gathered(events, part) if events.isStreaming else part(events)
+    return parts.groupBy("window_start", "stage").agg(F.sum("events").alias("events"))
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,10 +108,24 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
 
 
-def new_contents(files: DataFrame, when: str = "modificationTime", horizon: str = "30 days") -> DataFrame:
-    """Files whose content was not seen within the horizon (STR-01)."""
-    hashed = files.withColumn("content_hash", F.sha2("content", 256)).drop("content")
-    return hashed.withWatermark(when, horizon).dropDuplicatesWithinWatermark(["content_hash"])
+def new_contents(files: DataFrame, folder: str | None = None) -> DataFrame:
+    """Files whose content was never stored before, of all batches so far (STR-01).
+
+    Each batch is compared with every stored hash, however old; with a `folder` also with those of earlier runs.
+    """
+    spark = files.sparkSession
+    out = f"{(base := _base(spark, folder))}/out"
+    hashed = lambda df: df.withColumn("content_hash", F.sha2("content", 256)).drop("content")
+    schema = hashed(spark.createDataFrame([], files.schema)).schema
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        # a batch that is run again must not meet its own rows
+        known = _kept(spark, schema, out).where(F.col("batch") != batch_id).select("content_hash")
+        fresh = hashed(batch).dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti")
+        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    _run(files, step, base)
+    return _kept(spark, schema, out).drop("batch")
 
 
 def process_changed(stream: DataFrame, signature: Callable[[DataFrame], DataFrame], read_state: Callable[[], DataFrame],

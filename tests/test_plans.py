@@ -77,8 +77,27 @@ def test_import_from_a_folder(spark, tmp_path):
 def test_stream_of_files_drops_known_contents(spark, tmp_path):
     for name, content in [("a.pdf", b"one"), ("b.PDF", b"one"), ("c.pdf", b"two"), ("d.txt", b"three")]:
         (tmp_path / name).write_bytes(content)
-    got = SJ.drain(SJ.new_contents(SJ.file_stream(spark, str(tmp_path))), "append")
+    src, store = tmp_path / "in", str(tmp_path / "store")
+    src.mkdir()
+    for f in list(tmp_path.glob("*.*")):
+        f.rename(src / f.name)
+    got = SJ.new_contents(SJ.file_stream(spark, str(src)), store)
     assert got.select("content_hash").distinct().count() == got.count() == 2
+    # a later run meets all stored contents, however old the new file is
+    (src / "e.pdf").write_bytes(b"two")
+    (src / "f.pdf").write_bytes(b"four")
+    os.utime(src / "f.pdf", (0, 0))
+    again = SJ.new_contents(SJ.file_stream(spark, str(src)), store)
+    assert again.count() == again.select("content_hash").distinct().count() == 3
+
+
+def test_waiting_jobs_end_after_the_limit(spark):
+    t = datetime.datetime(2024, 1, 1)
+    ev = spark.createDataFrame(
+        [(j, t + datetime.timedelta(seconds=n), "waiting_for_login") for j, n in (("j1", 0), ("j1", 590), ("j2", 400), ("j2", 590))], "job_id string, ts timestamp, status string"
+    )
+    now = F.lit(t + datetime.timedelta(seconds=650))
+    assert {r.job_id: r.status for r in SJ.job_status(SJ.job_states(ev), now).collect()} == {"j1": "failed", "j2": "waiting_for_login"}
 
 
 def test_job_states(spark):

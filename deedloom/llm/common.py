@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -64,6 +65,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
     return df.mapInArrow(run, fields)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for the jobs run inside, as texts may be long; the session's value comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """Marks a written table for broadcast if its rows surely fit `limit`; otherwise the planner shuffles it."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

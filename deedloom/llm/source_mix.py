@@ -78,17 +78,18 @@ def _depth(n: int) -> int:
     return max(1, math.ceil(math.log(max(n, 1), FAN) - 1e-9))
 
 
-def _hand_down(roots: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
-    """Quotas of the leaves (a, b, weight) below roots (a, q): columns a, b, q."""
+def _hand_down(roots: DataFrame | int, leaves: DataFrame, depth: int) -> DataFrame:
+    """Quotas of the leaves (a, b, weight) below roots (a, q), or below one root of that many seats: columns a, b, q."""
     split = F.udf(apportion, "array<long>")
-    now = roots.select("a", F.lit(0).cast("long").alias("b"), "q")
+    now = roots if isinstance(roots, int) else roots.select("a", F.lit(0).cast("long").alias("b"), "q")
     for level in reversed(range(depth)):
         node = F.floor(F.col("b") / F.lit(FAN**level)).cast("long")
         below = leaves.groupBy("a", node.alias("c")).agg(F.sum("weight").alias("w"))
         families = below.groupBy("a", F.floor(F.col("c") / FAN).cast("long").alias("b")).agg(
             F.array_sort(F.collect_list(F.struct("c", "w"))).alias("kids")
         )
-        shared = families.join(now, ["a", "b"]).withColumn("qs", split("q", F.col("kids.w")))
+        given = families.withColumn("q", F.lit(now).cast("long")) if isinstance(now, int) else families.join(now, ["a", "b"])
+        shared = given.withColumn("qs", split("q", F.col("kids.w")))
         now = shared.select("a", F.explode(F.arrays_zip(F.col("kids.c").alias("c"), F.col("qs").alias("q"))).alias("k")).select(
             "a", F.col("k.c").alias("b"), F.col("k.q").alias("q")
         )
@@ -152,7 +153,7 @@ def mix(
     )
     parts = materialize(placed.groupBy("rank", "shard").agg(F.sum("size").alias("words")))
     of_source = _hand_down(
-        src.sparkSession.createDataFrame([(0, seats)], "a long, q long"),
+        seats,
         src.select(F.lit(0).cast("long").alias("a"), F.col("rank").alias("b"), F.round(F.col("target") * 1024).cast("long").alias("weight")),
         _depth(sources),
     )

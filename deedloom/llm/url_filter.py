@@ -89,8 +89,8 @@ def train(judged: DataFrame) -> list[int]:
     c1 = cells.groupBy("c3").agg(F.sum("g").alias("g1"), F.sum("b").alias("b1"))
     n3 = cells.groupBy("c1", "c2").agg(F.sum("g").alias("gn3"), F.sum("b").alias("bn3"))
     n2 = cells.groupBy("c2").agg(F.sum("g").alias("gn2"), F.sum("b").alias("bn2"))
-    n1 = cells.agg(F.sum("g").alias("gn1"), F.sum("b").alias("bn1")).withColumn("one", F.lit(1))
-    full = cells.withColumn("one", F.lit(1)).join(n1, "one").join(c1, "c3").join(n2, "c2").join(c2, ["c2", "c3"]).join(n3, ["c1", "c2"])
+    good, bad = cells.agg(F.sum("g"), F.sum("b")).first()
+    full = cells.withColumns({"gn1": F.lit(good), "bn1": F.lit(bad)}).join(c1, "c3").join(n2, "c2").join(c2, ["c2", "c3"]).join(n3, ["c1", "c2"])
 
     def p(s: str) -> str:
         first = f"(({s}1 + {PRIOR} / {A}) / ({s}n1 + {PRIOR}))"

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +31,13 @@ def local_session(cpus: str | None = None) -> SparkSession:
     return spark
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediates: the one the cluster names; a scratch folder only in local tests."""
+    if _SCOPE.get():
+        return _SCOPE.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
@@ -50,3 +58,19 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/deedloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[str]:
+    """Everything written inside goes to a folder of its own, which is deleted at the end.
+
+    Results must be stored elsewhere before the scope ends, as plans read what was written.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/deedloom-scope-{uuid.uuid4().hex}"
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

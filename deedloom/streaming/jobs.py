@@ -104,8 +104,9 @@ def progress_windows(events: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """PDF files as they arrive in a folder."""
-    return spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+    """PDF files as they arrive in a folder, however old their time stamp is."""
+    reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", "*.[pP][dD][fF]")
+    return reader.option("maxFileAge", "36500d").load(folder)
 
 
 def new_contents(files: DataFrame, folder: str | None = None) -> DataFrame:

@@ -174,3 +174,11 @@ def test_statistics(spark):
     chunks = spark.createDataFrame([("c", "en servitut"), ("c", "intet")], "case_id string, text string")
     r = S.reading_evaluation(pages, chunks).first()
     assert (r.mean_confidence, r.total_chars, r.chunks, r.keyword_chunks) == (0.9, 6, 2, 1)
+
+
+def test_intermediates_leave_nothing_behind(spark, tmp_path):
+    from deedloom.session import intermediates, materialize
+
+    with intermediates(spark) as folder:
+        assert materialize(spark.range(10)).count() == 10 and len(os.listdir(folder)) == 1
+    assert not os.path.exists(folder)

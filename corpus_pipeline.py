@@ -2,7 +2,8 @@
 
 Each stage works on all rows that its predecessor kept. The first four return documents with their own columns; the
 last returns what the mix takes of each document. Nulls, empty texts, repeated rows, empty tables and further columns
-are handled as the operators state; labels and benchmark are the tables beside the documents.
+are handled as the operators state; labels and benchmark are the tables beside the documents. The stages bound
+the session's Arrow batches, as whole texts are long.
 """
 
 from __future__ import annotations
@@ -10,32 +11,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from deedloom.llm import decontaminate, quality_classifier, quality_rules, simhash, source_mix
-from deedloom.llm.common import table
+from deedloom.llm.common import bound_batches, table
 from deedloom.session import materialize
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    bound_batches(spark)
     return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bound_batches(spark)
     return quality_rules.keep(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    bound_batches(spark)
     return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
+    bound_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
+    bound_batches(spark)
     return source_mix.mix(docs)
 
 

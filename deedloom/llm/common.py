@@ -65,16 +65,24 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
     return df.mapInArrow(run, fields)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows in this session: whole texts are long, and a worker holds a batch several times."""
+    before = int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, min(rows, before) if before > 0 else rows)
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of at most `rows` rows for the jobs run inside, as texts may be long; the session's value comes back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The same for the jobs run inside; the session's value comes back."""
+    before = spark.conf.get(BATCH)
+    bound_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH, before)
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:

@@ -1104,3 +1104,5 @@ oracle(
     "SELECT DISTINCT case_id, 'n' AS notes FROM report_inputs WHERE right(case_id, 1)::int % 2 = 0",
     "report_inputs",
 )
+oracle("browse_chunks", f"SELECT case_id, document_id, chunk_index FROM chunks WHERE page = 2 AND ({KW})", "chunks")
+oracle("scoring_compatible", "SELECT case_id, NOT bool_or(pos % 50 = 7) AS compatible FROM documents_meta GROUP BY 1", "documents_meta")

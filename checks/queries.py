@@ -913,3 +913,15 @@ def extract_records(s, d):
 @query
 def ingest_documents(s, d):
     return EX.ingest_documents(_audit(s, d))
+
+
+@query
+def browse_chunks(s, d):
+    return P.browse_chunks(_chunks(s, d), page=2, relevant=True).select("case_id", "document_id", "chunk_index")
+
+
+@query
+def scoring_compatible(s, d):
+    """Some stored rows lack their chunk details."""
+    fields = "case when pos % 50 = 7 then '{\"selection_summary\": {}, \"rules\": []}' else '{\"selection_summary\": {}, \"rules\": [], \"chunk_details\": []}' end as json"
+    return SO.compatible(X.documents(s, d).selectExpr("case_id", fields))

@@ -104,6 +104,7 @@ BATCH_STATES = {
 }
 BATCH_STATE_QUEUED = ("I kø", "Afventer behandling")
 CONFIDENCE_BANDS = ("God", "Lav", "Tom")
+SCORING_FIELDS = ("selection_summary", "rules", "chunk_details")
 JOB_TERMINAL = ["completed", "failed", "cancelled"]
 JOB_ACTIVE = [
     "pending", "browser_started", "waiting_for_login", "login_confirmed", "searching_property",

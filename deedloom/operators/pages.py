@@ -202,3 +202,10 @@ def result_message(pages: Column, chunks: Column, reused_pdf: Column, reused_pag
     )
     how = F.when(parts != "", F.concat(F.lit("genbrugte "), parts)).otherwise(F.lit("fuld OCR-kørsel"))
     return F.concat(pages.cast("string"), F.lit(" sider, "), chunks.cast("string"), F.lit(" chunks ("), how, F.lit(")"))
+
+
+def browse_chunks(chunks: DataFrame, page: int | None = None, relevant: bool = False) -> DataFrame:
+    """Chunks of one page, or only those with a register keyword, or both (FLT-09)."""
+    if page is not None:
+        chunks = chunks.where(F.col("page") == page)
+    return chunks.where(T.has_keywords("text")) if relevant else chunks

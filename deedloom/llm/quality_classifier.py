@@ -3,14 +3,15 @@
 Words and word pairs are hashed into 2^`BITS` buckets. Two generative models are counted: the target (documents
 labelled good) and the raw text (all documents). The log weight of a document is the sum over its n-grams of
 log(target / raw); raw counts are scaled to the size of the target and both get `PRIOR` extra counts a bucket, so that
-n-grams seen too rarely to tell weigh little. A Gumbel number hashed from the id is added, and the documents of the k
-largest keys are kept. k follows from the labels: the threshold is the `LOSS` quantile of the keys of good documents
+n-grams seen too rarely to tell weigh little. A Gumbel number hashed from the id is added and the sum is divided by the
+number of n-grams plus `SMOOTH`, so that texts of all lengths are held to one weight per n-gram. The documents of the
+k largest keys are kept. k follows from the labels: the threshold is the `LOSS` quantile of the keys of good documents
 that the target was not counted on.
 
 The labelled sample is bounded by `LABELLED` ids; the raw model covers every document. Tasks give at most 2^BITS
 counts, so what is shuffled is bounded by the number of tasks, and the models by the number of buckets.
 
-Edge cases: a null or empty text has weight 0, which counts as no evidence; a document with both labels is not good; a
+Edge cases: a null or empty text has weight 0, so that only its Gumbel number decides; a document with both labels is not good; a
 null id shares one Gumbel number with all null ids; repeated rows are judged alike; without good labels every
 document is kept; very long texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
@@ -29,6 +30,8 @@ from deedloom.llm.common import blank_words, columns
 
 BITS = 16
 PRIOR = 20.0
+# n-grams added to every length
+SMOOTH = 20
 LABELLED = 100_000
 LOSS = 0.005
 SEED = 7
@@ -102,12 +105,12 @@ def key_of(model: np.ndarray, session) -> object:
     @F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("key", T.DoubleType())]))
     def keys(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
         # buckets of one text at a time: a batch may hold many megabytes of text
-        sizes, weight = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        grams, weight = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for i, text in enumerate(texts):
             found = buckets(text, bits)
-            sizes[i], weight[i] = (len(found) + 1) // 2, shared.value[found].sum()
+            grams[i], weight[i] = len(found), shared.value[found].sum()
         noise = gumbel(ids.fillna(-1).to_numpy(np.int64))
-        return pd.DataFrame({"n_words": sizes, "log_weight": weight, "key": weight + noise})
+        return pd.DataFrame({"n_words": (grams + 1) // 2, "log_weight": weight, "key": (weight + noise) / (grams + SMOOTH)})
 
     return keys
 

@@ -312,6 +312,16 @@ def test_classifier_held_out_accuracy(spark):
     assert good >= 0.98 and bad <= 0.15
 
 
+def test_classifier_rejects_bad_documents_of_every_length(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    train, test = l.where("doc_id % 2 = 0"), l.where("doc_id % 2 = 1")
+    band = "CASE WHEN n_words <= 100 THEN 0 WHEN n_words <= 200 THEN 1 WHEN n_words <= 1000 THEN 2 ELSE 3 END"
+    rows = quality_classifier.judge(d, train).join(test, "doc_id").selectExpr("quality", f"{band} AS band", "double(kept) AS kept").groupBy("quality", "band").avg("kept").collect()
+    share = {(r[0], r[1]): r[2] for r in rows}
+    assert share[0, 0] <= 0.35 and all(share[0, b] <= 0.05 for b in (1, 2, 3)), share
+    assert all(share[1, b] >= 0.97 for b in range(4)), share
+
+
 # ---- language model
 
 

@@ -1,8 +1,13 @@
 """Quality rules: compression bands beside plain counts of words, symbols, lines and repeats.
 
 A text that compresses far better than prose repeats itself; one that hardly compresses is noise. The zstandard
-ratio of the whole document and of fixed chunks of it must stay inside limits that depend on the length, because
-short texts compress less. All work is inside the row, so there is no shuffle and nothing to skew.
+ratio of the whole document must stay inside limits that depend on the length, because short texts compress less; so
+must its chunks, of which the last one is the last `CHUNK_BYTES` bytes, so that no tail is left out. All work is inside
+the row, so there is no shuffle and nothing to skew.
+
+The limits lie outside the ratios of texts labelled good in sf0.1: the lowest less 15 % (25 % below 512 bytes, where
+samples are few), the highest and about 4 %. What compresses like these passes: base64 below 112 bytes and hex digits
+between 192 bytes and 3 KB cannot be told by ratio. Other corpora may need other limits.
 
 Edge cases: a null or empty text has no words, fails the base rule and has ratio null; texts of any length are
 read whole (chunks are slices of the same bytes); repeated rows give repeated results; an empty table gives an
@@ -20,11 +25,15 @@ from deedloom.llm.common import BLANKS, columns, map_rows
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 # bytes at least, lowest and highest ratio of compressed to plain bytes; below the first length nothing is said
-WHOLE_LIMITS = ((64, 0.30, 1.30), (256, 0.25, 0.95), (1024, 0.20, 0.75), (4096, 0.15, 0.70), (16384, 0.12, 0.70))
+WHOLE_LIMITS = (
+    (64, 0.65, 1.17), (96, 0.60, 1.12), (112, 0.56, 0.96), (160, 0.50, 0.86), (192, 0.47, 0.86), (256, 0.45, 0.77), (384, 0.43, 0.735), (512, 0.44, 0.71),
+    (768, 0.43, 0.65), (1024, 0.41, 0.605), (1536, 0.395, 0.565), (2048, 0.39, 0.54), (3072, 0.38, 0.515), (4096, 0.37, 0.495), (6144, 0.36, 0.48),
+    (8192, 0.35, 0.47), (16384, 0.34, 0.45),
+)
 CHUNK_BYTES = 4096
-CHUNK_LIMITS = (0.15, 0.75)
-# share of chunks outside their limits that rejects the document
-BAD_CHUNKS = 0.5
+CHUNK_LIMITS = (0.37, 0.51)
+# a larger share of chunks outside their limits rejects the document
+BAD_CHUNKS = 0.2
 LEVEL = 3
 
 SCHEMA = (
@@ -71,14 +80,14 @@ def limits(n: int) -> tuple[float, float]:
 
 
 def bands(text: str | None, compress) -> tuple[float | None, int, int]:
-    """Ratio of the whole text, number of full chunks, number of chunks outside their limits."""
+    """Ratio of the whole text, number of chunks, number of chunks outside their limits."""
     raw = (text or "").encode()
     if not raw:
         return None, 0, 0
     ratio = len(compress(raw)) / len(raw)
-    view, starts = memoryview(raw), range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)
-    if len(starts) < 2:
-        return ratio, len(starts), 0
+    view, starts = memoryview(raw), list(range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES))
+    if starts and len(raw) % CHUNK_BYTES:
+        starts.append(len(raw) - CHUNK_BYTES)
     low, high = CHUNK_LIMITS
     bad = sum(not low <= len(compress(view[i : i + CHUNK_BYTES])) / CHUNK_BYTES <= high for i in starts)
     return ratio, len(starts), bad

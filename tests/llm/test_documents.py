@@ -1,5 +1,6 @@
 """Operators over documents against plain restatements, on rows with nulls, ties, repeats and clashing columns."""
 
+import base64
 import hashlib
 import math
 import random
@@ -249,6 +250,33 @@ def test_compression_bands(spark):
     assert kept == {1: True, 2: False, 3: False, 4: True, 5: False}
 
 
+def test_compression_bands_reject_noise_and_repeats_of_every_length(spark):
+    rng = random.Random(6)
+
+    def lines(text, n):
+        return "\n".join(text[i : i + 24] for i in range(0, len(text), 24))[:n]
+
+    def base64_lines(n):
+        return lines(base64.b64encode(rng.randbytes(n)).decode(), n)
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    good = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").groupBy("doc_id").agg({"quality": "min"}).where("`min(quality)` = 1")
+    clean = quality_rules.judge(docs).join(good, "doc_id").where("not base_failed")
+    assert clean.where("kept").count() >= 0.995 * clean.count()
+
+    long = max((r.text for r in docs.join(good, "doc_id").orderBy("doc_id").limit(2000).collect()), key=len)
+    assert len(long) > 12000
+    bad = [base64_lines(n) for n in (320, 500, 900, 1023, 2000, 5000, 60000)]
+    bad += [lines(rng.randbytes(n).hex(), n) for n in (3500, 5000, 20000)]
+    bad += [" ".join(f"row {i} of the table" for i in range(n)) for n in (30, 100, 400, 1500)]
+    bad += [long[:4200] + " " + base64_lines(3900), long[:8192] + " " + base64_lines(4095), (long * 5)[:31000] + base64_lines(29000)]
+    bad += [long[:4096] + " " + base64_lines(4090)]
+    found = quality_rules.judge(spark.createDataFrame(list(enumerate(bad)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.doc_id for r in found if r.kept] == []
+    # a short noise in a long text is no reason
+    assert quality_rules.judge(spark.createDataFrame([(1, long[:9000] + "\n" + base64_lines(200))], "doc_id long, text string")).first().kept
+
+
 # ---- tokens
 
 

@@ -10,7 +10,8 @@ candidates that point at each other form runs; pointer jumping over the runs of
 proven part in each round. Only records that are reached count; pieces between them are payload and are joined to
 their record again. Rounds grow with the logarithm of the number of splits of a file.
 
-Offsets, not payloads, are shuffled while reading; a payload moves only if it contains the magic.
+Offsets, not payloads, are shuffled while reading; a payload moves only if it contains the magic. Its pieces come from
+a second scan and are known there by file and digest, as splits and row numbers may differ from one scan to the next.
 
 Edge cases: a null html is an empty payload; a null url leaves the target header out; control characters in a url
 are written as blanks; a null page_id is an empty id, never the first of its payload; repeated rows of the smallest
@@ -108,7 +109,7 @@ def parsed(df: DataFrame) -> DataFrame:
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """One row per piece with its offset and, if it parses, its successor; payloads only as size and digest."""
     looked = parsed(_pieces(spark, path)).select(
-        "file", "split", "m", F.octet_length("value").cast("long").alias("bytes"), "length", "full", "record_type", "page_id", "refers_to", "stated",
+        "file", "split", "m", F.octet_length("value").cast("long").alias("bytes"), F.sha2("value", 256).alias("piece"), "length", "full", "record_type", "page_id", "refers_to", "stated",
         F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("digest"),
     )
     seen = materialize(looked)
@@ -152,10 +153,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     owned = materialize(proven.withColumn("owner", owner).drop("entry", "run", "split"))
     whole = owned.where("record and full")
 
-    # records that hold the magic in their payload: fetch their pieces by scan order and join them
+    # records that hold the magic in their payload: fetch their pieces by content and join them
     torn = owned.where("record and not full").select("file", "owner")
-    needed = materialize(owned.join(torn, ["file", "owner"], "left_semi").select("file", "owner", "m", "off"))
-    fetched = _pieces(spark, path).select("m", "value").join(small_enough(needed, 512), "m")
+    needed = materialize(owned.join(torn, ["file", "owner"], "left_semi").select("file", "owner", "piece", "off"))
+    wanted = small_enough(materialize(needed.select("file", "piece").distinct()), 512)
+    scanned = _pieces(spark, path).select("file", F.sha2("value", 256).alias("piece"), "value").join(wanted, ["file", "piece"], "left_semi")
+    # equal pieces of a file are one
+    values = scanned.groupBy("file", "piece").agg(F.any_value("value").alias("value"))
+    fetched = needed.join(values, ["file", "piece"])
     sewn = fetched.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts")).select(
         "file", F.col("owner").alias("off"), F.array_join("parts.value", MAGIC).alias("value")
     )

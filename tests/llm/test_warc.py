@@ -67,5 +67,28 @@ def test_splits_and_false_chains(spark, tmp_path, split_bytes):
             spark.conf.set(k, v)
 
 
+def test_other_splits_in_the_second_scan(spark, tmp_path, monkeypatch):
+    """The scan that fetches torn payloads may be cut otherwise than the first one."""
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\n"
+    rows = [(i, "http://h/", f"page {i} " + (inner + f"{i % 3}") * (i % 4) + "t" * (i * 7 % 301), None) for i in range(300)]
+    path = warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(2), str(tmp_path / "w"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old, plain, scans = {k: spark.conf.get(k) for k in names}, warc._pieces, []
+
+    def pieces(*args):
+        scans.append(1)
+        for k in names:
+            spark.conf.set(k, "50000" if len(scans) == 1 else "9000")
+        return plain(*args)
+
+    monkeypatch.setattr(warc, "_pieces", pieces)
+    try:
+        assert got(warc.read(spark, path)) == expected(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(scans) == 2
+
+
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0

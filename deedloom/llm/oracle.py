@@ -141,4 +141,63 @@ SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(listed.n
 FROM docs LEFT JOIN hit USING (d) LEFT JOIN listed USING (d)
 """
 
-ORACLES = {"op3_decontaminate": DECONTAMINATE_SQL, "op2_warc": WARC_SQL, "op4_license_scan": license_scan_sql(), "op5_url_filter": url_filter_sql()}
+FILL_MIDDLE_SQL = """
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y,
+    ('0x' || h[17:24])::BIGINT % 100 AS u, ('0x' || h[25:32])::BIGINT % 100 AS v
+  FROM hashed),
+formed AS (
+  SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR u >= 90 THEN 'plain' WHEN v < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+cut AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1, n - b) AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256
+FROM cut
+"""
+
+TOP_K_SQL = """
+WITH given AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.r AS qr, q.vec_id AS query_id, d.vec_id, d.r,
+    coalesce(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM given q JOIN given d ON q.r <> d.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM pairs)
+WHERE rank <= 20
+"""
+
+COLLOCATIONS_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+listed AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM listed GROUP BY lang),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM listed, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k),
+f AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 30),
+cand AS MATERIALIZED (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (
+  SELECT lang, phrase, a, size, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:size], ' ') AS y
+  FROM (SELECT *, unnest(range(1, size)) AS c FROM cand)),
+scored AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+spans AS (SELECT lang, a, w, size, len, unnest(range(1, size - len + 2)) AS i FROM cand, (VALUES (2), (3)) t(len) WHERE len < size),
+cover AS (SELECT lang, array_to_string(w[i:i + len - 1], ' ') AS phrase, max(a) AS most FROM spans GROUP BY ALL),
+free AS (
+  SELECT best.* FROM best LEFT JOIN cover USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM free JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {
+    "op2_warc": WARC_SQL, "op3_decontaminate": DECONTAMINATE_SQL, "op4_license_scan": license_scan_sql(), "op5_url_filter": url_filter_sql(),
+    "op11_fill_middle": FILL_MIDDLE_SQL, "op12_top_k": TOP_K_SQL, "op13_collocations": COLLOCATIONS_SQL,
+}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from deedloom.llm import decontaminate, license_scan, lm_score, quality_classifier, quality_rules, simhash, source_mix, token_count, url_filter, warc
+from deedloom.llm import (
+    collocations, decontaminate, fill_middle, license_scan, lm_score, quality_classifier, quality_rules, simhash, source_mix, token_count, top_k,
+    url_filter, warc,
+)
 from deedloom.llm.common import table
 from deedloom.llm.oracle import ORACLES  # noqa: F401
 
@@ -69,3 +72,18 @@ def op7_quality_classifier(spark, sf_dir):
 def op9_lm_score(spark, sf_dir):
     """Not in SQL: Bloom filter."""
     return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_fill_middle(spark, sf_dir):
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_top_k(spark, sf_dir):
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))

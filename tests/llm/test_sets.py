@@ -125,7 +125,7 @@ def collocated(rows, support, top=2000):
 def test_collocations_against_counting(spark, monkeypatch, size, support):
     monkeypatch.setattr(collocations, "SLICE", size)
     monkeypatch.setattr(collocations, "ID_BLOCK", 16)
-    monkeypatch.setattr(collocations, "RANGE", 200)
+    monkeypatch.setattr(collocations, "RANGE", 5000)
     rng = random.Random(1)
     words = ["alpha", "Beta", "gam\x00ma", "é", "Ét", "x", "y", "zz", "a b"]
     text = lambda: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t", ". ", "\n", "!", "  "]) for _ in range(rng.randint(0, 60)))

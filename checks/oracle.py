@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from checks.base_sql import BLANK, build, cte, strip
+import re
+
+from checks.base_sql import BLANK, CTES, build, cte, strip
 from deedloom import fixed
 
 ORACLES: dict[str, str] = {}
@@ -675,7 +677,7 @@ oracle(
 )
 oracle(
     "json_records",
-    """SELECT document_id, pos::int AS priority, 'srv-' || substr(sha256(case_id || '|' || document_id || '|' || pos::varchar), 1, 8) AS servitut_id,
+    """SELECT document_id, pos::int AS priority, 'srv-' || sha256(case_id || '|' || document_id || '|' || pos::varchar) AS servitut_id,
   (doc_id % 9 + 1)::varchar || '.2.19' || (50 + doc_id % 40)::varchar AS date_reference,
   CASE WHEN doc_id % 3 = 0 THEN DATE '1968-05-01' ELSE make_date(1950 + doc_id % 40, 2, doc_id % 9 + 1) END AS registered_at,
   CASE WHEN doc_id % 4 <> 1 THEN '40 F ' || (doc_id % 13)::varchar END AS akt_nr,
@@ -780,15 +782,17 @@ oracle(
     "canonicals",
     "chunks",
 )
+cte("chunk_sizes", "SELECT document_id, chunk_id, length(text) AS chunk_chars FROM chunks", "chunks")
+cte("page_sizes", "SELECT document_id, page_number AS page, least(length(text), 1500) AS page_chars, confidence AS page_confidence FROM quality_pages", "quality_pages")
+cte("record_keys", "SELECT servitut_id, source_document AS document_id FROM canonicals", "canonicals")
+cte("lineage", "SELECT servitut_id, document_id, pos, chunk_id, page FROM record_keys JOIN first_ev USING (document_id)", "record_keys", "first_ev")
 oracle(
     "evidence_lineage",
-    """SELECT servitut_id, pos, e.chunk_id, e.page, length(c.text) AS chunk_chars, least(length(p.text), 1500) AS page_chars, p.confidence AS page_confidence
- FROM canonicals r JOIN first_ev e ON e.case_id = r.case_id AND e.document_id = r.source_document
- LEFT JOIN chunks c ON c.document_id = e.document_id AND c.chunk_id = e.chunk_id LEFT JOIN quality_pages p ON p.document_id = e.document_id AND p.page_number = e.page""",
-    "canonicals",
-    "first_ev",
-    "chunks",
-    "quality_pages",
+    """SELECT servitut_id, pos, chunk_id, page, chunk_chars, page_chars, page_confidence FROM lineage LEFT JOIN chunk_sizes USING (document_id, chunk_id)
+  LEFT JOIN page_sizes USING (document_id, page)""",
+    "lineage",
+    "chunk_sizes",
+    "page_sizes",
 )
 
 # ---- parcels --------------------------------------------------------------------------------------------------
@@ -1017,7 +1021,7 @@ oracle(
 oracle("register_pages", "SELECT document_id, page_number FROM raw_pages JOIN documents_meta USING (case_id, document_id) WHERE document_type = 'tinglysningsattest'", "raw_pages", "documents_meta")
 oracle(
     "ingest_documents",
-    """SELECT case_id, 'doc-' || substr(sha256(case_id || '|' || content_hash), 1, 8) AS document_id, name AS filename, 'akt' AS document_type, 'pending' AS parse_status FROM audit WHERE outcome = 'imported'""",
+    """SELECT case_id, 'doc-' || sha256(case_id || '|' || content_hash) AS document_id, name AS filename, 'akt' AS document_type, 'pending' AS parse_status FROM audit WHERE outcome = 'imported'""",
     "audit",
 )
 
@@ -1106,3 +1110,140 @@ oracle(
 )
 oracle("browse_chunks", f"SELECT case_id, document_id, chunk_index FROM chunks WHERE page = 2 AND ({KW})", "chunks")
 oracle("scoring_compatible", "SELECT case_id, NOT bool_or(pos % 50 = 7) AS compatible FROM documents_meta GROUP BY 1", "documents_meta")
+
+# ---- second pass: the linkage chain once more, over the items of the answers --------------------------------------
+DOC_NR = "regexp_extract(document_id, '([0-9]+)', 1)::bigint"
+cte("free_chunks", f"SELECT * REPLACE ('fri-' || case_id AS case_id) FROM chunks WHERE {DOC_NR} % 5 = 1 AND {DOC_NR} % 10 <> 0 AND ({KW})", "chunks")
+cte(
+    "asked",
+    f"""SELECT DISTINCT case_id, document_id FROM selection WHERE selected AND {DOC_NR} % 10 <> 0 UNION SELECT DISTINCT case_id, document_id FROM free_chunks""",
+    "selection",
+    "free_chunks",
+)
+cte(
+    "items_2",
+    f"""
+ SELECT *, nullif({akey('akt_nr')}, '') AS ak, {COMP} FROM (
+  SELECT q.case_id, row_number() OVER (PARTITION BY q.case_id ORDER BY doc_id, pos) AS ord, q.document_id,
+    'srv-' || sha256(q.case_id || '|' || q.document_id || '|0|' || pos::varchar) AS servitut_id,
+    (doc_id % 9 + 1)::varchar || '.2.19' || (50 + doc_id % 40)::varchar AS date_reference,
+    CASE WHEN doc_id % 3 = 0 THEN DATE '1968-05-01' ELSE make_date(1950 + doc_id % 40, 2, doc_id % 9 + 1) END AS registered_at,
+    CASE WHEN doc_id % 4 <> 1 THEN '40 F ' || (doc_id % 13)::varchar END AS akt_nr,
+    replace(source, 'src', CASE WHEN doc_id % 8 = 0 AND pos = 1 THEN 'Anden ' ELSE 'Titel ' END) AS title,
+    CASE doc_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 ELSE 0.25 END AS confidence,
+    CASE doc_id % 3 WHEN 0 THEN ['1a', '2b'] WHEN 1 THEN ['7c'] ELSE []::varchar[] END AS applies
+  FROM answer_items a JOIN asked q ON q.document_id = a.document_id)""",
+    "answer_items",
+    "asked",
+)
+for _name, _from in (("pairs", "items_c"), ("resolved", "items_c"), ("best", "resolved"), ("orphan_rows", "resolved")):
+    _body, _needs = CTES[_name]
+    _two = {"items_c": "items_2", "pairs": "pairs_2", "resolved": "resolved_2"}
+    for _old, _new in _two.items():
+        _body = re.sub(rf"\b{_old}\b", _new, _body)
+    cte(f"{_name}_2", _body, *[_two.get(n, n) for n in _needs])
+# stars of the free cases: each step places the next record and keeps the centres so far
+STAR_STEP = """list_filter(w.cs, lambda c: CASE WHEN c.l IS NOT NULL AND i.l IS NOT NULL THEN c.l = i.l
+   WHEN c.f IS NOT NULL AND i.f IS NOT NULL THEN c.f = i.f ELSE false END)[1].o"""
+
+
+def stars(name: str, items: str) -> None:
+    """Walk over `items` (case_id, n from 1, ord, l, f) in list order; cs are the centres."""
+    cte(
+        name,
+        f"""{name} AS (
+  SELECT case_id, n, ord, ord AS centre, [{{'o': ord, 'l': l, 'f': f}}] AS cs FROM {items} WHERE n = 1
+  UNION ALL SELECT case_id, n, ord, coalesce(hit, ord), CASE WHEN hit IS NULL AND (l IS NOT NULL OR f IS NOT NULL) THEN list_append(cs, {{'o': ord, 'l': l, 'f': f}}) ELSE cs END
+  FROM (SELECT i.case_id, i.n, i.ord, i.l, i.f, w.cs, {STAR_STEP} AS hit FROM {name} w JOIN {items} i ON i.case_id = w.case_id AND i.n = w.n + 1))""",
+        items,
+    )
+
+
+cte("free_items", "SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ord) AS n FROM items_2 WHERE case_id LIKE 'fri-%'", "items_2")
+stars("free_stars", "free_items")
+cte(
+    "free_records",
+    """SELECT i.* FROM free_items i JOIN free_stars s USING (case_id, ord) QUALIFY row_number() OVER (PARTITION BY i.case_id, centre ORDER BY confidence DESC, i.ord) = 1""",
+    "free_items",
+    "free_stars",
+)
+OWN_SCOPE = "(len(c.applies_to_matrikler) > 0 OR coalesce(c.raw_scope_text, '') <> '')"
+cte(
+    "linked_2",
+    """SELECT c.*, i.ord AS i_ord, i.document_id AS i_doc, i.akt_nr AS i_akt, i.date_reference AS i_date, i.registered_at AS i_reg, i.confidence AS i_conf, i.applies AS i_applies
+  FROM (SELECT *, min(ord) OVER (PARTITION BY case_id, ck) AS first FROM canon_c) c LEFT JOIN best_2 b ON b.case_id = c.case_id AND b.matched_ord = c.first
+  LEFT JOIN items_2 i ON i.case_id = c.case_id AND i.ord = b.item_ord""",
+    "canon_c",
+    "best_2",
+    "items_2",
+)
+cte("orphans_2", "SELECT *, 'srv-' || sha256(case_id || '|' || document_id || '|' || orphan_key) AS orphan_id FROM orphan_rows_2 WHERE case_id NOT LIKE 'fri-%'", "orphan_rows_2")
+NEW = "NULL, NULL, NULL, NULL, NULL, NULL, false, NULL, 'akt', confidence"
+oracle(
+    "extract_records",
+    f"""SELECT case_id, ord, servitut_id, coalesce(i_doc, source_document) AS source_document, date_reference, i_reg AS registered_at, coalesce(i_akt, akt_nr) AS akt_nr, title,
+   summary, beneficiary, NULL AS disposition_type, NULL AS legal_type, NULL AS action_note, NULL AS byggeri_markering, false AS construction_relevance, raw_scope_text,
+   CASE WHEN i_ord IS NULL THEN CASE WHEN ord % 3 > 0 THEN 'attest' END WHEN NOT {OWN_SCOPE} THEN 'akt' ELSE 'attest' END AS scope_source,
+   greatest(confidence, i_conf) AS confidence, true AS attest_confirmed,
+   array_to_string(CASE WHEN i_ord IS NOT NULL AND NOT {OWN_SCOPE} AND len(i_applies) > 0 THEN i_applies ELSE applies_to_matrikler END, '|') AS applies FROM linked_2 c
+  UNION ALL SELECT case_id, ord, orphan_id, document_id, date_reference, registered_at, akt_nr, title, {NEW}, false, array_to_string(applies, '|') FROM orphans_2
+  UNION ALL SELECT case_id, ord, servitut_id, document_id, date_reference, registered_at, akt_nr, title, {NEW}, true, array_to_string(applies, '|') FROM free_records""",
+    "linked_2",
+    "orphans_2",
+    "free_records",
+)
+cte(
+    "sought",
+    """SELECT case_id, servitut_id, i_doc AS document_id, coalesce(i_date, date_reference) AS date_reference, coalesce(i_akt, akt_nr) AS akt_nr FROM linked_2 WHERE i_ord IS NOT NULL
+  UNION ALL SELECT case_id, orphan_id, document_id, date_reference, akt_nr FROM orphans_2""",
+    "linked_2",
+    "orphans_2",
+)
+cte(
+    "sought_hits",
+    f"""SELECT s.case_id, s.servitut_id, c.chunk_index, c.chunk_id, c.document_id, c.page, left(c.text, 300) AS text_excerpt,
+    coalesce(contains({akey('c.text')}, nullif({akey('s.date_reference')}, '')), false) OR coalesce(contains({akey('c.text')}, nullif({akey('s.akt_nr')}, '')), false) AS hit
+  FROM sought s JOIN chunks c ON c.case_id = s.case_id AND c.document_id = s.document_id
+  JOIN selection e ON e.case_id = c.case_id AND e.document_id = c.document_id AND e.chunk_index = c.chunk_index AND e.selected""",
+    "sought",
+    "chunks",
+    "selection",
+)
+cte(
+    "deed_evidence",
+    """SELECT case_id, servitut_id, chunk_index, chunk_id, document_id, page, text_excerpt FROM (SELECT *, bool_or(hit) OVER (PARTITION BY case_id, servitut_id) AS anyhit FROM sought_hits)
+   WHERE hit OR NOT anyhit
+  UNION ALL SELECT r.case_id, r.servitut_id, c.chunk_index, c.chunk_id, c.document_id, c.page, left(c.text, 300) FROM free_records r JOIN free_chunks c USING (case_id, document_id)""",
+    "sought_hits",
+    "free_records",
+    "free_chunks",
+)
+oracle(
+    "extract_evidence",
+    """SELECT 'register' AS origin, r.case_id, r.servitut_id, e.pos::bigint AS pos, e.chunk_id, e.document_id, e.page, e.text_excerpt
+  FROM canonicals r JOIN first_ev e ON e.case_id = r.case_id AND e.document_id = r.source_document
+  UNION ALL SELECT 'deed', case_id, servitut_id, row_number() OVER (PARTITION BY case_id, servitut_id ORDER BY chunk_index) - 1 AS pos, chunk_id, document_id, page, text_excerpt
+  FROM deed_evidence QUALIFY pos < 3""",
+    "canonicals",
+    "first_ev",
+    "deed_evidence",
+)
+# all records as stars, in the order of orders and lines
+cte(
+    "star_items",
+    f"""SELECT case_id, servitut_id, date_reference, ord, n, l, f, filled, confidence FROM (
+   SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY a, b, c, d) AS ord, row_number() OVER (PARTITION BY case_id ORDER BY a, b, c, d) AS n FROM (
+    SELECT case_id, servitut_id, date_reference, confidence, split_part(servitut_id, '-', 2)::bigint AS a, split_part(servitut_id, '-', 3)::bigint AS b,
+      split_part(servitut_id, '-', 4)::bigint AS c, split_part(servitut_id, '-', 5)::bigint AS d, {lob('date_reference')} AS l, {full('date_reference')} AS f,
+      (coalesce(beneficiary, '') <> '')::int + (coalesce(summary, '') <> '')::int + (coalesce(disposition_type, '') <> '')::int + (coalesce(legal_type, '') <> '')::int
+        + (coalesce(action_note, '') <> '')::int AS filled FROM records))""",
+    "records",
+)
+stars("record_stars", "star_items")
+oracle(
+    "dedup_deeds",
+    """SELECT case_id, servitut_id, date_reference, group_size FROM (SELECT i.*, count(*) OVER (PARTITION BY i.case_id, centre) AS group_size,
+    row_number() OVER (PARTITION BY i.case_id, centre ORDER BY filled DESC, confidence DESC, i.ord) AS rn FROM star_items i JOIN record_stars s USING (case_id, ord)) WHERE rn = 1""",
+    "star_items",
+    "record_stars",
+)

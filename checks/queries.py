@@ -897,17 +897,61 @@ def extract_canonical(s, d):
     """Register records from stored segment answers, merged per document and per case."""
     c = _chunks(s, d)
     seg, ans = _segment_answers(s, d, c)
-    merged, _ = EX.canonical_from_answers(seg, c, ans, X.documents(s, d))
+    merged, _, _ = EX.canonical_from_answers(seg, c, ans, X.documents(s, d))
     return merged.select("case_id", "ord", "servitut_id", "date_reference", "registered_at", "akt_nr", "title", "confidence", "members",
                          F.array_join("applies_to_matrikler", "|").alias("applies"), "scope_source")
 
 
+def _with_free_cases(df):
+    """Adds a copy of every fifth document in a case of its own that has no register extract."""
+    n = F.regexp_extract("document_id", r"([0-9]+)", 1).cast("bigint")
+    return df.unionByName(df.where(n % 5 == 1).withColumn("case_id", F.concat(F.lit("fri-"), F.col("case_id"))))
+
+
+def _stored(s, d):
+    """Answers looked up by the prompts' hashes; what is stored is the answer of the prompt's document."""
+    given = X.answers(s, d)
+
+    def ask(prompts):
+        p = materialize(prompts)
+        stored = p.join(given.select("document_id", "response_text"), "document_id").select("prompt_hash", "response_text")
+        return A.answer(p, stored)
+
+    return ask
+
+
+ONE_TEMPLATE = "Servitutter i {chunks_text}"
+
+
+def _second_pass(s, d):
+    c = _with_free_cases(_chunks(s, d))
+    canon = X.canonicals(s, d).selectExpr(
+        "*", "case when ord % 3 > 0 then 'attest' end as scope_source", "false as construction_relevance", "cast(null as date) as registered_at",
+        "cast(null as string) as byggeri_markering",
+    )
+    first = A.first_evidence(c).select("case_id", F.col("document_id").alias("source_document"), F.posexplode("evidence").alias("pos", "e"))
+    evidence = canon.select("case_id", "servitut_id", "source_document").join(first, ["case_id", "source_document"]).select("case_id", "servitut_id", "pos", "e.*")
+    parcels = X.documents(s, d).groupBy("case_id").agg(F.array(F.lit("1a"), F.lit("2b")).alias("all_matrikler"))
+    templates = s.createDataFrame([(fixed.DEED_TYPE, ONE_TEMPLATE)], "source_type string, template string")
+    return EX.second_pass(c, canon, evidence, _with_free_cases(X.documents(s, d)), parcels, _stored(s, d), templates, TEMPLATE)
+
+
 @query
 def extract_records(s, d):
-    """Whole second pass: deed answers linked to register records, de-duplicated where a case has none."""
-    canon = X.canonicals(s, d).where("case_id not like '%-1'")
-    deeds = X.answers(s, d).select("case_id", "document_id", "response_text")
-    return EX.extract_records(canon, deeds).groupBy("case_id", "attest_confirmed").agg(F.count(F.lit(1)).alias("records"))
+    """Whole second pass from chunks: deed answers linked to register records, de-duplicated where a case has none."""
+    records, _ = _second_pass(s, d)
+    return records.select(
+        "case_id", "ord", "servitut_id", "source_document", "date_reference", "registered_at", "akt_nr", "title", "summary", "beneficiary", "disposition_type",
+        "legal_type", "action_note", "byggeri_markering", "construction_relevance", "raw_scope_text", "scope_source", "confidence", "attest_confirmed",
+        F.array_join("applies_to_matrikler", "|").alias("applies"),
+    )
+
+
+@query
+def extract_evidence(s, d):
+    """Evidence rows of the same records: what the register gave, then what the deed gave."""
+    _, evidence = _second_pass(s, d)
+    return evidence
 
 
 @query

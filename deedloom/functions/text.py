@@ -160,8 +160,16 @@ def chunk_id(doc: Column | str, page: Column | str, index: Column | str) -> Colu
 
 
 def entity_id(prefix: str, *natural_key: Column) -> Column:
-    """Prefix and 8 hex digits derived from a natural key, so a retried task gives the same id (TXT-34)."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *natural_key), 256), 1, 8))
+    """Prefix and digest of a natural key, so a retried task gives the same id (TXT-34).
+
+    Ids are keys of joins, so the digest is whole; `short_id` shortens one for display.
+    """
+    return F.concat(F.lit(prefix), F.sha2(F.concat_ws("|", *natural_key), 256))
+
+
+def short_id(c: Column | str) -> Column:
+    """Prefix and the first 8 hex digits of an id, for display only."""
+    return F.regexp_replace(col(c), r"^(.*-)?([0-9a-f]{8})[0-9a-f]{56}$", "$1$2")
 
 
 def query_words(*parts: Column) -> Column:

@@ -39,15 +39,28 @@ def load_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_template(df: DataFrame, templates: DataFrame, source_type: Column, generic: str) -> DataFrame:
-    """Template of the source type, else the generic one."""
+    """Template of the source type, else the generic one (SRC-08). Source types are few; two equality joins."""
     t = templates.select(F.col("source_type").alias("_type"), "template")
-    g = templates.where(F.col("source_type") == generic).select(F.col("template").alias("_generic")).limit(1)
+    g = t.where(F.col("_type") == generic).select(F.col("_type").alias("_other"), F.col("template").alias("_generic"))
     return (
-        df.join(t, F.col("_type") == source_type, "left").join(g, F.lit(True), "left")
-        .withColumn("template", F.coalesce("template", "_generic")).drop("_type", "_generic")
+        df.join(t, F.col("_type") == source_type, "left").join(g, F.col("_other") == F.lit(generic), "left")
+        .withColumn("template", F.coalesce("template", "_generic")).drop("_type", "_other", "_generic")
     )
 
 
+def document_prompts(chunks: DataFrame, templates: DataFrame, generic: str = fixed.DEED_TYPE) -> DataFrame:
+    """One prompt per document from its chunks, by the template of its type (SRC-08, AGG-16, FLT-23).
+
+    `chunks` has document_type beside its own columns.
+    """
+    types = chunks.groupBy(*DOC).agg(F.first("document_type").alias("source_type"))
+    rows = with_template(chunks_text(chunks).join(types, list(DOC)), templates, F.col("source_type"), generic)
+    return rows.select(
+        *DOC, F.lit(0).alias("part"), "source_type", F.replace("template", F.lit("{chunks_text}"), F.col("chunks_text")).alias("prompt"),
+        token_budget("source_type").alias("max_tokens"), F.lit(None).cast("string").alias("error"),
+    ).withColumn("prompt_hash", F.sha2("prompt", 256))
+
+
 def chunks_text(chunks: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame:
     """Prompt text of the chosen chunks of each key in order (AGG-16). Selection bounds what enters."""
     block = T.chunk_block("document_id", "page", "chunk_index", "text")

@@ -195,6 +195,37 @@ def enriched(canonicals: DataFrame, deeds: DataFrame, on: Column) -> DataFrame:
     return joined.withColumns(new).drop(*[c for c in deeds.columns])
 
 
+def _by_first(canonicals: DataFrame) -> DataFrame:
+    """Register records with the first list position among those of the same date reference."""
+    firsts = canonicals.groupBy("case_id", canonical_key().alias("_ck")).agg(F.min("ord").alias("_first"))
+    return canonicals.withColumn("_ck", canonical_key()).join(firsts, ["case_id", "_ck"]).drop("_ck")
+
+
+def _orphan_id() -> Column:
+    return T.entity_id("srv-", F.col("case_id"), F.col("document_id"), F.col("orphan_key"))
+
+
+def enrichment_links(canonicals: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Which deed item stands behind which record: case_id, servitut_id, item_ord, document_id, date_reference, akt_nr.
+
+    One row per enriched register record and per orphan. Date and archive id are those of the item, else of the
+    record: under them the deed's chunks are searched for evidence.
+    """
+    best = best_items(resolved).select("case_id", F.col("matched_ord").alias("_first"), F.col("item_ord").alias("ord"))
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    item = resolved.join(best, ["case_id", "ord"]).select(
+        "case_id", "_first", F.col("ord").alias("item_ord"), "document_id", text("date_reference").alias("_date"), text("akt_nr").alias("_akt")
+    )
+    known = _by_first(canonicals.select("case_id", "ord", "servitut_id", "date_reference", "akt_nr")).join(item, ["case_id", "_first"]).select(
+        "case_id", "servitut_id", "item_ord", "document_id", F.coalesce("_date", "date_reference").alias("date_reference"),
+        F.coalesce("_akt", "akt_nr").alias("akt_nr"),
+    )
+    alone = orphans(resolved).select(
+        "case_id", _orphan_id().alias("servitut_id"), F.col("ord").alias("item_ord"), "document_id", "date_reference", "akt_nr"
+    )
+    return known.unionByName(alone)
+
+
 def _prefixed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(f"d_{c}") for c in df.columns])
 
@@ -206,14 +237,10 @@ def enrich_canonicals(canonicals: DataFrame, resolved: DataFrame) -> DataFrame:
     """
     best = best_items(resolved).select("case_id", F.col("matched_ord").alias("_first"), F.col("item_ord").alias("ord"))
     chosen = resolved.drop("matched_ord", "match_priority").join(best, ["case_id", "ord"]).withColumn("confidence", answer_confidence())
-    firsts = canonicals.groupBy("case_id", canonical_key().alias("_ck")).agg(F.min("ord").alias("_first"))
-    keyed = canonicals.withColumn("_ck", canonical_key()).join(firsts, ["case_id", "_ck"])
     deeds = _prefixed(chosen)
-    done = enriched(keyed, deeds, (F.col("case_id") == F.col("d_case_id")) & (F.col("_first") == F.col("d__first")))
-    done = done.drop("_ck", "_first").withColumn("attest_confirmed", F.lit(True))
-    extra = orphans(resolved).withColumnRenamed("document_id", "source_document").withColumn(
-        "servitut_id", T.entity_id("srv-", F.col("case_id"), F.col("source_document"), F.col("orphan_key"))
-    )
+    done = enriched(_by_first(canonicals), deeds, (F.col("case_id") == F.col("d_case_id")) & (F.col("_first") == F.col("d__first")))
+    done = done.drop("_first").withColumn("attest_confirmed", F.lit(True))
+    extra = orphans(resolved).withColumn("servitut_id", _orphan_id()).withColumnRenamed("document_id", "source_document")
     return done.unionByName(extra.drop("orphan_key"), allowMissingColumns=True)
 
 

@@ -10,21 +10,21 @@ from deedloom.operators.positions import first_per_key
 DOC = ("case_id", "document_id")
 
 
-def evidence_pick(items: DataFrame, candidates: DataFrame, k: int = 3, n: int = 300) -> DataFrame:
+def evidence_pick(items: DataFrame, candidates: DataFrame, k: int = 3, n: int = 300, key: str = "ord", out: str = "item_ord") -> DataFrame:
     """For each item the first k candidate chunks of its document that name its date or archive id, else the first k (JN-16).
 
-    Candidates are the selected chunks of a document, at most a dozen, so the join fans out by that much only.
+    `key` names an item inside its case and becomes the column `out`. Candidates are the selected chunks of a document, at most a dozen, so the join fans out by that much only.
     """
     needles = F.array_compact(
         F.array(F.nullif(T.archive_key("date_reference"), F.lit("")), F.nullif(T.archive_key("akt_nr"), F.lit("")))
     )
-    asked = items.select("case_id", F.col("ord").alias("item_ord"), "document_id", needles.alias("_needles"))
+    asked = items.select("case_id", F.col(key).alias(out), "document_id", needles.alias("_needles"))
     chunks = candidates.select(*DOC, "chunk_index", "chunk_id", "page", F.left("text", F.lit(n)).alias("text_excerpt"), T.archive_key("text").alias("_t"))
     pairs = asked.join(chunks, list(DOC)).withColumn("_hit", F.exists("_needles", lambda x: F.contains(F.col("_t"), x)))
-    per_item = pairs.groupBy("case_id", "item_ord").agg(F.bool_or("_hit").alias("_any"))
-    usable = pairs.drop("_t", "_needles").join(per_item, ["case_id", "item_ord"]).where("_hit or not _any")
-    return first_per_key(usable, ["case_id", "item_ord"], ["chunk_index"], k).select(
-        "case_id", "item_ord", *DOC[1:], "chunk_index", "chunk_id", "page", "text_excerpt", F.col("_any").alias("named")
+    per_item = pairs.groupBy("case_id", out).agg(F.bool_or("_hit").alias("_any"))
+    usable = pairs.drop("_t", "_needles").join(per_item, ["case_id", out]).where("_hit or not _any")
+    return first_per_key(usable, ["case_id", out], ["chunk_index"], k).select(
+        "case_id", out, *DOC[1:], "chunk_index", "chunk_id", "page", "text_excerpt", F.col("_any").alias("named")
     )
 
 

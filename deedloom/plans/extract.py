@@ -7,15 +7,19 @@ register extract fall back to their deeds alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from deedloom import fixed
 from deedloom.functions import text as T
-from deedloom.operators import answers as A, folds, linkage, segments as G
+from deedloom.operators import answers as A, folds, linkage, retrieve, segments as G, signals
 from deedloom.operators.positions import first_per_key, position
 from deedloom.session import materialize
 
 DOC = ("case_id", "document_id")
+# prompts -> prompts with response_text and error, such as functools.partial(answers.answer, responder=stored)
+Ask = Callable[[DataFrame], DataFrame]
 
 
 def typed_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -35,18 +39,20 @@ def prescreen(chunks: DataFrame) -> DataFrame:
     return chunks.where(T.has_keywords("text"))
 
 
-def segment_prompts(segments: DataFrame, chunks: DataFrame, template: str) -> DataFrame:
-    """One prompt per register segment."""
+def segment_prompts(segments: DataFrame, chunks: DataFrame, templates: DataFrame) -> DataFrame:
+    """One prompt per register segment, by the template of register extracts or the generic one."""
     rows = G.segment_chunks(segments.select(*DOC, "segment_id", "segment_index", "page_numbers"), chunks)
-    texts = A.chunks_text(rows, ("case_id", "document_id", "segment_id"))
-    prompt = F.replace(F.lit(template), F.lit("{chunks_text}"), F.col("chunks_text"))
+    texts = A.with_template(A.chunks_text(rows, ("case_id", "document_id", "segment_id")), templates, F.lit(fixed.REGISTER_TYPE), fixed.DEED_TYPE)
+    prompt = F.replace("template", F.lit("{chunks_text}"), F.col("chunks_text"))
     return texts.select(*DOC, "segment_id", prompt.alias("prompt"), F.lit(fixed.REGISTER_TOKENS).alias("max_tokens")).withColumn(
         "prompt_hash", F.sha2("prompt", 256)
     )
 
 
-def canonical_from_answers(segments: DataFrame, chunks: DataFrame, answers: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Register records merged per document and again per case, and the cases rejected as incomplete.
+def canonical_from_answers(
+    segments: DataFrame, chunks: DataFrame, answers: DataFrame, documents: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Register records merged per document and again per case, their evidence, and the cases rejected as incomplete.
 
     `answers` has document keys, segment_id, response_text and error; `documents` has pos. One failed
     segment rejects its case.
@@ -83,30 +89,86 @@ def canonical_from_answers(segments: DataFrame, chunks: DataFrame, answers: Data
         .select("case_id", F.col("_o").alias("ord"), (F.col("ord") * 4 + F.col("pos")).alias("pos"), "chunk_id", F.col("_src").alias("document_id"), "page", "text_excerpt")
     )
     second = placed.drop("founder", "document_id").withColumnRenamed("ord2", "ord")
-    merged, _ = folds.merge_register(second, materialize(ev2), ["case_id"])
+    merged, ev_case = folds.merge_register(second, materialize(ev2), ["case_id"])
     named = merged.withColumn("servitut_id", T.entity_id("srv-", F.col("case_id"), F.col("source_document"), F.col("founder").cast("string")))
-    return named.withColumnRenamed("priority", "ord"), rejected
-
-
-def deed_items_from_answers(answers: DataFrame) -> DataFrame:
-    """Records read from deeds in arrival order, ready for linkage."""
-    rows = A.records_from_answers(answers.withColumn("source_type", F.lit(fixed.DEED_TYPE)))
-    return position(rows.drop("priority"), ["case_id"], {"d": F.col("document_id")}, ["pos"], "ord").drop("pos")
-
+    named = materialize(named.withColumnRenamed("priority", "ord"))
+    kept = ev_case.join(named.select("case_id", "founder", "servitut_id"), ["case_id", "founder"])
+    numbered = position(kept, ["case_id", "servitut_id"], {"o": F.floor(F.col("ord") / 4096)}, ["ord", F.col("pos")], "nr")
+    rows = numbered.select("case_id", "servitut_id", (F.col("nr") - 1).alias("pos"), "chunk_id", "document_id", "page", "text_excerpt")
+    return named, rows, rejected
 
-def fallback_records(answers: DataFrame, with_register: DataFrame) -> DataFrame:
-    """De-duplicated deed records of the cases without register extract."""
-    rest = answers.join(with_register.select("case_id").distinct(), "case_id", "left_anti")
-    return folds.dedup_deeds(materialize(deed_items_from_answers(rest)))
 
+def items_from_answers(answers: DataFrame, documents: DataFrame) -> DataFrame:
+    """Records read from deeds in arrival order, ready for linkage: by document, prompt part and place in the answer.
 
-def extract_records(canonicals: DataFrame, deed_answers: DataFrame) -> DataFrame:
-    """Final records of every case: enriched register records and orphans, or de-duplicated deeds."""
+    `answers` has document keys, part and response_text; `documents` has pos.
+    """
+    part = lambda i: F.split_part("document_id", F.lit("\x01"), F.lit(i))
+    joined = F.concat_ws("\x01", "document_id", F.col("part").cast("string"))
+    rows = A.records_from_answers(
+        answers.select("case_id", joined.alias("document_id"), F.lit(fixed.DEED_TYPE).alias("source_type"), "response_text")
+    ).withColumns({"part": part(2).cast("int"), "document_id": part(1)})
+    own = T.entity_id("srv-", F.col("case_id"), F.col("document_id"), F.col("part").cast("string"), F.col("pos").cast("string"))
+    listed = rows.withColumn("servitut_id", own).join(documents.select(*DOC, F.col("pos").alias("_p")), list(DOC), "left")
+    return position(listed.drop("priority"), ["case_id"], {"d": F.col("_p"), "i": F.col("document_id")}, ["part", "pos"], "ord").drop("pos", "part", "_p")
+
+
+def second_pass(
+    chunks: DataFrame, canonicals: DataFrame, register_evidence: DataFrame, documents: DataFrame, parcels: DataFrame, ask: Ask,
+    templates: DataFrame, enrich_template: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Final records of every case and their evidence rows, from chunks over prompts and answers.
+
+    Deeds of cases with register records: selected chunks, enrichment prompts, answers, linkage (JN-16, SET-01, SET-08). Deeds of
+    other cases: keyword chunks, prompts by document type, answers, de-duplication (FLT-01, SRC-08, AGG-20).
+    `register_evidence` has case_id, servitut_id, pos, chunk_id, document_id, page, text_excerpt. Evidence stays a
+    child table keyed by (case_id, servitut_id): the register's rows first, then the deed's, repeats kept.
+    """
     have = canonicals.select("case_id").distinct()
-    items = materialize(deed_items_from_answers(deed_answers.join(have, "case_id", "left_semi")))
-    enriched = linkage.enrich_canonicals(canonicals, linkage.resolve_keys(items, canonicals))
-    alone = fallback_records(deed_answers, have).drop("centre", "group_size").withColumnRenamed("document_id", "source_document")
-    return enriched.unionByName(alone.withColumn("attest_confirmed", F.lit(True)), allowMissingColumns=True)
+    typed = materialize(typed_chunks(chunks, documents).where(F.col("document_type") == fixed.DEED_TYPE).drop("filename"))
+    of_register = typed.join(have, "case_id", "left_semi")
+    chosen = signals.score_and_select(of_register, canonicals).where("selected").select(*signals.CHUNK)
+    candidates = materialize(of_register.join(chosen, list(signals.CHUNK), "left_semi"))
+    answered = ask(A.deed_prompts(candidates, canonicals, documents, parcels, enrich_template))
+    items = materialize(items_from_answers(answered, documents))
+    resolved = materialize(linkage.resolve_keys(items, canonicals))
+    linked = linkage.enrichment_links(canonicals, resolved)
+    picked = retrieve.evidence_pick(linked, candidates, key="servitut_id", out="servitut_id")
+    enriched = linkage.enrich_canonicals(canonicals, resolved)
+
+    screened = materialize(prescreen(typed.join(have, "case_id", "left_anti")))
+    alone = materialize(folds.dedup_deeds(materialize(items_from_answers(ask(A.document_prompts(screened, templates)), documents))))
+    heads = first_per_key(screened.select(*DOC, "chunk_index", "chunk_id", "page", F.left("text", F.lit(300)).alias("text_excerpt")), DOC, ["chunk_index"], 3)
+    own = alone.select("case_id", "servitut_id", "document_id").join(heads, list(DOC))
+
+    records = enriched.unionByName(
+        alone.drop("centre", "group_size").withColumnRenamed("document_id", "source_document").withColumn("attest_confirmed", F.lit(True)),
+        allowMissingColumns=True,
+    )
+    # three rows of a record at most
+    nth = F.row_number().over(Window.partitionBy("case_id", "servitut_id").orderBy("chunk_index")) - 1
+    deed = picked.drop("named").unionByName(own).withColumn("pos", nth.cast("long"))
+    cols = ["case_id", "servitut_id", F.col("pos").cast("long").alias("pos"), "chunk_id", "document_id", "page", "text_excerpt"]
+    evidence = register_evidence.select(F.lit("register").alias("origin"), *cols).unionByName(deed.select(F.lit("deed").alias("origin"), *cols))
+    return records, evidence
+
+
+def first_pass(chunks: DataFrame, documents: DataFrame, ask: Ask, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Register records, their evidence and the rejected cases, from the chunks of register extracts."""
+    mine = materialize(register_chunks(chunks, documents))
+    seg = materialize(G.build_segments(mine))
+    answered = materialize(ask(segment_prompts(seg, mine, templates)))
+    return canonical_from_answers(seg, mine, answered, documents)
+
+
+def extract_document_records(
+    chunks: DataFrame, documents: DataFrame, parcels: DataFrame, ask: Ask, templates: DataFrame, enrich_template: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, evidence and rejected cases of both passes. Cases with a failed register segment give no records."""
+    canonicals, evidence, rejected = first_pass(chunks, documents, ask, templates)
+    good = chunks.join(rejected.select("case_id").distinct(), "case_id", "left_anti")
+    records, every = second_pass(good, canonicals, evidence, documents, parcels, ask, templates, enrich_template)
+    return records, every, rejected
 
 
 def ingest_documents(audit: DataFrame) -> DataFrame:

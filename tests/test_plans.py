@@ -163,10 +163,11 @@ def test_register_answers_merge_and_gate(spark):
          ("x", "e", "e-segment-0000", None, "fejl")],
         "case_id string, document_id string, segment_id string, response_text string, error string",
     )
-    merged, rejected = EX.canonical_from_answers(seg, chunks, ans, docs)
+    merged, evidence, rejected = EX.canonical_from_answers(seg, chunks, ans, docs)
     got = merged.collect()
     assert [(r.case_id, r.ord, r.akt_nr, r.title, r.scope_source) for r in got] == [("c", 0, "40 F 1", "Vejret", "attest")]
     assert [r.case_id for r in rejected.collect()] == ["x"]
+    assert sorted((r.servitut_id, r.pos, r.chunk_id, r.page) for r in evidence.collect()) == [(got[0].servitut_id, 0, "k0", 1), (got[0].servitut_id, 1, "k1", 2)]
 
 
 def test_statistics(spark):

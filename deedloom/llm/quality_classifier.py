@@ -3,17 +3,18 @@
 Words and word pairs are hashed into 2^`BITS` buckets. Two generative models are counted: the target (documents
 labelled good) and the raw text (all documents). The log weight of a document is the sum over its n-grams of
 log(target / raw); raw counts are scaled to the size of the target and both get `PRIOR` extra counts a bucket, so that
-n-grams seen too rarely to tell weigh little. A Gumbel number hashed from the id is added and the sum is divided by the
-number of n-grams plus `SMOOTH`, so that texts of all lengths are held to one weight per n-gram. The documents of the
-k largest keys are kept. k follows from the labels: the threshold is the `LOSS` quantile of the keys of good documents
-that the target was not counted on.
+n-grams seen too rarely to tell weigh little. The log weight is divided by the number of n-grams plus `SMOOTH`, so that
+texts of all lengths are held to one weight per n-gram, and a Gumbel number hashed from the id, times `TEMPERATURE`, is
+added: the documents of the k largest keys are a sample without replacement with chances proportional to
+exp(weight per n-gram / TEMPERATURE). k follows from the labels: the threshold is the `LOSS` quantile of the keys of
+good documents that the target was not counted on.
 
 The labelled sample is bounded by `LABELLED` ids; the raw model covers every document. Tasks give at most 2^BITS
 counts, so what is shuffled is bounded by the number of tasks, and the models by the number of buckets.
 
-Edge cases: a null or empty text has weight 0, so that only its Gumbel number decides; a document with both labels is not good; a
+Edge cases: a text without words, null or empty, gives no n-grams to weigh and is never kept; a document with both labels is not good; a
 null id shares one Gumbel number with all null ids; repeated rows are judged alike; without good labels every
-document is kept; very long texts are read whole; an empty table gives an empty result; other columns are ignored.
+document with words is kept; very long texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ BITS = 16
 PRIOR = 20.0
 # n-grams added to every length
 SMOOTH = 20
+# unit of the Gumbel numbers, in log weight per n-gram
+TEMPERATURE = 0.02
 LABELLED = 100_000
 LOSS = 0.005
 SEED = 7
+LEAST = -1e300
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -97,8 +101,8 @@ def ratios(docs: DataFrame, target_ids: np.ndarray, bits: int = BITS, prior: flo
     return np.log((target + prior) / (raw * (target.sum() / raw.sum()) + prior))
 
 
-def key_of(model: np.ndarray, session) -> object:
-    """Pandas UDF (doc_id, text) -> log weight and key."""
+def key_of(model: np.ndarray, session, seed: int = SEED, temperature: float = TEMPERATURE) -> object:
+    """Pandas UDF (doc_id, text) -> words, log weight and key; the key of a text without words is minus infinity."""
     shared = session.sparkContext.broadcast(model)
     bits = len(model).bit_length() - 1
 
@@ -109,28 +113,32 @@ def key_of(model: np.ndarray, session) -> object:
         for i, text in enumerate(texts):
             found = buckets(text, bits)
             grams[i], weight[i] = len(found), shared.value[found].sum()
-        noise = gumbel(ids.fillna(-1).to_numpy(np.int64))
-        return pd.DataFrame({"n_words": (grams + 1) // 2, "log_weight": weight, "key": (weight + noise) / (grams + SMOOTH)})
+        noise = gumbel(ids.fillna(-1).to_numpy(np.int64), seed)
+        key = np.where(grams > 0, weight / (grams + SMOOTH) + temperature * noise, -np.inf)
+        return pd.DataFrame({"n_words": (grams + 1) // 2, "log_weight": weight, "key": key})
 
     return keys
 
 
-def fit(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> tuple[object, float]:
+def fit(
+    docs: DataFrame, labels: DataFrame, loss: float = LOSS, seed: int = SEED, temperature: float = TEMPERATURE
+) -> tuple[object, float]:
     """The key function and the least key that is kept."""
     session, good = docs.sparkSession, good_ids(labels)
     held_out = held(good)
-    keys = key_of(ratios(docs, good[~held_out]), session)
+    keys = key_of(ratios(docs, good[~held_out]), session, seed, temperature)
     given = columns(docs, ("doc_id", "long"), ("text", "string"))
     # bounded like the labelled sample
     sample = session.createDataFrame([(int(i),) for i in good[held_out]], "doc_id long")
     scored = given.join(F.broadcast(sample), "doc_id", "left_semi").select(keys("doc_id", "text")["key"].alias("key"))
     least = scored.agg(F.percentile("key", F.lit(loss))).first()[0]
-    return keys, float("-inf") if least is None else least
+    # without labels, or with empty good documents only, any text with words is kept
+    return keys, LEAST if least is None else max(least, LEAST)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """One row per document: doc_id, n_words, log_weight, key, kept."""
-    keys, least = fit(docs, labels)
+    keys, least = fit(docs, labels, seed=seed, temperature=temperature)
     scored = columns(docs, ("doc_id", "long"), ("text", "string")).select("doc_id", keys("doc_id", "text").alias("k"))
     return scored.select("doc_id", "k.n_words", "k.log_weight", "k.key", (F.col("k.key") >= F.lit(least)).alias("kept"))
 

@@ -28,9 +28,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more by wide fingerprints."""
     bound_batches(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one_similar(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ PRIOR = 20.0
 # n-grams added to every length
 SMOOTH = 20
 # unit of the Gumbel numbers, in log weight per n-gram
-TEMPERATURE = 0.02
+TEMPERATURE = 0.01
 LABELLED = 100_000
 LOSS = 0.005
 SEED = 7

@@ -23,11 +23,11 @@ def url_filter_sql() -> str:
     )
     return f"""
 WITH given AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, page_id,
+  SELECT row_number() OVER () AS rid, page_id, coalesce(contains('{url_filter.HELD}', md5(url)[1]), false) AS held,
     CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
 hp AS MATERIALIZED (
-  SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{LETTERS}', '{LETTERS.lower()}') AS host,
+  SELECT rid, page_id, rest, held, translate(regexp_extract(rest, '^[^/?#]*'), '{LETTERS}', '{LETTERS.lower()}') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM given),
 rules(ord, act, rhost, rpath) AS (VALUES {rules}),
@@ -36,7 +36,7 @@ ruled AS MATERIALIZED (
     SELECT rid, act, rhost, rpath, ord - 100 * length(rhost || rpath) AS rank FROM hp JOIN rules
     ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
   GROUP BY rid),
-chars AS (SELECT rid, translate(host || path, '{LETTERS}', '{LETTERS.lower()}') AS s FROM hp),
+chars AS (SELECT rid, translate(rest, '{LETTERS}', '{LETTERS.lower()}') AS s FROM hp),
 coded AS (
   SELECT rid, [0, 0] || [CASE WHEN contains('0123456789', substr(s, i, 1)) THEN 2
     WHEN contains('{url_filter.SIGNS}{LETTERS.lower()}', substr(s, i, 1)) THEN strpos('{url_filter.SIGNS}{LETTERS.lower()}', substr(s, i, 1)) + 2
@@ -45,7 +45,8 @@ coded AS (
 cells AS MATERIALIZED (
   SELECT rid, unnest([(syms[i - 2] * {a} + syms[i - 1]) * {a} + syms[i] FOR i IN range(3, len(syms) + 1)]) AS cell FROM coded),
 counted AS (
-  SELECT cell, count(*) FILTER (act = 'allow') AS g, count(*) FILTER (act = 'block') AS b FROM cells JOIN ruled USING (rid) GROUP BY cell),
+  SELECT cell, count(*) FILTER (act = 'allow') AS g, count(*) FILTER (act = 'block') AS b FROM cells JOIN ruled USING (rid) JOIN hp USING (rid)
+  WHERE NOT held GROUP BY cell),
 every AS (
   SELECT cell, cell // {a * a} AS c1, cell // {a} % {a} AS c2, cell % {a} AS c3, coalesce(g, 0)::DOUBLE AS g, coalesce(b, 0)::DOUBLE AS b
   FROM range({a**3}) t(cell) LEFT JOIN counted USING (cell)),
@@ -54,11 +55,11 @@ model AS MATERIALIZED (
   SELECT cell, CASE WHEN gn1 = 0 OR bn1 = 0 THEN 0 ELSE round({url_filter.SCALE} * (ln({_p('g')}) - ln({_p('b')})))::BIGINT END AS lr FROM summed),
 totals AS (SELECT rid, sum(lr)::DOUBLE AS total, count(*) AS n FROM cells JOIN model USING (cell) GROUP BY rid),
 scored AS MATERIALIZED (
-  SELECT hp.*, rule, act, CASE WHEN n > 0 THEN floor(total / n) / {url_filter.SCALE} ELSE 0.0::DOUBLE END AS score
+  SELECT hp.* EXCLUDE (rest), rule, act, CASE WHEN n > 0 THEN floor(total / n) / {url_filter.SCALE} ELSE 0.0::DOUBLE END AS score
   FROM hp LEFT JOIN ruled USING (rid) LEFT JOIN totals USING (rid)),
 steps AS (
   SELECT floor(score * {url_filter.SCALE} / {url_filter.STEP})::BIGINT AS step, count(*) FILTER (act = 'allow') AS g, count(*) FILTER (act = 'block') AS b
-  FROM scored WHERE act IS NOT NULL GROUP BY step),
+  FROM scored WHERE act IS NOT NULL AND held GROUP BY step),
 sums AS (
   SELECT step, sum(g) OVER () AS good, sum(b) OVER () AS bad, sum(g) OVER (ORDER BY step) - g AS lost, sum(b) OVER (ORDER BY step) - b AS caught,
     lag(step) OVER (ORDER BY step) AS before

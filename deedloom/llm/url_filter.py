@@ -1,16 +1,17 @@
 """URL filter: host and path rules first, a character language-model ratio for what no rule decides.
 
-Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, are counted over every URL
-that a rule decides. A prediction mixes the orders from long to short: P(c | ab) = (n(abc) + M P(c | b)) /
+Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, read whole URLs: everything after
+the scheme, query and fragment included. Of the URLs that a rule decides, those whose hash begins with one of `HELD` are
+held out, the others are counted. A prediction mixes the orders from long to short: P(c | ab) = (n(abc) + M P(c | b)) /
 (n(ab) + M) and so on down to the uniform distribution. Characters are mapped to an alphabet of `A` symbols, so a
 model is a table of A^3 cells whatever the input: that proven bound lets the log ratio of all cells, in
 micro-nats, be a constant of the plan. Scoring is then a fold inside the row: no join, no shuffle, no Python.
 
-The score is the log-likelihood difference over the number of symbols. Its threshold is calibrated on the same
-rule-decided URLs.
+The score is the log-likelihood difference over the number of symbols. Its threshold is calibrated on the held-out URLs.
+Cells are worked out once and written.
 
 Edge cases: a null url or one without "://" has an empty host and path, meets no rule and scores 0; with no
-accepted or no rejected URL to learn from all scores are 0 and the verdict is allow; very long URLs are read whole;
+accepted or no rejected URL to learn from all scores are 0, and with none held out every URL is above the threshold; very long URLs are read whole;
 repeated rows are judged alike and each counts in training; of rules of equal length the first listed wins; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deedloom.llm.common import UPPER, columns
+from deedloom.session import materialize
 
 # action, host, path in the order of the contract
 RULES = (
@@ -31,18 +33,24 @@ A = 3 + len(SIGNS) + 26
 PRIOR = 2.0
 SCALE = 1_000_000
 STEP = 10_000
+# first hex digits of the hashes of held-out URLs: five of sixteen
+HELD = "01234"
 
 
 def rule_name(host: str, path: str) -> str:
     return f"{host}{path}"
 
 
-def parts(url: Column) -> tuple[Column, Column]:
-    """Host and path."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
+def after_scheme(url: Column) -> Column:
+    """Everything after the first "://", empty without one."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
+
+
+def parts(rest: Column) -> tuple[Column, Column]:
+    """Host and path of what follows the scheme."""
     host = F.translate(F.regexp_extract(rest, r"(?s)^[^/?#]*", 0), UPPER, UPPER.lower())
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
+    return host, path
 
 
 def with_rule(df: DataFrame, rules=RULES) -> DataFrame:
@@ -56,9 +64,9 @@ def with_rule(df: DataFrame, rules=RULES) -> DataFrame:
 
 
 def with_symbols(df: DataFrame) -> DataFrame:
-    """Adds `syms`, the symbols of host and path, led by two paddings."""
+    """Adds `syms`, the symbols of everything after the scheme (`rest`), led by two paddings."""
     letters = UPPER.lower()
-    whole = F.translate(F.concat("host", "path"), UPPER, letters)
+    whole = F.translate("rest", UPPER, letters)
     # one printable stand-in per symbol: code point 48 + symbol
     known = "0123456789" + SIGNS + letters
     stand = [2] * 10 + [3 + i for i in range(len(SIGNS))] + [3 + len(SIGNS) + i for i in range(26)]
@@ -78,7 +86,7 @@ def _cells(syms: Column) -> Column:
 def train(judged: DataFrame) -> list[int]:
     """Log ratio accepted to rejected of each of the A^3 cells, in micro-nats; all 0 if a side has no URL."""
     spark = judged.sparkSession
-    seen = judged.where("ruled is not null").select("ruled", F.explode("cells").alias("cell"))
+    seen = judged.where("ruled is not null and not held").select("ruled", F.explode("cells").alias("cell"))
     side = lambda a: F.count(F.when(F.col("ruled") == a, 1)).cast("double")
     counts = seen.groupBy("cell").agg(side("allow").alias("g"), side("block").alias("b"))
     cells = spark.range(A**3).withColumnRenamed("id", "cell").join(F.broadcast(counts), "cell", "left").na.fill(0.0, ["g", "b"])
@@ -93,9 +101,9 @@ def train(judged: DataFrame) -> list[int]:
     full = cells.withColumns({"gn1": F.lit(good), "bn1": F.lit(bad)}).join(c1, "c3").join(n2, "c2").join(c2, ["c2", "c3"]).join(n3, ["c1", "c2"])
 
     def p(s: str) -> str:
-        first = f"(({s}1 + {PRIOR} / {A}) / ({s}n1 + {PRIOR}))"
-        second = f"(({s}2 + {PRIOR} * {first}) / ({s}n2 + {PRIOR}))"
-        return f"(({s} + {PRIOR} * {second}) / ({s}n3 + {PRIOR}))"
+        first = f"(({s}1 + {PRIOR}D / {A}) / ({s}n1 + {PRIOR}D))"
+        second = f"(({s}2 + {PRIOR}D * {first}) / ({s}n2 + {PRIOR}D))"
+        return f"(({s} + {PRIOR}D * {second}) / ({s}n3 + {PRIOR}D))"
 
     ratio = f"case when gn1 = 0 or bn1 = 0 then 0 else cast(round({SCALE} * (ln({p('g')}) - ln({p('b')}))) as int) end"
     # A^3 numbers: bounded by the alphabet, not by the input
@@ -111,14 +119,14 @@ def with_score(df: DataFrame, ratios: list[int]) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """Least score that is allowed, calibrated on the rule-decided URLs.
+    """Least score that is allowed, calibrated on the held-out URLs that a rule decides.
 
     Of the steps between their scores the one with the largest sum of accepted share allowed and rejected share
     blocked; the threshold is the middle of the gap below it. The histogram has at most some thousand steps.
     """
     side = lambda a: F.count(F.when(F.col("ruled") == a, 1))
     steps = sorted(
-        scored.where("ruled is not null").groupBy(F.floor(F.col("score") * SCALE / STEP).alias("step")).agg(side("allow"), side("block")).collect()
+        scored.where("ruled is not null and held").groupBy(F.floor(F.col("score") * SCALE / STEP).alias("step")).agg(side("allow"), side("block")).collect()
     )
     good, bad = sum(g for _, g, _ in steps), sum(b for _, _, b in steps)
     if not good or not bad:
@@ -135,9 +143,11 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score."""
     given = columns(pages, ("page_id", "long"), ("url", "string"))
-    host, path = parts(F.col("url"))
-    coded = with_symbols(with_rule(given.withColumns({"host": host, "path": path}), rules))
-    coded = coded.withColumn("cells", _cells(F.col("syms"))).drop("syms", "url")
+    cut = given.withColumn("rest", after_scheme(F.col("url")))
+    host, path = parts(F.col("rest"))
+    held = F.coalesce(F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD), F.lit(False))
+    coded = with_symbols(with_rule(cut.withColumns({"host": host, "path": path, "held": held}), rules))
+    coded = materialize(coded.withColumn("cells", _cells(F.col("syms"))).drop("syms", "url", "rest"))
     ratios = train(coded)
     scored = with_score(coded, ratios)
     least = threshold(scored)

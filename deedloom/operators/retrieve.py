@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from deedloom.functions import text as T
 from deedloom.operators.positions import first_per_key
+from deedloom.session import materialize
 
 DOC = ("case_id", "document_id")
+# rarest words of a record whose posting lists are read first
+PROBES = 2
 
 
 def evidence_pick(items: DataFrame, candidates: DataFrame, k: int = 3, n: int = 300, key: str = "ord", out: str = "item_ord") -> DataFrame:
@@ -34,6 +37,11 @@ def keyword_top_k(records: DataFrame, chunks: DataFrame, k: int = 5) -> DataFram
     The pool is the source document, or the whole case when that has no chunks. A word is contained in a
     text exactly when it is contained in one of the text's words, so distinct words meet distinct words
     through shared three-letter pieces; records with the same words are scored once.
+
+    The words of a record that occur in its pool are put in order, rarest first. A chunk that is first found through
+    the r-th of p words holds at most p - r + 1 of them. So the posting lists of the `PROBES` rarest words give
+    candidates and with them a k-th best count, and of the other lists only those are read whose bound reaches it; where
+    the bound only equals it, only chunks that come before the k-th. Common words are mostly never looked up.
     """
     words = T.query_words(F.col("title"), F.col("summary"), F.col("beneficiary"))
     docs = chunks.select(*DOC).distinct().withColumn("_has", F.lit(True))
@@ -53,12 +61,35 @@ def keyword_top_k(records: DataFrame, chunks: DataFrame, k: int = 5) -> DataFram
     vocabulary = pooled.select("case_id", "pool", "token").distinct().select("case_id", "pool", "token", F.explode(pieces(F.col("token"))).alias("piece"))
     wanted = asked.select("case_id", "pool", F.explode("words").alias("word")).distinct().withColumn("piece", F.left("word", F.lit(3)))
     known = wanted.join(vocabulary, ["case_id", "pool", "piece"]).where(F.contains("token", F.col("word"))).select("case_id", "pool", "word", "token")
-    chunk_words = pooled.join(known, ["case_id", "pool", "token"]).select("case_id", "pool", "document_id", "chunk_index", "word").distinct()
-    hits = (
-        asked.select("case_id", "pool", "wkey", F.size("words").alias("n"), F.explode("words").alias("word"))
-        .join(chunk_words, ["case_id", "pool", "word"])
-        .groupBy("case_id", "pool", "wkey", "n", "document_id", "chunk_index").agg(F.count(F.lit(1)).alias("m"))
+    chunk = ["case_id", "pool", "document_id", "chunk_index"]
+    postings = materialize(pooled.join(known, ["case_id", "pool", "token"]).select(*chunk, "word").distinct())
+    lists = postings.groupBy(*chunk).agg(F.collect_list("word").alias("have"))
+    lengths = postings.groupBy("case_id", "pool", "word").agg(F.count(F.lit(1)).alias("df"))
+    record = ["case_id", "pool", "wkey"]
+    ordered = (
+        asked.select(*record, F.size("words").alias("n"), F.explode("words").alias("word")).join(lengths, ["case_id", "pool", "word"])
+        .groupBy(*record, "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("_l"))
+        .select(*record, "n", F.transform("_l", lambda x: x["word"]).alias("present"))
+    )
+    ordered = materialize(ordered)
+
+    def counted(found: DataFrame) -> DataFrame:
+        """How many of the record's words each candidate chunk holds."""
+        return found.join(lists, chunk).select(*record, "n", *chunk[2:], F.size(F.array_intersect("present", "have")).alias("m"))
+
+    lookup = lambda rows: rows.join(postings, ["case_id", "pool", "word"])
+    rare = lookup(ordered.select("*", F.explode(F.slice("present", 1, PROBES)).alias("word"))).select(*record, "n", "present", *chunk[2:]).distinct()
+    best = [F.desc("m"), "document_id", "chunk_index"]
+    first = materialize(counted(rare).withColumn("place", F.row_number().over(Window.partitionBy(*record).orderBy(*best))).where(F.col("place") <= k))
+    kth = first.where(F.col("place") == k).select(*record, F.col("m").alias("_m"), F.struct("document_id", "chunk_index").alias("_at"))
+    bound = F.size("present") - F.col("_i")
+    rest = (
+        ordered.join(kth, record, "left").select("*", F.posexplode("present").alias("_i", "word"))
+        .where((F.col("_i") >= PROBES) & (bound >= F.coalesce("_m", F.lit(1)))).withColumn("_bound", bound).drop("_i")
     )
+    before = F.struct("document_id", "chunk_index") < F.col("_at")
+    later = lookup(rest).where(F.col("_m").isNull() | (F.col("_bound") > F.col("_m")) | before).select(*record, "n", "present", *chunk[2:]).distinct()
+    hits = first.drop("place").unionByName(counted(later)).distinct()
     scored = hits.withColumn("score", F.col("m") / F.col("n"))
     w = Window.partitionBy("case_id", "pool", "wkey").orderBy(F.desc("score"), "document_id", "chunk_index")
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

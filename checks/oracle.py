@@ -1014,7 +1014,8 @@ oracle(
 )
 oracle(
     "chunk_types",
-    """SELECT p.case_id, coalesce(m.document_type, 'akt') AS document_type, count(*) AS pages FROM raw_pages p LEFT JOIN (SELECT * FROM documents_meta WHERE pos % 9 <> 4) m USING (case_id, document_id) GROUP BY 1, 2""",
+    """SELECT p.case_id, coalesce(m.document_type, 'akt') AS document_type, count(*) AS pages FROM (SELECT case_id, document_id FROM raw_pages
+   UNION ALL SELECT case_id, 'ukendt-' || document_id FROM raw_pages) p LEFT JOIN documents_meta m USING (case_id, document_id) GROUP BY 1, 2""",
     "raw_pages",
     "documents_meta",
 )
@@ -1247,3 +1248,53 @@ oracle(
     "star_items",
     "record_stars",
 )
+
+# ---- reuse, templates, files --------------------------------------------------------------------------------------
+oracle(
+    "stream_reuse",
+    f"""SELECT document_id, count(*) AS pages, sum(length(text))::bigint AS chars, 0 AS batch FROM raw_pages GROUP BY 1
+  UNION ALL SELECT document_id, count(*), sum(length(text || ' rettet'))::bigint, 1 FROM raw_pages WHERE {NUM} % 3 = 0 GROUP BY 1""",
+    "raw_pages",
+)
+CHUNK_BLOCK = "'[Dok: ' || c.document_id || ' | Side ' || c.page::varchar || ' | Chunk ' || c.chunk_index::varchar || ']' || chr(10) || c.text"
+BETWEEN = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+oracle(
+    "document_prompts",
+    f"""SELECT document_id, document_type AS source_type, CASE document_type WHEN 'akt' THEN 4096 ELSE 16000 END AS max_tokens, sha256(prompt) AS digest, length(prompt) AS chars
+  FROM (SELECT document_id, document_type, CASE document_type WHEN 'akt' THEN 'Alm: ' ELSE 'Attest: ' END || string_agg({CHUNK_BLOCK}, {BETWEEN} ORDER BY page, chunk_index) AS prompt
+        FROM chunks c JOIN documents_meta m USING (case_id, document_id) GROUP BY 1, 2)""",
+    "chunks",
+    "documents_meta",
+)
+oracle(
+    "segment_prompts",
+    f"""SELECT segment_id, 16000 AS max_tokens, sha256('Attest: ' || string_agg({CHUNK_BLOCK}, {BETWEEN} ORDER BY page, chunk_index)) AS digest
+  FROM (SELECT *, unnest(page_numbers) AS page FROM segments) s JOIN chunks c USING (case_id, document_id, page) GROUP BY segment_id""",
+    "segments",
+    "chunks",
+)
+oracle(
+    "documents_with_pages",
+    """SELECT document_id, filename, page_number FROM documents_meta LEFT JOIN raw_pages USING (case_id, document_id)
+  UNION ALL SELECT 'tom-' || pos::varchar, filename, NULL FROM documents_meta
+  UNION ALL SELECT document_id || '!', filename, NULL FROM documents_meta UNION ALL SELECT 'tom-' || pos::varchar || '!', filename, NULL FROM documents_meta""",
+    "documents_meta",
+    "raw_pages",
+)
+oracle(
+    "entity_files",
+    """SELECT document_id, filename, pos FROM documents_meta WHERE pos % 9 <> 4 UNION ALL SELECT 'unreadable', NULL, count(*) FROM documents_meta WHERE pos % 9 = 4""",
+    "documents_meta",
+)
+oracle(
+    "evaluation_dump",
+    "SELECT servitut_id, date_reference, akt_nr, title, confidence, array_to_string(applies_to_matrikler, '|') AS applies FROM canonicals",
+    "canonicals",
+)
+oracle(
+    "drop_register",
+    """SELECT case_id, r.records, s.states FROM (SELECT case_id, count(*) AS records FROM canonicals GROUP BY 1) r FULL JOIN (SELECT case_id, count(*) AS states FROM seg_state GROUP BY 1) s USING (case_id)
+  WHERE NOT regexp_matches(case_id, '-[13]$')""",
+    "canonicals",
+    "seg_state",
+)

@@ -876,8 +876,10 @@ def sql_functions(s, d):
 
 @query
 def chunk_types(s, d):
-    docs = X.documents(s, d).where("pos % 9 <> 4")
-    return EX.typed_chunks(X.raw_pages(s, d), docs).groupBy("case_id", "document_type").agg(F.count(F.lit(1)).alias("pages"))
+    known = X.raw_pages(s, d)
+    # pages of documents that nobody knows count as deeds
+    unknown = known.withColumn("document_id", F.concat(F.lit("ukendt-"), F.col("document_id")))
+    return EX.typed_chunks(known.unionByName(unknown), X.documents(s, d)).groupBy("case_id", "document_type").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query
@@ -969,3 +971,92 @@ def scoring_compatible(s, d):
     """Some stored rows lack their chunk details."""
     fields = "case when pos % 50 = 7 then '{\"selection_summary\": {}, \"rules\": []}' else '{\"selection_summary\": {}, \"rules\": [], \"chunk_details\": []}' end as json"
     return SO.compatible(X.documents(s, d).selectExpr("case_id", fields))
+
+
+# ---- reuse, templates, files --------------------------------------------------------------------------------------
+def _scratch(s):
+    import uuid
+
+    from deedloom.session import shared_folder
+
+    return f"{shared_folder(s).rstrip('/')}/deedloom-files-{uuid.uuid4().hex}"
+
+
+@query
+def stream_reuse(s, d):
+    """Two runs of a stream over documents, the second with every third one changed, and its batch once more."""
+    pages = X.raw_pages(s, d).select("case_id", "document_id", F.col("page_number").alias("page"), F.col("page_number").alias("chunk_index"), "text")
+    n = F.regexp_extract("document_id", r"([0-9]+)", 1).cast("bigint")
+    src, base = _scratch(s), _scratch(s)
+    count = lambda df: df.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("chars"))
+    stream = lambda: s.readStream.schema(pages.schema).parquet(src)
+    pages.write.parquet(src)
+    SJ.process_changed(stream(), G.source_signature, count, base)
+    changed = materialize(pages.withColumn("text", F.when(n % 3 == 0, F.concat("text", F.lit(" rettet"))).otherwise(F.col("text"))))
+    changed.write.mode("append").parquet(src)
+    SJ.process_changed(stream(), G.source_signature, count, base)
+    step, stored = SJ.changed_step(s, pages.schema, G.source_signature, count, base)
+    step(changed, 1)
+    return stored().where("batch >= 0")
+
+
+@query
+def document_prompts(s, d):
+    """Prompts by the template of the document's type; deeds fall back to the generic template."""
+    templates = s.createDataFrame([("generisk", "Alm: {chunks_text}"), (fixed.REGISTER_TYPE, "Attest: {chunks_text}")], "source_type string, template string")
+    p = A.document_prompts(EX.typed_chunks(_chunks(s, d), X.documents(s, d)), templates, "generisk")
+    return p.select("document_id", "source_type", "max_tokens", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("chars"))
+
+
+@query
+def segment_prompts(s, d):
+    """Prompts of register segments by their own template."""
+    c = _chunks(s, d)
+    templates = s.createDataFrame([(fixed.DEED_TYPE, "Alm: {chunks_text}"), (fixed.REGISTER_TYPE, "Attest: {chunks_text}")], "source_type string, template string")
+    p = EX.segment_prompts(materialize(G.build_segments(c)), c, templates)
+    return p.select("segment_id", "max_tokens", F.sha2("prompt", 256).alias("digest"))
+
+
+@query
+def documents_with_pages(s, d):
+    """Metadata with page rows, and documents that have none."""
+    docs = X.documents(s, d)
+    more = docs.withColumn("document_id", F.concat(F.lit("tom-"), F.col("pos").cast("string")))
+    both = docs.unionByName(more).select("case_id", "document_id", "filename")
+    pages = X.raw_pages(s, d).select("case_id", "document_id", "page_number")
+    return SO.with_pages(both, pages).select("document_id", "filename", "page_number").unionByName(
+        SO.with_pages(both, None).select(F.concat("document_id", F.lit("!")).alias("document_id"), "filename", F.lit(None).cast("int").alias("page_number"))
+    )
+
+
+@query
+def entity_files(s, d):
+    """One JSON file per document, every ninth of them broken: what could be read, and how many could not."""
+    from pyspark.sql.types import StructType
+
+    docs = X.documents(s, d).select("document_id", "filename", "pos")
+    path = _scratch(s)
+    whole = F.to_json(F.struct("document_id", "filename", "pos"))
+    docs.select(F.when(F.col("pos") % 9 == 4, F.lit("{broken")).otherwise(whole).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    good, bad = SO.read_entities(s, path, StructType.fromDDL("document_id string, filename string, pos bigint"))
+    counted = bad.agg(F.count(F.lit(1)).alias("pos")).select(F.lit("unreadable").alias("document_id"), F.lit(None).cast("string").alias("filename"), "pos")
+    return good.unionByName(counted)
+
+
+@query
+def evaluation_dump(s, d):
+    """Records dumped as JSON and read again."""
+    path = _scratch(s)
+    df = X.canonicals(s, d)
+    SO.dump_json(df, path)
+    return s.read.schema(df.schema).json(path).select("servitut_id", "date_reference", "akt_nr", "title", "confidence", F.array_join("applies_to_matrikler", "|").alias("applies"))
+
+
+@query
+def drop_register(s, d):
+    """Register records and segment states of the other cases, when those of two out of five cases are dropped."""
+    gone = X.documents(s, d).where("case_id like '%-1' or case_id like '%-3'").select("case_id").distinct()
+    left = SO.cascade_delete({"records": X.canonicals(s, d), "states": _segment_state(s, d)}, gone, ["case_id"])
+    return left["records"].groupBy("case_id").agg(F.count(F.lit(1)).alias("records")).join(
+        left["states"].groupBy("case_id").agg(F.count(F.lit(1)).alias("states")), "case_id", "full"
+    )

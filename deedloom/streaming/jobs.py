@@ -129,16 +129,40 @@ def new_contents(files: DataFrame, folder: str | None = None) -> DataFrame:
     return _kept(spark, schema, out).drop("batch")
 
 
-def process_changed(stream: DataFrame, signature: Callable[[DataFrame], DataFrame], read_state: Callable[[], DataFrame],
-                    process: Callable[[DataFrame, DataFrame], None], checkpoint: str) -> None:
-    """Batch by batch: fingerprint the documents, drop those with known fingerprint, process the rest (STR-04).
+def changed_step(
+    spark: SparkSession, schema: StructType, signature: Callable[[DataFrame], DataFrame], process: Callable[[DataFrame], DataFrame], base: str
+) -> tuple[Callable[[DataFrame, int], None], Callable[[], DataFrame]]:
+    """The work of one batch for `process_changed`, and a reader of all that is stored so far.
 
-    `process` gets the changed rows and their fingerprints and stores both.
+    A batch stores its fingerprints and its results in folders of its own and compares only with batches before it, so
+    running it again, whole or after a failure half-way, stores the same rows once.
     """
+    keys = ["case_id", "document_id"]
+    empty = spark.createDataFrame([], schema)
+    kept = signature(empty).select(*keys, "source_signature").schema
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        earlier = _kept(spark, kept, f"{base}/state").where(F.col("batch") < batch_id)
+        last = earlier.groupBy(*keys).agg(F.max_by("source_signature", "batch").alias("_last"))
+        found = signature(batch).select(*keys, "source_signature").join(last, keys, "left")
+        fresh = found.where(F.col("_last").isNull() | (F.col("_last") != F.col("source_signature"))).drop("_last")
+        mine = f"{base}/state/batch={batch_id}"
+        fresh.select(*kept.names).write.mode("overwrite").parquet(mine)
+        stored = spark.read.schema(kept).parquet(mine).select(*keys)
+        process(batch.join(stored, keys, "left_semi")).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    return step, lambda: _kept(spark, process(empty).schema, f"{base}/out")
 
-    def step(batch: DataFrame, _: int) -> None:
-        found = signature(batch)
-        fresh = found.join(read_state(), ["case_id", "document_id", "source_signature"], "left_anti")
-        process(batch.join(fresh.select("case_id", "document_id"), ["case_id", "document_id"], "left_semi"), fresh)
 
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def process_changed(
+    stream: DataFrame, signature: Callable[[DataFrame], DataFrame], process: Callable[[DataFrame], DataFrame], folder: str | None = None
+) -> DataFrame:
+    """Batch by batch: fingerprint the documents, drop those whose newest stored fingerprint is the same, process the rest (STR-04).
+
+    A batch holds whole documents. Returns what `process` gave, with the number of its batch; with a `folder` the next
+    run goes on where the last one ended.
+    """
+    base = _base(stream.sparkSession, folder)
+    step, stored = changed_step(stream.sparkSession, stream.schema, signature, process, base)
+    _run(stream, step, base)
+    return stored()

@@ -112,14 +112,25 @@ def test_job_states(spark):
 
 
 def test_changed_documents_only(spark, tmp_path):
-    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    src, base = str(tmp_path / "src"), str(tmp_path / "base")
     schema = "case_id string, document_id string, text string"
-    spark.createDataFrame([("c", "d1", "a"), ("c", "d2", "b")], schema).coalesce(1).write.parquet(src)
-    sig = lambda df: df.groupBy("case_id", "document_id").agg(F.sha2(F.max("text"), 256).alias("source_signature"))
-    known = sig(spark.createDataFrame([("c", "d1", "a")], schema))
-    SJ.process_changed(spark.readStream.schema(schema).parquet(src), sig, lambda: known,
-                       lambda rows, fresh: rows.write.mode("append").parquet(out), str(tmp_path / "chk"))
-    assert [r.document_id for r in spark.read.parquet(out).collect()] == ["d2"]
+    put = lambda *docs: spark.createDataFrame([("c", d, t) for d, t in docs], schema).coalesce(1).write.mode("append").parquet(src)
+    sig = lambda df: df.groupBy("case_id", "document_id").agg(F.sha2(F.max("text"), 256).alias("source_signature"))
+    work = lambda df: df.select("document_id", F.upper("text").alias("done"))
+    run = lambda: sorted((r.batch, r.document_id, r.done) for r in SJ.process_changed(spark.readStream.schema(schema).parquet(src), sig, work, base).collect() if r.batch >= 0)
+    put(("d1", "a"), ("d2", "b"))
+    first = [(0, "d1", "A"), (0, "d2", "B")]
+    assert run() == first
+    put(("d1", "a"), ("d2", "x"), ("d3", "c"))
+    second = first + [(1, "d2", "X"), (1, "d3", "C")]
+    assert run() == second
+    # back to an older text is a change too; the newest fingerprint counts
+    put(("d2", "b"))
+    assert run() == second + [(2, "d2", "B")]
+    # running a batch again stores the same rows once
+    step, stored = SJ.changed_step(spark, spark.read.schema(schema).parquet(src).schema, sig, work, base)
+    step(spark.createDataFrame([("c", "d1", "a"), ("c", "d2", "x"), ("c", "d3", "c")], schema), 1)
+    assert sorted((r.batch, r.document_id, r.done) for r in stored().collect()) == second + [(2, "d2", "B")]
 
 
 def test_entity_files_and_store(spark, tmp_path):

@@ -3,8 +3,9 @@
 An Aho-Corasick automaton over the vocabulary enumerates every piece that ends at a character; dynamic programming
 carries the best score and the number of pieces to each position. Of equal scores the one whose last piece starts
 first stays, as in the tokenizer. A character that is no piece costs the lowest score less 10 and counts as its
-UTF-8 bytes (byte fallback). Blanks become the word mark and words are segmented one by one, so a word is worked out
-once per worker while it stays in a bounded memory.
+UTF-8 bytes (byte fallback). Blanks become the word mark. A text is cut before each mark that follows another character,
+where no piece of the vocabulary can lie across (a vocabulary with such a piece is not cut at all); runs of marks stay
+together with the word behind them. Each part is worked out once per worker while it stays in a bounded memory.
 
 Edge cases: a null or empty text has no tokens and score 0; texts and words of any length are read whole (long words
 are not remembered); repeated rows give repeated results; an empty table gives an empty result; other columns are
@@ -13,6 +14,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 
@@ -23,6 +25,8 @@ from deedloom.llm.common import columns, map_rows
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 PENALTY = 10.0
+# a piece with a mark inside, a part that can be cut off, a run without marks
+ACROSS, PART, WORD = re.compile(f"[^{MARK}]{MARK}"), re.compile(f"{MARK}+[^{MARK}]*"), re.compile(f"[^{MARK}]+")
 REMEMBER, LONGEST = 1 << 18, 64
 
 
@@ -49,6 +53,8 @@ class Counting:
         self.singles = {p for p, _ in pieces if len(p) == 1}
         self.unknown = min((s for _, s in pieces), default=0.0) - PENALTY
         self.memory: dict[str, tuple[float, int]] = {}
+        across = any(ACROSS.search(p) for p, _ in pieces)
+        self.parts = (lambda text: [text]) if across else PART.findall
 
     def viterbi(self, word: str) -> tuple[float, int]:
         n = len(word)
@@ -83,16 +89,16 @@ class Counting:
         return known
 
     def text(self, text: str | None) -> tuple[int, int, float]:
-        """Words, tokens and best score of a text."""
+        """Words (runs without marks), tokens and best score of a text."""
         if not text:
             return 0, 0, 0.0
         marked = text.replace(" ", MARK)
-        words = Counter((marked if marked[0] == MARK else MARK + marked)[1:].split(MARK))
+        parts = Counter(self.parts(marked if marked[0] == MARK else MARK + marked))
         tokens, score = 0, 0.0
-        for w, n in words.items():
-            s, c = self.word(MARK + w)
+        for w, n in parts.items():
+            s, c = self.word(w)
             tokens, score = tokens + n * c, score + n * s
-        return words.total(), tokens, score
+        return len(WORD.findall(marked)), tokens, score
 
 
 _LOADED: dict[str, Counting] = {}

@@ -289,7 +289,7 @@ def test_token_counts(docs, rows, none):
     low = min(s for _, s in pieces)
     vocabulary = [("<unk>", low), *pieces, *((sp.id_to_piece(i), low) for i in range(sp.get_piece_size()) if sp.is_byte(i))]
     known = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
-    known.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    known.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=False)
     want = [(r[0], len(r[1] or ""), len(known.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows]
     same(token_count.count(docs), ("doc_id", "n_chars", "n_tokens"), want)
     assert token_count.count(none).count() == 0
@@ -314,6 +314,17 @@ def test_token_ties_and_best_score():
     for _ in range(300):
         word = "▁" + "".join(rng.choice("aabbé") for _ in range(rng.randint(0, 12)))
         assert counting.word(word) == best(word)
+    # whole texts with runs of blanks, with a vocabulary of runs and with one whose pieces lie across marks
+    for more in ([("▁▁", -1.5), ("▁▁▁", -4.0)], [("▁▁", -1.5), ("b▁a", -1.0)]):
+        score = dict(pieces + more)
+        counting = token_count.Counting(pieces + more)
+        for _ in range(300):
+            text = "".join(rng.choice("aab  é") for _ in range(rng.randint(1, 14)))
+            marked = text.replace(" ", "▁")
+            want = best(marked if marked[0] == "▁" else "▁" + marked)
+            words, tokens, total = counting.text(text)
+            assert (words, tokens) == (len(text.split()), want[1]) and math.isclose(total, want[0])
+    assert token_count.Counting(token_count.load()).text("a    b")[1] == 3
 
 
 # ---- classifier

@@ -1,11 +1,13 @@
 """Order-dependent clustering of records.
 
 Both rules read records in list order and compare each with the clusters so far. Small scopes of the
-merge are folded in a task each, by lookups. Everything else is worked out in rounds: every round
-derives all cluster states from the current assignment at once, with grouping and equality joins, and
-reassigns every record; the first wrong record in order is right after each round, so the assignment
-settles, and a settled one is exactly the sequential result. No case is gathered in one task. Rounds
-hold keys and numbers only and are written out, so lineage stays short and lost executors do no harm.
+merge are folded in a task each, by lookups. A larger scope falls into parts that share no date, archive
+id or title, so that no cluster can reach from one into another; bins of small parts are folded like
+small scopes. What remains, a part that is large itself, is worked out in rounds: every round derives
+all cluster states from the current assignment at once, with grouping and equality joins, and reassigns
+every record; the first wrong record in order is right after each round, so the assignment settles, and a
+settled one is exactly the sequential result. No case is gathered in one task. Rounds hold keys and
+numbers only and are written out, so lineage stays short and lost executors do no harm.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from deedloom import fixed
 from deedloom.functions import dates as D, text as T
+from deedloom.operators.groups import connected
 from deedloom.operators.positions import position
 from deedloom.session import materialize
 
@@ -213,8 +217,9 @@ def merge_groups(records: DataFrame, pages: DataFrame, scope: Sequence[str], sma
     archive id, else the first one with its current title in the same document on near pages; else it
     founds a cluster. `pages` lists the evidence pages: scope, ord, page.
 
-    Scopes of at most `small` records are folded in one task each; larger ones are never gathered and are
-    worked out in rounds, with the same result.
+    Scopes of at most `small` records are folded in one task each. Larger ones are never gathered: their
+    connected parts of at most `small` records are folded in bins, the parts beyond that are worked out in
+    rounds. The result is the same on each way.
     """
     title = T.strip(F.coalesce("title", F.lit("")))
     items = materialize(
@@ -227,15 +232,36 @@ def merge_groups(records: DataFrame, pages: DataFrame, scope: Sequence[str], sma
     large = materialize(items.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).drop("n"))
     listed = pages.where("page is not null").groupBy(*scope, "ord").agg(F.collect_list("page").alias("pages"))
     few = items.join(large, list(scope), "left_anti").join(listed, [*scope, "ord"], "left")
-    kinds = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in scope)
-    folded = few.groupBy(*scope).applyInPandas(partial(_fold, scope=list(scope)), f"{kinds}, ord long, founder long")
+    folded = _folded(few, scope, records.schema)
     if large.isEmpty():
         return materialize(folded)
-    return materialize(folded).unionByName(_in_rounds(items.join(large, list(scope), "left_semi"), pages.join(large, list(scope), "left_semi"), scope))
+    rest = items.join(large, list(scope), "left_semi")
+    # a cluster can hold the title of a record from another document than its founder's, so titles bind across documents
+    parted = materialize(rest.join(connected(rest, scope, [F.col("dk"), F.col("ak"), F.col("tk")]), [*scope, "ord"]))
+    sizes = materialize(parted.groupBy(*scope, "part").agg(F.count(F.lit(1)).alias("n")))
+    # a bin holds half of `small` on average, so that one of several parts seldom holds more than `small`
+    bins = sizes.where(F.col("n") <= small)
+    per_scope = bins.groupBy(*scope).agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n") / F.lit(max(small, 1)))).alias("bins"))
+    bins = bins.join(per_scope, list(scope)).select(*scope, "part", F.pmod(F.xxhash64("part"), "bins").alias("bin"))
+    binned = parted.join(bins, [*scope, "part"]).drop("part").join(listed, [*scope, "ord"], "left")
+    folded = materialize(folded.unionByName(_folded(binned, [*scope, "bin"], binned.schema).drop("bin")))
+    huge = sizes.where(F.col("n") > small).drop("n")
+    if huge.isEmpty():
+        return folded
+    inner = [*scope, "part"]
+    wide = materialize(parted.join(huge, inner, "left_semi"))
+    wide_pages = materialize(pages.join(wide.select(*inner, "ord"), [*scope, "ord"]))
+    return folded.unionByName(_in_rounds(wide, wide_pages, inner).drop("part"))
+
+
+def _folded(rows: DataFrame, scope: Sequence[str], schema: StructType) -> DataFrame:
+    """Founders by one task for each value of the scope."""
+    kinds = ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in scope)
+    return rows.groupBy(*scope).applyInPandas(partial(_fold, scope=list(scope)), f"{kinds}, ord long, founder long")
 
 
 def _in_rounds(items: DataFrame, pages: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Founders of large scopes: all cluster states from the assignment, all records reassigned, until nothing moves."""
+    """Founders of large parts: all cluster states from the assignment, all records reassigned, until nothing moves."""
     first = lambda k: items.where(f"{k} is not null").groupBy(*scope, k).agg(F.min("ord").alias(f"first_{k}"))
     guess = items.join(first("dk"), [*scope, "dk"], "left").join(first("ak"), [*scope, "ak"], "left").select(
         *scope, "ord", F.coalesce(F.least("first_dk", "first_ak"), "ord").alias("founder")

@@ -990,6 +990,30 @@ oracle(
  FROM (SELECT user_id, min(ts) FILTER (st IN ('completed', 'failed')) AS e_ts, arg_min(st, ts) FILTER (st IN ('completed', 'failed')) AS e_st, max(ts) AS n_ts, arg_max(st, ts) AS n_st
    FROM (SELECT *, {STATUS_SQL} AS st FROM events) GROUP BY 1)""",
 )
+# event by event: a run moves on, ends, or is followed by the next one; times of the last delay are not final yet
+oracle(
+    "stream_job_runs",
+    f"""WITH RECURSIVE e AS MATERIALIZED (
+   SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY us, st) AS n
+   FROM (SELECT 'job-' || user_id::varchar AS job_id, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 100 AS us, {STATUS_SQL} AS st FROM events)),
+ final AS MATERIALIZED (SELECT max(us) // 1000 * 1000 - 600000000 AS wm FROM e),
+ known AS MATERIALIZED (SELECT e.* FROM e JOIN (SELECT job_id, max(us) AS last FROM e GROUP BY 1) AS newest USING (job_id), final WHERE us <= greatest(wm, last - 600000000)),
+ walk AS (
+   SELECT job_id, n, us, st, us AS started, CASE WHEN st = 'waiting_for_login' THEN us END AS waiting, 1 AS events FROM known WHERE n = 1
+   UNION ALL
+   SELECT job_id, n, us, st, CASE WHEN fresh THEN us ELSE started END,
+     CASE WHEN st <> 'waiting_for_login' THEN NULL WHEN fresh OR waiting IS NULL THEN us ELSE waiting END, CASE WHEN fresh THEN 1 ELSE events + 1 END
+   FROM (SELECT k.job_id, k.n, k.us, k.st, w.started, w.waiting, w.events,
+       w.st IN ('completed', 'failed', 'cancelled') OR k.us > least(w.us + 300000000, coalesce(w.waiting + 600000000, w.us + 300000000)) AS fresh
+     FROM walk w JOIN known k ON k.job_id = w.job_id AND k.n = w.n + 1)),
+ ends AS (
+   SELECT *, st IN ('completed', 'failed', 'cancelled') AS done, least(us + 300000000, coalesce(waiting + 600000000, us + 300000000)) AS deadline,
+     lead(started) OVER (PARTITION BY job_id ORDER BY n) AS next_start, lead(us) OVER (PARTITION BY job_id ORDER BY n) AS next_us FROM walk)
+ SELECT job_id, started AS started_at, CASE WHEN done THEN us ELSE deadline END AS ended_at, CASE WHEN done THEN st ELSE 'failed' END AS status,
+   CASE WHEN NOT done THEN 'Timeout' END AS error_message, events::bigint AS events
+ FROM ends, final WHERE done OR next_start = next_us AND next_start > started OR next_us IS NULL AND deadline < wm
+   AND NOT EXISTS (SELECT 1 FROM e WHERE e.job_id = ends.job_id AND e.n = ends.n + 1 AND e.us <= ends.deadline)""",
+)
 STAGE_SQL = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'parsing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
 oracle(
     "stream_progress",

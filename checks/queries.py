@@ -652,7 +652,7 @@ def target_update(s, d):
 from deedloom.operators import ranges as RG  # noqa: E402
 from deedloom.plans import stats as ST  # noqa: E402
 from deedloom.sources import imports as IM, store as SO  # noqa: E402
-from deedloom.streaming import jobs as SJ  # noqa: E402
+from deedloom.streaming import jobs as SJ, runs as RU  # noqa: E402
 
 
 def _specs(s, d):
@@ -827,6 +827,18 @@ def stream_job_state(s, d):
     return SJ.job_status(SJ.job_states(e), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 86400).drop("started_at")
 
 
+@query
+def stream_job_runs(s, d):
+    """Runs of jobs by timers. The month of events passes a hundred times as fast, so that both limits matter."""
+    e = _event_stream(s, d).selectExpr(
+        "concat('job-', cast(user_id as string)) as job_id",
+        "timestamp_micros(1704067200000000 + (unix_micros(cast(ts as timestamp)) - 1704067200000000) div 100) as ts", f"{STATUS} as status",
+    )
+    runs = RU.job_runs(e)
+    ms = lambda c: F.unix_micros(c).alias(c)
+    return runs.select("job_id", ms("started_at"), ms("ended_at"), "status", "error_message", "events")
+
+
 STAGE = "case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'parsing' when 'purchase' then 'completed' else 'failed' end"
 
 

@@ -35,6 +35,18 @@ def gathered(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], folde
     return _kept(spark, schema, f"{base}/out")
 
 
+def stored_batches(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Runs a stream over everything available, stores each batch once and returns all that is stored, with its batch."""
+    spark = stream.sparkSession
+    base = _base(spark, folder)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    _run(stream, step, base)
+    return _kept(spark, stream.schema, f"{base}/out")
+
+
 def _run(stream: DataFrame, step: Callable[[DataFrame, int], None], base: str) -> None:
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 

@@ -6,12 +6,13 @@ only its own rules. A detection is an interval of words with a priority; it is s
 that of a detection of higher priority, or of equal priority and greater length. Detections of the base phrases
 always keep their label.
 
-Rules are names times contexts, built below from two short lists. Everything is inside the row: built-in functions
-only, no join, no shuffle, so no key can be hot. Work is linear in the text: suppression looks at the neighbourhood
-that an interval can reach.
+Rules are signatures of license texts, headers, links, identifiers and notices (`license_signatures`), and names in
+contexts, built below from two short lists. A negation ("not licensed under the ...") is a rule without label that
+suppresses the names inside it. Everything is inside the row: built-in functions only, no join, no shuffle, so no key
+can be hot. Work is linear in the text: suppression looks at the neighbourhood that an interval can reach.
 
 Edge cases: a null or empty text has no words, no labels, null positions and score 0; very long texts are read whole;
-repeated rows give repeated results; detections with equal interval and priority all stay; an empty table gives an
+repeated rows give repeated results; a negation leaves base labels as they are; detections with equal interval and priority all stay; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -22,9 +23,10 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deedloom.llm.common import UPPER, columns
+from deedloom.llm.license_signatures import signatures
 
 # words looked at before and after a keyword; every rule fits
-BEFORE, AFTER = 9, 9
+BEFORE, AFTER = 22, 16
 
 # label, keyword, words before it, words after it, whether the name needs a context to count
 NAMES = (
@@ -82,6 +84,7 @@ def rules() -> list[tuple[str, str, str, str, int, bool]]:
         for context, priority in CONTEXTS
         if context or not weak
     ]
+    out += [(label, key, f" {left}$", f"^ {right}", priority, False) for label, key, left, right, priority in signatures()]
     return out + [(label, key, f" {left}$", f"^ {right}", BASE_PRIORITY, True) for label, key, left, right in BASE]
 
 
@@ -105,7 +108,6 @@ def scan(docs: DataFrame) -> DataFrame:
     table = rules()
     keys = sorted({r[1] for r in table})
     by_key = {k: [dict(zip(("label", "before", "after", "priority", "base"), (r[0], *r[2:]))) for r in table if r[1] == k] for k in keys}
-    reach = (BEFORE + AFTER + 1) * max(map(len, by_key.values()))
     rule_map = F.from_json(F.lit(json.dumps(by_key)), "map<string,array<struct<label:string,before:string,after:string,priority:int,base:boolean>>>")
     key_list = F.array(*map(F.lit, keys))
 
@@ -121,23 +123,27 @@ def scan(docs: DataFrame) -> DataFrame:
             r["priority"].alias("priority"), r["label"].alias("label"), r["base"].alias("base"),
         ))
 
+    # an interval lies within the window of each word it holds, and a word gives no more than `most` of them
+    reach = F.lit(BEFORE + AFTER + 1) * F.col("most")
+
     def suppressed(d: Column, k: Column) -> Column:
-        near = F.slice("found", F.greatest(F.lit(1), k + 1 - reach), F.lit(2 * reach + 1))
+        near = F.slice("found", F.greatest(F.lit(1), k + 1 - reach), 2 * reach + 1)
         return F.exists(near, lambda e: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & (
             (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (e["end"] - e["start"] > d["end"] - d["start"]))
         ))
 
-    empty = F.lit(None).cast("array<struct<start:bigint,end:bigint,priority:int,label:string,base:boolean>>")
+    kind = "array<struct<start:bigint,end:bigint,priority:int,label:string,base:boolean>>"
     cut = columns(docs, ("doc_id", "long"), ("text", "string")).select("doc_id", words(F.col("text")).alias("words"))
     gated = F.arrays_overlap("words", key_list)
     where = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(key_list, F.get("words", i)))
-    found = cut.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), F.when(gated, F.flatten(F.transform(where, at))).otherwise(empty).alias("found")
+    spots = cut.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"),
+        F.coalesce(F.when(gated, F.transform(where, at)), F.array().cast(f"array<{kind}>")).alias("spots"),
     )
-    kept = found.withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:bigint,end:bigint,priority:int,label:string,base:boolean>>")))
-    kept = kept.withColumns({
+    found = spots.select("doc_id", "n_words", F.flatten("spots").alias("found"), F.coalesce(F.array_max(F.transform("spots", F.size)), F.lit(0)).alias("most"))
+    kept = found.withColumns({
         "base": F.filter("found", lambda d: d["base"]),
-        "kept": F.filter("found", lambda d, k: ~suppressed(d, k)),
+        "kept": F.filter(F.filter("found", lambda d, k: ~suppressed(d, k)), lambda d: d["label"] != ""),
     })
     base_labels, labels = F.transform("base", lambda d: d["label"]), F.transform("kept", lambda d: d["label"])
     starts = F.transform("base", lambda d: d["start"])

@@ -100,8 +100,8 @@ based AS (
   FROM found WHERE base GROUP BY d),
 named AS (
   SELECT d, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
-  FROM (SELECT d, label FROM kept UNION SELECT d, label FROM found WHERE base) GROUP BY d),
-best AS (SELECT d, max(priority) AS p FROM kept GROUP BY d)
+  FROM (SELECT d, label FROM kept WHERE label <> '' UNION SELECT d, label FROM found WHERE base) GROUP BY d),
+best AS (SELECT d, max(priority) AS p FROM kept WHERE label <> '' GROUP BY d)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(based.labels, '') AS base_labels,
   coalesce(named.labels, '') AS labels, coalesce(p, 0)::DOUBLE / 100 AS score
 FROM docs LEFT JOIN based USING (d) LEFT JOIN named USING (d) LEFT JOIN best USING (d)

@@ -211,6 +211,48 @@ def test_licenses(docs, rows, none):
     assert len(license_scan.rules()) > 200 and license_scan.scan(none).count() == 0
 
 
+def _sample(before, key, after):
+    """A text that a signature fits: optional groups left out, the first of several alternatives taken."""
+    out = before + key + " " + after
+    out = re.sub(r"\(\?:[^()]*\)[?*]", "", out)
+    out = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", out)
+    out = out.replace("[1-4] [05]", "4 0").replace("licen[sc]es?", "licenses").replace("[123]", "2").replace("[23]", "3").replace(" ?", " ")
+    return out.replace("(?:v20", "v20").strip()
+
+
+def test_license_signatures(spark):
+    table = [s for s in license_scan.signatures() if s[0]]
+    assert len(table) > 200 and len({s[1:4] for s in table}) == len(table)
+    texts = [_sample(before, key, after) for _, key, before, after, _ in table]
+    # a signature is found in its own text, even where other words surround it, and not without its first or last word
+    rows = [(i, f"Some words. {t.capitalize()}, and more") for i, t in enumerate(texts)]
+    rows += [(10_000 + i, t.rsplit(" ", 1)[0]) for i, t in enumerate(texts)] + [(20_000 + i, t.split(" ", 1)[1]) for i, t in enumerate(texts)]
+    found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [(s[0], t, found[i].labels) for i, (s, t) in enumerate(zip(table, texts)) if s[0] not in found[i].labels.split(",")]
+    assert not missed
+    for i, s in enumerate(table):
+        for at in (10_000 + i, 20_000 + i):
+            assert all(d.label != s[0] or d.end - d.start < len(texts[i].split()) for d in found[at].detections)
+
+
+def test_license_texts_and_negations(spark):
+    probes = [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit", 0.85),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd", 0.85),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc", 0.85),
+        ("This is free and unencumbered software released into the public domain.", "unlicense", 0.85),
+        ("see https://www.apache.org/licenses/LICENSE-2.0", "apache-2", 0.92),
+        ("Copyright (c) 2020. All rights reserved.", "all-rights-reserved", 0.4),
+        ("This is not licensed under the GPL.", "", 0.0),
+        ("It was never released under the terms of the GNU General Public License version 3.", "", 0.0),
+        ("not licensed under the GPL but licensed under the Apache License, Version 2.0", "apache-2", 0.9),
+        ("It is not available under the MIT license", "mit", 0.0),
+        ("redistribution of the permission was hereby refused to any person", "", 0.0),
+    ]
+    found = license_scan.scan(spark.createDataFrame([(i, p[0]) for i, p in enumerate(probes)], "doc_id long, text string"))
+    assert [(r.labels, r.score) for r in found.orderBy("doc_id").collect()] == [(p[1], p[2]) for p in probes]
+
+
 def test_license_suppression_in_a_long_text(spark):
     """Suppression is local, so a text of many mentions is judged like its parts."""
     part = "licensed under the gnu general public license version 3 and released under the mit license "

@@ -297,12 +297,12 @@ NEGATED = (
     "(?:not|never|no longer|isn t|neither|cannot be) (?:be )?(?:licensed |released |distributed |published |available |provided |covered |shared )(?:under|by) (?:the terms of )?(?:an? |the |any )?(?:gnu )?"
 )
 NEGATIVE_TAILS = """
-    {gpl} (?:v|version )?(?:[23] )?(?:0 )?(?:license )?
+    {gpl} (?:version |v )?(?:v?[23] )?(?:0 )?(?:license )?
     {gplv2}
     {gplv3}
-    {lgpl} (?:v|version )?(?:[23] )?(?:[01] )?(?:license )?
-    {agpl} (?:v|version )?(?:3 )?(?:0 )?
-    {gnu} (?:lesser |library |affero )?general public license (?:v|version )?(?:v?[23] )?(?:[01] )?
+    {lgpl} (?:version |v )?(?:v?[23] )?(?:[01] )?(?:license )?
+    {agpl} (?:version |v )?(?:v?3 )?(?:0 )?
+    {gnu} (?:lesser |library |affero )?general public license (?:version |v )?(?:v?[23] )?(?:[01] )?
     {mit} (?:license )?
     {expat} (?:license )?
     {apache} (?:software )?(?:license )?(?:version )?(?:2 )?(?:0 )?
@@ -318,7 +318,7 @@ NEGATIVE_TAILS = """
     {cc} by (?:nc )?(?:sa |nd )?(?:[1-4] [05] )?
     {creative} commons (?:attribution )?(?:non ?commercial )?(?:share ?alike )?(?:no ?derivatives )?(?:[1-4] [05] )?(?:international )?(?:license )?
     {artistic} license (?:version )?(?:2 )?(?:0 )?
-    {eupl} (?:v|version )?(?:1 2 )?
+    {eupl} (?:version |v )?(?:1 2 )?
     {ofl} (?:version )?(?:1 1 )?
     {boost} software license (?:version )?(?:1 0 )?
 """

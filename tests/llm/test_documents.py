@@ -421,9 +421,54 @@ def test_lm_score(docs, rows, none):
         assert sorted(got, key=repr) == sorted(want, key=repr)
     direct = sorted(round(r.score, 9) for r in lm_score.score(docs, bucket_keys=5000).collect())
     assert direct == sorted(round(r.score, 9) for r in lm_score.score(docs, bucket_keys=5000, filter_bytes=0).collect())
+    # pieces copied to many tasks answer the same
+    assert direct == sorted(round(r.score, 9) for r in lm_score.score(docs, bucket_keys=5000, filter_bytes=0, ask_bytes=2000).collect())
     assert max(direct) < 0 and lm_score.score(none).count() == 0
 
 
+def test_lm_score_restated(docs, rows):
+    """The score with whole numbers and a set of bits instead of arrays, for one piece."""
+    import xxhash
+
+    top = 2**64 - 1
+    a, b, c = (int(x) for x in (lm_score.A, lm_score.B, lm_score.C))
+
+    def mix(x):
+        x = ((x ^ (x >> 32)) * c) & top
+        return x ^ (x >> 29)
+
+    def keys(text):
+        codes = [xxhash.xxh3_64_intdigest(w) for w in (b" start", *(w.encode() for w in blank(lowered(text))), b" end")]
+        return list(map(mix, codes)), [mix((x * a + (y ^ b)) & top) for x, y in zip(codes, codes[1:])]
+
+    out = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows]
+    each = [keys(r[1]) for r in rows]
+    counts = Counter(k for (single, pair), held in zip(each, out) if not held for k in (*single, *pair))
+    tokens = Counter(t for r, held in zip(rows, out) if not held for t in (*blank(lowered(r[1])), None))
+    size = max(64, 8 * sum(n.bit_length() for n in counts.values()))
+
+    def places(key, level):
+        x, y = mix((key * a) & top), mix(key ^ b) | 1
+        return [((((x + (level * 4 + i) * y) & top) >> 32) * size) >> 32 for i in range(4)]
+
+    bits = {p for key, n in counts.items() for level in range(1, n.bit_length() + 1) for p in places(key, level)}
+
+    def middle(key):
+        level = 0
+        while bits.issuperset(places(key, level + 1)):
+            level += 1
+        return (3 * 2 ** (level - 1) - 1) / 2 if level else 0.0
+
+    want = []
+    for (single, pair), r in zip(each, rows):
+        total = 0.0
+        for before, word, both in zip(map(middle, single), map(middle, single[1:]), map(middle, pair)):
+            alone = (word + 1) / (tokens.total() + len(tokens) + 1)
+            total += math.log10((both + 2 * alone) / (max(before, both) + 2))
+        want.append((r[0], round(total, 6)))
+    assert sorted(want, key=repr) == sorted(((r.doc_id, round(r.score, 6)) for r in lm_score.score(docs).collect()), key=repr)
+
+
 def test_lm_filter_levels():
     import numpy as np
 

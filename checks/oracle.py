@@ -1020,6 +1020,14 @@ oracle(
     f"SELECT 'doc-' || user_id::varchar AS doc_id, max(ts) AS ts, arg_max({STAGE_SQL}, ts) AS stage, arg_max(round(value / 100, 4), ts) AS progress, count(*) AS events FROM events GROUP BY 1",
 )
 oracle("stream_progress_windows", f"SELECT strftime(ts, '%Y-%m-%d') AS day, {STAGE_SQL} AS stage, count(*) AS events FROM events GROUP BY 1, 2")
+oracle(
+    "stream_closing_windows",
+    f"""WITH e AS (SELECT ts, {STAGE_SQL} AS stage, least((day(ts) - 1) // 8 + CASE WHEN event_id % 11 = 3 THEN 1 ELSE 0 END, 3) AS week FROM events),
+ marks AS (SELECT w.week, (SELECT max(ts) FROM e WHERE e.week < w.week) - INTERVAL 1 DAY AS mark FROM (SELECT unnest(range(0, 5)) AS week) w),
+ marked AS (SELECT date_trunc('day', ts) AS d, stage, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM e JOIN marks USING (week))
+ SELECT strftime(d, '%Y-%m-%d') AS day, stage, count(*) FILTER (NOT late) AS events, count(*) FILTER (late) AS late,
+   d + INTERVAL 1 DAY <= (SELECT mark FROM marks WHERE week = 4) AS closed FROM marked GROUP BY d, stage""",
+)
 oracle(
     "progress_share",
     f"""SELECT 'case-' || (user_id % 20)::varchar AS case_id, count(DISTINCT user_id) AS documents, count(DISTINCT user_id) FILTER ({STAGE_SQL} IN ('completed', 'failed')) AS finished FROM events GROUP BY 1""",

@@ -653,6 +653,7 @@ from deedloom.operators import ranges as RG  # noqa: E402
 from deedloom.plans import stats as ST  # noqa: E402
 from deedloom.sources import imports as IM, store as SO  # noqa: E402
 from deedloom.streaming import jobs as SJ, runs as RU  # noqa: E402
+from deedloom.streaming import windows as WI  # noqa: E402
 
 
 def _specs(s, d):
@@ -854,6 +855,20 @@ def stream_progress_windows(s, d):
     return SJ.progress_windows(e).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "stage", "events")
 
 
+@query
+def stream_closing_windows(s, d):
+    """Events as they come in, in four runs of the stream a week apart; every eleventh comes a run late. Days close a day behind the newest."""
+    e = X.table(s, d, "events").selectExpr("event_id", "cast(ts as timestamp) as ts", f"{STAGE} as stage")
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8) + F.when(F.col("event_id") % 11 == 3, F.lit(1)).otherwise(F.lit(0)), F.lit(3))
+    given = materialize(e.withColumn("week", week))
+    src, base = _scratch(s), _scratch(s)
+    for k in range(4):
+        given.where(F.col("week") == k).drop("week").write.mode("append").parquet(src)
+        closed, still, late = WI.closing_windows(s.readStream.schema(e.schema).parquet(src), folder=base)
+    both = WI.with_late(closed, still, late)
+    return both.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "stage", "events", "late", "closed")
+
+
 @query
 def progress_share(s, d):
     e = X.table(s, d, "events").selectExpr("concat('case-', cast(user_id % 20 as string)) as case_id", "user_id as doc_id", f"{STAGE} as stage", "event_id")

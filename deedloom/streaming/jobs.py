@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from deedloom import fixed
 from deedloom.session import shared_folder
 from deedloom.sources.imports import BINARY_SCHEMA
+from deedloom.streaming.contents import Contents
 
 
 def _base(spark: SparkSession, folder: str | None) -> str:
@@ -124,21 +125,13 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
 def new_contents(files: DataFrame, folder: str | None = None) -> DataFrame:
     """Files whose content was never stored before, of all batches so far (STR-01).
 
-    Each batch is compared with every stored hash, however old; with a `folder` also with those of earlier runs.
+    Each batch is compared with every stored hash, however old; with a `folder` also with those of earlier runs. Of equal
+    contents in a batch the earliest file counts, ties by path; rows without content are ignored.
     """
-    spark = files.sparkSession
-    out = f"{(base := _base(spark, folder))}/out"
-    hashed = lambda df: df.withColumn("content_hash", F.sha2("content", 256)).drop("content")
-    schema = hashed(spark.createDataFrame([], files.schema)).schema
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        # a batch that is run again must not meet its own rows
-        known = _kept(spark, schema, out).where(F.col("batch") != batch_id).select("content_hash")
-        fresh = hashed(batch).dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti")
-        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    _run(files, step, base)
-    return _kept(spark, schema, out).drop("batch")
+    base = _base(files.sparkSession, folder)
+    index = Contents(files.sparkSession, files.schema, f"{base}/contents")
+    _run(files, index.add, base)
+    return index.stored()
 
 
 def changed_step(

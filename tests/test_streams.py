@@ -1,7 +1,8 @@
+import hashlib
 import random
 from datetime import datetime, timedelta, timezone
 
-from deedloom.streaming import runs
+from deedloom.streaming import contents, runs, windows
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -53,3 +54,77 @@ def test_runs_of_jobs_over_shuffled_batches(spark, tmp_path):
     found = sorted(tuple(r) for r in got.where("job_id <> 'other'").selectExpr("job_id", second("started_at"), second("ended_at"), "status", "error_message", "events").collect())
     want = sorted((f"j{job}", *r) for job in range(6) for r in sequential([(s, st) for j, s, st in events if j == f"j{job}"], 300, 600))
     assert found == want and {r[4] for r in want} == {None, "Timeout"}
+
+
+def test_contents_in_runs_over_many_batches(spark, tmp_path):
+    fanout, rnd = 3, random.Random(5)
+    schema = spark.createDataFrame([], "path string, modificationTime timestamp, content binary").schema
+    index = contents.Contents(spark, schema, str(tmp_path / "index"), fanout)
+    assert index.stored().count() == 0
+    first, folders = {}, []
+    for batch in range(10):
+        # small numbers come again and again; one batch brings nothing new, one is empty, one has no content
+        values = [rnd.randrange(60) for _ in range(12)] + [1000 * batch + i for i in range(5)]
+        values = {6: list(first)[:5], 7: [], 8: [None]}.get(batch, values)
+        rows = [(f"f{batch}-{i:02d}", T0 + timedelta(seconds=i % 4), None if v is None else str(v).encode()) for i, v in enumerate(values)]
+        files = spark.createDataFrame(rows, schema)
+        index.add(files, batch)
+        if batch in (4, 8):
+            # a batch that is run again, here after its merges
+            index.add(files, batch)
+        for path, at, v in sorted(rows, key=lambda r: (r[1], r[0])):
+            if v is not None:
+                first.setdefault(int(v), (path, batch))
+        folders.append(len(list((tmp_path / "index" / "rows").glob("run=*"))))
+        if batch in (8, 9):
+            got = {(r.path, r.content_hash) for r in index.stored().collect()}
+            assert got == {(p, hashlib.sha256(str(v).encode()).hexdigest()) for v, (p, _) in first.items()}
+    # fanout - 1 of each of three sizes, and those of the last merge that the next batch deletes
+    assert max(folders) <= 3 * (fanout - 1) + fanout + 1
+    # wholly new contents read no run (the filters err in one of 300)
+    index.add(spark.createDataFrame([("x", T0, b"new")], schema), 10)
+    assert index.read_runs == []
+
+
+def test_runs_cover_all_batches_once():
+    for batch in range(700):
+        runs = contents.cover(batch, 8)
+        assert [x for a, b in runs for x in range(a, b)] == list(range(batch)) and len(runs) <= 7 * 4
+        for run, parts in contents.merges(batch, 8):
+            assert [x for a, b in parts for x in range(a, b)] == list(range(*run)) and run[1] == batch + 1
+            assert set(parts) <= {*contents.cover(batch, 8), (batch, batch + 1), *[r for r, _ in contents.merges(batch, 8)]}
+
+
+def test_windows_close_and_keep_late_rows(spark, tmp_path):
+    rnd = random.Random(9)
+    hour = timedelta(hours=1)
+    events = [(T0 + hour * (i / 4) - hour * rnd.choice([0, 0, 1, 3, 9]), rnd.choice(["a", "b", None]), i) for i in range(200)]
+    schema = "ts timestamp, stage string, n int"
+    cuts = [events[:60], events[60:100], [], events[100:150], [(None, "a", -1)], events[150:]]
+    ws = windows.Windows(spark, spark.createDataFrame([], schema).schema, str(tmp_path / "w"), ["stage"], "2 hours", 7200)
+    newest, late, counts = None, set(), {}
+    for batch, part in enumerate(cuts):
+        df = spark.createDataFrame(part, schema)
+        ws.add(df, batch)
+        if batch in (1, 3):
+            ws.add(df, batch)
+        mark = newest and newest - 2 * hour
+        for ts, stage, n in part:
+            if ts is None:
+                continue
+            start = T0 + 2 * hour * ((ts - T0) // (2 * hour))
+            if mark and start + 2 * hour <= mark:
+                late.add(n)
+            else:
+                counts[start, stage] = counts.get((start, stage), 0) + 1
+            newest = max(newest or ts, ts)
+    closed, still, rest = ws.stored()
+    rows = lambda df: {(r.window_start.astimezone(timezone.utc), r.stage): r.events for r in df.collect()}
+    done, open_ = rows(closed), rows(still)
+    assert {r.n for r in rest.collect()} == late and late
+    assert {**done, **open_} == counts and not done.keys() & open_.keys() and done
+    assert all(s + 2 * hour > newest - 2 * hour for s, _ in open_) and all(s + 2 * hour <= newest - 2 * hour for s, _ in done)
+    # nothing is lost: with the late rows the counts are those of the batch
+    both = windows.with_late(closed, still, rest, width="2 hours").selectExpr("sum(events + late)", "sum(late)").first()
+    assert tuple(both) == (200, len(late))
+    assert len(list((tmp_path / "w" / "counts").glob("batch=*"))) == 2

@@ -652,8 +652,7 @@ def target_update(s, d):
 from deedloom.operators import ranges as RG  # noqa: E402
 from deedloom.plans import stats as ST  # noqa: E402
 from deedloom.sources import imports as IM, store as SO  # noqa: E402
-from deedloom.streaming import jobs as SJ, runs as RU  # noqa: E402
-from deedloom.streaming import windows as WI  # noqa: E402
+from deedloom.streaming import jobs as SJ, runs as RU, windows as WI  # noqa: E402
 
 
 def _specs(s, d):

@@ -1044,6 +1044,21 @@ oracle(
   CASE WHEN attest_confirmed THEN 'Ja' ELSE 'Nej' END AS scope, akt_nr AS clean FROM records""",
     "records",
 )
+ORACLES["sql_page_functions"] = f"""SELECT document_id, page_number, heading, scope_line, parcels, snippet, serials, starts_entry
+  FROM ({ORACLES['parcel_refs']}) JOIN ({ORACLES['keyword_in_context']}) USING (document_id, page_number) JOIN ({ORACLES['archive_numbers']}) USING (document_id, page_number)"""
+ORACLES["sql_paragraphs"] = ORACLES["page_paragraphs"]
+oracle(
+    "sql_page_ranges",
+    """SELECT document_id, i + 1 AS part, i * 3 + 1 AS start_page, least(i * 3 + 3, page_count) AS end_page
+ FROM (SELECT *, unnest(range((page_count + 2) // 3)) AS i FROM documents_meta)""",
+    "documents_meta",
+)
+oracle(
+    "sql_answer_items",
+    """SELECT document_id, pos::int AS pos, replace(source, 'src', CASE WHEN doc_id % 8 = 0 AND pos = 1 THEN 'Anden ' ELSE 'Titel ' END) AS title,
+   CASE doc_id % 3 WHEN 0 THEN '1a|2b' WHEN 1 THEN '7c' ELSE '' END AS applies
+ FROM (SELECT 'doc-' || doc_id::varchar AS document_id, source, doc_id, unnest(range(CASE doc_id % 8 WHEN 0 THEN 2 WHEN 5 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 3 ELSE 1 END)) AS pos FROM documents)""",
+)
 oracle(
     "chunk_types",
     """SELECT p.case_id, coalesce(m.document_type, 'akt') AS document_type, count(*) AS pages FROM (SELECT case_id, document_id FROM raw_pages

@@ -900,6 +900,40 @@ def sql_functions(s, d):
     )
 
 
+@query
+def sql_page_functions(s, d):
+    SQ.register(s)
+    _pages(s, d).createOrReplaceTempView("_pages_sql")
+    return s.sql(
+        """SELECT document_id, page_number, dl_heading(text) AS heading, dl_scope_line(text) AS scope_line, array_join(dl_parcel_refs(text), ',') AS parcels,
+             dl_keyword_in_context(text) AS snippet, array_join(dl_serial_numbers(text), '|') AS serials, dl_starts_entry(text) AS starts_entry FROM _pages_sql"""
+    )
+
+
+@query
+def sql_paragraphs(s, d):
+    SQ.register(s)
+    _pages(s, d).createOrReplaceTempView("_pages_sql")
+    return s.sql("SELECT document_id, page_number, p.* FROM _pages_sql, LATERAL dl_page_paragraphs(text) AS p")
+
+
+@query
+def sql_page_ranges(s, d):
+    SQ.register(s)
+    X.documents(s, d).createOrReplaceTempView("_documents_sql")
+    return s.sql("SELECT document_id, r.* FROM _documents_sql, LATERAL dl_page_ranges(page_count, 3) AS r")
+
+
+@query
+def sql_answer_items(s, d):
+    SQ.register(s)
+    X.answers(s, d).createOrReplaceTempView("_answers_sql")
+    return s.sql(
+        """SELECT document_id, i.pos, try_variant_get(item, '$.title', 'string') AS title, array_join(dl_text_list(try_variant_get(item, '$.applies_to_matrikler', 'variant')), '|') AS applies
+           FROM _answers_sql, LATERAL dl_answer_items(response_text) AS i"""
+    )
+
+
 @query
 def chunk_types(s, d):
     known = X.raw_pages(s, d)

@@ -1345,3 +1345,11 @@ oracle(
     "canonicals",
     "seg_state",
 )
+oracle(
+    "bucketed_pages",
+    """SELECT case_id, document_id, CASE WHEN pos % 5 = 2 THEN 'ny-' ELSE '' END || filename AS filename, count(*) AS pages, sum(length(text))::bigint AS chars
+  FROM documents_meta JOIN raw_pages USING (case_id, document_id) GROUP BY ALL""",
+    "documents_meta",
+    "raw_pages",
+)
+oracle("document_lookup", "SELECT document_id, page_number, length(text) AS chars FROM raw_pages WHERE document_id = 'doc-7'", "raw_pages")

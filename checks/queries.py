@@ -1121,3 +1121,27 @@ def drop_register(s, d):
     return left["records"].groupBy("case_id").agg(F.count(F.lit(1)).alias("records")).join(
         left["states"].groupBy("case_id").agg(F.count(F.lit(1)).alias("states")), "case_id", "full"
     )
+
+
+def _bucketed(s, df, name):
+    # names are the session's, files lie in the shared folder
+    path = _scratch(s)
+    return SO.save_buckets(df, f"{name}_{path[-32:]}", "document_id", 8, path), f"{name}_{path[-32:]}"
+
+
+@query
+def bucketed_pages(s, d):
+    """Pages per document from two stored tables in equal buckets, met without a shuffle; every fifth document was renamed in between."""
+    _, name = _bucketed(s, X.documents(s, d).select("case_id", "document_id", "filename"), "documents")
+    pages, _ = _bucketed(s, X.raw_pages(s, d), "pages")
+    renamed = X.documents(s, d).where("pos % 5 = 2").select("case_id", "document_id", F.concat(F.lit("ny-"), "filename").alias("filename"))
+    docs = SO.upsert_buckets(s, name, renamed, "document_id", 8, f"{name}_2", _scratch(s))
+    return docs.join(pages.drop("case_id"), "document_id").groupBy("case_id", "document_id", "filename").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def document_lookup(s, d):
+    """The pages of one document, from the one bucket that can hold them, and of one that is missing (none)."""
+    pages, _ = _bucketed(s, X.raw_pages(s, d), "lookup")
+    hit = SO.lookup(pages, document_id="doc-7").unionByName(SO.lookup(pages, document_id="doc-none"))
+    return hit.select("document_id", "page_number", F.length("text").alias("chars"))

@@ -816,9 +816,13 @@ def report_document(s, d):
 
 
 # ---- streams ------------------------------------------------------------------------------------------------------
+def _table_stream(s, d, name):
+    """A table as a stream, be it one file or a folder of files, which only a pattern takes alike."""
+    return s.readStream.schema(X.table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def _event_stream(s, d):
-    schema = X.table(s, d, "events").schema
-    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return _table_stream(s, d, "events")
 
 
 @query
@@ -877,8 +881,7 @@ def progress_share(s, d):
 
 @query
 def stream_import(s, d):
-    schema = X.table(s, d, "documents").schema
-    docs = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = _table_stream(s, d, "documents")
     files = docs.selectExpr("cast(text as binary) as content", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 500 as int)) as modificationTime")
     return SJ.new_contents(files).select("content_hash")
 

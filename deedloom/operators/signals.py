@@ -136,11 +136,14 @@ def describe_records(records: DataFrame, signals: DataFrame, catalog: DataFrame)
 # where the signal ends there; six letters of a title word; the first characters where there is no digit.
 # Texts offer the distinct pieces of these kinds, an equality join brings them together, and the few pairs
 # that meet are decided by looking the whole signal up in the whole text. So no length is lost.
+# A title word has word characters only, so it lies inside one word of the text: the distinct words
+# of all texts meet the title words once, and a text only offers its words, not every piece of them.
 _LENGTHS = (1, 2, 4, 8)
+_WORDS = r"[" + fixed.WORD + r"]{%d,}" % fixed.TITLE_WORD_MIN
+_STARTS = r"(?=([" + fixed.WORD + r"]{%d}))" % fixed.TITLE_WORD_MIN
 _OFFERS = {
     "digit": r"(?s)(?=([0-9].{%d}))",
     "tail": r"(?s)(?=(.[0-9]))",
-    "word": r"(?=([" + fixed.WORD + r"]{%d}))",
     "plain": r"(?s)(?=(.{%d}))",
 }
 
@@ -179,11 +182,34 @@ def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
     joined = F.col("signal_type").isin("akt_nr", "date_ref", "lob_suffix")
     # written out once: it is read several times, and the planner then knows whether it is small enough to broadcast
     index = materialize(
-        signals.select("case_id", "signal_type", "normalized_value", "signal_key").distinct()
+        signals.select("case_id", "signal_type", "normalized_value").distinct()
         .withColumn("_a", _anchor(value, F.col("signal_type") == "title_word"))
-        .select("case_id", "signal_type", "normalized_value", "signal_key",
+        .select("case_id", "signal_type", "normalized_value",
                 F.concat(F.when(joined, "joined:").otherwise("lower:"), "_a.kind").alias("cls"), F.col("_a.anchor").alias("anchor"))
     )
+    found = _in_words(chunks, index.where(F.col("cls") == "lower:word")).unionByName(_in_pieces(chunks, index.where(F.col("cls") != "lower:word")))
+    # a signal may lie in several words of a chunk; the rows of a chunk then stay together for what follows
+    return found.repartition(*CHUNK).distinct().withColumns(
+        {"signal_key": F.concat_ws(":", "signal_type", "normalized_value"), "weight": _by_type(1, F.col("signal_type")).cast("int")}
+    )
+
+
+def _in_words(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """Chunks with the title words they contain, once for every word of the text that holds one."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0)))
+    rows = chunks.select(*CHUNK, F.explode(words).alias("word"))
+    starts = F.array_distinct(F.regexp_extract_all(F.col("word"), F.lit(_STARTS), F.lit(1)))
+    # which word holds which title word does not depend on the case
+    vocabulary = rows.select("word").distinct().select("word", F.explode(starts).alias("anchor"))
+    holds = vocabulary.join(index.select("anchor", "normalized_value").distinct(), "anchor").where(F.contains("word", F.col("normalized_value")))
+    known = materialize(
+        holds.select("word", "normalized_value").join(index, "normalized_value").select("case_id", "word", "signal_type", "normalized_value")
+    )
+    return rows.join(known, ["case_id", "word"]).select(*CHUNK, "signal_type", "normalized_value")
+
+
+def _in_pieces(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """Chunks with the other signals they contain, by their anchors."""
     texts = chunks.select(*CHUNK, T.match_key("text").alias("_n"), F.lower("text").alias("_l"))
     # which kinds and lengths of anchors occur: at most eight times four rows, whatever the data
     used = sorted(index.select("cls", F.length("anchor").alias("k")).distinct().collect())
@@ -206,14 +232,14 @@ def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
     bare = index.where(F.endswith("cls", F.lit(":plain"))).select("case_id").distinct()
     every = offers(texts, False).unionByName(offers(texts.join(bare, "case_id", "left_semi"), True))
     near = every.join(index, ["case_id", "cls", "anchor"]).groupBy(*CHUNK).agg(
-        F.collect_list(F.struct("signal_type", "normalized_value", "signal_key", "cls")).alias("_s")
-    )
-    # the candidates of a chunk are a part of its case's signals and meet its text once
-    holds = lambda x: F.when(F.startswith(x["cls"], F.lit("joined")), F.contains("_n", x["normalized_value"])).otherwise(F.contains("_l", x["normalized_value"]))
-    sure = texts.join(near, list(CHUNK)).select(*CHUNK, F.explode(F.filter("_s", holds)).alias("_x"))
-    return sure.select(*CHUNK, "_x.signal_type", "_x.normalized_value", "_x.signal_key").withColumn(
-        "weight", _by_type(1, F.col("signal_type")).cast("int")
+        F.collect_list(F.struct("signal_type", "normalized_value", "cls")).alias("_s")
     )
+    # the candidates of a chunk are a part of its case's signals and meet its text once; both forms are made here, so one text travels
+    forms = F.array(F.struct(T.match_key("text").alias("n"), F.lower("text").alias("l")))
+    holds = lambda t, x: F.when(F.startswith(x["cls"], F.lit("joined")), F.contains(t["n"], x["normalized_value"])).otherwise(F.contains(t["l"], x["normalized_value"]))
+    held = F.transform(forms, lambda t: F.filter("_s", lambda x: holds(t, x)))[0]
+    sure = chunks.select(*CHUNK, "text").join(near, list(CHUNK)).select(*CHUNK, F.explode(held).alias("_x"))
+    return sure.select(*CHUNK, "_x.signal_type", "_x.normalized_value")
 
 
 def score_chunks(chunks: DataFrame, signals: DataFrame) -> DataFrame:
@@ -273,8 +299,8 @@ def select_candidates(
 
 
 def score_and_select(chunks: DataFrame, records: DataFrame, **limits: int) -> DataFrame:
-    """Scores and selection flags of every chunk; the light score table is written once and read several times."""
-    return select_candidates(materialize(score_chunks(chunks, record_signals(records))), **limits)
+    """Scores and selection flags of every chunk; the light score table, without reasons, is written once and read several times."""
+    return select_candidates(materialize(score_chunks(chunks, record_signals(records)).drop("reasons")), **limits)
 
 
 def selection_state() -> Column:

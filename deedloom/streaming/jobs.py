@@ -60,9 +60,10 @@ def _kept(spark: SparkSession, schema: StructType, out: str) -> DataFrame:
 
 def _job_part(events: DataFrame) -> DataFrame:
     terminal = F.col("status").isin(*fixed.JOB_TERMINAL)
+    seq = F.col("seq") if "seq" in events.columns else F.lit(0)
     return events.groupBy("job_id").agg(
-        F.min(F.when(terminal, F.struct("ts", "status"))).alias("ended"),
-        F.max(F.struct("ts", "status")).alias("newest"),
+        F.min(F.when(terminal, F.struct("ts", seq.alias("seq"), "status"))).alias("ended"),
+        F.max(F.struct("ts", (-seq).alias("back"), "status")).alias("newest"),
         F.min(F.when(F.col("status") == fixed.JOB_WAITING, F.col("ts"))).alias("waiting_since"),
         F.max(F.when(~terminal, F.col("ts"))).alias("last_active"),
         F.min("ts").alias("started_at"),
@@ -73,7 +74,7 @@ def job_states(events: DataFrame) -> DataFrame:
     """State of each job from its status events, stored or streamed (STR-02).
 
     `events` has job_id, ts and status. The first terminal status ends a job; until then the newest
-    status counts. All are plain aggregates, so events of a busy job are combined before the shuffle
+    status counts. Of events at one time the one with the smallest `seq` counts, where there is that column. All are plain aggregates, so events of a busy job are combined before the shuffle
     and may arrive late or in any order.
     """
     if not events.isStreaming:
@@ -84,9 +85,9 @@ def job_states(events: DataFrame) -> DataFrame:
     )
 
 
-def job_status(states: DataFrame, now: Column, timeout: int = fixed.JOB_HEARTBEAT_TIMEOUT, ready: int = fixed.JOB_READY_TIMEOUT) -> DataFrame:
-    """Current status: ended, failed for lack of a heartbeat or of the user's sign while it waits, or the newest."""
-    waiting = (F.col("newest.status") == fixed.JOB_WAITING) & (F.timestamp_diff("SECOND", F.col("waiting_since"), now) > ready)
+def job_status(states: DataFrame, now: Column, timeout: int = fixed.JOB_HEARTBEAT_TIMEOUT, ready: int | None = fixed.JOB_READY_TIMEOUT) -> DataFrame:
+    """Current status: ended, failed for lack of a heartbeat or of the user's sign while it waits, or the newest. `ready` None sets no limit to waiting."""
+    waiting = (F.col("newest.status") == fixed.JOB_WAITING) & (F.timestamp_diff("SECOND", F.col("waiting_since"), now) > F.lit(ready))
     silent = (F.timestamp_diff("SECOND", F.col("newest.ts"), now) > timeout) | F.coalesce(waiting, F.lit(False))
     status = F.when(F.col("ended").isNotNull(), F.col("ended.status")).when(silent, F.lit("failed")).otherwise(F.col("newest.status"))
     return states.select(

@@ -2,7 +2,9 @@ import hashlib
 import random
 from datetime import datetime, timedelta, timezone
 
-from deedloom.streaming import contents, runs, windows
+from pyspark.sql import functions as F
+
+from deedloom.streaming import contents, jobs, runs, windows
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -128,3 +130,26 @@ def test_windows_close_and_keep_late_rows(spark, tmp_path):
     both = windows.with_late(closed, still, rest, width="2 hours").selectExpr("sum(events + late)", "sum(late)").first()
     assert tuple(both) == (200, len(late))
     assert len(list((tmp_path / "w" / "counts").glob("batch=*"))) == 2
+
+
+def test_of_job_events_at_one_time_the_first_counts(spark):
+    at = lambda sec: T0 + timedelta(seconds=sec)
+    ev = spark.createDataFrame(
+        [("a", at(5), 1, "importing_documents"), ("a", at(5), 2, "pending"), ("b", at(5), 7, "failed"), ("b", at(5), 8, "completed"), ("b", at(5), 9, "aborted"),
+         ("c", at(5), 4, "completed"), ("c", at(5), 3, "failed")],
+        "job_id string, ts timestamp, seq long, status string",
+    )
+    got = {r.job_id: r.status for r in jobs.job_status(jobs.job_states(ev), F.lit("2024-01-01 00:00:10").cast("timestamp"), 300).collect()}
+    assert got == {"a": "importing_documents", "b": "failed", "c": "failed"}
+    got = {r.job_id: r.status for r in jobs.job_status(jobs.job_states(ev.withColumn("seq", -F.col("seq"))), F.lit("2024-01-01 00:00:10").cast("timestamp"), 300).collect()}
+    assert got == {"a": "pending", "b": "completed", "c": "completed"}
+
+
+def test_job_state_query_lets_live_jobs_wait(spark, tmp_path):
+    from checks.queries import QUERIES
+
+    rows = [(1, "2024-01-03 00:00:00", 1, "refund"), (2, "2024-01-30 12:00:00", 1, "refund"), (3, "2024-01-28 12:00:00", 2, "refund")]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.job_id: (r.status, r.error_message) for r in QUERIES["stream_job_state"](spark, str(tmp_path)).collect()}
+    assert got == {"job-1": ("waiting_for_login", None), "job-2": ("failed", "Timeout")}

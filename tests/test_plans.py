@@ -194,3 +194,20 @@ def test_intermediates_leave_nothing_behind(spark, tmp_path):
     with intermediates(spark) as folder:
         assert materialize(spark.range(10)).count() == 10 and len(os.listdir(folder)) == 1
     assert not os.path.exists(folder)
+
+
+def test_report_prompts_hold_the_cases_and_let_their_parts_pass(spark):
+    from deedloom.operators import answers as A
+
+    inputs = spark.range(600).selectExpr(
+        "concat('c', cast(id % 2 as string)) as case_id", "concat('s-', lpad(id, 4, '0')) as servitut_id", "'01.02.1970' as date_reference", "repeat('t', 50) as title"
+    )
+    cases = spark.createDataFrame([("c0", ["1a"], []), ("c1", [], ["2b"]), ("c2", [], [])], "case_id string, target_matrikler array<string>, available_matrikler array<string>")
+    p = A.report_prompts(inputs, cases, "{as_of_date} {target_matrikler_json} {servitutter_json}", "1999-01-01", limit=20_000)
+    got = {}
+    for r in p.collect():
+        got.setdefault(r.case_id, []).append((r.part, r.prompt.count('"servitut_id"')))
+    assert {c: sum(n for _, n in v) for c, v in got.items()} == {"c0": 300, "c1": 300, "c2": 0}
+    assert len(got["c0"]) > 2 and sorted(k for k, _ in got["c0"]) == list(range(len(got["c0"]))) and got["c2"] == [(0, 0)]
+    # no outer join that would keep all long parts of a case in memory at once
+    assert "LeftOuter" not in p.select("case_id", "prompt")._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]

@@ -211,3 +211,16 @@ def test_report_prompts_hold_the_cases_and_let_their_parts_pass(spark):
     assert len(got["c0"]) > 2 and sorted(k for k, _ in got["c0"]) == list(range(len(got["c0"]))) and got["c2"] == [(0, 0)]
     # no outer join that would keep all long parts of a case in memory at once
     assert "LeftOuter" not in p.select("case_id", "prompt")._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+
+
+def test_report_answers_are_parsed_once(spark):
+    from deedloom.operators import answers as A
+
+    given = spark.createDataFrame(
+        [("c1", '```json\n{"notes": "n", "entries": [{"servitut_id": "s", "scope": "Ja"}]}\n```'), ("c2", "intet svar")], "case_id string, response_text string"
+    )
+    entries, notes = A.report_payload(given)
+    assert [(r.case_id, r.servitut_id, r.relevant_for_project) for r in entries.collect()] == [("c1", "s", True)]
+    assert [tuple(r) for r in notes.collect()] == [("c1", "n")]
+    for df in (entries, notes):
+        assert "response_text" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -6,7 +6,8 @@ id or title, so that no cluster can reach from one into another; bins of small p
 small scopes. What remains, a part that is large itself, is worked out in rounds: every round derives
 all cluster states from the current assignment at once, with grouping and equality joins, and reassigns
 every record; the first wrong record in order is right after each round, so the assignment settles, and a
-settled one is exactly the sequential result. No case is gathered in one task. Rounds hold keys and
+settled one is exactly the sequential result. Rounds are spared where a fold of the few records that change a
+cluster's state settles a part (`_sieved`). No case is gathered in one task. Rounds hold keys and
 numbers only and are written out, so lineage stays short and lost executors do no harm.
 """
 
@@ -251,7 +252,8 @@ def merge_groups(records: DataFrame, pages: DataFrame, scope: Sequence[str], sma
     inner = [*scope, "part"]
     wide = materialize(parted.join(huge, inner, "left_semi"))
     wide_pages = materialize(pages.join(wide.select(*inner, "ord"), [*scope, "ord"]))
-    return folded.unionByName(_in_rounds(wide, wide_pages, inner).drop("part"))
+    wide_listed = listed.join(wide.select(*inner, "ord"), [*scope, "ord"])
+    return folded.unionByName(_in_rounds(wide, wide_pages, wide_listed, inner, small).drop("part"))
 
 
 def _folded(rows: DataFrame, scope: Sequence[str], schema: StructType) -> DataFrame:
@@ -260,14 +262,71 @@ def _folded(rows: DataFrame, scope: Sequence[str], schema: StructType) -> DataFr
     return rows.groupBy(*scope).applyInPandas(partial(_fold, scope=list(scope)), f"{kinds}, ord long, founder long")
 
 
-def _in_rounds(items: DataFrame, pages: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Founders of large parts: all cluster states from the assignment, all records reassigned, until nothing moves."""
+def _moves(items: DataFrame, pages: DataFrame, current: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, ord): records at which the state of a cluster changes under an assignment.
+
+    They found it, bring its archive id, a longer title or a page it had not. All other members leave it as it was.
+    """
+    cluster = [*scope, "founder"]
+    members = materialize(items.join(current, [*scope, "ord"]).select(*cluster, "ord", "ak", "tlen"))
+    firsts = members.groupBy(*cluster).agg(
+        F.min("ord").alias("a"), F.min(F.when(F.col("ak").isNotNull(), F.col("ord"))).alias("b")
+    ).select(*scope, F.explode(F.array("a", "b", "founder")).alias("ord"))
+    lengths = members.groupBy(*cluster, "tlen").agg(F.min("ord").alias("ord"))
+    seen = F.max("tlen").over(Window.partitionBy(*cluster).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    longer = lengths.withColumn("seen", seen).where("seen is null or tlen > seen")
+    on_page = pages.join(current, [*scope, "ord"]).groupBy(*cluster, "page").agg(F.min("ord").alias("ord"))
+    every = firsts.where("ord is not null").unionByName(longer.select(*scope, "ord")).unionByName(on_page.select(*scope, "ord"))
+    return materialize(every.distinct())
+
+
+def _sieved(items: DataFrame, pages: DataFrame, listed: DataFrame, current: DataFrame, scope: Sequence[str], small: int) -> tuple[DataFrame, DataFrame]:
+    """An assignment of all records made from a fold of few, and the scopes where it is the sequential result.
+
+    Most records leave their cluster as it was, so the clusters' states follow from a fold of those that do not; the
+    others are looked up in these states at once. Which records those are is guessed from an assignment: whatever moves a state under
+    the assignment found and was not folded joins the folded ones, until there is none. The states are then those of
+    all records, so the assignment is settled and exact. A scope that would need more than `small` of its records folded is handed back.
+    """
+    key = [*scope, "ord"]
+    pairs = items.where("dk is not null or ak is not null").groupBy(*scope, "dk", "ak").agg(F.min("ord").alias("ord"))
+    chosen = materialize(_moves(items, pages, current, scope).unionByName(pairs.select(*key)).distinct())
+    done: list[DataFrame] = []
+    settled: list[DataFrame] = []
+    while True:
+        wide = materialize(chosen.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).drop("n"))
+        fit = chosen.join(wide, list(scope), "left_anti")
+        mine = materialize(fit.select(*scope).distinct())
+        if not wide.isEmpty():
+            items, pages = (materialize(x.join(mine, list(scope), "left_semi")) for x in (items, pages))
+        folded = materialize(_folded(items.join(fit, key, "left_semi").join(listed, key, "left"), scope, items.schema))
+        done.append(current.join(wide, list(scope), "left_semi"))
+        current = materialize(_assign(items, pages, folded, scope))
+        new = materialize(_moves(items, pages, current, scope).join(fit, key, "left_anti"))
+        left = materialize(new.select(*scope).distinct())
+        right = materialize(mine.join(left, list(scope), "left_anti"))
+        settled.append(right)
+        done.append(current.join(right, list(scope), "left_semi"))
+        if left.isEmpty():
+            return materialize(reduce(DataFrame.unionByName, done)), materialize(reduce(DataFrame.unionByName, settled))
+        chosen = materialize(fit.join(left, list(scope), "left_semi").unionByName(new))
+        items, pages = (materialize(x.join(left, list(scope), "left_semi")) for x in (items, pages))
+        current = current.join(left, list(scope), "left_semi")
+
+
+def _in_rounds(items: DataFrame, pages: DataFrame, listed: DataFrame, scope: Sequence[str], small: int) -> DataFrame:
+    """Founders of large parts: from a fold of the records that move a state, else all cluster states from the assignment
+    and all records reassigned, until nothing moves."""
     first = lambda k: items.where(f"{k} is not null").groupBy(*scope, k).agg(F.min("ord").alias(f"first_{k}"))
     guess = items.join(first("dk"), [*scope, "dk"], "left").join(first("ak"), [*scope, "ak"], "left").select(
         *scope, "ord", F.coalesce(F.least("first_dk", "first_ak"), "ord").alias("founder")
     )
-    current, active_items, active_pages = materialize(guess), items, pages
-    settled: list[DataFrame] = []
+    current, exact = _sieved(items, pages, listed, materialize(guess), scope, small)
+    settled = [current.join(exact, list(scope), "left_semi")]
+    current = current.join(exact, list(scope), "left_anti")
+    if current.isEmpty():
+        return settled[0]
+    active_items, active_pages = items.join(exact, list(scope), "left_anti"), pages.join(exact, list(scope), "left_anti")
     # scopes do not touch each other: one that a round left unchanged is done, only the others go on
     while True:
         nxt = materialize(_assign(active_items, active_pages, current, scope))

@@ -54,3 +54,23 @@ def test_common_words_are_not_looked_up(spark, monkeypatch):
     assert got == scored(records, chunks)
     # postings, ordered words, first candidates (k a record)
     assert sizes[1:] == [20, 100]
+
+
+def test_words_of_a_document_are_not_dealt_out(spark):
+    """Records with a document of their own meet its text; only records of a whole case need pieces of words."""
+    chunks = [("c", f"d{i}", 0, f"vej grund{i}") for i in range(4)]
+    records = [("c", f"r{i}", f"d{i}", f"Grund{i} rund{i}", None, None) for i in range(4)]
+    plans, real = [], RT.materialize
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(RT, "materialize", watched)
+        r = spark.createDataFrame(records, RECORD)
+        c = spark.createDataFrame(chunks, "case_id string, document_id string, chunk_index int, text string")
+        got = {tuple(x) for x in RT.keyword_top_k(r, c).select("case_id", "servitut_id", "document_id", "chunk_index", "score", "rank").collect()}
+    assert got == scored(records, chunks)
+    # pieces are made of a word alone, without case or pool
+    assert "Contains(_t" in plans[0] and all("pool" not in x for x in plans[0].splitlines() if "Generate explode(array_distinct(regexp_extract_all(token" in x)

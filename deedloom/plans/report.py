@@ -186,6 +186,11 @@ def answered_entries(payload: DataFrame, inputs: DataFrame, register_docs: DataF
     return fill_empty(done)
 
 
+def scope_entries(records: DataFrame, cases: DataFrame, day: str | None = None) -> DataFrame:
+    """Case and scope of every report entry: what counts of a report read, without evidence, texts and numbers."""
+    return report_inputs(records, cases, day).select("case_id", scope_label("applies_to_target_matrikel").alias("scope"))
+
+
 def scope_counts(entries: DataFrame) -> DataFrame:
     """Entries per scope; a missing scope counts as Måske (AGG-12)."""
     s = F.coalesce("scope", F.lit(fixed.SCOPE_MAYBE))

@@ -224,3 +224,14 @@ def test_report_answers_are_parsed_once(spark):
     assert [tuple(r) for r in notes.collect()] == [("c1", "n")]
     for df in (entries, notes):
         assert "response_text" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scopes_are_counted_without_evidence_and_numbers(spark):
+    rows = [record(1, "01.01.1985-1-1", refs=["1o"]), record(2, "01.01.1985-1-1"), record(3, refs=["9z"]), record(4, reg=datetime.date(2030, 1, 1))]
+    cases = spark.createDataFrame([("c", ["0001o"], ["1o", "9z"])], "case_id string, target_matrikler array<string>, available_matrikler array<string>")
+    df, docs = spark.createDataFrame(rows, RECORD), spark.createDataFrame([], "case_id string, document_id string")
+    counted = R.scope_counts(R.scope_entries(df, cases, "2024-01-01"))
+    assert counted.collect() == R.scope_counts(R.build_report(df, cases, docs, "2024-01-01")).collect() and counted.first().entries == 2
+    # only the choice of the first record of a date deals records out, once, and no evidence travels
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "posexplode" not in plan

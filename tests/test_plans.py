@@ -235,3 +235,13 @@ def test_scopes_are_counted_without_evidence_and_numbers(spark):
     # only the choice of the first record of a date deals records out, once, and no evidence travels
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and "posexplode" not in plan
+
+
+def test_stream_reuse_writes_its_changed_pages_once(spark, monkeypatch):
+    from checks import queries as Q
+
+    def refused(df):
+        raise AssertionError("pages are written a second time")
+
+    monkeypatch.setattr(Q, "materialize", refused)
+    assert Q.QUERIES["stream_reuse"](spark, "/root/testdata/sf0.001").count() > 0

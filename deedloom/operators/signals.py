@@ -199,11 +199,11 @@ def _in_words(chunks: DataFrame, index: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0)))
     rows = chunks.select(*CHUNK, F.explode(words).alias("word"))
     starts = F.array_distinct(F.regexp_extract_all(F.col("word"), F.lit(_STARTS), F.lit(1)))
-    # which word holds which title word does not depend on the case
-    vocabulary = rows.select("word").distinct().select("word", F.explode(starts).alias("anchor"))
-    holds = vocabulary.join(index.select("anchor", "normalized_value").distinct(), "anchor").where(F.contains("word", F.col("normalized_value")))
+    # the words of a case only meet its own title words, so what is known grows with the texts and not with texts times cases
+    vocabulary = rows.select("case_id", "word").distinct().select("case_id", "word", F.explode(starts).alias("anchor"))
     known = materialize(
-        holds.select("word", "normalized_value").join(index, "normalized_value").select("case_id", "word", "signal_type", "normalized_value")
+        vocabulary.join(index, ["case_id", "anchor"]).where(F.contains("word", F.col("normalized_value")))
+        .select("case_id", "word", "signal_type", "normalized_value")
     )
     return rows.join(known, ["case_id", "word"]).select(*CHUNK, "signal_type", "normalized_value")
 
@@ -211,13 +211,13 @@ def _in_words(chunks: DataFrame, index: DataFrame) -> DataFrame:
 def _in_pieces(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """Chunks with the other signals they contain, by their anchors."""
     texts = chunks.select(*CHUNK, T.match_key("text").alias("_n"), F.lower("text").alias("_l"))
-    # which kinds and lengths of anchors occur: at most eight times four rows, whatever the data
-    used = sorted(index.select("cls", F.length("anchor").alias("k")).distinct().collect())
+    # which kinds and lengths of anchors occur, and the longest signal of each: at most eight times four rows, whatever the data
+    used = sorted(index.groupBy("cls", F.length("anchor").alias("k")).agg(F.max(F.length("normalized_value"))).collect())
 
     def offers(rows: DataFrame, plain: bool) -> DataFrame:
         """Distinct pieces of each text."""
         lists = []
-        for cls, k in used:
+        for cls, k, _ in used:
             form, kind = cls.split(":")
             if (kind == "plain") == plain:
                 pattern = _OFFERS[kind]
@@ -228,18 +228,24 @@ def _in_pieces(chunks: DataFrame, index: DataFrame) -> DataFrame:
         each = F.concat(*lists) if lists else F.array().cast("array<struct<cls:string,anchor:string>>")
         return rows.select(*CHUNK, F.explode(each).alias("_p")).select(*CHUNK, "_p.*")
 
-    # only cases that have a signal without digits offer pieces from every character
-    bare = index.where(F.endswith("cls", F.lit(":plain"))).select("case_id").distinct()
-    every = offers(texts, False).unionByName(offers(texts.join(bare, "case_id", "left_semi"), True))
-    near = every.join(index, ["case_id", "cls", "anchor"]).groupBy(*CHUNK).agg(
-        F.collect_list(F.struct("signal_type", "normalized_value", "cls")).alias("_s")
-    )
-    # the candidates of a chunk are a part of its case's signals and meet its text once; both forms are made here, so one text travels
-    forms = F.array(F.struct(T.match_key("text").alias("n"), F.lower("text").alias("l")))
-    holds = lambda t, x: F.when(F.startswith(x["cls"], F.lit("joined")), F.contains(t["n"], x["normalized_value"])).otherwise(F.contains(t["l"], x["normalized_value"]))
-    held = F.transform(forms, lambda t: F.filter("_s", lambda x: holds(t, x)))[0]
-    sure = chunks.select(*CHUNK, "text").join(near, list(CHUNK)).select(*CHUNK, F.explode(held).alias("_x"))
-    return sure.select(*CHUNK, "_x.signal_type", "_x.normalized_value")
+    def sure(rows: DataFrame, plain: bool) -> DataFrame:
+        """The candidates of a chunk are a part of its case's signals and meet its text once."""
+        near = offers(texts.join(bare, "case_id", "left_semi") if plain else texts, plain).join(index, ["case_id", "cls", "anchor"]).groupBy(*CHUNK).agg(
+            F.collect_list(F.struct("signal_type", "normalized_value", "cls")).alias("_s")
+        )
+        holds = lambda x: F.when(F.startswith(x["cls"], F.lit("joined")), F.contains("_n", x["normalized_value"])).otherwise(F.contains("_l", x["normalized_value"]))
+        met = rows.join(near, list(CHUNK)).select(*CHUNK, F.explode(F.filter("_s", holds)).alias("_x"))
+        return met.select(*CHUNK, "_x.signal_type", "_x.normalized_value")
+
+    # a signal with a digit lies within its own length around that digit: of the text only this much travels
+    reach = max((n for cls, _, n in used if not cls.endswith(":plain")), default=0)
+    cut = [F.regexp_replace(c, r"(?s)([^0-9]{%d})[^0-9]+([^0-9]{%d})" % (reach, reach), "$1\n$2").alias(c) for c in ("_n", "_l")]
+    found = sure(texts.where(F.rlike("_l", F.lit("[0-9]"))).select(*CHUNK, *cut), False)
+    if any(cls.endswith(":plain") for cls, _, _ in used):
+        # only cases that have a signal without digits offer pieces from every character and send whole texts
+        bare = index.where(F.endswith("cls", F.lit(":plain"))).select("case_id").distinct()
+        found = found.unionByName(sure(texts, True))
+    return found
 
 
 def score_chunks(chunks: DataFrame, signals: DataFrame) -> DataFrame:

@@ -383,19 +383,20 @@ def signal_provenance(matches: DataFrame, signals: DataFrame, catalog: DataFrame
     )
     # the same summary counts once, at its first record
     once = ref.groupBy("case_id", "signal_key", "_ref").agg(F.min("ord").alias("ord"))
-    head = first_per_key(once, ["case_id", "signal_key"], ["ord", "_ref"], refs)
-    lists = head.groupBy("case_id", "signal_key").agg(F.array_sort(F.collect_list(F.struct("ord", "_ref"))).alias("_refs"))
-    known = catalog.select("case_id", "signal_key", "label", F.col("weight").alias("_w"), "display_values")
-    rows = (
-        matches.select(*CHUNK, "signal_key", "signal_type", "normalized_value")
-        .join(known, ["case_id", "signal_key"], "left").join(lists, ["case_id", "signal_key"], "left")
-    )
+    first = first_per_key(once, ["case_id", "signal_key"], ["ord", "_ref"], refs)
+    lists = first.groupBy("case_id", "signal_key").agg(F.array_sort(F.collect_list(F.struct("ord", "_ref"))).alias("_refs"))
+    # the text of a signal is made once, not once for every chunk that has it
     suffix = F.when(F.size("_refs") > 0, F.concat(F.lit(" → "), F.array_join(F.transform("_refs", lambda r: r["_ref"]), "; "))).otherwise("")
-    shown = F.coalesce(F.nullif(F.array_join("display_values", ", "), F.lit("")), F.col("normalized_value"))
-    text = F.concat(
-        F.coalesce("label", "signal_type"), F.lit(" ("), F.coalesce("_w", F.lit(0)).cast("string"), F.lit("): "), shown, suffix
+    known = catalog.select("case_id", "signal_key", "label", F.col("weight").alias("_w"), F.nullif(F.array_join("display_values", ", "), F.lit("")).alias("_shown"))
+    kind, value = F.substring_index("signal_key", ":", 1), F.expr("substr(signal_key, instr(signal_key, ':') + 1)")
+    head = lambda label, w, shown: F.concat(label, F.lit(" ("), w.cast("string"), F.lit("): "), shown)
+    told = known.join(lists, ["case_id", "signal_key"], "full").select(
+        "case_id", "signal_key", F.concat(head(F.coalesce("label", kind), F.coalesce("_w", F.lit(0)), F.coalesce("_shown", value)), suffix).alias("_x")
+    )
+    # a match travels with its key alone, then once with its text; all of a chunk then are in one place, and none is sorted before
+    rows = matches.select(*CHUNK, "signal_key").join(told, ["case_id", "signal_key"], "left").select(
+        *CHUNK, F.struct(_type_order(kind).alias("o"), value.alias("v"), F.coalesce("_x", head(kind, F.lit(0), value)).alias("x")).alias("_s")
     )
-    each = F.struct(_type_order(F.col("signal_type")).alias("o"), F.col("normalized_value").alias("v"), text.alias("x"))
-    return rows.groupBy(*CHUNK).agg(F.array_sort(F.collect_list(each)).alias("_l")).select(
+    return rows.repartition(*CHUNK).groupBy(*CHUNK).agg(F.array_sort(F.collect_list("_s")).alias("_l")).select(
         *CHUNK, F.array_join(F.transform("_l", lambda s: s["x"]), " | ").alias("matched_signals")
     )

@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from deedloom import fixed
 from deedloom.functions import dates as D, parcels as P, text as T
 from deedloom.operators import answers as A
-from deedloom.operators.positions import first_per_key, position
+from deedloom.operators.positions import first_per_key, numbered, position
 from deedloom.session import materialize
 
+# characters of a deed that an entry shows
+RAW_CHARS = 500
+
 
 def as_of(records: DataFrame, day: str | None) -> DataFrame:
     """Undated records and those registered on or before the day (FLT-04)."""
@@ -26,11 +29,14 @@ def annotate_scope(records: DataFrame, cases: DataFrame) -> DataFrame:
     """
     have = "applies_to_target_matrikel" in records.columns
     stored = F.col("applies_to_target_matrikel") if have else F.lit(None).cast("boolean")
-    parcels = cases.select(
-        "case_id",
-        P.parcel_keys("target_matrikler").alias("_targets"),
-        P.parcel_keys("available_matrikler").alias("_available"),
-        P.spelled_targets("target_matrikler").alias("_spelled"),
+    # written, so that the planner knows its size and need not shuffle the records by case
+    parcels = materialize(
+        cases.select(
+            "case_id",
+            P.parcel_keys("target_matrikler").alias("_targets"),
+            P.parcel_keys("available_matrikler").alias("_available"),
+            P.spelled_targets("target_matrikler").alias("_spelled"),
+        )
     )
     joined = records.withColumn("_refs", P.parcel_keys("applies_to_matrikler")).join(parcels, "case_id", "left")
     refs, targets = F.col("_refs"), F.col("_targets")
@@ -53,14 +59,37 @@ def drop_repeats(records: DataFrame) -> DataFrame:
     return first_per_key(records, ["case_id", key], ["servitut_id"])
 
 
-def deed_text(records: DataFrame, register_docs: DataFrame, n: int = 500) -> DataFrame:
-    """Excerpt of each record's first evidence outside the register extracts (JN-19)."""
-    ev = records.select("case_id", "servitut_id", F.posexplode("evidence").alias("_p", "_e")).select(
-        "case_id", "servitut_id", "_p", F.col("_e.document_id").alias("document_id"), F.col("_e.text_excerpt").alias("_x")
+def _first_text(records: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """raw_text where a record's very first evidence lies outside the register extracts; else the further evidence is kept, else none."""
+    first = F.get("evidence", F.lit(0))
+    marked = records.withColumn("_doc", first["document_id"]).join(known.withColumn("_known", F.lit(True)), ["case_id", "_doc"], "left")
+    open_ = F.col("_known").isNotNull()
+    return marked.withColumns(
+        {
+            "raw_text": F.when(~open_, F.substring(first["text_excerpt"], 1, n)),
+            "evidence": F.when(open_, F.slice("evidence", F.lit(2), F.size("evidence"))),
+        }
+    ).drop("_doc", "_known")
+
+
+def _later_text(records: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """raw_text of the records that `_first_text` left open; the others stay where they are."""
+    settled, open_ = records.where("evidence is null").drop("evidence"), records.where("evidence is not null")
+    ev = open_.select("case_id", "servitut_id", F.posexplode("evidence").alias("_p", "_e")).select(
+        "case_id", "servitut_id", "_p", F.col("_e.document_id").alias("_doc"), F.substring("_e.text_excerpt", 1, n).alias("_x")
     )
-    outside = ev.join(register_docs.select("case_id", "document_id"), ["case_id", "document_id"], "left_anti")
-    first = outside.groupBy("case_id", "servitut_id").agg(F.min(F.struct("_p", "_x")).alias("_f"))
-    return first.select("case_id", "servitut_id", F.substring("_f._x", 1, n).alias("raw_text"))
+    later = ev.join(known, ["case_id", "_doc"], "left_anti").groupBy("case_id", "servitut_id").agg(F.min(F.struct("_p", "_x"))["_x"].alias("raw_text"))
+    return settled.unionByName(open_.drop("raw_text", "evidence").join(later, ["case_id", "servitut_id"], "left"))
+
+
+def _register_ids(register_docs: DataFrame) -> DataFrame:
+    return materialize(register_docs.select("case_id", F.col("document_id").alias("_doc")).distinct())
+
+
+def deed_text(records: DataFrame, register_docs: DataFrame, n: int = RAW_CHARS) -> DataFrame:
+    """Records with the excerpt of their first evidence outside the register extracts as raw_text, in place of the evidence (JN-19)."""
+    known = _register_ids(register_docs)
+    return _later_text(_first_text(records, known, n), known, n)
 
 
 def scope_label(c: Column | str) -> Column:
@@ -90,11 +119,10 @@ def fill_empty(entries: DataFrame) -> DataFrame:
     )
 
 
-def number_entries(entries: DataFrame, order: str = "servitut_id") -> DataFrame:
-    """Entries numbered by date within the case, undated last (SRT-01, WIN-08)."""
-    dated = entries.withColumn("_d", D.sort_date("date_reference"))
-    blocks = {"d": F.col("_d"), "o": F.substring(F.col(order).cast("string"), 1, 8)} if order == "servitut_id" else {"d": F.col("_d")}
-    return position(dated, ["case_id"], blocks, [order], "nr").drop("_d")
+def number_entries(entries: DataFrame) -> DataFrame:
+    """Entries numbered by date within the case, undated last (SRT-01, WIN-08); they are written once in this order."""
+    dated = entries.where("case_id is not null and servitut_id is not null").withColumn("_d", D.sort_date("date_reference"))
+    return numbered(dated, ["case_id"], ["_d", "servitut_id"], "nr").drop("_d")
 
 
 def report_inputs(records: DataFrame, cases: DataFrame, day: str | None) -> DataFrame:
@@ -108,32 +136,31 @@ ENTRY_COLUMNS = [
 ]
 
 
-def fallback_entries(inputs: DataFrame, register_docs: DataFrame) -> DataFrame:
-    """Entries built from the records alone, without a model answer."""
-    raw = deed_text(inputs, register_docs)
-    relevant = F.coalesce(F.col("applies_to_target_matrikel"), F.lit(False))
-    entries = inputs.join(raw, ["case_id", "servitut_id"], "left").select(
-        "case_id", "servitut_id", "date_reference", "title", "byggeri_markering", "raw_text",
-        F.col("summary").alias("description"), "beneficiary",
+def _light(records: DataFrame) -> DataFrame:
+    """What an entry needs of a record; of the evidence only documents and excerpts."""
+    short = F.transform("evidence", lambda e: F.struct(e["document_id"].alias("document_id"), e["text_excerpt"].alias("text_excerpt")))
+    return records.select(
+        "case_id", "servitut_id", "date_reference", "title", "byggeri_markering", F.col("summary").alias("description"), "beneficiary",
         F.col("disposition_type").alias("disposition"), "legal_type", F.col("action_note").alias("action"),
-        relevant.alias("relevant_for_project"), scope_label("applies_to_target_matrikel").alias("scope"),
-        scope_detail("matching_targets").alias("scope_detail"),
+        "applies_to_target_matrikel", scope_detail("matching_targets").alias("scope_detail"), short.alias("evidence"),
     )
-    return fill_empty(entries)
 
 
-def _numbered_fallback(inputs: DataFrame, register_docs: DataFrame) -> DataFrame:
-    """Fallback entries with their number. Numbers come from three columns, before any text is joined."""
-    numbers = number_entries(inputs.select("case_id", "servitut_id", "date_reference")).drop("date_reference")
-    return fallback_entries(inputs, register_docs).join(numbers, ["case_id", "servitut_id"])
+def _entries(numbered_: DataFrame) -> DataFrame:
+    """Entries from numbered light records with their deed text."""
+    applies = F.col("applies_to_target_matrikel")
+    return fill_empty(numbered_.withColumns({"relevant_for_project": F.coalesce(applies, F.lit(False)), "scope": scope_label(applies)})).select(*ENTRY_COLUMNS)
 
 
 def build_report(records: DataFrame, cases: DataFrame, register_docs: DataFrame, day: str | None = None) -> DataFrame:
     """Numbered report entries of every case, from its records alone.
 
-    The chosen records are written once: evidence, entries and numbering each read a few of their columns.
+    The chosen records are written once, in the order of the report and without what no entry shows; most have lost their evidence
+    for one text before they are shuffled.
     """
-    return _numbered_fallback(materialize(report_inputs(records, cases, day)), register_docs).select(*ENTRY_COLUMNS)
+    known = _register_ids(register_docs)
+    light = drop_repeats(_first_text(_light(annotate_scope(as_of(records, day), cases)), known, RAW_CHARS))
+    return _entries(_later_text(number_entries(light), known, RAW_CHARS))
 
 
 def final_report(
@@ -149,7 +176,7 @@ def final_report(
     have = notes.select("case_id").distinct()
     told = answered_entries(entries, inputs.join(have, "case_id", "left_semi"), register_docs)
     told = position(told.withColumn("_d", D.sort_date("date_reference")), ["case_id"], {"d": F.col("_d")}, ["answer_nr", "servitut_id"], "nr").drop("_d")
-    alone = _numbered_fallback(inputs.join(have, "case_id", "left_anti"), register_docs)
+    alone = _entries(deed_text(number_entries(_light(inputs.join(have, "case_id", "left_anti"))), register_docs, RAW_CHARS))
     return told.select(*ENTRY_COLUMNS).unionByName(alone.select(*ENTRY_COLUMNS)), notes.where("notes is not null").distinct()
 
 
@@ -158,8 +185,7 @@ def answered_entries(payload: DataFrame, inputs: DataFrame, register_docs: DataF
 
     Where a date occurs on several records the last one counts.
     """
-    raw = deed_text(inputs, register_docs)
-    side = inputs.join(raw, ["case_id", "servitut_id"], "left").select(
+    side = deed_text(inputs, register_docs).select(
         "case_id", "servitut_id", "date_reference", F.col("title").alias("_t"), F.col("raw_text").alias("_r")
     )
     by_id = side.select("case_id", "servitut_id", F.struct("_t", "_r").alias("_by_id"))
@@ -231,16 +257,12 @@ def markdown_table(entries: DataFrame) -> DataFrame:
     Lines stay rows, so a very large report is never gathered into one value; written out sorted by
     `line_no` they are the markdown document.
     """
-    heads = entries.select("case_id").distinct().select(
-        "case_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).cast("bigint").alias("line_no"), F.lit(fixed.MARKDOWN_HEADER).alias("line")),
-                F.struct(F.lit(2).cast("bigint").alias("line_no"), F.lit(fixed.MARKDOWN_DIVIDER).alias("line")),
-            )
-        ).alias("h"),
-    ).select("case_id", "h.line_no", "h.line")
-    return heads.unionByName(markdown_rows(entries))
+    line = lambda no, text: F.struct(no.cast("bigint").alias("line_no"), text.alias("line"))
+    own = line(F.col("line_no"), F.col("line"))
+    # the first entry of a case, which is line 3, brings the two lines above it, so the entries are made once
+    heads = [line(F.lit(1), F.lit(fixed.MARKDOWN_HEADER)), line(F.lit(2), F.lit(fixed.MARKDOWN_DIVIDER))]
+    lines = F.when(F.col("line_no") == 3, F.array(*heads, own)).otherwise(F.array(own))
+    return markdown_rows(entries).select("case_id", F.explode(lines).alias("h")).select("case_id", "h.line_no", "h.line")
 
 
 def markdown_document(reports: DataFrame, entries: DataFrame) -> DataFrame:
@@ -262,10 +284,11 @@ def markdown_document(reports: DataFrame, entries: DataFrame) -> DataFrame:
     has_notes = F.coalesce("notes", F.lit("")) != ""
     notes = F.when(has_notes, F.array(F.lit("## Bemærkninger"), F.col("notes"), F.lit(""))).otherwise(F.array().cast("array<string>"))
     title = F.array(F.concat(F.lit("# Rapport "), F.col("report_id")), F.lit(""))
-    with_rows = entries.select("case_id").distinct().withColumn("_some", F.lit(True))
+    with_rows = entries.where("nr = 1").select("case_id").distinct().withColumn("_some", F.lit(True))
     head = reports.join(with_rows, "case_id", "left").withColumn("_table", F.coalesce("_some", F.lit(False)))
     tail = F.when(F.col("_table"), F.array(F.lit("## Tabel"))).otherwise(F.array(F.lit("## Rapportposter"), F.lit("")))
-    head = head.withColumn("_lines", F.concat(title, meta, notes, tail))
+    # written, so that the lines of the table, most of them of a few cases, need not be shuffled by case
+    head = materialize(head.select("case_id", "report_id", F.concat(title, meta, notes, tail).alias("_lines")))
     lead = head.select("case_id", "report_id", F.posexplode("_lines").alias("_i", "line")).select(
         "case_id", "report_id", (F.col("_i") + 1).cast("bigint").alias("line_no"), "line"
     )
@@ -293,8 +316,7 @@ def save_edited(rows: DataFrame, row_position: str = "row_position") -> DataFram
     texts = ["date_reference", "title", "byggeri_markering", "raw_text", "description", "beneficiary", "disposition",
              "legal_type", "action", "scope", "scope_detail"]
     ready = rows.withColumn("_asked", asked).drop("nr")
-    blocks = {"a": F.col("_asked"), "p": F.floor(F.col(row_position) / 4096)}
-    out = position(ready, ["case_id"], blocks, [row_position], "nr").drop("_asked", row_position)
+    out = numbered(ready, ["case_id"], ["_asked", row_position], "nr").drop("_asked", row_position)
     return out.withColumns(
         {
             **{c: T.blank_to_null(c) for c in texts if c in rows.columns},

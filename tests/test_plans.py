@@ -245,3 +245,32 @@ def test_stream_reuse_writes_its_changed_pages_once(spark, monkeypatch):
 
     monkeypatch.setattr(Q, "materialize", refused)
     assert Q.QUERIES["stream_reuse"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_report_numbers_do_not_need_few_groups(spark):
+    """Positions come from ranges of rows: what is added up is a row per case and range, and each entry is made once."""
+    from deedloom.operators.positions import numbered
+
+    rows = [("a", i * 7 % 100, i) for i in range(100)] + [(None, 5, 1), (None, 4, 2), ("b", 1, 1)]
+    got = numbered(spark.createDataFrame(rows, "case_id string, k int, i int"), ["case_id"], ["k", "i"], "nr").collect()
+    assert sorted((r.case_id or "", r.nr, r.k) for r in got) == [("", 1, 4), ("", 2, 5), *[("a", k + 1, k) for k in range(100)], ("b", 1, 1)]
+    ev = [("k1", "doc-r", 1, "x"), ("k2", "doc-r", 2, "y"), ("k3", "doc-z", 3, "z" * 600)]
+    df = spark.createDataFrame([record(1, ev=ev), record(2, ev=ev[:2]), record(3, ev=ev[2:]), record(4)], RECORD)
+    cases = spark.createDataFrame([("c", ["1a"], [])], "case_id string, target_matrikler array<string>, available_matrikler array<string>")
+    docs = spark.createDataFrame([("c", "doc-r")], "case_id string, document_id string")
+    entries = R.build_report(df, cases, docs)
+    assert [r.raw_text for r in entries.orderBy("nr").collect()] == ["z" * 500, None, "z" * 500, None]
+    # neither numbers nor lines read the records again, and no window runs over a whole case
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "LogicalRDD" not in plan
+    lines = R.markdown_table(entries)
+    assert sorted(r.line_no for r in lines.collect()) == [1, 2, 3, 4, 5, 6]
+    reports = cases.selectExpr("case_id", "'r' as report_id", "target_matrikler", "available_matrikler", "cast(null as date) as as_of_date", "'' as notes")
+    assert sorted(r.line_no for r in R.markdown_document(reports, entries).collect()) == list(range(1, 14))
+
+
+def test_edited_rows_are_numbered_without_blocks(spark):
+    rows = spark.range(300).selectExpr("'c' as case_id", "cast(9000 - id as string) as nr", "id as row_position", "'s' as servitut_id", "true as relevant_for_project", "false as beneficiary_amt_warning", "cast(id as string) as title")
+    out = R.save_edited(rows)
+    assert [r.title for r in out.orderBy("nr").collect()] == [str(i) for i in range(299, -1, -1)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -29,7 +29,7 @@ from deedloom.session import materialize
 
 # records of a scope that one task may fold
 FOLD_ROWS = 20_000
-_COMPLETE = ("beneficiary", "summary", "disposition_type", "legal_type", "action_note")
+COMPLETE = ("beneficiary", "summary", "disposition_type", "legal_type", "action_note")
 
 
 def star_groups(records: DataFrame) -> DataFrame:
@@ -104,14 +104,16 @@ def dedup_deeds(records: DataFrame) -> DataFrame:
 
     `centre` orders the result as the sequential pass would.
     """
-    filled = sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0) for c in _COMPLETE), F.lit(0))
+    filled = sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0) for c in COMPLETE), F.lit(0))
+    # written once: what makes the records would run again for the stars, the choice and the result
+    records = materialize(records.withColumn("_filled", filled))
     groups = star_groups(records)
-    light = records.select("case_id", "ord", filled.alias("_filled"), "confidence").join(groups, ["case_id", "ord"])
+    light = records.select("case_id", "ord", "_filled", "confidence").join(groups, ["case_id", "ord"])
     best = light.groupBy("case_id", "centre").agg(
         F.max(F.struct("_filled", "confidence", (-F.col("ord")).alias("_neg"))).alias("_b"), F.count(F.lit(1)).alias("group_size")
     )
     chosen = best.select("case_id", (-F.col("_b._neg")).alias("ord"), "centre", "group_size")
-    return records.join(chosen, ["case_id", "ord"])
+    return records.drop("_filled").join(chosen, ["case_id", "ord"])
 
 
 def _assign(items: DataFrame, pages: DataFrame, current: DataFrame, scope: Sequence[str]) -> DataFrame:

@@ -164,3 +164,15 @@ def test_sql_functions_of_answers(spark):
     assert all(r.a == r.b and r.c == r.d for r in rows)
     assert [tuple(r) for r in spark.sql("SELECT * FROM dl_page_ranges(250, 100)").collect()] == [(1, 1, 100), (2, 101, 200), (3, 201, 250)]
     assert spark.sql("SELECT * FROM dl_page_ranges(0, 100)").collect() == []
+
+
+def test_sql_keys_drop_every_blank_without_a_pattern(spark):
+    """All blanks of fixed.BLANK go; the keys are looked up character by character, and single blanks of a text are left alone."""
+    from deedloom.functions.text import STRIP_CHARS
+
+    sqlfuncs.register(spark)
+    df = spark.createDataFrame([("A-1." + STRIP_CHARS + "b æ",), (None,), ("",)], "x string")
+    out = df.selectExpr("dl_archive_key(x) a", "dl_match_key(x) m", "dl_parcel_key(x) p", "dl_clean_text('a  b\t c d') c")
+    assert [tuple(r) for r in out.collect()] == [("a1.bæ", "a1bæ", "a-1.bæ", "a b c d"), (None, None, None, "a b c d"), ("", "", None, "a b c d")]
+    plan = out.select("a", "m")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan

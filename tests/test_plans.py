@@ -274,3 +274,10 @@ def test_edited_rows_are_numbered_without_blocks(spark):
     out = R.save_edited(rows)
     assert [r.title for r in out.orderBy("nr").collect()] == [str(i) for i in range(299, -1, -1)]
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entity_files_are_put_in_place_by_their_tasks(spark, tmp_path):
+    store.save_entities(spark.range(0, 7, 1, 3).select(F.to_json(F.struct("id")).alias("value")), str(tmp_path / "e"))
+    assert len(list((tmp_path / "e").glob("part-*.txt"))) == 7 and (tmp_path / "e" / "_SUCCESS").exists() and not (tmp_path / "e" / "_temporary").exists()
+    good, bad = store.read_entities(spark, str(tmp_path / "e"), ST.StructType.fromDDL("id bigint"))
+    assert sorted(r.id for r in good.collect()) == list(range(7)) and bad.isEmpty()

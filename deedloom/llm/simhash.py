@@ -284,11 +284,12 @@ def bands(codes: DataFrame, limit: int = BUCKET) -> DataFrame:
     placed = codes.select("v", each.alias("b")).select("v", F.xxhash64("b.band", "b.bits").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     many = materialize(sizes.where("n > 1"))
-    shared = placed.join(many, "bucket")
+    # the planner takes the exploded bands for a small part of the codes' file, though they are many times as many rows, and would broadcast them
+    shared = placed.join(many.hint("merge"), "bucket")
     parts = F.ceil(F.col("n") / (limit // 2)).cast("int")
     own = shared.withColumn("parts", F.when(F.col("n") > limit, parts).otherwise(1)).withColumn("own", F.pmod(F.xxhash64("v"), F.col("parts").cast("long")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other <> own")
-    return met.select("v", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key")).join(codes.select("v", "code"), "v")
+    return met.select("v", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key")).join(codes.select("v", "code").hint("merge"), "v")
 
 
 def wide_edges(placed: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
+import re
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from deedloom import fixed
 from deedloom.functions import dates as D, text as T
+from deedloom.operators.beside import beside
 from deedloom.operators.positions import first_per_key, position
 from deedloom.session import materialize
 
@@ -134,18 +138,13 @@ def describe_records(records: DataFrame, signals: DataFrame, catalog: DataFrame)
 # Containment without comparing every chunk with every signal of its case: a signal is known by a short piece
 # of it, its anchor: up to eight characters from its first digit on; the digit with the character before it
 # where the signal ends there; six letters of a title word; the first characters where there is no digit.
-# Texts offer the distinct pieces of these kinds, an equality join brings them together, and the few pairs
-# that meet are decided by looking the whole signal up in the whole text. So no length is lost.
-# A title word has word characters only, so it lies inside one word of the text: the distinct words
-# of all texts meet the title words once, and a text only offers its words, not every piece of them.
+# The signals of a case are read beside its chunks (`beside`): the pieces of a chunk are looked up among the anchors, and the few
+# signals met are looked up whole. So no length is lost, and no pair of a chunk and a signal is shuffled.
+# A title word has word characters only, so it lies inside one word of the text: a chunk sends its distinct words,
+# and a word that came before is known.
 _LENGTHS = (1, 2, 4, 8)
 _WORDS = r"[" + fixed.WORD + r"]{%d,}" % fixed.TITLE_WORD_MIN
-_STARTS = r"(?=([" + fixed.WORD + r"]{%d}))" % fixed.TITLE_WORD_MIN
-_OFFERS = {
-    "digit": r"(?s)(?=([0-9].{%d}))",
-    "tail": r"(?s)(?=(.[0-9]))",
-    "plain": r"(?s)(?=(.{%d}))",
-}
+_DIGIT = re.compile("[0-9]")
 
 
 def _anchor(value: Column, title: Column) -> Column:
@@ -168,97 +167,168 @@ def _anchor(value: Column, title: Column) -> Column:
     )
 
 
-def _offer(cls: str, piece: Column) -> Column:
-    return F.struct(F.lit(cls).alias("cls"), piece.alias("anchor"))
+class _Signals:
+    """The signals of a group by their anchors, in the order (o, k, x)."""
 
-
-def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
-    """Every (chunk, signal) of a case whose text contains the signal, once each (JN-01).
-
-    Archive ids, dates and serials are looked up in the text without blanks, dots and hyphens; parcels
-    and title words in the lower-case text.
-    """
+    def __init__(self, rows: list[tuple]):
+        rows.sort(key=lambda r: r[:3])
+        self.weights, self.lists = [r[3] for r in rows], pa.StructArray.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))], names=["o", "k", "x"]
+        )
+        self.by: dict[str, dict[str, list]] = {}
+        for i, (_, _, _, _, cls, anchor, value) in enumerate(rows):
+            self.by.setdefault(cls, {}).setdefault(anchor, []).append((value, i))
+        self.known: dict[str, list] = {}
+
+    def of_word(self, word: str) -> list:
+        """Title words inside a word."""
+        found = self.known.get(word)
+        if found is None:
+            titles, n = self.by.get("lower:word", {}), fixed.TITLE_WORD_MIN
+            found = [i for at in range(len(word) - n + 1) for value, i in titles.get(word[at : at + n], ()) if word.startswith(value, at)]
+            if len(self.known) < _WORDS_KEPT:
+                self.known[word] = found
+        return found
+
+    def of_text(self, form: str, text: str) -> set:
+        """Other signals inside a text."""
+        found = set()
+
+        def look(kind: str, places: list[int], before: int) -> None:
+            anchors = self.by.get(f"{form}:{kind}")
+            if anchors:
+                for k in {len(a) for a in anchors}:
+                    for piece in {text[at - before : at - before + k] for at in places if at >= before}:
+                        found.update(i for value, i in anchors.get(piece, ()) if value in text)
+
+        digits = [m.start() for m in _DIGIT.finditer(text)]
+        look("digit", digits, 0)
+        look("tail", digits, 1)
+        if f"{form}:plain" in self.by:
+            look("plain", range(len(text)), 0)
+        return found
+
+
+# words of a group whose title words are remembered
+_WORDS_KEPT = 1 << 18
+_INDEX = ("o", "k", "x", "w", "cls", "anchor", "value")
+
+
+def _matcher(listed: bool) -> Callable:
+    """For every chunk that has any, the weight of the signals it contains and, if `listed`, the signals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, signals, rows, out = None, None, [], {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            hits = [(*at, sorted(s)) for at, s in out.items() if s]
+            out.clear()
+            if hits:
+                columns = [pa.array([group[0]] * len(hits)), pa.array([h[0] for h in hits]), pa.array([h[1] for h in hits], pa.int32())]
+                columns.append(pa.array([sum(map(signals.weights.__getitem__, h[2])) for h in hits], pa.int64()))
+                if listed:
+                    edges = pa.array([0, *accumulate(len(h[2]) for h in hits)], pa.int32())
+                    columns.append(pa.ListArray.from_arrays(edges, signals.lists.take(pa.array([i for h in hits for i in h[2]], pa.int64()))))
+                yield pa.RecordBatch.from_arrays(columns, names=[*CHUNK, "score", "_s"][: len(columns)])
+
+        for batch in batches:
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False).tolist()  # noqa: E731, B023
+            keys = zip(column("case_id"), column("_group"), column("_piece"))
+            index = zip(*map(column, _INDEX))
+            texts = zip(column("document_id"), batch.column("chunk_index").to_pylist(), column("words"), column("n"), column("l"))
+            for key, kind, entry, (document, at, words, n, l) in zip(keys, column("_kind"), index, texts):
+                if key != group:
+                    yield from send()
+                    group, signals, rows = key, None, []
+                if kind == 0:
+                    rows.append(entry)
+                    continue
+                if not rows:
+                    continue
+                if signals is None:
+                    signals = _Signals(rows)
+                # rows of one chunk stand together and count as one
+                if len(out) >= 1024 and (document, at) not in out:
+                    yield from send()
+                hits = out.setdefault((document, at), set())
+                for word in words.split(" ") if words else ():
+                    hits.update(signals.of_word(word))
+                if n:
+                    hits |= signals.of_text("joined", n)
+                if l:
+                    hits |= signals.of_text("lower", l)
+        yield from send()
+
+    return run
+
+
+def _signal_index(signals: DataFrame) -> DataFrame:
+    """Signals of each case once, with kind and text of their anchors, written."""
     value = F.col("normalized_value")
     joined = F.col("signal_type").isin("akt_nr", "date_ref", "lob_suffix")
-    # written out once: it is read several times, and the planner then knows whether it is small enough to broadcast
-    index = materialize(
+    return materialize(
         signals.select("case_id", "signal_type", "normalized_value").distinct()
         .withColumn("_a", _anchor(value, F.col("signal_type") == "title_word"))
-        .select("case_id", "signal_type", "normalized_value",
+        .select("case_id", "signal_type", "normalized_value", F.concat_ws(":", "signal_type", "normalized_value").alias("signal_key"),
+                F.coalesce(_by_type(1, F.col("signal_type")).cast("int"), F.lit(0)).alias("w"),
                 F.concat(F.when(joined, "joined:").otherwise("lower:"), "_a.kind").alias("cls"), F.col("_a.anchor").alias("anchor"))
     )
-    found = _in_words(chunks, index.where(F.col("cls") == "lower:word")).unionByName(_in_pieces(chunks, index.where(F.col("cls") != "lower:word")))
-    # a signal may lie in several words of a chunk; the rows of a chunk then stay together for what follows
-    return found.repartition(*CHUNK).distinct().withColumns(
-        {"signal_key": F.concat_ws(":", "signal_type", "normalized_value"), "weight": _by_type(1, F.col("signal_type")).cast("int")}
-    )
 
 
-def _in_words(chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """Chunks with the title words they contain, once for every word of the text that holds one."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0)))
-    rows = chunks.select(*CHUNK, F.explode(words).alias("word"))
-    starts = F.array_distinct(F.regexp_extract_all(F.col("word"), F.lit(_STARTS), F.lit(1)))
-    # the words of a case only meet its own title words, so what is known grows with the texts and not with texts times cases
-    vocabulary = rows.select("case_id", "word").distinct().select("case_id", "word", F.explode(starts).alias("anchor"))
-    known = materialize(
-        vocabulary.join(index, ["case_id", "anchor"]).where(F.contains("word", F.col("normalized_value")))
-        .select("case_id", "word", "signal_type", "normalized_value")
-    )
-    return rows.join(known, ["case_id", "word"]).select(*CHUNK, "signal_type", "normalized_value")
-
-
-def _in_pieces(chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """Chunks with the other signals they contain, by their anchors."""
-    texts = chunks.select(*CHUNK, T.match_key("text").alias("_n"), F.lower("text").alias("_l"))
-    # which kinds and lengths of anchors occur, and the longest signal of each: at most eight times four rows, whatever the data
-    used = sorted(index.groupBy("cls", F.length("anchor").alias("k")).agg(F.max(F.length("normalized_value"))).collect())
-
-    def offers(rows: DataFrame, plain: bool) -> DataFrame:
-        """Distinct pieces of each text."""
-        lists = []
-        for cls, k, _ in used:
-            form, kind = cls.split(":")
-            if (kind == "plain") == plain:
-                pattern = _OFFERS[kind]
-                if "%d" in pattern:
-                    pattern = pattern % (k - 1 if kind == "digit" else k)
-                found = F.array_distinct(F.regexp_extract_all(F.col("_n" if form == "joined" else "_l"), F.lit(pattern), F.lit(1)))
-                lists.append(F.transform(found, partial(_offer, cls)))
-        each = F.concat(*lists) if lists else F.array().cast("array<struct<cls:string,anchor:string>>")
-        return rows.select(*CHUNK, F.explode(each).alias("_p")).select(*CHUNK, "_p.*")
-
-    def sure(rows: DataFrame, plain: bool) -> DataFrame:
-        """The candidates of a chunk are a part of its case's signals and meet its text once."""
-        near = offers(texts.join(bare, "case_id", "left_semi") if plain else texts, plain).join(index, ["case_id", "cls", "anchor"]).groupBy(*CHUNK).agg(
-            F.collect_list(F.struct("signal_type", "normalized_value", "cls")).alias("_s")
-        )
-        holds = lambda x: F.when(F.startswith(x["cls"], F.lit("joined")), F.contains("_n", x["normalized_value"])).otherwise(F.contains("_l", x["normalized_value"]))
-        met = rows.join(near, list(CHUNK)).select(*CHUNK, F.explode(F.filter("_s", holds)).alias("_x"))
-        return met.select(*CHUNK, "_x.signal_type", "_x.normalized_value")
+def _matches(chunks: DataFrame, index: DataFrame, told: DataFrame, listed: bool) -> DataFrame:
+    """Chunks that contain signals: their weight and the signals as `_s` (o, k, x), in this order.
 
+    `told` is the index with what is told of a signal: o, k and x.
+    """
+    # which kinds of anchors occur, and the longest signal of each: at most eight rows, whatever the data
+    used = index.groupBy("cls").agg(F.max(F.length("normalized_value")).alias("n")).collect()
     # a signal with a digit lies within its own length around that digit: of the text only this much travels
-    reach = max((n for cls, _, n in used if not cls.endswith(":plain")), default=0)
-    cut = [F.regexp_replace(c, r"(?s)([^0-9]{%d})[^0-9]+([^0-9]{%d})" % (reach, reach), "$1\n$2").alias(c) for c in ("_n", "_l")]
-    found = sure(texts.where(F.rlike("_l", F.lit("[0-9]"))).select(*CHUNK, *cut), False)
-    if any(cls.endswith(":plain") for cls, _, _ in used):
-        # only cases that have a signal without digits offer pieces from every character and send whole texts
-        bare = index.where(F.endswith("cls", F.lit(":plain"))).select("case_id").distinct()
-        found = found.unionByName(sure(texts, True))
-    return found
-
-
-def score_chunks(chunks: DataFrame, signals: DataFrame) -> DataFrame:
-    """Score and sorted reasons of every chunk, zero included (AGG-01)."""
-    hits = match_signals(chunks, signals).groupBy(*CHUNK).agg(
-        F.sum("weight").alias("_score"), F.array_sort(F.collect_list("signal_key")).alias("_reasons")
+    reach = max((r.n for r in used if not r.cls.endswith((":plain", ":word"))), default=0)
+    has = lambda *ends: any(r.cls.endswith(ends) for r in used)
+    rows = chunks.select(*CHUNK, F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), F.lit(0))), " ").alias("words"),
+                         T.match_key("text").alias("n"), F.lower("text").alias("l"))
+    cut = lambda c: F.when(
+        F.rlike(c, F.lit("[0-9]")), F.regexp_replace(c, r"(?s)([^0-9]{%d})[^0-9]+([^0-9]{%d})" % (reach, reach), "$1\n$2")
     )
+    if has(":plain"):
+        # only cases that have a signal without digits send whole texts
+        bare = index.where(F.endswith("cls", F.lit(":plain"))).select("case_id", F.lit(True).alias("_bare")).distinct()
+        rows = rows.join(bare, "case_id", "left").withColumns({c: F.when(F.col("_bare"), F.col(c)).otherwise(cut(c)) for c in ("n", "l")}).drop("_bare")
+    else:
+        rows = rows.withColumns({c: cut(c) for c in ("n", "l")})
+    entries = told.select("case_id", "o", "k", "x", "w", "cls", "anchor", F.col("normalized_value").alias("value"))
+    schema = "case_id string, document_id string, chunk_index int, score long" + (", _s array<struct<o:int,k:string,x:string>>" if listed else "")
+    found, several = beside(entries, rows, "document_id", ["document_id", "chunk_index"], _matcher(listed), schema)
+    if not several:
+        return found
+    lists = [F.array_sort(F.flatten(F.collect_list("_s"))).alias("_s")] if listed else []
+    return found.groupBy(*CHUNK).agg(F.sum("score").alias("score"), *lists)
+
+
+def _by_key(index: DataFrame) -> DataFrame:
+    return index.withColumns({"o": F.lit(0), "k": F.col("signal_key"), "x": F.lit("")})
+
+
+def match_signals(chunks: DataFrame, signals: DataFrame) -> DataFrame:
+    """Every (chunk, signal) of a case whose text contains the signal, once each (JN-01).
+
+    Archive ids, dates and serials are looked up in the text without blanks, dots and hyphens; parcels
+    and title words in the lower-case text.
+    """
+    index = _signal_index(signals)
+    key = F.col("signal_key")
+    return _matches(chunks, index, _by_key(index), True).select(*CHUNK, F.explode("_s.k").alias("signal_key")).select(
+        *CHUNK, F.substring_index(key, ":", 1).alias("signal_type"), F.expr("substr(signal_key, instr(signal_key, ':') + 1)").alias("normalized_value"), "signal_key"
+    ).withColumn("weight", _by_type(1, F.col("signal_type")).cast("int"))
+
+
+def score_chunks(chunks: DataFrame, signals: DataFrame, reasons: bool = True) -> DataFrame:
+    """Score and, if wanted, sorted reasons of every chunk, zero included (AGG-01)."""
+    index = _signal_index(signals)
+    hits = _matches(chunks, index, _by_key(index), reasons).withColumnRenamed("score", "_score")
     light = chunks.select(*CHUNK, "chunk_id", "page", F.length("text").alias("text_length"))
-    return light.join(hits, list(CHUNK), "left").select(
-        *light.columns,
-        F.coalesce("_score", F.lit(0)).alias("score"),
-        F.coalesce("_reasons", F.array().cast("array<string>")).alias("reasons"),
-    )
+    listed = [F.coalesce(F.transform("_s", lambda s: s["k"]), F.array().cast("array<string>")).alias("reasons")] if reasons else []
+    return light.join(hits, list(CHUNK), "left").select(*light.columns, F.coalesce("_score", F.lit(0)).alias("score"), *listed)
 
 
 def select_candidates(
@@ -306,7 +376,7 @@ def select_candidates(
 
 def score_and_select(chunks: DataFrame, records: DataFrame, **limits: int) -> DataFrame:
     """Scores and selection flags of every chunk; the light score table, without reasons, is written once and read several times."""
-    return select_candidates(materialize(score_chunks(chunks, record_signals(records)).drop("reasons")), **limits)
+    return select_candidates(materialize(score_chunks(chunks, record_signals(records), reasons=False)), **limits)
 
 
 def selection_state() -> Column:
@@ -371,11 +441,17 @@ def scoring_totals(summary: DataFrame) -> DataFrame:
     )
 
 
-def signal_provenance(matches: DataFrame, signals: DataFrame, catalog: DataFrame, refs: int = 2) -> DataFrame:
-    """Matched signals of each chunk as one text with the first records behind them (JN-14, AGG-27).
+def _head(label: Column, w: Column, shown: Column) -> Column:
+    return F.concat(label, F.lit(" ("), w.cast("string"), F.lit("): "), shown)
 
-    A reason without catalogue entry falls back to its own key, weight 0.
-    """
+
+def _key_parts() -> tuple[Column, Column]:
+    """Type and value of a signal key."""
+    return F.substring_index("signal_key", ":", 1), F.expr("substr(signal_key, instr(signal_key, ':') + 1)")
+
+
+def _told(signals: DataFrame, catalog: DataFrame, refs: int) -> DataFrame:
+    """case_id, signal_key and the text of each signal, made once and not for every chunk that has it."""
     dash = F.lit(fixed.EMPTY_CELL)
     ref = signals.select(
         "case_id", "signal_key", "ord",
@@ -385,18 +461,37 @@ def signal_provenance(matches: DataFrame, signals: DataFrame, catalog: DataFrame
     once = ref.groupBy("case_id", "signal_key", "_ref").agg(F.min("ord").alias("ord"))
     first = first_per_key(once, ["case_id", "signal_key"], ["ord", "_ref"], refs)
     lists = first.groupBy("case_id", "signal_key").agg(F.array_sort(F.collect_list(F.struct("ord", "_ref"))).alias("_refs"))
-    # the text of a signal is made once, not once for every chunk that has it
     suffix = F.when(F.size("_refs") > 0, F.concat(F.lit(" → "), F.array_join(F.transform("_refs", lambda r: r["_ref"]), "; "))).otherwise("")
     known = catalog.select("case_id", "signal_key", "label", F.col("weight").alias("_w"), F.nullif(F.array_join("display_values", ", "), F.lit("")).alias("_shown"))
-    kind, value = F.substring_index("signal_key", ":", 1), F.expr("substr(signal_key, instr(signal_key, ':') + 1)")
-    head = lambda label, w, shown: F.concat(label, F.lit(" ("), w.cast("string"), F.lit("): "), shown)
-    told = known.join(lists, ["case_id", "signal_key"], "full").select(
-        "case_id", "signal_key", F.concat(head(F.coalesce("label", kind), F.coalesce("_w", F.lit(0)), F.coalesce("_shown", value)), suffix).alias("_x")
+    kind, value = _key_parts()
+    return known.join(lists, ["case_id", "signal_key"], "full").select(
+        "case_id", "signal_key", F.concat(_head(F.coalesce("label", kind), F.coalesce("_w", F.lit(0)), F.coalesce("_shown", value)), suffix).alias("_x")
     )
+
+
+def _as_told(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows with signal_key, and order, value and text of their signal as o, k and x; without catalogue entry its own key, weight 0."""
+    kind, value = _key_parts()
+    return rows.join(told, ["case_id", "signal_key"], "left").withColumns(
+        {"o": _type_order(kind), "k": value, "x": F.coalesce("_x", _head(kind, F.lit(0), value))}
+    ).drop("_x")
+
+
+def signal_provenance(matches: DataFrame, signals: DataFrame, catalog: DataFrame, refs: int = 2) -> DataFrame:
+    """Given matches of each chunk as one text with the first records behind them (JN-14, AGG-27).
+
+    A reason without catalogue entry falls back to its own key, weight 0.
+    """
     # a match travels with its key alone, then once with its text; all of a chunk then are in one place, and none is sorted before
-    rows = matches.select(*CHUNK, "signal_key").join(told, ["case_id", "signal_key"], "left").select(
-        *CHUNK, F.struct(_type_order(kind).alias("o"), value.alias("v"), F.coalesce("_x", head(kind, F.lit(0), value)).alias("x")).alias("_s")
-    )
+    rows = _as_told(matches.select(*CHUNK, "signal_key"), _told(signals, catalog, refs)).select(*CHUNK, F.struct("o", "k", "x").alias("_s"))
     return rows.repartition(*CHUNK).groupBy(*CHUNK).agg(F.array_sort(F.collect_list("_s")).alias("_l")).select(
         *CHUNK, F.array_join(F.transform("_l", lambda s: s["x"]), " | ").alias("matched_signals")
     )
+
+
+def chunk_provenance(chunks: DataFrame, signals: DataFrame, catalog: DataFrame, refs: int = 2) -> DataFrame:
+    """The same for the signals that the chunks contain; their texts are sent once to a group of chunks, and no match is shuffled."""
+    index = _signal_index(signals)
+    return _matches(chunks, index, _as_told(index, _told(signals, catalog, refs)), True).select(
+        *CHUNK, F.array_join(F.transform("_s", lambda s: s["x"]), " | ").alias("matched_signals")
+    )

@@ -115,21 +115,22 @@ def items_from_answers(answers: DataFrame, documents: DataFrame) -> DataFrame:
 
 def second_pass(
     chunks: DataFrame, canonicals: DataFrame, register_evidence: DataFrame, documents: DataFrame, parcels: DataFrame, ask: Ask,
-    templates: DataFrame, enrich_template: str,
+    templates: DataFrame, enrich_template: str, texts: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Final records of every case and their evidence rows, from chunks over prompts and answers.
 
     Deeds of cases with register records: selected chunks, enrichment prompts, answers, linkage (JN-16, SET-01, SET-08). Deeds of
     other cases: keyword chunks, prompts by document type, answers, de-duplication (FLT-01, SRC-08, AGG-20).
     `register_evidence` has case_id, servitut_id, pos, chunk_id, document_id, page, text_excerpt. Evidence stays a
-    child table keyed by (case_id, servitut_id): the register's rows first, then the deed's, repeats kept.
+    child table keyed by (case_id, servitut_id): the register's rows first, then the deed's, repeats kept. Without `texts` the prompts
+    of deeds that `ask` gets have their hash and no text.
     """
     have = canonicals.select("case_id").distinct()
     typed = materialize(typed_chunks(chunks, documents).where(F.col("document_type") == fixed.DEED_TYPE).drop("filename"))
     of_register = typed.join(have, "case_id", "left_semi")
     chosen = signals.score_and_select(of_register, canonicals).where("selected").select(*signals.CHUNK)
     candidates = materialize(of_register.join(chosen, list(signals.CHUNK), "left_semi"))
-    answered = ask(A.deed_prompts(candidates, canonicals, documents, parcels, enrich_template))
+    answered = ask(A.deed_prompts(candidates, canonicals, documents, parcels, enrich_template, texts))
     items = materialize(items_from_answers(answered, documents))
     resolved = materialize(linkage.resolve_keys(items, canonicals))
     linked = linkage.enrichment_links(canonicals, resolved)

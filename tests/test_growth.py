@@ -1,9 +1,11 @@
 """Work that grew with pairs: what is looked for in a case is read beside its texts."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from deedloom.operators import beside as B, signals as S
+from deedloom.operators import answers as A, beside as B, signals as S
 
 CHUNKS = "case_id string, document_id string, chunk_index int, chunk_id string, page int, text string"
 
@@ -30,3 +32,28 @@ def test_signals_are_read_beside_the_chunks(spark, monkeypatch, group, piece):
     given = S.signal_provenance(rows, records, catalog)
     assert sorted(told.collect()) == sorted(given.collect()) and told.count() == 4
 
+
+def test_prompts_of_deeds_are_hashed_from_the_head_of_their_case(spark, monkeypatch):
+    """Marks inside values, a list in several parts, a case without list; hashes and lengths are those of whole prompts."""
+    monkeypatch.setattr(A, "DEEDS", 2)
+    template = "R:\n{canonical_json}\nP: {all_matrikler_json}\nK: {akt_dok_hint}\n\n{chunks_text}\n{akt_dok_hint}"
+    chunks = spark.createDataFrame([("a", f"d{i}", 0, "k", 1, f"tekst {i} æ {{akt_dok_hint}}") for i in range(5)] + [("b", "d9", 0, "k", 1, "x")], CHUNKS)
+    long = "t" * 900_000
+    canon = spark.createDataFrame([("a", i, None, "{chunks_", f"{long}{i}") for i in range(4)], "case_id string, ord long, date_reference string, akt_nr string, title string")
+    docs = spark.createDataFrame([("a", "d0", "text} {chunks_text}")], "case_id string, document_id string, filename string")
+    parcels = spark.createDataFrame([("a", ["1a", None])], "case_id string, all_matrikler array<string>")
+    lists = {(r.case_id, r.part): r.canonical_json for r in A.canonical_json(canon).collect()}
+    blocks = {(r.case_id, r.document_id): r.chunks_text for r in A.chunks_text(chunks).collect()}
+    want = set()
+    for (case, doc), block in blocks.items():
+        for part, listed in [(p, x) for (c, p), x in lists.items() if c == case] or [(0, "[]")]:
+            text = template.replace("{canonical_json}", listed).replace("{all_matrikler_json}", '["1a", null]' if case == "a" else "[]")
+            text = text.replace("{akt_dok_hint}", "text} {chunks_text}" if doc == "d0" else doc).replace("{chunks_text}", block)
+            want.add((case, doc, part, len(text), hashlib.sha256(text.encode()).hexdigest()))
+    assert len(want) > 6
+    light = A.deed_prompts(chunks, canon, docs, parcels, template, text=False)
+    assert "prompt" not in light.columns
+    assert {(r.case_id, r.document_id, r.part, r.chars, r.prompt_hash) for r in light.collect()} == want
+    whole = A.deed_prompts(chunks, canon, docs, parcels, template)
+    got = whole.select("case_id", "document_id", "part", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("h"), "prompt_hash").collect()
+    assert {tuple(r)[:5] for r in got} == want and all(r.h == r.prompt_hash for r in got)

@@ -57,3 +57,35 @@ def test_prompts_of_deeds_are_hashed_from_the_head_of_their_case(spark, monkeypa
     whole = A.deed_prompts(chunks, canon, docs, parcels, template)
     got = whole.select("case_id", "document_id", "part", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("h"), "prompt_hash").collect()
     assert {tuple(r)[:5] for r in got} == want and all(r.h == r.prompt_hash for r in got)
+
+
+def test_records_of_a_case_are_read_beside_its_chunks(spark, monkeypatch):
+    """Any cut of a case gives the same best chunks, ties by document and index, and no list of a word's chunks is written."""
+    from deedloom.operators import retrieve as RT
+
+    chunks = spark.createDataFrame([("c", f"d{i % 5}", i, f"ord{i % 7} xvej grund{i % 3}" if i % 4 else None) for i in range(60)] + [("c", "d1", 1, "ord9")],
+                                   "case_id string, document_id string, chunk_index int, text string")
+    records = spark.createDataFrame([("c", f"r{i}", "x", f"Ord{i} vej grund{i % 4} und", None, None) for i in range(9)],
+                                    "case_id string, servitut_id string, source_document string, title string, summary string, beneficiary string")
+    texts = {}
+    for c in chunks.collect():
+        texts[c.document_id, c.chunk_index] = texts.get((c.document_id, c.chunk_index), "") + " " + (c.text or "")
+    want = set()
+    for i in range(9):
+        words = {f"ord{i}", "vej", f"grund{i % 4}", "und"}
+        rows = sorted((-sum(w in t for w in words), *at) for at, t in texts.items())
+        want |= {(f"r{i}", d, at, round(-m / 4, 6), n + 1) for n, (m, d, at) in enumerate(rows[:5]) if m}
+    sizes, real = [], RT.materialize
+
+    def watched(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(RT, "materialize", watched)
+    for group, piece in ((8192, 200_000), (4, 200_000), (7, 2)):
+        monkeypatch.setattr(B, "GROUP", group)
+        monkeypatch.setattr(B, "PIECE", piece)
+        got = RT.keyword_top_k(records, chunks).select("servitut_id", "document_id", "chunk_index", "score", "rank").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert sizes[0] == 0

@@ -23,13 +23,18 @@ def object_candidates(c: Column | str) -> Column:
     return distinct_nonempty(F.concat(F.array(t), fenced, F.array(F.regexp_extract(t, r"(?s)\{.*\}", 0))))
 
 
-def strict_parse(c: Column) -> Column:
-    """Parsed text, null when anything follows the value.
+def _wrapped(c: Column) -> Column:
+    """The parser stops after the first value; a closing field behind the text shows that it got there."""
+    return F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit(',"z":1}')))
+
+
+def _unwrapped(v: Column) -> Column:
+    return F.when(F.try_variant_get(v, "$.z", "int") == 1, F.try_variant_get(v, "$.v", "variant"))
 
-    The parser stops after the first value; a closing field behind the text shows that it got there.
-    """
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit(',"z":1}')))
-    return F.when(F.try_variant_get(wrapped, "$.z", "int") == 1, F.try_variant_get(wrapped, "$.v", "variant"))
+
+def strict_parse(c: Column) -> Column:
+    """Parsed text, null when anything follows the value."""
+    return _unwrapped(_wrapped(c))
 
 
 def payload_list(v: Column) -> Column:
@@ -44,17 +49,20 @@ def payload_list(v: Column) -> Column:
 
 def answer_items(c: Column | str) -> Column:
     """Items of the first candidate that yields any, or of a literal empty list (JSN-02)."""
-    tried = F.transform(
-        candidates(c), lambda t: F.struct(t.alias("t"), payload_list(strict_parse(t)).alias("items"))
-    )
+    # step by step, so that a candidate is parsed once and not for every look into it
+    wrapped = F.transform(candidates(c), lambda t: F.struct(t.alias("t"), _wrapped(t).alias("w")))
+    parsed = F.transform(wrapped, lambda x: F.struct(x["t"].alias("t"), _unwrapped(x["w"]).alias("v")))
+    tried = F.transform(parsed, lambda x: F.struct(x["t"].alias("t"), payload_list(x["v"]).alias("items")))
     good = F.filter(tried, lambda x: (F.size(x["items"]) > 0) | (x["t"] == "[]"))
     return F.coalesce(F.get(good, F.lit(0))["items"], F.array().cast("array<variant>"))
 
 
 def answer_object(c: Column | str) -> Column:
     """First candidate that is an object, else null (JSN-05)."""
-    tried = F.transform(object_candidates(c), strict_parse)
-    return F.get(F.filter(tried, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))), F.lit(0))
+    # an object begins with a brace: nothing else is parsed, and what is parsed is parsed once
+    begun = F.filter(object_candidates(c), lambda t: F.startswith(t, F.lit("{")))
+    wrapped = F.transform(begun, _wrapped)
+    return F.get(F.filter(F.transform(wrapped, _unwrapped), lambda v: v.isNotNull()), F.lit(0))
 
 
 def field(v: Column, name: str) -> Column:

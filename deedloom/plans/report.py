@@ -136,13 +136,17 @@ ENTRY_COLUMNS = [
 ]
 
 
+def _short_evidence() -> Column:
+    """Of the evidence only documents and excerpts."""
+    return F.transform("evidence", lambda e: F.struct(e["document_id"].alias("document_id"), e["text_excerpt"].alias("text_excerpt"))).alias("evidence")
+
+
 def _light(records: DataFrame) -> DataFrame:
     """What an entry needs of a record; of the evidence only documents and excerpts."""
-    short = F.transform("evidence", lambda e: F.struct(e["document_id"].alias("document_id"), e["text_excerpt"].alias("text_excerpt")))
     return records.select(
         "case_id", "servitut_id", "date_reference", "title", "byggeri_markering", F.col("summary").alias("description"), "beneficiary",
         F.col("disposition_type").alias("disposition"), "legal_type", F.col("action_note").alias("action"),
-        "applies_to_target_matrikel", scope_detail("matching_targets").alias("scope_detail"), short.alias("evidence"),
+        "applies_to_target_matrikel", scope_detail("matching_targets").alias("scope_detail"), _short_evidence(),
     )
 
 
@@ -163,6 +167,17 @@ def build_report(records: DataFrame, cases: DataFrame, register_docs: DataFrame,
     return _entries(_later_text(number_entries(light), known, RAW_CHARS))
 
 
+def answer_inputs(records: DataFrame, register_docs: DataFrame, day: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records that enter a report as answers are completed from them: case, id, date and title, and the same with their deed text.
+
+    They are written once; most have lost their evidence for one text before they are shuffled, and nothing else of a record travels.
+    """
+    known = _register_ids(register_docs)
+    light = as_of(records, day).select("case_id", "servitut_id", "date_reference", "title", _short_evidence())
+    chosen = materialize(drop_repeats(_first_text(light, known, RAW_CHARS)))
+    return chosen.select("case_id", "servitut_id", "date_reference", "title"), _later_text(chosen, known, RAW_CHARS)
+
+
 def final_report(
     records: DataFrame, cases: DataFrame, register_docs: DataFrame, answers: DataFrame, day: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -170,22 +185,25 @@ def final_report(
 
     `answers` has case_id and response_text. Entries are sorted by date and numbered anew either way.
     """
-    inputs = materialize(report_inputs(records, cases, day))
+    known = _register_ids(register_docs)
+    # written once without what no entry shows; most records have lost their evidence for one text before they are shuffled
+    inputs = materialize(drop_repeats(_first_text(_light(annotate_scope(as_of(records, day), cases)), known, RAW_CHARS)))
     entries, notes = A.report_payload(answers)
-    entries, notes = materialize(entries), materialize(notes)
-    have = notes.select("case_id").distinct()
-    told = answered_entries(entries, inputs.join(have, "case_id", "left_semi"), register_docs)
+    notes = materialize(notes)
+    have = materialize(notes.select("case_id").distinct())
+    side = inputs.join(have, "case_id", "left_semi").select("case_id", "servitut_id", "date_reference", "title", "raw_text", "evidence")
+    told = answered_entries(entries, _later_text(side, known, RAW_CHARS), register_docs)
     told = position(told.withColumn("_d", D.sort_date("date_reference")), ["case_id"], {"d": F.col("_d")}, ["answer_nr", "servitut_id"], "nr").drop("_d")
-    alone = _entries(deed_text(number_entries(_light(inputs.join(have, "case_id", "left_anti"))), register_docs, RAW_CHARS))
+    alone = _entries(_later_text(number_entries(inputs.join(have, "case_id", "left_anti")), known, RAW_CHARS))
     return told.select(*ENTRY_COLUMNS).unionByName(alone.select(*ENTRY_COLUMNS)), notes.where("notes is not null").distinct()
 
 
 def answered_entries(payload: DataFrame, inputs: DataFrame, register_docs: DataFrame) -> DataFrame:
     """Entries of parsed answers, completed from the records by id, else by date (JN-13, JSN-06).
 
-    Where a date occurs on several records the last one counts.
+    Where a date occurs on several records the last one counts. `inputs` may have their deed text as raw_text already.
     """
-    side = deed_text(inputs, register_docs).select(
+    side = (inputs if "raw_text" in inputs.columns else deed_text(inputs, register_docs)).select(
         "case_id", "servitut_id", "date_reference", F.col("title").alias("_t"), F.col("raw_text").alias("_r")
     )
     by_id = side.select("case_id", "servitut_id", F.struct("_t", "_r").alias("_by_id"))

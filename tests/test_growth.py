@@ -89,3 +89,25 @@ def test_records_of_a_case_are_read_beside_its_chunks(spark, monkeypatch):
         got = RT.keyword_top_k(records, chunks).select("servitut_id", "document_id", "chunk_index", "score", "rank").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert sizes[0] == 0
+
+
+def test_answers_are_parsed_once_and_completed_from_light_records(spark):
+    """The inputs of answers hold no evidence and nothing else of a record; a candidate is parsed once, an answer that is no object has no entries."""
+    from deedloom.functions import jsonx as J
+    from deedloom.plans import report as R
+
+    ev = "array<struct<document_id:string,text_excerpt:string>>"
+    rows = [("c", f"s{i}", d, None, f"T{i}", e, "x" * 50) for i, (d, e) in enumerate([("1.1.1990", [("reg", "a"), ("akt", "b")]), ("1.1.1990", [("akt", "c")]), (None, []), ("2.2.1990", [("reg", "d")])])]
+    records = spark.createDataFrame(rows, f"case_id string, servitut_id string, date_reference string, registered_at date, title string, evidence {ev}, summary string")
+    known = spark.createDataFrame([("c", "reg")], "case_id string, document_id string")
+    inputs, side = R.answer_inputs(records, known, "1999-01-01")
+    assert inputs.columns == ["case_id", "servitut_id", "date_reference", "title"] and "summary" not in side.columns
+    assert {(r.servitut_id, r.title, r.raw_text) for r in side.collect()} == {("s0", "T0", "b"), ("s2", "T2", None), ("s3", "T3", None)}
+    texts = ['```json\n{"entries": [{"servitut_id": "s0"}]}\n```', 'Svar {"entries": [{"servitut_id": "u", "date_reference": "1.1.1990"}]} slut', "[]", '{"entries": 3}', None, '{"a": 1} {"b": 2}', '[{"entries": []}]']
+    answers = spark.createDataFrame([("c", t) for t in texts], "case_id string, response_text string")
+    assert [r.n for r in answers.select(J.answer_object("response_text").isNotNull().alias("n")).collect()] == [True, True, False, True, False, False, True]
+    entries, _ = A.report_payload(answers, written=False)
+    done = R.answered_entries(entries, side, known)
+    assert sorted((r.servitut_id, r.raw_text) for r in done.collect()) == [("s0", "b"), ("u", "b")]
+    parsed = J.answer_items(F.col("response_text"))._jc.toString()
+    assert parsed.count("try_parse_json") <= 1

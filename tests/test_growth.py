@@ -111,3 +111,17 @@ def test_answers_are_parsed_once_and_completed_from_light_records(spark):
     assert sorted((r.servitut_id, r.raw_text) for r in done.collect()) == [("s0", "b"), ("u", "b")]
     parsed = J.answer_items(F.col("response_text"))._jc.toString()
     assert parsed.count("try_parse_json") <= 1
+
+
+def test_entity_files_are_read_many_a_task(spark, tmp_path, monkeypatch):
+    from pyspark.sql.types import StructType
+
+    from deedloom.sources import store
+
+    for i in range(200):
+        (tmp_path / f"{i}.json").write_text('{"id": %d}' % i if i % 9 else "{broken")
+    tasks, real, name = [], store.materialize, "spark.sql.files.openCostInBytes"
+    monkeypatch.setattr(store, "materialize", lambda df: tasks.append(df.rdd.getNumPartitions()) or real(df))
+    before = spark.conf.get(name)
+    good, bad = store.read_entities(spark, str(tmp_path), StructType.fromDDL("id bigint"))
+    assert (good.count(), bad.count()) == (177, 23) and tasks[0] <= 5 and spark.conf.get(name) == before
